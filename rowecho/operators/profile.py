@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowecho.functions.text import value_kind, value_text
 from rowecho.operators.rows import column
@@ -119,8 +119,29 @@ def value_lists(values: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def median_threshold(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
-    """Median of a numeric target. Exact by default (values are counted before they are ranked);
-    the sketch keeps its state bounded on columns with too many distinct values for that."""
-    median = F.percentile(column(name), 0.5) if exact else F.percentile_approx(column(name), 0.5)
-    return df.agg(median.alias("threshold"))
+def median_threshold(df: DataFrame, name: str, margin: float = 1e-4, accuracy: int = 100_000) -> DataFrame:
+    """Exact median of a numeric target, without bringing its values into one task.
+
+    A quantile sketch, whose rank error is at most ``1/accuracy``, brackets the median; only the
+    values inside the bracket (about ``2 * margin`` of the rows) are counted and ranked, and the
+    rows below it are just counted.
+    """
+    values = df.select(column(name).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    ends = values.agg(F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("b"))
+    low = ends.select(F.col("b")[0].alias("low")).scalar()
+    high = ends.select(F.col("b")[1].alias("high")).scalar()
+    n_rows = values.agg(F.count("*")).scalar()
+    n_below = values.filter(F.col("v") < low).agg(F.count("*")).scalar()
+    inside = values.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n"))
+    # only the bracket's distinct values are ranked here
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + n_below
+    ranked = inside.select("v", "n", upto.alias("upto"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    lower = F.floor((n_rows - 1) / 2).cast("bigint")
+    upper = F.floor(n_rows / 2).cast("bigint")
+    return ranked.agg(at(lower).alias("lo"), at(upper).alias("hi")).select(
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5).alias("threshold")
+    )
