@@ -44,7 +44,7 @@ def _grams(df: DataFrame, key: str, tokens: str, n: int) -> DataFrame:
     ]
     zipped = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
     out = df.select(key, F.explode(zipped).alias("g"))
-    return out.select(key, F.xxhash64(*[F.col(f"g.{i}") for i in range(n)]).alias("gram"))
+    return out.select(key, F.xxhash64(*[F.col(f"g.w{i}") for i in range(n)]).alias("gram"))
 
 
 def _tokens(text: Column) -> Column:

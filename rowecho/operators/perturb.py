@@ -29,17 +29,16 @@ def swap_values(values: Column, n_columns: int, n_swaps: int, seed: int | str, k
     for i in range(n_swaps):
         pick = F.get(left, F.pmod(draw_int(seed, key, i), F.size(left)).cast("int"))
         left = F.array_remove(left, pick)
-        a, b = F.get(first, pick), F.get(second, pick)
-        row = values
-        values = F.transform(
-            row,
-            lambda x, at, row=row, a=a, b=b: F.when(at == a, F.get(row, b))
-            .when(at == b, F.get(row, a))
-            .otherwise(x),
-        )
+        values = _swap(values, F.get(first, pick), F.get(second, pick))
     return values
 
 
+def _swap(row: Column, a: Column, b: Column) -> Column:
+    return F.transform(
+        row, lambda x, at: F.when(at == a, F.get(row, b)).when(at == b, F.get(row, a)).otherwise(x)
+    )
+
+
 def swap_columns(ds: Dataset, n_swaps: int = 2, seed: int | str = 0) -> DataFrame:
     """Every row as an array of texts with ``n_swaps`` column pairs swapped."""
     texts = F.array(*[value_text(column(c), ds.dtype(c), c in ds.widened) for c in ds.columns])

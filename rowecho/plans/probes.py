@@ -100,7 +100,8 @@ def _texts(ds: Dataset, variants: Variants, ignored: Sequence[str] = ()) -> Colu
 def _with_texts(ds: Dataset, variants: Variants, *keep: Column, ignored: Sequence[str] = (),
                 df: DataFrame | None = None) -> DataFrame:
     source = ds.df if df is None else df
-    return source.select(*keep, F.inline(_texts(ds, variants, ignored)))
+    kept = source.select(*keep, _texts(ds, variants, ignored).alias("_texts"))
+    return kept.select(*[c for c in kept.columns if c != "_texts"], F.inline("_texts"))
 
 
 def _shown(ds: Dataset, n: int, random_examples: bool, seed: int | str, variants: Variants) -> DataFrame:
@@ -232,9 +233,10 @@ def values_from_examples(
             source = source.withColumn("_o", F.col(POS)).withColumn(
                 "_block", F.when(n > 0, F.floor(F.col(POS) / F.greatest(n, F.lit(1)))).otherwise(F.lit(0)))
         shown = _with_texts(
-            ds, variants, F.col("_block"), F.col("_o"), F.when(n > 0, value).alias("_v"), df=source
+            ds, variants, F.col("_block"), F.col("_o"), F.when(n > 0, value).alias("_v"),
+            (n > 0).alias("_any"), df=source,
         ).groupBy("_block", "serialization", "features_sep").agg(
-            text_block(F.col("_o"), F.when(n > 0, F.col("text"))).alias("shown"),
+            text_block(F.col("_o"), F.when(F.col("_any"), F.col("text"))).alias("shown"),
             F.collect_set("_v").alias("known"),
         )
         if parity and mode == "random":

@@ -213,6 +213,12 @@ def decode_index(df: DataFrame, column: str, names: Iterable[str]) -> DataFrame:
     return df.withColumn(column, F.get(labels, F.col(f"`{column}`").cast("int")))
 
 
+def decode_by_table(df: DataFrame, index: str, labels: DataFrame, label_index: str) -> DataFrame:
+    """The same with the names in a table: a left join that Spark broadcasts when the label table
+    is small."""
+    return df.join(labels, df[index] == labels[label_index], "left").drop(label_index)
+
+
 def prepare(df: DataFrame, spec: DatasetSpec, widened: tuple[str, ...] = ()) -> Dataset:
     """Post-steps in the spec's order: positions, drop, decode, de-duplicate, shuffle."""
     df = with_positions(df, spec.pos_key)
