@@ -121,7 +121,7 @@ def features(t: str) -> str:
     parts = []
     for i, (c, dt) in enumerate(zip(COLUMNS[t], TYPES[t])):
         parts.append(f"""select {lit(NAMES[t])} as dataset, '{c}' as feature, cast({i} as bigint) as feature_pos,
-          '{dt}' as dtype, count(distinct {c}) + cast(bool_or({c} is null) as bigint) as n_distinct,
+          '{dt.replace('timestamp', 'timestamp_ntz')}' as dtype, count(distinct {c}) + cast(bool_or({c} is null) as bigint) as n_distinct,
           bool_or({c} is null) as has_null, count(*) as n_rows from {t}""")
     return union(parts)
 
@@ -769,6 +769,16 @@ def oracle_sql() -> dict[str, str]:
       from con join mem using (model) join zero using (model) join one using (model)"""
 
     q["corpus_word_scan"] = word_scan(f"select {TURN} as key, text from conversations")
+    q["corpus_word_scan_long"] = f"""with {LEXICON}, words as (
+        select distinct 'benchmark' as list_name, w as value from (
+          select unnest(regexp_split_to_array(text, '\\s+')) as w from benchmark) where w <> ''
+        union all select feature, value from ({values('part', ['p_name', 'p_type', 'p_brand'])})),
+      tagged as (select list_name, value, lower({cut_word('value')}) as w, not {in_lexicon('value')} as outside from words),
+      looked as (select doc_id, list_name, outside, {word_check('w', 'lower(text)')} as hit from documents cross join tagged),
+      counted as (select doc_id, list_name, count(*) as n_expected, count_if(outside) as n_out, count_if(hit) as n_hit,
+        count_if(hit and outside) as n_out_hit from looked group by all)
+      select doc_id, list_name, n_expected, case when n_out > 0 then n_out_hit else n_hit end as n_found,
+        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted"""
     q["corpus_passage_scan"] = """select doc_id, item_id as passage_id from documents d join benchmark b on contains(d.text, b.text)"""
     q["corpus_passage_scan_pages"] = """with pieces as (select distinct passage from (
         select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark) where passage <> '')

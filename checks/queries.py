@@ -218,8 +218,8 @@ def random_columns(spark, d):
 @query
 def median_threshold(spark, d):
     c = table(spark, d, "customer")
-    cut = profile.median_threshold(c, "c_acctbal").scalar()
-    return c.withColumn("threshold", cut).select(
+    cut = profile.median_threshold(c, "c_acctbal")
+    return c.withColumn("threshold", F.lit(cut)).select(
         "c_custkey", "threshold", (F.col("c_acctbal") >= F.col("threshold")).alias("above"))
 
 
@@ -800,6 +800,18 @@ def corpus_word_scan(spark, d):
     return _word_scan(spark, d, "conversations", _turn_key())
 
 
+@query
+def corpus_word_scan_long(spark, d):
+    """Every word of the benchmark, and every part name, type and brand, in every document."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value"))
+    words = words.filter("value <> ''").distinct().select(
+        F.lit("benchmark").alias("list_name"), "value", F.lit("string").alias("kind"))
+    parts = profile.feature_values(dataset(spark, d, "part"), ["p_name", "p_type", "p_brand"])
+    parts = parts.select(F.col("feature").alias("list_name"), "value", "kind")
+    tagged = tag_lexicon(words.unionByName(parts), lexicon(spark, d))
+    return corpus.scan_words_long(table(spark, d, "documents"), tagged, "doc_id")
+
+
 @query
 def corpus_passage_scan(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))

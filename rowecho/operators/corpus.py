@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowecho.functions import answers
 from rowecho.sources.lexicon import outside_lexicon
+from rowecho.sources.lineage import cut_lineage
 
 GRAM = 4  # words per anchor
+LETTERS = 3  # characters per anchor of a short passage
 BROADCAST_ROWS = 1_000_000  # an anchor row is three longs: under 64 MB
 
 
@@ -17,7 +19,7 @@ def scan_words(texts: DataFrame, lists: DataFrame, key: str, text: str = "text")
     """Which expected words occur in each text, and the word rule's verdict.
 
     ``lists`` is (list_name, words), a bounded number of bounded lists (``value_lists`` leaves
-    longer ones out; they go through ``scan_passages``). They reach the texts as one scalar, so
+    longer ones out; they go through ``scan_words_long``). They reach the texts as one scalar, so
     the corpus is read once and never shuffled.
     """
     gathered = lists.agg(F.array_sort(F.collect_list(F.struct("list_name", "words")))).scalar()
@@ -86,26 +88,73 @@ def _candidates(texts: DataFrame, passages: DataFrame, key: str, text: str, n: i
     return grams.join(anchors, "gram").select(key, "passage_id").distinct()
 
 
+def _spans(text: Column) -> Column:
+    """The text cut into runs of characters and runs of white space."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), F.lit(1)))
+
+
+def _letter_grams(df: DataFrame, key: str, word: str, n: Column) -> DataFrame:
+    """(key, n, gram): every run of n characters of a word."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
+    out = df.withColumn("n", n).filter(F.length(word) >= F.col("n")).withColumn("at", F.explode(starts))
+    return out.select(key, "n", F.substr(F.col(word), F.col("at"), F.col("n")).alias("gram")).distinct()
+
+
+def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, passage_id) for passages of one or two words, which may begin and end inside a word.
+
+    Their longest word is looked for in the vocabulary, the distinct words of all texts, which
+    is far smaller than the texts: vocabulary and passages meet on a run of characters and are
+    verified, and the words found lead back to the texts.
+    """
+    words = _tokens(F.col("passage"))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = passages.withColumn("piece", F.when(longest != "", longest).otherwise(F.col("passage")))
+    spans = texts.select(key, F.explode(_spans(F.col(text))).alias("span"))
+    vocabulary = spans.select("span").distinct()
+    size = F.least(F.length("piece"), F.lit(LETTERS))
+    grams = _letter_grams(short, "passage_id", "piece", size)
+    shared = grams.groupBy("n", "gram").agg(F.count("*").alias("shared"))
+    anchors = grams.join(shared, ["n", "gram"]).groupBy("passage_id").agg(
+        F.min_by(F.struct("n", "gram"), F.struct("shared", "gram")).alias("a")
+    ).select("passage_id", "a.n", "a.gram")
+    lengths = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most LETTERS numbers
+    met = reduce(DataFrame.unionByName, [
+        _letter_grams(vocabulary, "span", "span", F.lit(n)) for n in sorted(lengths)
+    ]).join(anchors, ["n", "gram"]).select("span", "passage_id")
+    found = cut_lineage(
+        met.join(short.select("passage_id", "passage", "piece"), "passage_id")
+        .filter(F.contains("span", "piece")).select("span", "passage_id", "passage", "piece")
+    )
+    hits = spans.join(found, "span").select(key, "passage_id", "passage", "piece").distinct()
+    whole = hits.filter(F.col("piece") == F.col("passage"))
+    checked = texts.select(key, text).join(
+        hits.filter(F.col("piece") != F.col("passage")), key
+    ).filter(F.contains(F.col(text), F.col("passage")))
+    return whole.select(key, "passage_id").unionByName(checked.select(key, "passage_id"))
+
+
 def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "text",
                   gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, passage_id) for every passage that occurs verbatim in a text.
 
     Equal to joining on ``contains``, without its nested loop: texts and passages meet on the
     hash of a few consecutive words, and the pairs that meet are verified on the whole text.
-    Passages of few words use shorter anchors; one with no inner word at all has nothing a join
-    could use and is looked up in the texts directly, all such passages in one scalar.
+    Passages of few words use shorter anchors; those with no inner word go by the vocabulary.
+    An empty passage occurs nowhere.
 
     While the passages pass the size check their anchors are broadcast and texts are not
     shuffled for the meeting; beyond it the join is a shuffle join whose hot keys are split at
     run time. ``passages`` is (passage_id, passage), passages distinct.
     """
-    sized = passages.withColumn("_n", F.least(F.size(_inner_tokens(F.col("passage"))), F.lit(gram)))
+    sized = passages.filter("passage <> ''").withColumn(
+        "_n", F.least(F.size(_inner_tokens(F.col("passage"))), F.lit(gram)))
     lengths = [r["_n"] for r in sized.select("_n").distinct().collect()]  # at most gram + 1 numbers
+    found = []
     pairs = [
         _candidates(texts, sized.filter(F.col("_n") == n), key, text, n, broadcast_rows)
         for n in sorted(lengths) if n > 0
     ]
-    found = []
     if pairs:
         met = reduce(DataFrame.unionByName, pairs).join(passages, "passage_id")
         found.append(
@@ -113,13 +162,51 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
             .filter(F.contains(F.col(text), F.col("passage"))).select(key, "passage_id")
         )
     if 0 in lengths:
-        short = sized.filter(F.col("_n") == 0).agg(
-            F.collect_list(F.struct("passage_id", "passage"))).scalar()
-        hits = F.filter(short, lambda p: F.contains(F.col(text), p["passage"]))
-        found.append(texts.select(key, F.inline(hits)).select(key, "passage_id"))
+        found.append(_short_hits(texts, sized.filter("_n = 0").drop("_n"), key, text))
+    if not found:
+        return texts.filter(F.lit(False)).select(key, F.lit(None).cast(passages.schema["passage_id"].dataType).alias("passage_id"))
     return reduce(DataFrame.unionByName, found)
 
 
+def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``scan_words`` for lists of any length: (key, list_name, n_found, n_expected, passed).
+
+    ``words`` is (list_name, value, kind, in_lexicon), one row per word. Words are passages of
+    the searched form of the text they belong to, so no list is ever one value.
+    """
+    word = F.lower(answers.needle(F.col("value")))
+    stack = F.when(F.contains(word, F.lit(".")), 1).when(F.contains(word, F.lit(" ")), 2).otherwise(0)
+    asked = words.filter("kind <> 'other'").withColumn("_w", word).withColumn("_stack", stack)
+    forms = F.when(
+        F.contains("_w", F.lit("_")), F.array("_w", F.replace("_w", F.lit("_"), F.lit(" ")))
+    ).otherwise(F.array("_w"))
+    asked = asked.withColumn("passage", F.explode(forms))
+    hits = []
+    for i in range(3):
+        mine = asked.filter(F.col("_stack") == i)
+        searched = texts.select(key, F.get(answers.haystacks(F.col(text)), F.lit(i)).alias("_text"))
+        passages = mine.select(F.md5("passage").alias("passage_id"), "passage").distinct()
+        met = scan_passages(searched, passages, key, "_text")
+        hits.append(met.join(
+            mine.withColumn("passage_id", F.md5("passage")).drop("passage"), "passage_id"
+        ).select(key, "list_name", "value", "kind", "in_lexicon"))
+    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
+    found = reduce(DataFrame.unionByName, hits).distinct().groupBy(key, "list_name").agg(
+        F.count("*").alias("n_hit"), F.count_if(outside).alias("n_outside_hit"))
+    sizes = words.groupBy("list_name").agg(
+        F.count("*").alias("n_expected"), F.count_if(outside).alias("n_outside"),
+        F.count_if(F.col("kind") == "other").alias("n_other"))
+    names = sizes.agg(F.collect_list(F.struct("list_name", "n_expected", "n_outside", "n_other"))).scalar()
+    grid = texts.select(key, names.alias("l")).select(key, F.inline("l"))
+    n_hit, n_outside_hit = (F.coalesce(c, F.lit(0)) for c in ("n_hit", "n_outside_hit"))
+    any_rule = F.col("n_outside") > 0
+    n_found = F.when(any_rule, n_outside_hit).otherwise(n_hit + F.col("n_other"))
+    return grid.join(found, [key, "list_name"], "left").select(
+        key, "list_name", n_found.alias("n_found"), "n_expected",
+        F.when(any_rule, n_found > 0).otherwise(n_found == F.col("n_expected")).alias("passed"),
+    )
+
+
 def scan_row_texts(texts: DataFrame, rows: DataFrame, key: str, text: str = "text",
                    gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, row_text, n_rows): serialized rows that occur verbatim in a text.

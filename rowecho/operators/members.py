@@ -17,29 +17,35 @@ def _same(columns: Sequence[str], null_safe: bool) -> Column:
     return condition
 
 
-def _row_set(dataset: DataFrame, columns: Sequence[str]) -> DataFrame:
+def row_set(dataset: DataFrame, columns: Sequence[str], among: DataFrame | None = None,
+            null_safe: bool = True) -> DataFrame:
     """The dataset's distinct rows: copies are merged on the map side, so a row that fills a
-    third of the table does not weigh on the join."""
-    return dataset.select(*[column(c) for c in columns]).distinct()
+    third of the table does not weigh on a join.
 
-
-def _join(rows: DataFrame, dataset: DataFrame, columns: Sequence[str], null_safe: bool, how: str) -> DataFrame:
-    return rows.alias("c").join(
-        _row_set(dataset, columns).alias("d"), _same(columns, null_safe), how
-    )
+    ``among`` keeps only rows that are asked about. When those are few, Spark broadcasts them
+    and the dataset is filtered in its scan instead of being shuffled.
+    """
+    rows = dataset.select(*[column(c) for c in columns])
+    if among is not None:
+        asked = among.select(*[column(c) for c in columns]).distinct()
+        rows = rows.alias("c").join(asked.alias("d"), _same(columns, null_safe), "left_semi")
+    return rows.distinct()
 
 
 def members(rows: DataFrame, dataset: DataFrame, columns: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Rows that are in the dataset. ``null_safe=False``: a row with a missing value never is."""
-    return _join(rows, dataset, columns, null_safe, "left_semi")
+    known = row_set(dataset, columns)
+    return rows.alias("c").join(known.alias("d"), _same(columns, null_safe), "left_semi")
 
 
 def non_members(rows: DataFrame, dataset: DataFrame, columns: Sequence[str], null_safe: bool = True) -> DataFrame:
-    return _join(rows, dataset, columns, null_safe, "left_anti")
+    known = row_set(dataset, columns)
+    return rows.alias("c").join(known.alias("d"), _same(columns, null_safe), "left_anti")
 
 
-def tag_members(rows: DataFrame, dataset: DataFrame, columns: Sequence[str], null_safe: bool = True) -> DataFrame:
-    """Add ``is_member``."""
-    marked = _row_set(dataset, columns).withColumn("_hit", F.lit(True))
-    joined = rows.alias("c").join(marked.alias("d"), _same(columns, null_safe), "left")
+def tag_members(rows: DataFrame, dataset: DataFrame, columns: Sequence[str], null_safe: bool = True,
+                few: bool = False) -> DataFrame:
+    """Add ``is_member``. ``few``: the rows are few next to the dataset."""
+    known = row_set(dataset, columns, rows if few else None, null_safe).withColumn("_hit", F.lit(True))
+    joined = rows.alias("c").join(known.alias("d"), _same(columns, null_safe), "left")
     return joined.select("c.*", F.coalesce(F.col("d._hit"), F.lit(False)).alias("is_member"))

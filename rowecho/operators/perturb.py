@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowecho.functions.draws import draw_int, draw_key, draw_position
 from rowecho.functions.text import value_text
-from rowecho.operators.members import members
+from rowecho.operators.members import tag_members
 from rowecho.operators.profile import varying_columns
 from rowecho.operators.rows import column
 from rowecho.sources.catalog import Dataset
@@ -145,16 +145,16 @@ def replace_values(
         done.append(pending.filter(missing).withColumn("altered", F.lit(False)))
         pending = pending.filter(~missing)
     for round_no in range(max_rounds):
-        drawn = cut_lineage(
-            _redraw(pending, ds, usable, n_rows, ends, k, seed, attempts, round_no)
+        drawn = _redraw(pending, ds, usable, n_rows, ends, k, seed, attempts, round_no)
+        if round_no:
+            drawn = cut_lineage(drawn)  # few rows: they are sent to the dataset, not the reverse
+        tagged = cut_lineage(tag_members(drawn, ds.df, ds.columns, few=round_no > 0))
+        done.append(
+            tagged.filter(~F.col("is_member")).drop("is_member").withColumn("altered", F.lit(True))
         )
-        pending = cut_lineage(members(drawn, ds.df, ds.columns))
+        pending = tagged.filter("is_member").drop("is_member")
         if pending.isEmpty():
-            done.append(drawn.withColumn("altered", F.lit(True)))
             break
-        done.append(
-            drawn.join(pending.select(POS), POS, "left_anti").withColumn("altered", F.lit(True))
-        )
     else:
         done.append(pending.withColumn("altered", F.lit(False)))
     return reduce(DataFrame.unionByName, done)

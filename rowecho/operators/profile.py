@@ -119,29 +119,38 @@ def value_lists(values: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def median_threshold(df: DataFrame, name: str, margin: float = 1e-4, accuracy: int = 100_000) -> DataFrame:
+def median_threshold(df: DataFrame, name: str, limit: int = 1_000_000) -> float | None:
     """Exact median of a numeric target, without bringing its values into one task.
 
-    A quantile sketch, whose rank error is at most ``1/accuracy``, brackets the median; only the
-    values inside the bracket (about ``2 * margin`` of the rows) are counted and ranked, and the
-    rows below it are just counted.
+    While the values that may hold the median are more than ``limit`` distinct ones, a quantile
+    sketch (rank error at most 1/accuracy) narrows their range by some thousand times per pass;
+    the rows left of the range are just counted. What is left is counted by value and ranked.
     """
     values = df.select(column(name).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    ends = values.agg(F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("b"))
-    low = ends.select(F.col("b")[0].alias("low")).scalar()
-    high = ends.select(F.col("b")[1].alias("high")).scalar()
-    n_rows = values.agg(F.count("*")).scalar()
-    n_below = values.filter(F.col("v") < low).agg(F.count("*")).scalar()
-    inside = values.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n"))
-    # only the bracket's distinct values are ranked here
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + n_below
-    ranked = inside.select("v", "n", upto.alias("upto"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
-
-    lower = F.floor((n_rows - 1) / 2).cast("bigint")
-    upper = F.floor(n_rows / 2).cast("bigint")
-    return ranked.agg(at(lower).alias("lo"), at(upper).alias("hi")).select(
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5).alias("threshold")
-    )
+    total = values.count()
+    if total == 0:
+        return None
+    ranks = ((total - 1) // 2, total // 2)
+    inside, below, n_inside = values, 0, total
+    margin, accuracy = 1e-4, 100_000
+    while True:
+        counted = inside.groupBy("v").agg(F.count("*").alias("n"))
+        if counted.limit(limit + 1).count() <= limit:
+            break
+        shares = [
+            min(max((ranks[0] - below) / n_inside - margin, 0.0), 1.0),
+            min(max((ranks[1] + 1 - below) / n_inside + margin, 0.0), 1.0),
+        ]
+        low, high = inside.agg(F.percentile_approx("v", shares, accuracy)).first()[0]
+        at_left = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high)))
+        n_left, n_next = at_left.first()
+        inside, below, n_inside = inside.filter(F.col("v").between(low, high)), below + n_left, n_next
+    # at most ``limit`` rows are ranked here
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+    ranked = counted.select("v", "n", upto.alias("upto"))
+
+    def at(rank: int) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    lower, upper = ranked.agg(at(ranks[0]), at(ranks[1])).first()
+    return lower + (upper - lower) * 0.5

@@ -1,30 +1,41 @@
-"""Cutting lineage through reliable storage."""
+"""Cutting lineage through the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a session without one (a local test run)
-    gets a folder of its own."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; only a local session without one (a test run) gets a
+    folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
+    folder = (
+        spark.conf.get(CHECKPOINT_SETTING, None)
+        or context.getConf().get(CHECKPOINT_SETTING)
+        or context.getCheckpointDir()
+    )
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="rowecho-checkpoint-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rowecho-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame once and go on from the written copy, so later rounds neither recompute
-    it nor lose it with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once and go on from the written table.
+
+    Later rounds neither recompute it nor lose it with an executor, and unlike a checkpointed
+    RDD the table has a known size and columns that can be pruned. Columns are written under
+    plain names, since dataset columns may hold any character.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    names = df.columns
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    return written.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
