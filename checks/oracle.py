@@ -134,36 +134,32 @@ def values(t: str, cols=None) -> str:
 
 # ---------------------------------------------------------------- altered rows
 
-def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str, rounds: int) -> str:
-    """CTEs ending in {p}_done(_pos, f, v): altered cells in long form after some rounds."""
+def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str, tries: int) -> str:
+    """CTEs ending in {p}_done(_pos, f, v): altered cells in long form, the first try whose row
+    is not in the table."""
     n = f"(select count(*) from {t})"
     cells = union(f"select {key(t)} as _pos, '{c}' as f, {txt(c)} as v from {t}" for c in cols)
     ends = union(
         f"select '{c}' as f, cast(min({c}) as varchar) as lo, cast(max({c}) as varchar) as hi from {t}" for c in cols)
     order = "case f " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(cols)) + " end"
-    out = [f"{p}_cells as materialized ({cells})", f"{p}_ends as ({ends})",
-           f"{p}_rows as materialized (select string_agg(f || '=' || v, chr(31) order by {order}) as r from {p}_cells group by _pos)",
-           f"{p}_0 as materialized (select _pos, f, v from {p}_cells where _pos in ({rows}))"]
-    for r in range(rounds):
-        out.append(f"""{p}_c{r} as materialized (
-          select _pos, f, v, row_number() over (partition by _pos order by {draw_key(seed, '_pos', 'f')}) <= {k} as chosen
-          from {p}_{r})""")
-        out.append(f"""{p}_d{r} as materialized (
-          select c._pos, c.f, arg_min(d.v, a.a) as v
-          from {p}_c{r} c cross join (values (0), (1), (2), (3)) a(a)
-          join {p}_cells d on d.f = c.f and d._pos = {draw_int(seed, 'c._pos', 'c.f', str(r), 'a.a')} % {n}
-          where c.chosen and d.v <> c.v group by c._pos, c.f)""")
-        out.append(f"""{p}_n{r} as materialized (
-          select c._pos, c.f, case when not c.chosen then c.v when d.v is not null then d.v
-            when c.v <> e.lo then e.lo else e.hi end as v
-          from {p}_c{r} c left join {p}_d{r} d on c._pos = d._pos and c.f = d.f join {p}_ends e on e.f = c.f)""")
-        out.append(f"""{p}_m{r} as materialized (
-          select _pos from {p}_n{r} group by _pos
-          having string_agg(f || '=' || v, chr(31) order by {order}) in (select r from {p}_rows))""")
-        out.append(f"{p}_{r + 1} as materialized (select * from {p}_n{r} where _pos in (select _pos from {p}_m{r}))")
-    done = union(f"select * from {p}_n{r} where _pos not in (select _pos from {p}_m{r})" for r in range(rounds))
-    out.append(f"{p}_done as materialized ({done})")
-    return ",\n".join(out)
+    as_row = f"string_agg(f || '=' || v, chr(31) order by {order})"
+    return f"""{p}_cells as materialized ({cells}), {p}_ends as ({ends}),
+    {p}_rows as materialized (select {as_row} as r from {p}_cells group by _pos),
+    {p}_asked as materialized (
+      select c.*, t.t, row_number() over (partition by _pos, t.t order by {draw_key(seed, '_pos', 'f')}) <= {k} as chosen
+      from {p}_cells c cross join (select unnest(range({tries})) as t) t where _pos in ({rows})),
+    {p}_drawn as materialized (
+      select c._pos, c.t, c.f, arg_min(d.v, a.a) as v
+      from {p}_asked c cross join (values (0), (1), (2), (3)) a(a)
+      join {p}_cells d on d.f = c.f and d._pos = {draw_int(seed, 'c._pos', 'c.f', 'c.t', 'a.a')} % {n}
+      where c.chosen and d.v <> c.v group by c._pos, c.t, c.f),
+    {p}_new as materialized (
+      select c._pos, c.t, c.f, case when not c.chosen then c.v when d.v is not null then d.v
+        when c.v <> e.lo then e.lo else e.hi end as v
+      from {p}_asked c left join {p}_drawn d on c._pos = d._pos and c.t = d.t and c.f = d.f join {p}_ends e on e.f = c.f),
+    {p}_first as materialized (select _pos, min(t) as t from (
+      select _pos, t from {p}_new group by _pos, t having {as_row} not in (select r from {p}_rows)) group by _pos),
+    {p}_done as materialized (select _pos, f, v from {p}_new join {p}_first using (_pos, t))"""
 
 
 def long_row(p: str, t: str, alias: str) -> str:

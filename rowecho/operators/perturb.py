@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowecho.functions.draws import draw_int, draw_key, draw_position
-from rowecho.functions.text import value_text
+from rowecho.functions.text import MISSING, value_text
 from rowecho.operators.members import tag_members
 from rowecho.operators.profile import varying_columns
 from rowecho.operators.rows import column
@@ -17,6 +17,8 @@ from rowecho.sources.catalog import Dataset
 from rowecho.sources.lineage import cut_lineage
 from rowecho.sources.positions import POS
 
+TRIES_PER_PASS = 16
+
 
 def swap_values(values: Column, n_columns: int, n_swaps: int, seed: int | str, key: Column) -> Column:
     """Swap two entries of an ``array<string>`` row, ``n_swaps`` times, no pair twice."""
@@ -62,48 +64,46 @@ def _other_end(name: str, low, high, dtype: T.DataType) -> Column:
 
 
 def _redraw(rows: DataFrame, ds: Dataset, usable: Sequence[str], n_rows: int, ends: dict,
-            k: int, seed: int | str, attempts: int, round_no: int) -> DataFrame:
-    """One round: replace k random usable columns of each row by values other rows have there.
+            k: int, seed: int | str, attempts: int, tries: range) -> DataFrame:
+    """Altered copies of each row, one per try: k random usable columns take values other rows
+    have there.
 
     A draw is the position of a donor row, so a value comes up as often as the column holds it.
-    All draws go through one equality join on the position; per row the first donor whose value
-    differs wins, in one aggregate. ``rows`` is (_pos, the current columns).
+    All draws go through one equality join on the position; per row and try the first donor
+    whose value differs wins, in one aggregate. ``rows`` is (_pos, the columns).
     """
     choices = F.array_sort(F.array(*[
         F.struct(draw_key(seed, F.col(POS), c).alias("k"), F.lit(c).alias("f")) for c in usable
     ]))
     chosen = F.transform(F.slice(choices, 1, k), lambda x: x["f"])
-    texts = {c: value_text(column(c), ds.dtype(c)) for c in usable}
 
-    def text_of(feature: Column, prefix: str = "") -> Column:
+    def text_of(feature: Column) -> Column:
         out = F.lit(None).cast("string")
         for c in usable:
-            out = F.when(feature == c, value_text(F.col(f"{prefix}`{c}`"), ds.dtype(c))).otherwise(out)
+            out = F.when(feature == c, value_text(column(c), ds.dtype(c))).otherwise(out)
         return out
 
-    asked = rows.select(
-        POS,
-        F.explode(chosen).alias("_feature"),
-        *[texts[c].alias(f"_t{i}") for i, c in enumerate(usable)],
+    each = rows.withColumn("_try", F.explode(F.sequence(F.lit(tries.start), F.lit(tries.stop - 1))))
+    asked = each.select(
+        POS, "_try", F.explode(chosen).alias("_feature"),
+        *[value_text(column(c), ds.dtype(c)).alias(f"_t{i}") for i, c in enumerate(usable)],
     )
     current = F.coalesce(*[
         F.when(F.col("_feature") == c, F.col(f"_t{i}")) for i, c in enumerate(usable)
     ])
     asked = asked.select(
-        POS, "_feature", current.alias("_current"),
+        POS, "_try", "_feature", current.alias("_current"),
         F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("_attempt"),
-    ).withColumn(
-        "_donor",
-        draw_position(F.lit(n_rows), seed, F.col(POS), F.col("_feature"), round_no, F.col("_attempt")),
-    )
+    ).withColumn("_donor", draw_position(
+        F.lit(n_rows), seed, F.col(POS), F.col("_feature"), F.col("_try"), F.col("_attempt")))
     donors = ds.df.select(F.col(POS).alias("_donor"), *[column(c) for c in usable])
     met = asked.join(donors, "_donor").filter(text_of(F.col("_feature")) != F.col("_current"))
-    found = met.groupBy(POS).agg(*[
+    found = met.groupBy(POS, "_try").agg(*[
         F.min(F.when(F.col("_feature") == c, F.struct("_attempt", column(c).alias("v")))).alias(f"_n{i}")
         for i, c in enumerate(usable)
     ])
     index = {c: i for i, c in enumerate(usable)}
-    marked = rows.withColumn("_chosen", chosen).join(found, POS, "left")
+    marked = each.withColumn("_chosen", chosen).join(found, [POS, "_try"], "left")
     out = []
     for c in ds.columns:
         if c not in index:
@@ -112,7 +112,13 @@ def _redraw(rows: DataFrame, ds: Dataset, usable: Sequence[str], n_rows: int, en
         drawn = F.col(f"_n{index[c]}")
         new = F.when(drawn.isNotNull(), drawn["v"]).otherwise(_other_end(c, *ends[c], ds.dtype(c)))
         out.append(F.when(F.array_contains("_chosen", c), new).otherwise(column(c)).alias(c))
-    return marked.select(POS, *out)
+    return marked.select(POS, "_try", *out)
+
+
+def _passes(max_tries: int) -> list[range]:
+    """One try for every row, then several at a time for the few rows that need more."""
+    bounds = [0, 1, *range(1 + TRIES_PER_PASS, max_tries, TRIES_PER_PASS), max_tries]
+    return [range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
 
 
 def replace_values(
@@ -121,15 +127,16 @@ def replace_values(
     seed: int | str,
     rows: DataFrame | None = None,
     attempts: int = 4,
-    max_rounds: int = 16,
+    max_tries: int = 65,
     parity: bool = False,
 ) -> DataFrame:
     """Altered copies of ``rows`` (default: the whole dataset) that are not rows of the dataset.
 
-    A round redraws the rows that are still in the dataset, which get fewer fast; its result is
-    written once, so a round reads the copy and not the whole history. ``altered`` is false for
-    a row whose columns allow no new combination within ``max_rounds``. ``parity=True`` gives
-    rows with a missing value back unchanged.
+    Nearly all rows are done after one try; a row whose altered copy is in the dataset gets the
+    first of further tries that is not. Each pass is written once, so the next one reads the
+    copy and not the whole history. ``altered`` is false for a row whose columns gave no new
+    combination within ``max_tries``: it comes back as it is. ``parity=True`` gives rows with a
+    missing value back unchanged.
     """
     usable, n_rows, ends = varying_columns(ds)
     if not usable:
@@ -140,21 +147,26 @@ def replace_values(
     done = []
     if parity:
         missing = reduce(lambda a, b: a | b, [
-            (value_text(column(c), ds.dtype(c)) == "nan") for c in ds.columns
+            (value_text(column(c), ds.dtype(c)) == MISSING) for c in ds.columns
         ])
         done.append(pending.filter(missing).withColumn("altered", F.lit(False)))
         pending = pending.filter(~missing)
-    for round_no in range(max_rounds):
-        drawn = _redraw(pending, ds, usable, n_rows, ends, k, seed, attempts, round_no)
-        if round_no:
+    for i, tries in enumerate(_passes(max_tries)):
+        drawn = _redraw(pending, ds, usable, n_rows, ends, k, seed, attempts, tries)
+        if i:
             drawn = cut_lineage(drawn)  # few rows: they are sent to the dataset, not the reverse
-        tagged = cut_lineage(tag_members(drawn, ds.df, ds.columns, few=round_no > 0))
-        done.append(
-            tagged.filter(~F.col("is_member")).drop("is_member").withColumn("altered", F.lit(True))
-        )
-        pending = tagged.filter("is_member").drop("is_member")
-        if pending.isEmpty():
+        tagged = cut_lineage(tag_members(drawn, ds.df, ds.columns, few=i > 0))
+        new = tagged.filter(~F.col("is_member"))
+        if i:
+            first = Window.partitionBy(POS).orderBy("_try")
+            new = new.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+        done.append(new.select(POS, *cells, F.lit(True).alias("altered")))
+        left = tagged.filter("is_member")
+        if i:
+            left = tagged.groupBy(POS).agg(F.bool_and("is_member").alias("_left")).filter("_left")
+        if left.isEmpty():
             break
+        pending = cut_lineage(pending.join(left.select(POS), POS, "left_semi"))
     else:
         done.append(pending.withColumn("altered", F.lit(False)))
     return reduce(DataFrame.unionByName, done)
