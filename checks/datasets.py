@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowecho.sources.catalog import Dataset, DatasetSpec, Task, load_dataset
+from rowecho.sources.catalog import Dataset, DatasetSpec, Task, load_dataset, spread
 from rowecho.sources.lexicon import lexicon_from_text
 
 MEDIAN_BALANCE = 4500.0
@@ -39,12 +39,17 @@ REGISTRY = (
 )
 
 
+def cores(spark: SparkSession) -> int:
+    """The given tables are single files of one or two row groups, which is one or two tasks."""
+    return min(spark.sparkContext.defaultParallelism, 64)
+
+
 def dataset(spark: SparkSession, sf_dir: str, alias: str) -> Dataset:
-    return load_dataset(spark, alias, sf_dir, REGISTRY)
+    return load_dataset(spark, alias, sf_dir, REGISTRY, min_partitions=cores(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), cores(spark))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

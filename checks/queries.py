@@ -254,7 +254,7 @@ def row_text_options(spark, d):
 @query
 def row_text_variants(spark, d):
     ds = dataset(spark, d, "part")
-    return P._with_texts(ds, VARIANTS, F.col(POS)).select(
+    return P.variant_texts(ds, VARIANTS, F.col(POS)).select(
         POS, F.col("serialization").cast("bigint").alias("serialization"), "text")
 
 

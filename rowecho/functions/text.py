@@ -48,42 +48,29 @@ def normalise_missing(col: Column) -> Column:
     return F.when(~col.isin(*MISSING_TOKENS), col)
 
 
-def _shortest_digits(col: Column) -> Column:
+def _scientific(col: Column) -> Column:
     """Scientific text with the fewest digits that read back as the same double."""
-    text = col.cast("string")
-    out = text
-    for precision in (15, 14):
-        rounded = F.upper(F.format_string(f"%.{precision}e", col))
-        out = F.when(
-            (F.length(text) > precision + 2) & (rounded.cast("double") == col), rounded
-        ).otherwise(out)
-    return out
+    formats = F.array(*[F.lit(f"%.{digits}e") for digits in (14, 15, 16)])
+    rounded = F.transform(formats, lambda f: F.call_function("format_string", f, col))
+    exact = F.get(F.filter(rounded, lambda t: t.cast("double") == col), F.lit(0))
+    return F.regexp_replace(F.coalesce(exact, col.cast("string")), r"\.?0*[eE]", "e")
 
 
 def double_text(col: Column) -> Column:
     """A double the way Python prints it.
 
-    Inside [1e-3, 1e7) the cast already gives that text; only the tails pay for more.
+    Inside [1e-3, 1e7) the cast already gives that text; only the tails pay for more. Their code
+    is kept short, because it is part of every projection that prints a double.
     """
     size = F.abs(col)
-    digits = _shortest_digits(col)
-    plain = F.regexp_replace(
-        F.regexp_replace(digits.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    mantissa = F.regexp_replace(F.regexp_extract(digits, r"^(-?[0-9.]+)E", 1), r"\.?0+$", "")
-    exponent = F.regexp_extract(digits, r"E([+-]?\d+)$", 1).cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
+    text = col.cast("string")
+    plain = F.regexp_replace(col.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     return (
-        F.when(F.isnan(col), F.lit(MISSING))
-        .when((size >= 1e-3) & (size < 1e7), col.cast("string"))
-        .when(size == 0, col.cast("string"))
-        .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), text)
+        .when(F.isnan(col), F.lit(MISSING))
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
+        .when(size == float("inf"), F.replace(F.lower(text), F.lit("infinity"), F.lit("inf")))
+        .otherwise(_scientific(col))
     )
 
 

@@ -88,19 +88,32 @@ def _candidates(texts: DataFrame, passages: DataFrame, key: str, text: str, n: i
     return grams.join(anchors, "gram").select(key, "passage_id").distinct()
 
 
+def _verified(texts: DataFrame, met: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
+    """The pairs of ``met`` (key, passage_id, passage) whose text does contain the passage.
+
+    The pairs are written first. Their size is then known, so Spark broadcasts them when they are
+    small; when they are not, only texts that have a pair are shuffled.
+    """
+    met = cut_lineage(met)
+    searched = texts.select(key, text)
+    keys = met.select(key).distinct()
+    if _small(keys, broadcast_rows):
+        searched = searched.join(F.broadcast(keys), key, "left_semi")
+    return searched.join(met, key).filter(F.contains(F.col(text), F.col("passage"))).select(key, "passage_id")
+
+
 def _spans(text: Column) -> Column:
     """The text cut into runs of characters and runs of white space."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), F.lit(1)))
 
 
-def _letter_grams(df: DataFrame, key: str, word: str, n: Column) -> DataFrame:
-    """(key, n, gram): every run of n characters of a word."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
-    out = df.withColumn("n", n).filter(F.length(word) >= F.col("n")).withColumn("at", F.explode(starts))
-    return out.select(key, "n", F.substr(F.col(word), F.col("at"), F.col("n")).alias("gram")).distinct()
+def _letter_grams(df: DataFrame, word: str, n: int) -> DataFrame:
+    """Every run of n characters of a word, as ``gram`` beside the frame's columns."""
+    runs = F.regexp_extract_all(F.col(word), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return df.withColumn("gram", F.explode(F.array_distinct(runs)))
 
 
-def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str) -> DataFrame:
+def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
     """(key, passage_id) for passages of one or two words, which may begin and end inside a word.
 
     Their longest word is looked for in the vocabulary, the distinct words of all texts, which
@@ -110,28 +123,25 @@ def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str) -> D
     words = _tokens(F.col("passage"))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     short = passages.withColumn("piece", F.when(longest != "", longest).otherwise(F.col("passage")))
+    short = short.withColumn("n", F.least(F.length("piece"), F.lit(LETTERS)))
     spans = texts.select(key, F.explode(_spans(F.col(text))).alias("span"))
     vocabulary = spans.select("span").distinct()
-    size = F.least(F.length("piece"), F.lit(LETTERS))
-    grams = _letter_grams(short, "passage_id", "piece", size)
-    shared = grams.groupBy("n", "gram").agg(F.count("*").alias("shared"))
-    anchors = grams.join(shared, ["n", "gram"]).groupBy("passage_id").agg(
-        F.min_by(F.struct("n", "gram"), F.struct("shared", "gram")).alias("a")
-    ).select("passage_id", "a.n", "a.gram")
-    lengths = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most LETTERS numbers
-    met = reduce(DataFrame.unionByName, [
-        _letter_grams(vocabulary, "span", "span", F.lit(n)) for n in sorted(lengths)
-    ]).join(anchors, ["n", "gram"]).select("span", "passage_id")
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most LETTERS numbers
+    grams = reduce(DataFrame.unionByName, [_letter_grams(short.filter(F.col("n") == n), "piece", n) for n in lengths])
+    shared = grams.groupBy("gram").agg(F.count("*").alias("shared"))
+    anchors = grams.join(shared, "gram").groupBy("passage_id", "passage", "piece").agg(
+        F.min_by("gram", F.struct("shared", "gram")).alias("gram"))
+    vocabulary_grams = reduce(DataFrame.unionByName, [_letter_grams(vocabulary, "span", n) for n in lengths])
     found = cut_lineage(
-        met.join(short.select("passage_id", "passage", "piece"), "passage_id")
-        .filter(F.contains("span", "piece")).select("span", "passage_id", "passage", "piece")
+        vocabulary_grams.join(anchors, "gram").filter(F.contains("span", "piece"))
+        .select("span", "passage_id", "passage", (F.col("piece") == F.col("passage")).alias("whole"))
     )
-    hits = spans.join(found, "span").select(key, "passage_id", "passage", "piece").distinct()
-    whole = hits.filter(F.col("piece") == F.col("passage"))
-    checked = texts.select(key, text).join(
-        hits.filter(F.col("piece") != F.col("passage")), key
-    ).filter(F.contains(F.col(text), F.col("passage")))
-    return whole.select(key, "passage_id").unionByName(checked.select(key, "passage_id"))
+    hits = spans.join(found.filter("whole"), "span").select(key, "passage_id").distinct()
+    two_words = found.filter("NOT whole")
+    if not two_words.isEmpty():
+        met = spans.join(two_words, "span").select(key, "passage_id", "passage").distinct()
+        hits = hits.unionByName(_verified(texts, met, key, text, broadcast_rows))
+    return hits
 
 
 def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "text",
@@ -145,7 +155,8 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
 
     While the passages pass the size check their anchors are broadcast and texts are not
     shuffled for the meeting; beyond it the join is a shuffle join whose hot keys are split at
-    run time. ``passages`` is (passage_id, passage), passages distinct.
+    run time. ``passages`` is (passage_id, passage), passages distinct; it is read several times,
+    so it should be a table or a cheap projection of one.
     """
     sized = passages.filter("passage <> ''").withColumn(
         "_n", F.least(F.size(_inner_tokens(F.col("passage"))), F.lit(gram)))
@@ -157,14 +168,12 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
     ]
     if pairs:
         met = reduce(DataFrame.unionByName, pairs).join(passages, "passage_id")
-        found.append(
-            texts.select(key, text).join(met, key)
-            .filter(F.contains(F.col(text), F.col("passage"))).select(key, "passage_id")
-        )
+        found.append(_verified(texts, met, key, text, broadcast_rows))
     if 0 in lengths:
-        found.append(_short_hits(texts, sized.filter("_n = 0").drop("_n"), key, text))
+        found.append(_short_hits(texts, sized.filter("_n = 0").drop("_n"), key, text, broadcast_rows))
     if not found:
-        return texts.filter(F.lit(False)).select(key, F.lit(None).cast(passages.schema["passage_id"].dataType).alias("passage_id"))
+        none = F.lit(None).cast(passages.schema["passage_id"].dataType).alias("passage_id")
+        return texts.filter(F.lit(False)).select(key, none)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -176,6 +185,7 @@ def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "t
     """
     word = F.lower(answers.needle(F.col("value")))
     stack = F.when(F.contains(word, F.lit(".")), 1).when(F.contains(word, F.lit(" ")), 2).otherwise(0)
+    words = cut_lineage(words)  # read several times below
     asked = words.filter("kind <> 'other'").withColumn("_w", word).withColumn("_stack", stack)
     forms = F.when(
         F.contains("_w", F.lit("_")), F.array("_w", F.replace("_w", F.lit("_"), F.lit(" ")))
@@ -185,12 +195,17 @@ def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "t
     for i in range(3):
         mine = asked.filter(F.col("_stack") == i)
         searched = texts.select(key, F.get(answers.haystacks(F.col(text)), F.lit(i)).alias("_text"))
+        if mine.isEmpty():
+            continue
         passages = mine.select(F.md5("passage").alias("passage_id"), "passage").distinct()
         met = scan_passages(searched, passages, key, "_text")
         hits.append(met.join(
             mine.withColumn("passage_id", F.md5("passage")).drop("passage"), "passage_id"
         ).select(key, "list_name", "value", "kind", "in_lexicon"))
     outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
+    if not hits:
+        hits.append(texts.filter(F.lit(False)).select(key, *[F.lit("").alias(c) for c in (
+            "list_name", "value", "kind")], F.lit(True).alias("in_lexicon")))
     found = reduce(DataFrame.unionByName, hits).distinct().groupBy(key, "list_name").agg(
         F.count("*").alias("n_hit"), F.count_if(outside).alias("n_outside_hit"))
     sizes = words.groupBy("list_name").agg(
@@ -214,7 +229,7 @@ def scan_row_texts(texts: DataFrame, rows: DataFrame, key: str, text: str = "tex
     ``rows`` is (row_text). Equal rows are one passage, counted, so copies never multiply pairs.
     """
     distinct = rows.groupBy(F.col("row_text").alias("passage")).agg(F.count("*").alias("n_rows"))
-    passages = distinct.withColumn("passage_id", F.md5("passage"))
+    passages = cut_lineage(distinct.withColumn("passage_id", F.md5("passage")))
     hits = scan_passages(texts, passages.select("passage_id", "passage"), key, text, gram, broadcast_rows)
     return hits.join(passages, "passage_id").select(key, F.col("passage").alias("row_text"), "n_rows")
 

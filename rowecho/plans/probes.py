@@ -86,22 +86,27 @@ def _cell(ds: Dataset, name: str) -> Column:
     )
 
 
-def _texts(ds: Dataset, variants: Variants, ignored: Sequence[str] = ()) -> Column:
-    """A row's text in every variant: one projection, one scan, whatever their number."""
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("serialization"), F.lit(s.features_sep).alias("features_sep"),
-            row_text(ds.df, ds.columns, s, ignored, widened=ds.widened).alias("text"),
-        )
-        for i, s in variants
-    ])
-
-
-def _with_texts(ds: Dataset, variants: Variants, *keep: Column, ignored: Sequence[str] = (),
+def variant_texts(ds: Dataset, variants: Variants, *keep: Column, ignored: Sequence[str] = (),
                 df: DataFrame | None = None) -> DataFrame:
+    """The kept columns with a row's text in every variant.
+
+    All variants come from one scan: rows are repeated per variant and each copy prints its own
+    text, so a text is built exactly once.
+    """
     source = ds.df if df is None else df
-    kept = source.select(*keep, _texts(ds, variants, ignored).alias("_texts"))
-    return kept.select(*[c for c in kept.columns if c != "_texts"], F.inline("_texts"))
+    texts = [row_text(ds.df, ds.columns, s, ignored, widened=ds.widened) for _, s in variants]
+    if len(variants) == 1:
+        number, separators = variants[0]
+        return source.select(
+            *keep, F.lit(number).alias("serialization"),
+            F.lit(separators.features_sep).alias("features_sep"), texts[0].alias("text"))
+    copies = source.withColumn("serialization", F.explode(F.array(*[F.lit(i) for i, _ in variants])))
+    text = F.lit(None).cast("string")
+    sep = F.lit(None).cast("string")
+    for (i, s), t in zip(variants, texts):
+        text = F.when(F.col("serialization") == i, t).otherwise(text)
+        sep = F.when(F.col("serialization") == i, F.lit(s.features_sep)).otherwise(sep)
+    return copies.select(*keep, "serialization", sep.alias("features_sep"), text.alias("text"))
 
 
 def _shown(ds: Dataset, n: int, random_examples: bool, seed: int | str, variants: Variants) -> DataFrame:
@@ -110,7 +115,7 @@ def _shown(ds: Dataset, n: int, random_examples: bool, seed: int | str, variants
         rows = seeded_sample(ds.df, n, seed).withColumn("_o", draw_key(seed, F.col(POS)))
     else:
         rows = ds.df.filter(F.col(POS) < n).withColumn("_o", F.col(POS))
-    return _with_texts(ds, variants, F.col("_o"), df=rows).groupBy("serialization").agg(
+    return variant_texts(ds, variants, F.col("_o"), df=rows).groupBy("serialization").agg(
         text_block(F.col("_o"), F.col("text")).alias("shown")
     )
 
@@ -232,7 +237,7 @@ def values_from_examples(
         else:
             source = source.withColumn("_o", F.col(POS)).withColumn(
                 "_block", F.when(n > 0, F.floor(F.col(POS) / F.greatest(n, F.lit(1)))).otherwise(F.lit(0)))
-        shown = _with_texts(
+        shown = variant_texts(
             ds, variants, F.col("_block"), F.col("_o"), F.when(n > 0, value).alias("_v"),
             (n > 0).alias("_any"), df=source,
         ).groupBy("_block", "serialization", "features_sep").agg(
@@ -269,7 +274,7 @@ def recognition(ds: Dataset, n_given: int = 5, mode: str = "head", seed: int | s
             "_block", F.floor(F.col(POS) / n_given))
         if mode == "head":
             source = source.filter(F.col(POS) < n_given)
-    shown = _with_texts(ds, variants, F.col("_block"), F.col("_o"), df=source).groupBy(
+    shown = variant_texts(ds, variants, F.col("_block"), F.col("_o"), df=source).groupBy(
         "_block", "serialization", "features_sep"
     ).agg(text_block(F.col("_o"), F.col("text")).alias("shown"))
     prompt = fill_template(templates.RECOGNITION, serialization=F.col("shown"))
@@ -336,7 +341,7 @@ def completion_incomplete(
     else:
         rows = ds.df.filter(F.col(POS) == n_given).withColumn("trial", F.lit(0))
     expected = F.array(*[_cell(ds, c) for c in removed])
-    texts = _with_texts(ds, variants, F.col("trial"), expected.alias("cells"), ignored=removed, df=rows)
+    texts = variant_texts(ds, variants, F.col("trial"), expected.alias("cells"), ignored=removed, df=rows)
     # one row per serialization variant
     shown = F.broadcast(_shown(ds, n_given, random_examples, seed, variants))
     prompt = fill_template(
@@ -362,7 +367,7 @@ def completion_full(ds: Dataset, n_given: int = 4, mode: str = "head", seed: int
         size = n_given + 1
         source = ds.df if mode == "all" else ds.df.filter(F.col(POS) < size)
         is_next = F.col(POS) % size == n_given
-        rows = _with_texts(
+        rows = variant_texts(
             ds, variants, F.floor(F.col(POS) / size).alias("_block"), F.col(POS).alias("_o"),
             is_next.alias("_next"), F.when(is_next, cells).alias("cells"), df=source,
         ).groupBy("_block", "serialization", "features_sep").agg(
@@ -386,7 +391,7 @@ def completion_feature(ds: Dataset, feature: str, n_tests: int | None = 5,
         rows = ds.df.withColumn("trial", F.col(POS))
         if n_tests is not None:
             rows = rows.filter(F.col(POS) < n_tests)
-    texts = _with_texts(ds, variants, F.col("trial"), F.array(_cell(ds, feature)).alias("cells"),
+    texts = variant_texts(ds, variants, F.col("trial"), F.array(_cell(ds, feature)).alias("cells"),
                         ignored=[feature], df=rows)
     prompt = fill_template(templates.COMPLETION_FEATURE, dname=ds.name, fname=feature,
                            serialization=F.col("text"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -233,17 +233,24 @@ def prepare(df: DataFrame, spec: DatasetSpec, widened: tuple[str, ...] = ()) ->
     return Dataset(spec, df, columns, widened)
 
 
+def spread(df: DataFrame, min_partitions: int) -> DataFrame:
+    """Repartition a scan that has fewer partitions than that: a few files without splits would
+    keep the other cores idle while rows become text. A scan with enough splits stays as it is."""
+    return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
+
+
 def load_dataset(
     spark: SparkSession,
     name: str,
     root: str,
     registry: Iterable[DatasetSpec] = PUBLIC_DATASETS,
     widen_integers: bool = False,
+    min_partitions: int | None = None,
 ) -> Dataset:
     """Load a dataset by its long or short name.
 
     With ``widen_integers`` one aggregate finds the integer columns that hold missing values;
-    their text form is that of doubles.
+    their text form is that of doubles. ``min_partitions`` spreads a scan of few splits.
     """
     spec = find_spec(name, registry)
     df = read_table(spark, spec, root)
@@ -253,4 +260,5 @@ def load_dataset(
         if integers:
             flags = df.agg(*[F.bool_or(F.col(f"`{c}`").isNull()).alias(c) for c in integers])
             widened = tuple(c for c, has_null in flags.first().asDict().items() if has_null)
-    return prepare(df, spec, widened)
+    ds = prepare(df, spec, widened)
+    return ds if min_partitions is None else replace(ds, df=spread(ds.df, min_partitions))
