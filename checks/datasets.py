@@ -45,7 +45,9 @@ def cores(spark: SparkSession) -> int:
 
 
 def dataset(spark: SparkSession, sf_dir: str, alias: str) -> Dataset:
-    return load_dataset(spark, alias, sf_dir, REGISTRY, min_partitions=cores(spark))
+    """``lineitem`` has no key that could serve as position and its queries need none."""
+    return load_dataset(spark, alias, sf_dir, REGISTRY, min_partitions=cores(spark),
+                        positions=alias != "lineitem")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,6 +19,7 @@ from rowecho.operators import corpus, decide, members, perturb, profile, reshape
 from rowecho.plans import probes as P, reports, runs, templates
 from rowecho.sources.catalog import Dataset, decode_by_table, decode_index
 from rowecho.sources.lexicon import tag_lexicon
+from rowecho.sources.lineage import cut_lineage
 from rowecho.sources.positions import POS, seeded_shuffle, with_positions
 from rowecho.sources.results import accuracy_cell
 
@@ -50,7 +51,7 @@ def value_words(spark, d, alias) -> DataFrame:
 
 
 def lists_of(spark, d, alias) -> DataFrame:
-    return profile.value_lists(value_words(spark, d, alias), 1000)
+    return cut_lineage(profile.value_lists(value_words(spark, d, alias), 1000))
 
 
 def expected_text() -> Column:
@@ -372,14 +373,14 @@ def _features(spark, d, alias):
 
 @query
 def probe_features_uninformed(spark, d):
-    lex = lexicon(spark, d)
+    lex = cut_lineage(lexicon(spark, d))
     return show_probes(union(
         P.features_uninformed(*_features(spark, d, a), lex) for a in DATASETS))
 
 
 @query
 def probe_features_informed(spark, d):
-    lex = lexicon(spark, d)
+    lex = cut_lineage(lexicon(spark, d))
     return show_probes(union(
         P.features_informed(*_features(spark, d, a), lex, 3, 3) for a in DATASETS))
 
@@ -481,7 +482,7 @@ def probe_serialization_variants(spark, d):
 def probe_full_run(spark, d):
     """All probes of the standard run for three datasets."""
     datasets = [dataset(spark, d, a) for a in DATASETS]
-    return show_probes(runs.all_probes(datasets, lexicon(spark, d)))
+    return show_probes(runs.all_probes(datasets, cut_lineage(lexicon(spark, d))))
 
 
 @query

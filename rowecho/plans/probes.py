@@ -109,15 +109,16 @@ def variant_texts(ds: Dataset, variants: Variants, *keep: Column, ignored: Seque
     return copies.select(*keep, "serialization", sep.alias("features_sep"), text.alias("text"))
 
 
-def _shown(ds: Dataset, n: int, random_examples: bool, seed: int | str, variants: Variants) -> DataFrame:
-    """(serialization, shown): the example block, one row per variant."""
+def _shown(ds: Dataset, n: int, random_examples: bool, seed: int | str, variants: Variants) -> Column:
+    """The example block of each variant, as one scalar map."""
     if random_examples:
         rows = seeded_sample(ds.df, n, seed).withColumn("_o", draw_key(seed, F.col(POS)))
     else:
         rows = ds.df.filter(F.col(POS) < n).withColumn("_o", F.col(POS))
-    return variant_texts(ds, variants, F.col("_o"), df=rows).groupBy("serialization").agg(
+    blocks = variant_texts(ds, variants, F.col("_o"), df=rows).groupBy("serialization").agg(
         text_block(F.col("_o"), F.col("text")).alias("shown")
     )
+    return blocks.agg(F.map_from_entries(F.collect_list(F.struct("serialization", "shown")))).scalar()
 
 
 # ---------------------------------------------------------------- knowledge of the schema
@@ -213,7 +214,8 @@ def values_from_examples(
 
     At most (distinct values - 1) rows are shown. The expected list is what the shown rows do
     not give away; with ``parity`` the number of rows carries over to later features and the
-    known values are those of the head even where random rows are shown.
+    known values are those of the head even where random rows are shown. ``lists`` is read for
+    every feature, so it should be a written table.
     """
     mine = lists.filter(F.col("dataset") == ds.name)
     parts, carried = [], F.lit(n_given)
@@ -247,9 +249,7 @@ def values_from_examples(
         if parity and mode == "random":
             head = ds.df.filter(F.col(POS) < n).agg(F.collect_set(value)).scalar()
             shown = shown.withColumn("known", head)
-        asked = shown.withColumn("feature", F.lit(f)).join(
-            mine.select("feature", "words"), "feature"
-        )
+        asked = shown.withColumn("words", mine.filter(F.col("feature") == f).select("words").scalar())
         expected = F.filter(_list_words(), lambda w: ~F.array_contains("known", w["value"]))
         prompt = fill_template(templates.VALUES_FROM_EXAMPLES, dname=ds.name, fname=F.lit(f),
                                serialization=F.col("shown"))
@@ -342,13 +342,12 @@ def completion_incomplete(
         rows = ds.df.filter(F.col(POS) == n_given).withColumn("trial", F.lit(0))
     expected = F.array(*[_cell(ds, c) for c in removed])
     texts = variant_texts(ds, variants, F.col("trial"), expected.alias("cells"), ignored=removed, df=rows)
-    # one row per serialization variant
-    shown = F.broadcast(_shown(ds, n_given, random_examples, seed, variants))
+    shown = _shown(ds, n_given, random_examples, seed, variants)
     prompt = fill_template(
         templates.COMPLETION_INCOMPLETE, dname=ds.name, fname="[" + ", ".join(removed) + "]",
-        serialization=F.col("shown"), example=F.col("text"),
+        serialization=shown[F.col("serialization")], example=F.col("text"),
     )
-    return _finish(texts.join(shown, "serialization"), ds, test, ROW, prompt, trial=F.col("trial"),
+    return _finish(texts, ds, test, ROW, prompt, trial=F.col("trial"),
                    expected=F.col("cells"))
 
 
@@ -358,11 +357,10 @@ def completion_full(ds: Dataset, n_given: int = 4, mode: str = "head", seed: int
     cells = F.array(*[_cell(ds, c) for c in ds.columns])
     fname = "[" + ", ".join(ds.columns) + "]"
     if mode == "random":
-        asked = ds.df.filter(F.col(POS) == n_given).select(cells.alias("cells"))
         shown = _shown(ds, n_given, True, seed, variants)
-        rows = shown.withColumn("cells", asked.scalar()).withColumn("_block", F.lit(0))
-        seps = F.create_map(*[x for i, s in variants for x in (F.lit(i), F.lit(s.features_sep))])
-        rows = rows.withColumn("features_sep", seps[F.col("serialization")])
+        asked = ds.df.filter(F.col(POS) == n_given)
+        rows = variant_texts(ds, variants, cells.alias("cells"), df=asked).withColumn(
+            "shown", shown[F.col("serialization")]).withColumn("_block", F.lit(0))
     else:
         size = n_given + 1
         source = ds.df if mode == "all" else ds.df.filter(F.col(POS) < size)

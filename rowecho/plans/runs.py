@@ -14,19 +14,21 @@ from rowecho.operators.score import scorecard
 from rowecho.plans import probes as P
 from rowecho.sources.catalog import Dataset
 from rowecho.sources.lexicon import tag_lexicon
+from rowecho.sources.lineage import cut_lineage
 
 MAX_INLINE_VALUES = 1000
 
 
 def _lists(ds: Dataset, lexicon: DataFrame) -> DataFrame:
-    return value_lists(
-        tag_lexicon(feature_values(ds, ds.spec.value_features), lexicon), MAX_INLINE_VALUES
-    )
+    """Expected value lists, written once: every value probe of the dataset reads them."""
+    words = tag_lexicon(feature_values(ds, ds.spec.value_features), lexicon)
+    return cut_lineage(value_lists(words, MAX_INLINE_VALUES))
 
 
 def dataset_probes(ds: Dataset, lexicon: DataFrame, n_membership: int | None = 100) -> DataFrame:
-    """All probes of one dataset, in the sizes of the standard run."""
-    features = dataset_features(ds, exact=False)
+    """All probes of one dataset, in the sizes of the standard run. ``lexicon`` and the profile
+    are read by several parts, so they are written once."""
+    features = cut_lineage(dataset_features(ds, exact=False))
     parts = [
         P.features_uninformed(ds, features, lexicon),
         P.features_informed(ds, features, lexicon, n_given=5, n_repeat=3),

@@ -219,9 +219,15 @@ def decode_by_table(df: DataFrame, index: str, labels: DataFrame, label_index: s
     return df.join(labels, df[index] == labels[label_index], "left").drop(label_index)
 
 
-def prepare(df: DataFrame, spec: DatasetSpec, widened: tuple[str, ...] = ()) -> Dataset:
-    """Post-steps in the spec's order: positions, drop, decode, de-duplicate, shuffle."""
-    df = with_positions(df, spec.pos_key)
+def prepare(df: DataFrame, spec: DatasetSpec, widened: tuple[str, ...] = (),
+            positions: bool = True) -> Dataset:
+    """Post-steps in the spec's order: positions, drop, decode, de-duplicate, shuffle.
+
+    Jobs that take rows as they come can do without positions (``positions=False``), which saves
+    the counting pass of datasets that have no position key.
+    """
+    if positions or spec.dedup_on or spec.shuffle_seed is not None:
+        df = with_positions(df, spec.pos_key)
     df = drop_columns(df, spec.drop)
     if spec.decode:
         df = decode_index(df, *spec.decode)
@@ -246,6 +252,7 @@ def load_dataset(
     registry: Iterable[DatasetSpec] = PUBLIC_DATASETS,
     widen_integers: bool = False,
     min_partitions: int | None = None,
+    positions: bool = True,
 ) -> Dataset:
     """Load a dataset by its long or short name.
 
@@ -260,5 +267,5 @@ def load_dataset(
         if integers:
             flags = df.agg(*[F.bool_or(F.col(f"`{c}`").isNull()).alias(c) for c in integers])
             widened = tuple(c for c, has_null in flags.first().asDict().items() if has_null)
-    ds = prepare(df, spec, widened)
+    ds = prepare(df, spec, widened, positions)
     return ds if min_partitions is None else replace(ds, df=spread(ds.df, min_partitions))
