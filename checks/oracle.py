@@ -137,7 +137,6 @@ def values(t: str, cols=None) -> str:
 def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str, tries: int) -> str:
     """CTEs ending in {p}_done(_pos, f, v): altered cells in long form, the first try whose row
     is not in the table."""
-    n = f"(select count(*) from {t})"
     cells = union(f"select {key(t)} as _pos, '{c}' as f, {txt(c)} as v from {t}" for c in cols)
     ends = union(
         f"select '{c}' as f, cast(min({c}) as varchar) as lo, cast(max({c}) as varchar) as hi from {t}" for c in cols)
@@ -148,11 +147,14 @@ def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str,
     {p}_asked as materialized (
       select c.*, t.t, row_number() over (partition by _pos, t.t order by {draw_key(seed, '_pos', 'f')}) <= {k} as chosen
       from {p}_cells c cross join (select unnest(range({tries})) as t) t where _pos in ({rows})),
+    {p}_donor as materialized (
+      select c.*, a.a, {draw_int(seed, 'c._pos', 'c.f', 'c.t', 'a.a')} % n.n as donor
+      from {p}_asked c cross join (values (0), (1), (2), (3)) a(a) cross join (select count(*) as n from {t}) n
+      where c.chosen),
     {p}_drawn as materialized (
-      select c._pos, c.t, c.f, arg_min(d.v, a.a) as v
-      from {p}_asked c cross join (values (0), (1), (2), (3)) a(a)
-      join {p}_cells d on d.f = c.f and d._pos = {draw_int(seed, 'c._pos', 'c.f', 'c.t', 'a.a')} % {n}
-      where c.chosen and d.v <> c.v group by c._pos, c.t, c.f),
+      select c._pos, c.t, c.f, arg_min(d.v, c.a) as v
+      from {p}_donor c join {p}_cells d on d.f = c.f and d._pos = c.donor
+      where d.v <> c.v group by c._pos, c.t, c.f),
     {p}_new as materialized (
       select c._pos, c.t, c.f, case when not c.chosen then c.v when d.v is not null then d.v
         when c.v <> e.lo then e.lo else e.hi end as v
@@ -191,7 +193,7 @@ def picked(k: int, trials: int = 3) -> str:
       where draw_rank <= least({k}, n - 2))"""
 
 
-def features_informed() -> str:
+def features_informed(k: int = 3) -> str:
     parts = []
     for t in DATASETS:
         ids = ", ".join(lit(c) for c in IDS[t])
@@ -205,7 +207,7 @@ def features_informed() -> str:
               from picked p where p.dataset = {lit(NAMES[t])} group by p.trial)""",
             trial="trial", expected="e"))
     all_features = union(features(t) for t in DATASETS)
-    return f"with features as ({all_features}), {picked(3)}\n" + union(parts)
+    return f"with features as ({all_features}), {picked(k)}\n" + union(parts)
 
 
 def features_reverse() -> str:
@@ -257,22 +259,22 @@ def recognition(t: str, variants=((0, SERIALIZATIONS[0]),)) -> str:
         trial="block", serialization=str(i), expected=lit(f"{NAMES[t]}|{t}")) for i, s in variants)
 
 
-def membership_probes() -> str:
-    """with-query body for customer: CTEs and final select."""
-    t = "customer"
-    cols = COLUMNS[t]
-    n = "(select count(*) from customer)"
+def membership_probes(t: str = "customer", p: str = "") -> tuple[str, str]:
+    """CTEs and select of the membership probes of a table; ``p`` keeps CTE names apart."""
+    cols, k, pos = COLUMNS[t], len(COLUMNS[t]) - 3, key(t)
+    s_, m_ = f"s{p}", f"m{p}"
     ctes = ",\n".join([
-        replace_ctes("s", t, cols, 2, "'0|sample'", "select c_custkey from customer where c_custkey % 2 = 0", 2),
-        long_row("s", t, "changed"),
-        replace_ctes("m", t, cols, 2, "'0|mirror'", "select c_custkey from customer", 2),
-        long_row("m", t, "no_text"),
-        f"genuine as (select c_custkey as _pos, {row(t)} as text from customer)",
+        replace_ctes(s_, t, cols, k, "'0|sample'", f"select {pos} from {t} where {pos} % 2 = 0", 2),
+        long_row(s_, t, "changed"),
+        replace_ctes(m_, t, cols, k, "'0|mirror'", f"select {pos} from {t}", 2),
+        long_row(m_, t, "no_text"),
+        f"""genuine{p} as materialized (select {pos} as _pos, n - 1 - {pos} as mirror, {row(t)} as text
+          from {t} cross join (select count(*) as n from {t}))""",
     ])
-    source = f"""(select g._pos, g.text, s.changed, y.text as yes_text, m.no_text from genuine g
-      left join s_text s on s._pos = g._pos
-      join genuine y on y._pos = {n} - 1 - g._pos
-      join m_text m on m._pos = {n} - 1 - g._pos)"""
+    source = f"""(select g._pos, g.text, s.changed, y.text as yes_text, m.no_text from genuine{p} g
+      left join {s_}_text s on s._pos = g._pos
+      join genuine{p} y on y._pos = g.mirror
+      join {m_}_text m on m._pos = g.mirror)"""
     prompt = fill(templates.MEMBERSHIP, dname=lit(NAMES[t]), serialization="coalesce(changed, text)",
                   example="yes_text || chr(10) || 'Answer: Yes' || chr(10) || no_text || chr(10) || 'Answer: No' || chr(10)")
     body = probe("membership", t, prompt, source=source, trial="_pos",
@@ -291,7 +293,7 @@ def cells_text(t: str, cols) -> str:
     return " || '|' || ".join(f"({cell_value(t, c)})" for c in cols)
 
 
-def completion_incomplete(t: str, head: bool = False) -> str:
+def completion_incomplete(t: str, head: bool = False, trials: int | None = None) -> str:
     removed = COLUMNS[t][-min(3, len(COLUMNS[t]) - 1):]
     if head:
         shown = f"(select string_agg({row(t)}, chr(10) order by {key(t)}) from {t} where {key(t)} < 4)"
@@ -299,8 +301,9 @@ def completion_incomplete(t: str, head: bool = False) -> str:
     else:
         shown = f"""(select string_agg(x, chr(10) order by o) from (
           select {row(t)} as x, {draw_key('0', key(t))} as o from {t} order by o limit 4))"""
-        source = f"""(select q.{key(t)} as trial, r.* from {t} q join {t} r
-          on r.{key(t)} = {draw_int("'0|row'", 'q.' + key(t))} % (select count(*) from {t}))"""
+        drawn = f"select {key(t)} as trial from {t}" if trials is None else f"select unnest(range({trials})) as trial"
+        source = f"""(select q.trial, r.* from ({drawn}) q join {t} r
+          on r.{key(t)} = {draw_int("'0|row'", 'q.trial')} % (select count(*) from {t}))"""
     prompt = fill(templates.COMPLETION_INCOMPLETE, dname=lit(NAMES[t]),
                   fname=lit("[" + ", ".join(removed) + "]"), serialization=shown,
                   example=row(t, ignored=removed))
@@ -666,6 +669,18 @@ def oracle_sql() -> dict[str, str]:
     q["probe_classification_shots"] = union(classification(t, True) for t in ("customer", "supplier"))
     q["probe_classification_sample"] = classification(
         "orders", source=f"(select * from orders order by {draw_key('42', 'o_orderkey')}, o_orderkey limit 100)")
+    def first(sql: str, trials: int) -> str:
+        return f"select * from ({sql}) where trial < {trials}"
+
+    members_of = {t: membership_probes(t, f"_{t}") for t in DATASETS}
+    run = [features_uninformed(), f"select * from ({features_informed(5)})", features_reverse(),
+           values_uninformed()]
+    for t in DATASETS:
+        asked = [c for c in VALUE_FEATURES[t] if c != "o_orderstatus"]
+        run += [completion_incomplete(t, trials=5), first(completion_full(t), 1), first(recognition(t), 1),
+                first(members_of[t][1], 100), values_examples(t, asked, "random"),
+                first(completion_feature(t), 5)]
+    q["probe_full_run"] = "with " + ",\n".join(c for c, _ in members_of.values()) + "\n" + union(run)
     variants = tuple(enumerate(SERIALIZATIONS))
     q["probe_serialization_variants"] = union([recognition("customer", variants), completion_feature("customer", variants)])
     q["score_prompts_hook"] = f"""select probe_id, 'stand-in' as model,
