@@ -655,9 +655,10 @@ def scorecard_wide(spark, d):
 
 
 def _rates(spark, d) -> DataFrame:
-    """Pass rate of every (model, test, dataset) as a scorecard value."""
-    return score.pass_rate(_completed(spark, d)).select(
-        "model", "test", "dataset", F.round("rate", 6).alias("value"))
+    """Pass rate of every (model, test, dataset) as a scorecard value; written once, because the
+    reports read it several times."""
+    return cut_lineage(score.pass_rate(_completed(spark, d)).select(
+        "model", "test", "dataset", F.round("rate", 6).alias("value")))
 
 
 @query
@@ -678,7 +679,7 @@ def scorecard_diff(spark, d):
 @query
 def scorecard_merge(spark, d):
     wide = score.scorecard_wide(score.scorecard(_completed(spark, d)), DISPLAY)
-    alpha = wide.filter("model = 'alpha'")
+    alpha = cut_lineage(wide.filter("model = 'alpha'"))
     return reshape.merge_scorecards(
         alpha.select("test_name", "Customer"), alpha.select("test_name", "Part", "Orders"))
 
