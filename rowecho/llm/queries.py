@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowecho.llm import decontam, exact_dedup
+from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, toxicity
 
-_QUERIES = (exact_dedup.op3_exact_dedup, decontam.op7_decontamination)
+_QUERIES = (
+    langid.op1_language_id, toxicity.op2_toxicity, exact_dedup.op3_exact_dedup, pieces.op4_sentencepiece,
+    secrets.op6_secret_scan, decontam.op7_decontamination,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
