@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, toxicity
+from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, simhash, toxicity
 
 _QUERIES = (
     langid.op1_language_id, toxicity.op2_toxicity, exact_dedup.op3_exact_dedup, pieces.op4_sentencepiece,
-    secrets.op6_secret_scan, decontam.op7_decontamination,
+    secrets.op6_secret_scan, decontam.op7_decontamination, simhash.op10_simhash_near_dedup,
 )
 
 
