@@ -60,7 +60,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
                   text_column: str = "text", item_id: str = "item_id", item_text: str = "text",
                   block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    hits (array of start, size: verified occurrences) and items (sorted ids as text).
+    hits (array of start, size: verified occurrences), items (sorted ids as text) and text_hash.
 
     Null or wordless texts have no words and no hits. An item without words, and with it an
     empty benchmark, hits nothing; hits of an item with a null id count as hits and name no item. Documents repeated
@@ -70,13 +70,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     windows = cut(item_windows(items, window, item_id, item_text), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` numbers
     worded = docs.select(
-        F.col(id_column).alias("doc_id"), words_of(text_or_empty(text_column)).alias("words"),
-    ).withColumns({"n_words": F.size("words"), "digest": F.xxhash64("words")})
+        F.col(id_column).alias("doc_id"), F.xxhash64(text_or_empty(text_column)).alias("text_hash"),
+        words_of(text_or_empty(text_column)).alias("words"),
+    ).withColumn("n_words", F.size("words"))
     # the first entry meets a row that is in every block, so that every document comes through
     mark = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("hash")))
     tried = worded.withColumn("tried", F.concat(mark, *[
         windows_of(F.col("words"), s, F.col("n_words")) for s in sizes])).select(
-        "doc_id", "digest", "n_words", "words",
+        "doc_id", "text_hash", "n_words", "words",
         F.inline_outer("tried"))  # outer: no filter on the array is pushed below, which would split words again
     always = spark.range(1).select(
         F.lit(0).cast("bigint").alias("hash"), F.array().cast("array<string>").alias("window"),
@@ -85,28 +86,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     def met(block: DataFrame) -> DataFrame:
         known = F.broadcast(block.drop("size").unionByName(always))
         verified = F.slice("words", F.greatest("start", F.lit(1)), F.col("size")) == F.col("window")
-        return tried.join(known, "hash").filter(verified).groupBy("doc_id", "digest", "n_words").agg(
+        return tried.join(known, "hash").filter(verified).groupBy("doc_id", "text_hash", "n_words").agg(
             F.count_if(F.col("size") == 0).alias("copies"),
             F.collect_set(F.when(F.col("size") > 0, F.struct("start", "size"))).alias("hits"),
             F.collect_set(F.when(F.col("size") > 0, F.col("item_id").cast("string"))).alias("items"))
 
     blocks = [met(b) for b in blocks_of(windows, block_rows, block_bytes)]
     found = blocks[0] if len(blocks) == 1 else reduce(DataFrame.unionByName, blocks).groupBy(
-        "doc_id", "digest", "n_words").agg(
+        "doc_id", "text_hash", "n_words").agg(
             F.max("copies").alias("copies"),
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     return found.select(
-        "doc_id", F.col("n_words").cast("bigint").alias("n_words"),
+        "doc_id", "text_hash", F.col("n_words").cast("bigint").alias("n_words"),
         F.size(covered).cast("bigint").alias("n_hit"), F.array_sort("hits").alias("hits"),
         F.array_sort("items").alias("items"),
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"),
     ).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "hits", "items")
+        (F.col("n_hit") > 0).alias("contaminated"), "hits", "items", "text_hash")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, how: str = "document", **options) -> DataFrame:
@@ -114,13 +115,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, how: str = "document", **op
     hit and the characters between them. A document repeated with its id is kept as often. Null
     texts stay. The columns are those of ``docs``."""
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    hit = contamination(docs, items, **options).filter("contaminated").select(
-        F.col("doc_id").alias("_hit_id"), F.col("hits").alias("_hits"),
-        F.col("n_words").alias("_n_words")).distinct()
-    same = F.col(id_column).eqNullSafe(F.col("_hit_id"))
+    hit = cut(contamination(docs, items, **options).filter("contaminated").select(
+        F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("hits").alias("_hits"),
+    ).dropDuplicates(["_hit_id", "_hit_hash"]), "contaminated")
+    same = F.col(id_column).eqNullSafe(F.col("_hit_id")) & (
+        F.xxhash64(text_or_empty(text_column)) == F.col("_hit_hash"))
     if how == "document":
-        words = F.size(words_of(text_or_empty(text_column)))
-        return docs.join(hit, same & (words == F.col("_n_words")), "left_anti")
+        return docs.join(hit.drop("_hits"), same, "left_anti")
     if how != "span":
         raise ValueError(f"how: 'document' or 'span', not {how!r}")
     lowered = F.translate(text_or_empty(text_column), UPPER, LOWER)
@@ -136,7 +137,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, how: str = "document", **op
             .otherwise(a["kept"]).alias("kept"),
             F.greatest(a["at"], F.element_at("_ends", h["start"] + h["size"])).alias("at")),
         lambda a: F.concat(a["kept"], F.substr(F.col(text_column), a["at"], F.length(text_column))))
-    joined = docs.join(hit, same & (F.size(words) == F.col("_n_words")), "left").withColumns(
+    joined = docs.join(hit, same, "left").withColumns(
         {"_ends": F.when(F.col("_hits").isNotNull(), ends), "_gaps": gaps})
     return joined.select(*[
         F.when(F.col("_hits").isNotNull(), cut_text).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c)
@@ -144,7 +145,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, how: str = "document", **op
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
+        "hits", "items", "text_hash")
 
 
 SQL = r"""

@@ -53,16 +53,10 @@ class DigestIndex:
             .repartition(self.buckets(), "digest").write.insertInto(self.name)
 
 
-def dedup(docs: DataFrame, index_name: str, index_path: str, id_column: str = "doc_id",
-          text_column: str = "text", digests_per_bucket: int = DIGESTS_PER_BUCKET) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    A null text counts as empty. A row stays if its text is not in the index and no equal text of
-    the batch has a smaller id; of rows repeated with id and text, one stays. A null id stays only
-    where no equal text has an id. ``group_size`` counts the equal rows of this batch; ``keep_id``
-    is that of the index, so it may name a row of an earlier batch (then nothing of the group is
-    kept). No other column is read. An empty table gives an empty result.
-    """
+def _settled(docs: DataFrame, index_name: str, index_path: str, id_column: str, text_column: str,
+             digests_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, doc_id, copies) of the batch, and per digest (keep_id, group_size, fresh) once the
+    index holds them all; fresh: this batch brought it."""
     spark = docs.sparkSession
     counted = cut(
         docs.select(F.col(id_column).cast("bigint").alias("doc_id"),
@@ -73,9 +67,23 @@ def dedup(docs: DataFrame, index_name: str, index_path: str, id_column: str = "d
     index = DigestIndex(spark, index_name, index_path, max(8, -(-groups.count() // digests_per_bucket)))
     batch = uuid.uuid4().hex
     index.append(groups, batch)
-    # every digest is in the index now; one row per digest on both sides, so nothing is skewed
-    stay = cut(groups.drop("keep_id").join(index.rows(), "digest").select(
-        "digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh")), "stay")
+    # one row per digest on both sides, so nothing is skewed
+    stay = groups.drop("keep_id").join(index.rows(), "digest").select(
+        "digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh"))
+    return counted, cut(stay, "stay")
+
+
+def dedup(docs: DataFrame, index_name: str, index_path: str, id_column: str = "doc_id",
+          text_column: str = "text", digests_per_bucket: int = DIGESTS_PER_BUCKET) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    A null text counts as empty. A row stays if its text is not in the index and no equal text of
+    the batch has a smaller id; of rows repeated with id and text, one stays. A null id stays only
+    where no equal text has an id. ``group_size`` counts the equal rows of this batch; ``keep_id``
+    is that of the index, so it may name a row of an earlier batch (then nothing of the group is
+    kept). No other column is read. An empty table gives an empty result.
+    """
+    counted, stay = _settled(docs, index_name, index_path, id_column, text_column, digests_per_bucket)
     # copies of one text all meet one row here: a plain join, whose large partitions are split
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     return counted.join(stay, "digest").select(
@@ -85,6 +93,25 @@ def dedup(docs: DataFrame, index_name: str, index_path: str, id_column: str = "d
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_duplicates(docs: DataFrame, index_name: str, index_path: str, id_column: str = "doc_id",
+                    text_column: str = "text", digests_per_bucket: int = DIGESTS_PER_BUCKET) -> DataFrame:
+    """The rows that ``dedup`` keeps, with the columns of ``docs``."""
+    counted, stay = _settled(docs, index_name, index_path, id_column, text_column, digests_per_bucket)
+    kept = cut(counted.join(stay.filter("fresh"), "digest").filter(
+        F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
+        F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_digest"), F.col("copies").alias("_copies")), "kept")
+    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("_keep_id")) & (
+        text_digest(text_or_empty(text_column)) == F.col("_digest"))
+    met = docs.join(kept, same)
+    single = met.filter("_copies = 1").select(*docs.columns)
+    if kept.filter("_copies > 1").limit(1).count() == 0:
+        return single
+    # rows repeated with id and text: any one of them, the smallest by its other columns
+    row = F.struct(*docs.columns)
+    repeated = met.filter("_copies > 1").groupBy("_keep_id", "_digest").agg(F.min(row).alias("row"))
+    return single.unionByName(repeated.select("row.*"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an index that starts empty."""
     name = f"digest_index_{uuid.uuid4().hex}"

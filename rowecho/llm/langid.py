@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from rowecho.llm.common import bounded_batches, sample_texts, table, text_or_empty
 
@@ -216,59 +217,64 @@ def learn(rows: list[tuple[str, str]]) -> CharModels | None:
     return models
 
 
-def predict(docs: DataFrame, models: CharModels | None, id_column: str = "doc_id", text_column: str = "text",
-            keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, rejected and the columns in ``keep``, for every row.
-
-    ``lang_pred`` is the best language of the whole text, ``und`` with score 0 where the text is
-    null or has no letter (or nothing was learnt); ``rejected`` is true for texts without a letter
-    and for those whose cross-entropy is beyond the limit of the best language. Rows repeated with
-    their id give a row each."""
-    spark = docs.sparkSession
+def _judged(rows: DataFrame, models: CharModels | None) -> DataFrame:
+    """``rows``, whose first column is the text, with lang_pred, score and rejected in place of it."""
+    spark = rows.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(models)
-    names = dict(zip(("_id", "_text"), (id_column, text_column)))
-    rows = docs.select(F.col(names["_id"]).alias("doc_id"), text_or_empty(names["_text"]).alias("text_"),
-                       *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    others = rows.columns[1:]
 
     def run(batches):
         models = shared.value
         known: dict[str, int] = {}
-        table = np.zeros((0, len(models.languages) if models else 0))
+        costs = np.zeros((0, len(models.languages) if models else 0))
         sizes = np.zeros(0)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            split = [WORD.findall(t.lower()) for t in texts]
-            lang, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            split = [WORD.findall(t.lower()) for t in batch.column(0).to_pylist()]
             lettered = np.array([bool(w) for w in split], bool)
-            out[~lettered] = True
+            lang, score, rejected = [UNKNOWN] * len(split), np.zeros(len(split)), ~lettered
             if models is not None and lettered.any():
                 if len(known) > CACHED_WORDS:
-                    known, table, sizes = {}, table[:0], sizes[:0]
+                    known, costs, sizes = {}, costs[:0], sizes[:0]
                 new = list({w for words in split for w in words if w not in known})
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                    table = np.concatenate([table, *(models.word_costs(new[i:i + 50_000])
-                                                     for i in range(0, len(new), 50_000))])
-                    sizes = np.r_[sizes, [len(w) + 1 for w in new]]
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                costs = np.concatenate([costs, *(models.word_costs(new[i:i + 50_000])
+                                                 for i in range(0, len(new), 50_000))])
+                sizes = np.r_[sizes, [len(w) + 1 for w in new]]
                 ids = np.fromiter((known[w] for words in split for w in words), np.int64)
                 ends = np.cumsum([len(w) for w in split if w])
                 begins = np.r_[0, ends[:-1]]
-                best, share, rejected = models.judge(
-                    np.add.reduceat(table[ids], begins, axis=0), np.add.reduceat(sizes[ids], begins))
+                best, share, beyond = models.judge(
+                    np.add.reduceat(costs[ids], begins, axis=0), np.add.reduceat(sizes[ids], begins))
                 for k, b in zip(np.flatnonzero(lettered), best):
                     lang[k] = models.languages[b]
-                score[lettered], out[lettered] = share, rejected
+                score[lettered], rejected[lettered] = share, beyond
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(out),
-                 *[batch.column(2 + i) for i in range(len(keep))]],
-                ["doc_id", "lang_pred", "score", "rejected", *[f"keep_{i}" for i in range(len(keep))]])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean" + "".join(
-        f", keep_{i} {kinds[f'keep_{i}']}" for i in range(len(keep)))
-    found = rows.mapInArrow(run, schema)
-    return found.toDF("doc_id", "lang_pred", "score", "rejected", *keep) if keep else found
+                [*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
+                [*others, "lang_pred", "score", "rejected"])
+
+    fields = [StructField(f.name, f.dataType) for f in rows.schema.fields[1:]]
+    return rows.mapInArrow(run, StructType([
+        *fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()),
+        StructField("rejected", BooleanType())]))
+
+
+def predict(docs: DataFrame, models: CharModels | None, id_column: str = "doc_id",
+            text_column: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and rejected, for every row.
+
+    ``lang_pred`` is the best language of the whole text, ``und`` with score 0 where the text is
+    null or has no letter (or nothing was learnt); ``rejected`` is true for texts without a letter
+    and for those whose cross-entropy is beyond the limit of the best language. Rows repeated with
+    their id give a row each."""
+    return _judged(docs.select(text_or_empty(text_column).alias("text"), F.col(id_column).alias("doc_id")), models)
+
+
+def drop_rejected(docs: DataFrame, models: CharModels | None, text_column: str = "text") -> DataFrame:
+    """The rows that are not rejected, with the columns of ``docs``, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).select(text_or_empty(names[docs.columns.index(text_column)]).alias("text"), *names)
+    return _judged(plain, models).filter(~F.col("rejected")).select(*names).toDF(*docs.columns)
 
 
 def held_out(column: str = "doc_id"):

@@ -259,33 +259,6 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[t
                 start, size = i + 1, 0
 
 
-def _encoder(docs: DataFrame, model: bytes, id_column: str, text_column: str):
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    return docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")), shared
-
-
-def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (array of int) of every whole text; null counts as empty, an empty
-    text has no ids. Rows repeated with their id give a row each; other columns are not read."""
-    rows, shared = _encoder(docs, model, id_column, text_column)
-
-    def run(batches):
-        words = _Words(Pieces(shared.value), lambda ids: ids)
-        for batch, texts in _texts(batches):
-            ids = [np.concatenate(x) if x else np.empty(0, np.int32) for x in words(texts)]
-            sizes = [len(x) for x in ids]
-            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-            flat = pa.array(np.concatenate(ids).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n_tokens", "ids"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
-
-
 def decode(tokens: DataFrame, model: bytes, ids_column: str = "ids", id_column: str = "doc_id") -> DataFrame:
     """doc_id and text of every row of ids; null ids give a null text."""
     spark = tokens.sparkSession
@@ -302,29 +275,40 @@ def decode(tokens: DataFrame, model: bytes, ids_column: str = "ids", id_column:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def digests(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (the text the
-    ids decode to) of every whole text; nulls and repeats as in ``encode``."""
-    rows, shared = _encoder(docs, model, id_column, text_column)
+def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), ids_sha256 (decimal ids joined by commas) and decoded_sha256
+    (the text the ids decode to) of every whole text.
+
+    Null counts as empty, an empty text has no ids. Rows repeated with their id give a row each;
+    other columns are not read. Columns not selected cost little."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
 
     def run(batches):
         pieces = Pieces(shared.value)
         # a word's bytes are whole characters, so texts decode word by word
         words = _Words(pieces, lambda ids: (
-            len(ids), ",".join(map(str, ids.tolist())), b"".join(pieces.piece_bytes[i] for i in ids.tolist())))
+            ids, ",".join(map(str, ids.tolist())), b"".join(pieces.piece_bytes[i] for i in ids.tolist())))
         for batch, texts in _texts(batches):
-            counts, listed, decoded = [], [], []
+            flat, sizes, listed, decoded = [], [], [], []
             for found in words(texts):
-                counts.append(sum(f[0] for f in found))
+                flat += [f[0] for f in found]
+                sizes.append(sum(len(f[0]) for f in found))
                 listed.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
                 text = b"".join([f[2] for f in found])
                 decoded.append(hashlib.sha256(text[1:] if pieces.prefix and text[:1] == b" " else text).hexdigest())
+            ids = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)),
+                pa.array(np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(listed), pa.array(decoded)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(listed), pa.array(decoded)],
+                ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def read_model(path: str) -> bytes:
@@ -339,4 +323,4 @@ def default_model() -> bytes:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), default_model())
+    return encode(table(spark, sf_dir, "documents"), default_model()).drop("ids")

@@ -47,16 +47,20 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and fp of every whole text; null counts as empty, and a text without words has 0."""
+    """doc_id, text_hash and fp of every whole text; null counts as empty, and a text without words
+    has fp 0."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
+    text = text_or_empty(text_column)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def masks(radius: int, levels: int) -> list[list[int]]:
@@ -226,24 +230,44 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut(lower.join(of_label, "label").select("fp", F.col("lowest").alias("label")), "labels")
 
 
+def _grouped(printed: DataFrame, radius: int, sizes: dict) -> DataFrame:
+    """(fp, first): for every fingerprint the first row of its component, by id (null ids last) and
+    then by the hash of the text."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    points = cut(printed.groupBy("fp").agg(F.min(row).alias("first")), "points")
+    found = components(links(points, radius, **sizes))
+    placed = cut(points.join(found, "fp", "left").select(
+        "fp", "first", F.coalesce("label", "fp").alias("label")), "placed")
+    lowest = cut(placed.groupBy("label").agg(F.min("first").alias("first")), "lowest")
+    return cut(placed.drop("first").join(lowest, "label").select("fp", "first"), "grouped")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text",
                     **sizes) -> DataFrame:
     """doc_id, fingerprint and component_id, a row per document.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id
-    reachable over links (null ids name no component; it is null where no document of the component has an
-    id). Null, empty and wordless texts share fingerprint zero, which links like any other. Rows
-    repeated with their id give a row each; other columns are not read.
+    reachable over links, null only where no document of the component has an id. Null, empty and
+    wordless texts share fingerprint zero, which links like any other. Rows repeated with their
+    id give a row each; other columns are not read.
     """
     printed = cut(fingerprints(docs, id_column, text_column), "fingerprints")
-    points = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    found = components(links(points, radius, **sizes))
-    placed = cut(points.join(found, "fp", "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")), "placed")
-    lowest = cut(placed.groupBy("label").agg(F.min("first").alias("component_id")), "lowest")
-    named = cut(placed.join(lowest, "label").select("fp", "component_id"), "named")
-    return printed.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return printed.join(_grouped(printed, radius, sizes), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id",
+                         text_column: str = "text", **sizes) -> DataFrame:
+    """The documents without near-duplicates: of each component the one with the smallest id stays (of
+    null ids, and of an id with several texts, that with the smallest hash of its text). The
+    columns are those of ``docs``; a row repeated with id and text stays as often."""
+    printed = cut(fingerprints(docs, id_column, text_column), "fingerprints")
+    stay = cut(_grouped(printed, radius, sizes).select("first").distinct().select(
+        F.col("first.doc_id").alias("_stay_id"), F.col("first.text_hash").alias("_stay_hash")), "stay")
+    same = F.col(id_column).eqNullSafe(F.col("_stay_id")) & (
+        F.xxhash64(text_or_empty(text_column)) == F.col("_stay_hash"))
+    return docs.join(stay, same, "left_semi")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
