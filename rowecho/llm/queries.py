@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, simhash, toxicity
+from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, simhash, toxicity, warc
 
 _QUERIES = (
     langid.op1_language_id, toxicity.op2_toxicity, exact_dedup.op3_exact_dedup, pieces.op4_sentencepiece,
-    secrets.op6_secret_scan, decontam.op7_decontamination, simhash.op10_simhash_near_dedup,
+    secrets.op6_secret_scan, decontam.op7_decontamination, warc.op9_warc,
+    simhash.op10_simhash_near_dedup,
 )
 
 
@@ -19,4 +20,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op7_decontamination": decontam.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op7_decontamination": decontam.SQL,
+            "op9_warc": warc.SQL}
