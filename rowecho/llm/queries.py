@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowecho.llm import decontam, exact_dedup, langid, pieces, secrets, simhash, toxicity, warc, wrappers
+from rowecho.llm import (
+    decontam, exact_dedup, langid, pieces, secrets, simhash, suffix_dedup, toxicity, warc, wrappers,
+)
 
 _QUERIES = (
     langid.op1_language_id, toxicity.op2_toxicity, exact_dedup.op3_exact_dedup, pieces.op4_sentencepiece,
-    secrets.op6_secret_scan, decontam.op7_decontamination,
+    suffix_dedup.op5_suffix_dedup, secrets.op6_secret_scan, decontam.op7_decontamination,
     wrappers.op8_main_text, warc.op9_warc,
     simhash.op10_simhash_near_dedup,
 )
