@@ -138,27 +138,31 @@ def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str,
     """CTEs ending in {p}_done(_pos, f, v): altered cells in long form, the first try whose row
     is not in the table."""
     cells = union(f"select {key(t)} as _pos, '{c}' as f, {txt(c)} as v from {t}" for c in cols)
-    ends = union(
-        f"select '{c}' as f, cast(min({c}) as varchar) as lo, cast(max({c}) as varchar) as hi from {t}" for c in cols)
     order = "case f " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(cols)) + " end"
     as_row = f"string_agg(f || '=' || v, chr(31) order by {order})"
-    return f"""{p}_cells as materialized ({cells}), {p}_ends as ({ends}),
+    return f"""{p}_cells as materialized ({cells}),
+    {p}_vals as materialized (select f, v, count(*) as n, coalesce(sum(count(*)) over (
+      partition by f order by md5(v), v rows between unbounded preceding and 1 preceding), 0) as off from {p}_cells group by f, v),
     {p}_rows as materialized (select {as_row} as r from {p}_cells group by _pos),
     {p}_asked as materialized (
       select c.*, t.t, row_number() over (partition by _pos, t.t order by {draw_key(seed, '_pos', 'f')}) <= {k} as chosen
       from {p}_cells c cross join (select unnest(range({tries})) as t) t where _pos in ({rows})),
     {p}_donor as materialized (
-      select c.*, a.a, {draw_int(seed, 'c._pos', 'c.f', 'c.t', 'a.a')} % n.n as donor
-      from {p}_asked c cross join (values (0), (1), (2), (3)) a(a) cross join (select count(*) as n from {t}) n
+      select c._pos, c.t, c.f, c.v, d.v as first, o.n as n_own, o.off as off_own,
+        {draw_int(seed, 'c._pos', 'c.f', 'c.t', "'other'")} % (n.n - o.n) as u
+      from {p}_asked c cross join (select count(*) as n from {t}) n
+      join {p}_cells d on d.f = c.f and d._pos = {draw_int(seed, 'c._pos', 'c.f', 'c.t')} % n.n
+      join {p}_vals o on o.f = c.f and o.v = c.v
       where c.chosen),
     {p}_drawn as materialized (
-      select c._pos, c.t, c.f, arg_min(d.v, c.a) as v
-      from {p}_donor c join {p}_cells d on d.f = c.f and d._pos = c.donor
-      where d.v <> c.v group by c._pos, c.t, c.f),
+      select _pos, t, f, first as v from {p}_donor where first <> v or t > 0
+      union all
+      select c._pos, c.t, c.f, w.v from {p}_donor c join {p}_vals w on w.f = c.f
+        and c.u + (case when c.u < c.off_own then 0 else c.n_own end) between w.off and w.off + w.n - 1
+      where c.first = c.v and c.t = 0),
     {p}_new as materialized (
-      select c._pos, c.t, c.f, case when not c.chosen then c.v when d.v is not null then d.v
-        when c.v <> e.lo then e.lo else e.hi end as v
-      from {p}_asked c left join {p}_drawn d on c._pos = d._pos and c.t = d.t and c.f = d.f join {p}_ends e on e.f = c.f),
+      select c._pos, c.t, c.f, case when c.chosen then d.v else c.v end as v
+      from {p}_asked c left join {p}_drawn d on c._pos = d._pos and c.t = d.t and c.f = d.f),
     {p}_first as materialized (select _pos, min(t) as t from (
       select _pos, t from {p}_new group by _pos, t having {as_row} not in (select r from {p}_rows)) group by _pos),
     {p}_done as materialized (select _pos, f, v from {p}_new join {p}_first using (_pos, t))"""

@@ -18,6 +18,9 @@ from rowecho.sources.lineage import cut_lineage
 from rowecho.sources.positions import POS
 
 TRIES_PER_PASS = 16
+TRIES_BEFORE_PROOF = 2  # passes before a row left over is asked whether it can be altered at all
+BUCKET_DIGITS = 4  # 65,536 hash buckets
+CHUNKS = 1 << 16  # parts of a column's rows in which a draw looks for its value
 
 
 def swap_values(values: Column, n_columns: int, n_swaps: int, seed: int | str, key: Column) -> Column:
@@ -55,95 +58,143 @@ def swap_count(n_wanted: int, n_usable: int) -> int:
     return n_wanted if n_wanted <= n_usable else max(n_usable - 2, 1)
 
 
-def _other_end(name: str, low, high, dtype: T.DataType) -> Column:
-    """An observed value that differs from the current one, for a cell whose draws all hit its
-    own value: the column's smallest value, or its largest where the smallest is the current."""
-    low, high = F.lit(low).cast(dtype), F.lit(high).cast(dtype)
-    current = column(name)
-    return F.when(current.isNull(), low).when(current != low, low).when(low != high, high)
+def _value_ranges(ds: Dataset, usable: Sequence[str]) -> DataFrame:
+    """(_feature, _text, _n, _first, _off): the values of each column, how many rows hold them, the first of
+    these, and how many rows hold values before it in the order of their hashes.
 
-
-def _redraw(rows: DataFrame, ds: Dataset, usable: Sequence[str], n_rows: int, ends: dict,
-            k: int, seed: int | str, attempts: int, tries: range) -> DataFrame:
-    """Altered copies of each row, one per try: k random usable columns take values other rows
-    have there.
-
-    A draw is the position of a donor row, so a value comes up as often as the column holds it.
-    All draws go through one equality join on the position; per row and try the first donor
-    whose value differs wins, in one aggregate. ``rows`` is (_pos, the columns).
+    Offsets come without a global sort: hashes are even, so their leading hex digits cut the
+    values into buckets, and a value's offset is its bucket's plus that inside the bucket.
     """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("_feature"), value_text(column(c), ds.dtype(c)).alias("_text")) for c in usable
+    ])
+    counted = ds.df.select(POS, F.inline(cells)).groupBy("_feature", "_text").agg(
+        F.count("*").alias("_n"), F.min(POS).alias("_first"))
+    counted = cut_lineage(counted.withColumn("_hash", F.md5("_text")).withColumn(
+        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)))
+    # at most 65,536 rows for each column
+    sums = counted.groupBy("_feature", "_bucket").agg(F.sum("_n").alias("_rows"))
+    before = Window.partitionBy("_feature").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_feature", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_feature", "_bucket").orderBy("_hash", "_text").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return counted.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        F.broadcast(sums), ["_feature", "_bucket"]
+    ).select("_feature", "_text", "_n", "_first", (F.col("_start") + F.col("_inside")).alias("_off"))
+
+
+def _chosen(ds: Dataset, usable: Sequence[str], k: int, seed) -> Column:
+    """The k columns a row takes new values in."""
     choices = F.array_sort(F.array(*[
         F.struct(draw_key(seed, F.col(POS), c).alias("k"), F.lit(c).alias("f")) for c in usable
     ]))
-    chosen = F.transform(F.slice(choices, 1, k), lambda x: x["f"])
+    return F.transform(F.slice(choices, 1, k), lambda x: x["f"])
+
+
+def _text_of(feature: Column, ds: Dataset, usable: Sequence[str]) -> Column:
+    out = F.lit(None).cast("string")
+    for c in usable:
+        out = F.when(feature == c, value_text(column(c), ds.dtype(c))).otherwise(out)
+    return out
+
 
-    def text_of(feature: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for c in usable:
-            out = F.when(feature == c, value_text(column(c), ds.dtype(c))).otherwise(out)
-        return out
+def _redraw(rows: DataFrame, ids: Sequence[str], ds: Dataset, usable: Sequence[str], n_rows: int,
+            ranges: DataFrame, k: int, seed, tries: range) -> DataFrame:
+    """Altered copies of each row, one per try: k random usable columns take observed values, as
+    often as the column holds them; the first try only takes values that differ from the row's, further
+    tries may leave a cell and change the others.
 
+    A draw is the position of a donor row. Where the donor of a first try has the cell's own value, the cell is
+    drawn anew from the rows with other values: all rows lie one after another by value, and the draw
+    steps over the range of the own one. So every cell takes one draw or two, whatever its share.
+    """
     each = rows.withColumn("_try", F.explode(F.sequence(F.lit(tries.start), F.lit(tries.stop - 1))))
+    each = each.withColumn("_chosen", _chosen(ds, usable, k, seed))
+    key = [*ids, "_try", "_feature"]
+    drawn_from = seed if isinstance(seed, str | int) else F.col("_seed")
     asked = each.select(
-        POS, "_try", F.explode(chosen).alias("_feature"),
-        *[value_text(column(c), ds.dtype(c)).alias(f"_t{i}") for i, c in enumerate(usable)],
-    )
-    current = F.coalesce(*[
-        F.when(F.col("_feature") == c, F.col(f"_t{i}")) for i, c in enumerate(usable)
-    ])
-    asked = asked.select(
-        POS, "_try", "_feature", current.alias("_current"),
-        F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("_attempt"),
-    ).withColumn("_donor", draw_position(
-        F.lit(n_rows), seed, F.col(POS), F.col("_feature"), F.col("_try"), F.col("_attempt")))
+        *ids, "_try", *([] if isinstance(seed, str | int) else [seed.alias("_seed")]), F.explode("_chosen").alias("_feature"),
+        *[column(c) for c in usable])
+    asked = asked.withColumn("_current", _text_of(F.col("_feature"), ds, usable)).drop(*usable).withColumn(
+        "_donor", draw_position(F.lit(n_rows), drawn_from, F.col(POS), F.col("_feature"), F.col("_try")))
     donors = ds.df.select(F.col(POS).alias("_donor"), *[column(c) for c in usable])
-    met = asked.join(donors, "_donor").filter(text_of(F.col("_feature")) != F.col("_current"))
-    found = met.groupBy(POS, "_try").agg(*[
-        F.min(F.when(F.col("_feature") == c, F.struct("_attempt", column(c).alias("v")))).alias(f"_n{i}")
+    met = asked.join(donors, "_donor")
+    own = (F.col("_try") == 0) & (_text_of(F.col("_feature"), ds, usable) == F.col("_current"))
+
+    width = -(-n_rows // CHUNKS)
+    left = met.filter(own).select(*key, "_current", *([] if isinstance(seed, str | int) else ["_seed"]))
+    current = ranges.select("_feature", F.col("_text").alias("_current"), F.col("_n").alias("_n_own"),
+                            F.col("_off").alias("_off_own"))
+    other = draw_int(drawn_from, F.col(POS), F.col("_feature"), F.col("_try"), "other")
+    left = left.join(current, ["_feature", "_current"]).withColumn(
+        "_at", F.pmod(other, F.lit(n_rows) - F.col("_n_own"))).withColumn(
+        "_at", F.when(F.col("_at") < F.col("_off_own"), F.col("_at")).otherwise(F.col("_at") + F.col("_n_own")))
+    chunks = ranges.withColumn("_chunk", F.explode(F.sequence(
+        F.floor(F.col("_off") / width), F.floor((F.col("_off") + F.col("_n") - 1) / width))))
+    placed = left.withColumn("_chunk", F.floor(F.col("_at") / width)).join(
+        chunks.select("_feature", "_chunk", "_off", "_n", F.col("_first").alias("_donor")), ["_feature", "_chunk"]
+    ).filter((F.col("_at") >= F.col("_off")) & (F.col("_at") < F.col("_off") + F.col("_n")))
+    new = met.filter(~own).select(*key, *usable).unionByName(
+        placed.select(*key, "_donor").join(donors, "_donor").select(*key, *[column(c) for c in usable]))
+    found = new.groupBy(*ids, "_try").agg(*[
+        F.min(F.when(F.col("_feature") == c, F.struct(column(c).alias("v")))).alias(f"_n{i}")
         for i, c in enumerate(usable)
     ])
     index = {c: i for i, c in enumerate(usable)}
-    marked = each.withColumn("_chosen", chosen).join(found, [POS, "_try"], "left")
-    out = []
-    for c in ds.columns:
-        if c not in index:
-            out.append(column(c))
-            continue
-        drawn = F.col(f"_n{index[c]}")
-        new = F.when(drawn.isNotNull(), drawn["v"]).otherwise(_other_end(c, *ends[c], ds.dtype(c)))
-        out.append(F.when(F.array_contains("_chosen", c), new).otherwise(column(c)).alias(c))
-    return marked.select(POS, "_try", *out)
+    marked = each.join(found, [*ids, "_try"])
+    return marked.select(*ids, "_try", *[
+        F.when(F.array_contains("_chosen", c), F.col(f"_n{index[c]}")["v"]).otherwise(column(c)).alias(c)
+        if c in index else column(c) for c in ds.columns])
 
 
-def _passes(max_tries: int) -> list[range]:
+def _passes():
     """One try for every row, then several at a time for the few rows that need more."""
-    bounds = [0, 1, *range(1 + TRIES_PER_PASS, max_tries, TRIES_PER_PASS), max_tries]
-    return [range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
-
-
-def replace_values(
-    ds: Dataset,
-    n_swapped: int,
-    seed: int | str,
-    rows: DataFrame | None = None,
-    attempts: int = 4,
-    max_tries: int = 65,
-    parity: bool = False,
-) -> DataFrame:
+    yield range(0, 1)
+    start = 1
+    while True:
+        yield range(start, start + TRIES_PER_PASS)
+        start += TRIES_PER_PASS
+
+
+def _raise_if_exhausted(pending: DataFrame, ds: Dataset, usable: Sequence[str], ranges: DataFrame, k: int, seed) -> None:
+    """Raise if the first pending row has no new combination: the dataset holds all that its
+    columns can take."""
+    row = pending.select(POS, *[column(c) for c in ds.columns], _chosen(ds, usable, k, seed).alias("_chosen")).first()
+    same = F.lit(True)
+    for c in ds.columns:
+        equal = column(c).eqNullSafe(F.lit(row[c]).cast(ds.dtype(c)))
+        same = same if c in row["_chosen"] else same & equal
+    held = ds.df.filter(same).select(*[column(c) for c in row["_chosen"]]).distinct().count()
+    sizes = {r["_feature"]: r["n"] for r in ranges.groupBy("_feature").agg(F.count("*").alias("n")).collect()}
+    possible = 1
+    for c in row["_chosen"]:
+        possible *= sizes[c]
+    if held >= possible:
+        raise ValueError(f"row {row[POS]}: the dataset holds every combination of {', '.join(row['_chosen'])}")
+
+
+def replace_values(ds: Dataset, n_swapped: int, seed: int | str, rows: DataFrame | None = None,
+                   parity: bool = False) -> DataFrame:
     """Altered copies of ``rows`` (default: the whole dataset) that are not rows of the dataset.
 
     Nearly all rows are done after one try; a row whose altered copy is in the dataset gets the
-    first of further tries that is not. Each pass is written once, so the next one reads the
-    copy and not the whole history. ``altered`` is false for a row whose columns gave no new
-    combination within ``max_tries``: it comes back as it is. ``parity=True`` gives rows with a
-    missing value back unchanged.
+    first of further tries that is not, however many it takes; a row that has no new combination at all
+    is an error. Each pass is written once, so the next one reads the copy and not the whole
+    history. A ``_role`` column of ``rows`` is kept and is part of the seed, so that several sets of
+    rows are altered in one go. ``parity=True`` gives rows with a missing value back unchanged,
+    with ``altered`` false.
     """
-    usable, n_rows, ends = varying_columns(ds)
+    usable, n_rows, _ = varying_columns(ds)
     if not usable:
         raise ValueError("every column holds a single value")
     k = swap_count(n_swapped, len(usable))
     cells = [column(c) for c in ds.columns]
-    pending = (rows if rows is not None else ds.df).select(POS, *cells)
+    pending = rows if rows is not None else ds.df
+    ids = [POS, "_role"] if "_role" in pending.columns else [POS]
+    if len(ids) > 1:
+        seed = F.concat(F.lit(f"{seed}|"), F.col("_role"))
+    pending = pending.select(*ids, *cells)
+    ranges = cut_lineage(_value_ranges(ds, usable))
     done = []
     if parity:
         missing = reduce(lambda a, b: a | b, [
@@ -151,22 +202,21 @@ def replace_values(
         ])
         done.append(pending.filter(missing).withColumn("altered", F.lit(False)))
         pending = pending.filter(~missing)
-    for i, tries in enumerate(_passes(max_tries)):
-        drawn = _redraw(pending, ds, usable, n_rows, ends, k, seed, attempts, tries)
+    for i, tries in enumerate(_passes()):
+        drawn = _redraw(pending, ids, ds, usable, n_rows, ranges, k, seed, tries)
         if i:
             drawn = cut_lineage(drawn)  # few rows: they are sent to the dataset, not the reverse
         tagged = cut_lineage(tag_members(drawn, ds.df, ds.columns, few=i > 0))
         new = tagged.filter(~F.col("is_member"))
         if i:
-            first = Window.partitionBy(POS).orderBy("_try")
+            first = Window.partitionBy(*ids).orderBy("_try")
             new = new.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
-        done.append(new.select(POS, *cells, F.lit(True).alias("altered")))
+        done.append(new.select(*ids, *cells, F.lit(True).alias("altered")))
         left = tagged.filter("is_member")
         if i:
-            left = tagged.groupBy(POS).agg(F.bool_and("is_member").alias("_left")).filter("_left")
+            left = tagged.groupBy(*ids).agg(F.bool_and("is_member").alias("_left")).filter("_left")
         if left.isEmpty():
-            break
-        pending = cut_lineage(pending.join(left.select(POS), POS, "left_semi"))
-    else:
-        done.append(pending.withColumn("altered", F.lit(False)))
-    return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done)
+        pending = cut_lineage(pending.join(left.select(*ids), ids, "left_semi"))
+        if i >= TRIES_BEFORE_PROOF:
+            _raise_if_exhausted(pending, ds, usable, ranges, k, seed)

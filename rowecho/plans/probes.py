@@ -297,12 +297,14 @@ def membership(ds: Dataset, n_tests: int | None = None, seed: int | str = 0,
     if n_tests is not None:
         asked = asked.filter(F.col(POS) < n_tests)
         mirrored = mirrored.filter(F.col("trial") < n_tests)
-    even = replace_values(ds, n_swapped, f"{seed}|sample", asked.filter(F.col(POS) % 2 == 0), parity=parity)
-    other = replace_values(ds, n_swapped, f"{seed}|mirror", mirrored, parity=parity)
-    altered = even.select(
-        POS, F.col("altered"), row_text(even, ds.columns, separators, widened=ds.widened).alias("changed"))
-    mirror_no = other.select(
-        F.col(POS).alias("_m"), row_text(other, ds.columns, separators, widened=ds.widened).alias("no_text"))
+    both = asked.filter(F.col(POS) % 2 == 0).drop("trial").withColumn("_role", F.lit("sample")).unionByName(
+        mirrored.drop("trial").withColumn("_role", F.lit("mirror")))
+    # the rows asked about and the examples are altered in one go
+    changed = replace_values(ds, n_swapped, seed, both, parity=parity)
+    changed = changed.select(
+        POS, "_role", "altered", row_text(changed, ds.columns, separators, widened=ds.widened).alias("changed"))
+    altered = changed.filter("_role = 'sample'").drop("_role")
+    mirror_no = changed.filter("_role = 'mirror'").select(F.col(POS).alias("_m"), F.col("changed").alias("no_text"))
     mirror_yes = mirrored.select(
         F.col(POS).alias("_m"), "trial",
         row_text(mirrored, ds.columns, separators, widened=ds.widened).alias("yes_text"))
@@ -311,7 +313,7 @@ def membership(ds: Dataset, n_tests: int | None = None, seed: int | str = 0,
         .join(altered, POS, "left")
         .join(mirror_yes.join(mirror_no, "_m").drop("_m"), F.col(POS) == F.col("trial"))
     )
-    is_no = F.col("altered").isNotNull() if parity else F.coalesce("altered", F.lit(False))
+    is_no = F.col("altered").isNotNull()
     example = F.concat("yes_text", F.lit("\nAnswer: Yes\n"), "no_text", F.lit("\nAnswer: No\n"))
     prompt = fill_template(
         templates.MEMBERSHIP, dname=ds.name, example=example,

@@ -8,9 +8,9 @@ from tests.helpers import dataset_of
 
 @pytest.fixture(scope="module")
 def grid(spark):
-    """A dataset that holds most combinations of its values."""
-    cells = [(a, b, c) for a in "uvw" for b in range(4) for c in (1.5, 2.5)]
-    return dataset_of(spark, cells[:-3] * 2, "a string, b int, c double")
+    """A dataset that holds half of the combinations of its values, and of any two columns' values."""
+    cells = [(a, b, c + 0.5) for i, a in enumerate("uvw") for b in range(4) for c in range(2) if (i + b + c) % 2]
+    return dataset_of(spark, cells * 2, "a string, b int, c double")
 
 
 def rows(df, *columns):
@@ -38,8 +38,29 @@ def test_same_rows_for_any_partitioning(spark, grid):
 
 def test_a_full_table_cannot_be_altered(spark):
     full = dataset_of(spark, [(a, b) for a in "xy" for b in "xy"], "a string, b string")
-    out = perturb.replace_values(full, 1, 0, max_tries=4)
-    assert rows(out, "a", "b") == rows(full.df, "a", "b") and not out.filter("altered").count()
+    with pytest.raises(ValueError, match="every combination"):
+        perturb.replace_values(full, 1, 0).collect()
+
+
+def test_a_nearly_full_table_is_altered_completely(spark):
+    cells = [(a, b, c) for a in range(6) for b in range(6) for c in range(6)]
+    ds = dataset_of(spark, cells[1:], "a int, b int, c int")
+    lone = ds.df.filter("a = 0 AND b = 0 AND c = 1")  # only c = 0 is free
+    usable = ["a", "b", "c"]
+    reached = [s for s in range(40) if lone.select(perturb._chosen(ds, usable, 1, s)).first()[0] == ["c"]]
+    out = perturb.replace_values(ds, 1, reached[0], lone).collect()
+    assert [(r.a, r.b, r.c, r.altered) for r in out] == [(0, 0, 0, True)]
+
+
+def test_a_value_most_rows_hold_is_replaced_by_the_others_as_often_as_they_occur(spark):
+    n = 3000
+    values = [0 if i % 10 else 1 + (i // 10) % 10 // 7 for i in range(n)]  # 90 % 0, 7 % 1, 3 % 2
+    ds = dataset_of(spark, [(v, i) for i, v in enumerate(values)], "v int, i int")
+    only = ds.df.filter("v = 0")
+    # both columns are altered: two of two usable ones
+    new = [r.v for r in perturb.replace_values(ds, 2, 3, only).select("v").collect()]
+    assert len(new) == 2700 and new.count(0) < 0.15 * len(new)  # 0 comes back in further tries only
+    assert abs(new.count(1) / (new.count(1) + new.count(2)) - 0.7) < 0.04
 
 
 def test_missing_values(spark):
@@ -53,8 +74,8 @@ def test_missing_values(spark):
 
 
 def test_constant_columns_are_left_alone(spark):
-    ds = dataset_of(spark, [(i, "k") for i in range(10)], "a int, b string")
-    assert {r.b for r in perturb.replace_values(ds, 2, 0).collect()} == {"k"}
+    ds = dataset_of(spark, [(i, i % 2, "k") for i in range(10)], "a int, b int, c string")
+    assert {r.c for r in perturb.replace_values(ds, 2, 0).collect()} == {"k"}
     with pytest.raises(ValueError):
         perturb.replace_values(dataset_of(spark, [("k",)] * 3, "a string"), 1, 0)
 
