@@ -706,13 +706,15 @@ def oracle_sql() -> dict[str, str]:
         select feature, value, not {in_lexicon('value')} as outside from ({values('part', ['p_name', 'p_brand'])})),
       turns as (select {TURN} as key, text from conversations where role = 'assistant'),
       planted as (select key, text || chr(10) || replace(p_name, ' ', '_') || ', ' || p_brand as text from turns join part
-        on p_partkey = {draw_int("'plant'", 'key')} % (select count(*) from part)),
+        on p_partkey = {draw_int("'plant'", 'key')} % (select count(*) from part)
+        union all select cast(doc_id as varchar), text from documents),
       looked as (select key, feature, outside, {word_check('lower(value)', 'lower(text)')} as hit from planted cross join words),
       counted as (select key, feature, count(*) as n_expected, count_if(outside) as n_out, count_if(hit) as n_hit,
         count_if(hit and outside) as n_out_hit from looked group by all)
       select key || '|' || feature as probe_id, 'text' as model, n_expected,
         case when n_out > 0 then n_out_hit else n_hit end as n_found,
-        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted"""
+        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted
+      union all select key || '|no such', 'text', 0, 0, true from planted"""
     q["decide_completion"] = f"""with {row_verdicts(completion_full('part'), {NAMES['part']: COLUMNS['part']}, FULL_LINE)}
       select {VERDICT} from verdicts"""
     q["decide_completion_feature"] = f"""with {row_verdicts(completion_feature('orders'), {NAMES['orders']: ['o_totalprice']}, FIRST_LINE)}
@@ -793,7 +795,8 @@ def oracle_sql() -> dict[str, str]:
       counted as (select doc_id, list_name, count(*) as n_expected, count_if(outside) as n_out, count_if(hit) as n_hit,
         count_if(hit and outside) as n_out_hit from looked group by all)
       select doc_id, list_name, n_expected, case when n_out > 0 then n_out_hit else n_hit end as n_found,
-        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted"""
+        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted
+      where case when n_out > 0 then n_out_hit else n_hit end > 0"""
     q["corpus_passage_scan"] = """select doc_id, item_id as passage_id from documents d join benchmark b on contains(d.text, b.text)"""
     q["corpus_passage_scan_pages"] = """with pieces as (select distinct passage from (
         select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark) where passage <> '')

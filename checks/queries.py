@@ -546,15 +546,17 @@ def decide_words_mixed(spark, d):
 
 @query
 def decide_words_by_join(spark, d):
-    """Every distinct part name asked of every assistant turn and every document, by join."""
+    """Every distinct part name and brand asked of every assistant turn and every document, by join;
+    a feature without values expects nothing."""
     ds = dataset(spark, d, "part")
     words = tag_lexicon(profile.feature_values(ds, ["p_name", "p_brand"]), lexicon(spark, d))
     turns = table(spark, d, "conversations").filter(F.col("role") == "assistant")
-    planted = _turns_with_parts(spark, d, turns)
+    planted = _turns_with_parts(spark, d, turns).unionByName(
+        table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
     asked = planted.select(
         F.col("key").alias("probe_id"), F.lit("text").alias("model"), F.col("text").alias("answer"),
         F.lit(ds.name).alias("dataset"),
-        F.explode(F.array(F.lit("p_name"), F.lit("p_brand"))).alias("feature"))
+        F.explode(F.array(F.lit("p_name"), F.lit("p_brand"), F.lit("no such"))).alias("feature"))
     asked = asked.withColumn("probe_id", F.concat("probe_id", F.lit("|"), "feature"))
     return decide.decide_words_long(asked, words)
 
@@ -805,7 +807,8 @@ def corpus_word_scan(spark, d):
 
 @query
 def corpus_word_scan_long(spark, d):
-    """Every word of the benchmark, and every part name, type and brand, in every document."""
+    """Every word of the benchmark, and every part name, type and brand, in every document; lists with a
+    hit."""
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value"))
     words = words.filter("value <> ''").distinct().select(
         F.lit("benchmark").alias("list_name"), "value", F.lit("string").alias("kind"))

@@ -80,7 +80,8 @@ def value_text(col: Column, dtype: T.DataType, widen: bool = False) -> Column:
     if isinstance(dtype, T.BooleanType):
         text = F.initcap(col.cast("string"))
     elif isinstance(dtype, T.FloatType):
-        text = F.when(F.isnan(col), F.lit(MISSING)).otherwise(col.cast("string"))
+        # the shortest text of a float is its own, not that of the double next to it
+        text = double_text(col.cast("string").cast("double"))
     elif isinstance(dtype, T.DoubleType):
         text = double_text(col)
     elif isinstance(dtype, T.IntegralType) and widen:

@@ -177,49 +177,109 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
     return reduce(DataFrame.unionByName, found)
 
 
-def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``scan_words`` for lists of any length: (key, list_name, n_found, n_expected, passed).
-
-    ``words`` is (list_name, value, kind, in_lexicon), one row per word. Words are passages of
-    the searched form of the text they belong to, so no list is ever one value.
-    """
-    word = F.lower(answers.needle(F.col("value")))
-    stack = F.when(F.contains(word, F.lit(".")), 1).when(F.contains(word, F.lit(" ")), 2).otherwise(0)
-    words = cut_lineage(words)  # read several times below
-    asked = words.filter("kind <> 'other'").withColumn("_w", word).withColumn("_stack", stack)
+def _entries(words: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(stack, passage, entry): what is looked for in which form of a text; an entry names the list and
+    the word, and tells whether the word is outside the lexicon."""
+    word = answers.needle(F.col("value"))
+    word = word if case_sensitive else F.lower(word)
+    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
+    asked = words.filter("kind <> 'other'").withColumn("_w", word)
+    stack = F.when(F.contains("_w", F.lit(".")), 1).when(F.contains("_w", F.lit(" ")), 2).otherwise(0)
     forms = F.when(
         F.contains("_w", F.lit("_")), F.array("_w", F.replace("_w", F.lit("_"), F.lit(" ")))
     ).otherwise(F.array("_w"))
-    asked = asked.withColumn("passage", F.explode(forms))
+    entry = F.struct(
+        F.xxhash64("list_name").alias("list"), F.xxhash64("list_name", "value").alias("word"), outside.alias("outside"))
+    return asked.select(stack.alias("stack"), F.explode(forms).alias("passage"), entry.alias("entry")).distinct()
+
+
+def _span_entries(spans: DataFrame, entries: DataFrame) -> DataFrame:
+    """(stack, span, entries): the words inside each different run of characters of the texts.
+
+    Words and runs meet on the run of a word's letters that fewest words share, and are verified. A
+    run has as many entries as words fit into it, however many texts it is in.
+    """
+    vocabulary = spans.select("stack", F.explode("spans").alias("span")).distinct()
+    short = entries.withColumn("n", F.least(F.length("passage"), F.lit(LETTERS)))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most LETTERS numbers
+    passages = short.select("stack", "passage", "n").distinct()
+    grams = reduce(DataFrame.unionByName, [_letter_grams(passages.filter(F.col("n") == n), "passage", n) for n in lengths])
+    shared = grams.groupBy("stack", "gram").agg(F.count("*").alias("shared"))
+    anchors = grams.join(shared, ["stack", "gram"]).groupBy("stack", "passage").agg(
+        F.min_by("gram", F.struct("shared", "gram")).alias("gram"))
+    inside = reduce(DataFrame.unionByName, [_letter_grams(vocabulary, "span", n) for n in lengths])
+    met = inside.join(anchors, ["stack", "gram"]).filter(F.contains("span", "passage"))
+    return met.select("stack", "span", "passage").join(entries, ["stack", "passage"]).groupBy("stack", "span").agg(
+        F.collect_set("entry").alias("entries"))
+
+
+def words_found(texts: DataFrame, words: DataFrame, key: str, text: str = "text",
+                case_sensitive: bool = False) -> DataFrame:
+    """(key, list, n_hit, n_outside_hit): how many words of each list occur in each text, for lists with
+    any; ``list`` is the hash of its name.
+
+    The texts are read and cut into runs of characters once. Words without white space go by the
+    vocabulary of runs, the few others by the passage scan. What travels is a text's runs, and one
+    set of entries per text and task, never a row per text and word.
+    """
+    entries = cut_lineage(_entries(words, case_sensitive))
+    spaced = F.col("passage").rlike(r"\s")
+    stacks = sorted(r["stack"] for r in entries.select("stack").distinct().collect())  # at most three numbers
+    forms = answers.haystacks(F.col(text), case_sensitive)
     hits = []
-    for i in range(3):
-        mine = asked.filter(F.col("_stack") == i)
-        searched = texts.select(key, F.get(answers.haystacks(F.col(text)), F.lit(i)).alias("_text"))
+    single = entries.filter(~spaced & (F.col("passage") != ""))
+    if not single.isEmpty():
+        spans = cut_lineage(texts.select(key, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("stack"), F.array_distinct(F.split(F.get(forms, F.lit(i)), r"\s+")).alias("spans"))
+            for i in stacks]))))
+        found = cut_lineage(_span_entries(spans, single))
+        hits.append(spans.select(key, "stack", F.explode("spans").alias("span")).join(found, ["stack", "span"])
+                    .select(key, F.explode("entries").alias("entry")))
+    for i in stacks:
+        mine = entries.filter(spaced & (F.col("stack") == i))
         if mine.isEmpty():
             continue
+        searched = texts.select(key, F.get(forms, F.lit(i)).alias("_text"))
         passages = mine.select(F.md5("passage").alias("passage_id"), "passage").distinct()
         met = scan_passages(searched, passages, key, "_text")
-        hits.append(met.join(
-            mine.withColumn("passage_id", F.md5("passage")).drop("passage"), "passage_id"
-        ).select(key, "list_name", "value", "kind", "in_lexicon"))
-    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
+        hits.append(met.join(mine.select(F.md5("passage").alias("passage_id"), "entry"), "passage_id").select(key, "entry"))
     if not hits:
-        hits.append(texts.filter(F.lit(False)).select(key, *[F.lit("").alias(c) for c in (
-            "list_name", "value", "kind")], F.lit(True).alias("in_lexicon")))
-    found = reduce(DataFrame.unionByName, hits).distinct().groupBy(key, "list_name").agg(
-        F.count("*").alias("n_hit"), F.count_if(outside).alias("n_outside_hit"))
-    sizes = words.groupBy("list_name").agg(
+        return texts.filter(F.lit(False)).select(
+            key, F.lit(0).cast("bigint").alias("list"), F.lit(0).cast("bigint").alias("n_hit"),
+            F.lit(0).cast("bigint").alias("n_outside_hit"))
+    # one set per text and task is shuffled; the counts need no further shuffle
+    sets = reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.collect_set("entry").alias("entries"))
+    return sets.select(key, F.inline("entries")).groupBy(key, "list").agg(
+        F.count("*").alias("n_hit"), F.count_if("outside").alias("n_outside_hit"))
+
+
+def list_sizes(words: DataFrame) -> DataFrame:
+    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
+    return words.groupBy("list_name").agg(
         F.count("*").alias("n_expected"), F.count_if(outside).alias("n_outside"),
-        F.count_if(F.col("kind") == "other").alias("n_other"))
-    names = sizes.agg(F.collect_list(F.struct("list_name", "n_expected", "n_outside", "n_other"))).scalar()
-    grid = texts.select(key, names.alias("l")).select(key, F.inline("l"))
-    n_hit, n_outside_hit = (F.coalesce(c, F.lit(0)) for c in ("n_hit", "n_outside_hit"))
-    any_rule = F.col("n_outside") > 0
-    n_found = F.when(any_rule, n_outside_hit).otherwise(n_hit + F.col("n_other"))
-    return grid.join(found, [key, "list_name"], "left").select(
-        key, "list_name", n_found.alias("n_found"), "n_expected",
-        F.when(any_rule, n_found > 0).otherwise(n_found == F.col("n_expected")).alias("passed"),
-    )
+        F.count_if(F.col("kind") == "other").alias("n_other")).withColumn("list", F.xxhash64("list_name"))
+
+
+def word_rule() -> tuple[Column, Column]:
+    """(n_found, passed) from the hits and the size of a list: any word outside the lexicon, or all words."""
+    n_hit, n_outside_hit, n_other, n_expected = (
+        F.coalesce(c, F.lit(0)) for c in ("n_hit", "n_outside_hit", "n_other", "n_expected"))
+    any_rule = F.coalesce("n_outside", F.lit(0)) > 0
+    n_found = F.when(any_rule, n_outside_hit).otherwise(n_hit + n_other)
+    return n_found, F.when(any_rule, n_found > 0).otherwise(n_found == n_expected)
+
+
+def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``scan_words`` for lists of any length and number: (key, list_name, n_found, n_expected, passed), for
+    lists of which a text holds any word.
+
+    ``words`` is (list_name, value, kind, in_lexicon), one row per word; no list is ever one value.
+    """
+    words = cut_lineage(words)  # read several times below
+    sizes = cut_lineage(list_sizes(words))
+    n_found, passed = word_rule()
+    return words_found(texts, words, key, text).join(sizes, "list").select(
+        key, "list_name", n_found.alias("n_found"), "n_expected", passed.alias("passed")).filter("n_found > 0")
 
 
 def scan_row_texts(texts: DataFrame, rows: DataFrame, key: str, text: str = "text",

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowecho.functions import answers
+from rowecho.operators import corpus
 from rowecho.plans import templates
+from rowecho.sources.lineage import cut_lineage
 
 EXPECTED_TYPE = (
     "array<struct<name:string,value:string,kind:string,in_lexicon:boolean,as_integer:string>>"
@@ -25,12 +27,14 @@ CLASSIFICATION_RULES = ("yes_no", "class_name", "class_digit")
 
 def join_responses(probes: DataFrame, responses: DataFrame, models: Sequence[str],
                    echoing: Sequence[str] = ()) -> DataFrame:
-    """Every probe for every model with its output; a missing response is an empty output.
+    """Every probe for every model with its output; a missing response is an empty output, and of
+    several responses of a model to a probe the first in text order counts.
 
     The model list is a short literal, so the grid is an explode and needs no join.
     """
     grid = probes.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    joined = grid.join(responses.select("probe_id", "model", "output"), ["probe_id", "model"], "left")
+    single = responses.groupBy("probe_id", "model").agg(F.min("output").alias("output"))
+    joined = grid.join(single, ["probe_id", "model"], "left")
     return joined.withColumn("output", F.coalesce("output", F.lit(""))).withColumn(
         "echoes", F.col("model").isin(*echoing) if echoing else F.lit(False)
     )
@@ -130,38 +134,24 @@ def matches_text(matches: Column) -> Column:
     )
 
 
-def decide_words_long(responses: DataFrame, words: DataFrame, case_sensitive: bool = False,
-                      slices: int = 64) -> DataFrame:
-    """The word rule for lists of any length, with one row per (probe, word).
+def decide_words_long(responses: DataFrame, words: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """The word rule for lists of any length.
 
     ``responses`` is (probe_id, model, answer, dataset, feature), ``words`` is (dataset, feature,
-    value, kind, in_lexicon). A feature's words are cut into ``slices`` by hash and its few
-    responses are repeated per slice, so one long list is worked on by many tasks; counting is
-    combined before the shuffle and no list is ever one value.
+    value, kind, in_lexicon), one row per word. Words are looked up in the vocabulary of the answers, so
+    no answer meets the words it does not hold. A feature without words expects nothing, and its
+    responses pass.
     """
-    prepared = responses.withColumn(
-        "_stacks", answers.haystacks(F.col("answer"), case_sensitive)
-    ).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = words.withColumn("_slice", F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int"))
-    pairs = prepared.join(sliced, ["dataset", "feature", "_slice"])
-    found = answers.word_found(F.col("_stacks"), answers.needle(F.col("value")), case_sensitive)
-    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
-    counted = pairs.select(
-        "probe_id", "model", outside.alias("outside"),
-        F.when(F.col("kind") == "other", F.lit(True)).otherwise(found).alias("found"),
-    ).groupBy("probe_id", "model").agg(
-        F.count("*").alias("n_expected"),
-        F.count_if("outside").alias("n_outside"),
-        F.count_if("found").alias("n_all_found"),
-        F.count_if(F.col("outside") & F.col("found")).alias("n_outside_found"),
-    )
-    any_rule = F.col("n_outside") > 0
-    return counted.select(
-        "probe_id", "model", "n_expected",
-        F.when(any_rule, F.col("n_outside_found")).otherwise(F.col("n_all_found")).alias("n_found"),
-        F.when(any_rule, F.col("n_outside_found") > 0)
-        .otherwise(F.col("n_all_found") == F.col("n_expected")).alias("passed"),
-    )
+    named = F.concat_ws("\n", "dataset", "feature").alias("list_name")
+    words = cut_lineage(words.select(named, "value", "kind", "in_lexicon"))
+    asked = cut_lineage(responses.select(
+        F.struct("probe_id", "model").alias("key"), "answer", F.xxhash64(F.concat_ws("\n", "dataset", "feature")).alias("list")))
+    found = corpus.words_found(asked.select("key", "answer"), words, "key", "answer", case_sensitive)
+    n_found, passed = corpus.word_rule()
+    return asked.select("key", "list").join(corpus.list_sizes(words), "list", "left").join(
+        found, ["key", "list"], "left").select(
+        "key.probe_id", "key.model", F.coalesce("n_expected", F.lit(0)).alias("n_expected"),
+        n_found.alias("n_found"), passed.alias("passed"))
 
 
 def score_prompts(probes: DataFrame, model: str, fn) -> DataFrame:

@@ -238,7 +238,8 @@ def values_from_examples(
                 F.col(POS) < F.greatest(n, F.lit(1)))
         else:
             source = source.withColumn("_o", F.col(POS)).withColumn(
-                "_block", F.when(n > 0, F.floor(F.col(POS) / F.greatest(n, F.lit(1)))).otherwise(F.lit(0)))
+                "_block", F.when(n > 0, F.floor(F.col(POS) / F.greatest(n, F.lit(1)))).otherwise(F.lit(0))
+            ).filter((n > 0) | (F.col(POS) == 0))  # nothing to show: one probe, from one row
         shown = variant_texts(
             ds, variants, F.col("_block"), F.col("_o"), F.when(n > 0, value).alias("_v"),
             (n > 0).alias("_any"), df=source,

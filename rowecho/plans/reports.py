@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowecho.operators.reshape import flag_best, rank_models, scorecard_diff, side_by_side
 from rowecho.plans.templates import TEST_CATEGORIES
 
-# Tests that take no part in the contamination rate.
-OUTSIDE_RATE = ("membership", "incomplete_completion")
-
 
 def _lookup(values: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -73,8 +70,8 @@ def difference_grid(card: DataFrame, old: str, new: str, datasets: Sequence[str]
 
 
 def contamination_rate(card: DataFrame, hidden: Sequence[str] = ()) -> DataFrame:
-    """Passes over cells. Cells are counted with their empty ones."""
-    cells = card.filter(~F.col("test").isin(*OUTSIDE_RATE) & ~F.col("dataset").isin(*hidden))
+    """Passes over the cells of the tests in the grid. Cells are counted with their empty ones."""
+    cells = card.filter(F.col("test").isin(*TEST_CATEGORIES) & ~F.col("dataset").isin(*hidden))
     return cells.groupBy("model").agg(
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("passes"),
         F.count("*").alias("cells"),

@@ -197,12 +197,22 @@ def find_spec(name: str, registry: Iterable[DatasetSpec] = PUBLIC_DATASETS) -> D
 
 
 def read_table(spark: SparkSession, spec: DatasetSpec, root: str) -> DataFrame:
-    """The file as it is: explicit schema (no inference pass), header row matched by place."""
+    """The file as it is, with the spec's types (no inference pass). Columns are found by the header,
+    in whatever order; only a blank first header goes by its place. A column the header lacks is
+    an error."""
     path = f"{root.rstrip('/')}/{spec.path}"
     if spec.format != "csv":
         return spark.read.format(spec.format).load(path)
-    raw = spark.read.options(**{"enforceSchema": "true", **spec.options})
-    raw = raw.schema(spec.schema()).csv(path)
+    if spec.options.get("header") != "true":
+        raw = spark.read.options(**spec.options).schema(spec.schema()).csv(path)
+    else:
+        raw = spark.read.options(**{"inferSchema": "false", **spec.options}).csv(path)
+        wanted = spec.schema()
+        if raw.columns[0] == "_c0" and wanted.names[0] not in raw.columns:
+            raw = raw.withColumnRenamed("_c0", wanted.names[0])
+        if lacking := [n for n in wanted.names if n not in raw.columns]:
+            raise ValueError(f"{path} has no column {', '.join(lacking)}")
+        raw = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
     text = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
     return raw.withColumns({c: normalise_missing(F.col(f"`{c}`")) for c in text})
 
@@ -239,10 +249,12 @@ def prepare(df: DataFrame, spec: DatasetSpec, widened: tuple[str, ...] = (),
     return Dataset(spec, df, columns, widened)
 
 
-def spread(df: DataFrame, min_partitions: int) -> DataFrame:
-    """Repartition a scan that has fewer partitions than that: a few files without splits would
-    keep the other cores idle while rows become text. A scan with enough splits stays as it is."""
-    return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
+def spread(df: DataFrame, min_partitions: int, scan: DataFrame | None = None) -> DataFrame:
+    """Repartition what comes from a scan of fewer partitions than that: a few files without splits would
+    keep the other cores idle while rows become text. A scan with enough splits stays as it is.
+    ``scan`` is the bare scan under ``df``: counting its partitions runs nothing."""
+    few = (df if scan is None else scan).rdd.getNumPartitions() < min_partitions
+    return df.repartition(min_partitions) if few else df
 
 
 def load_dataset(
@@ -268,4 +280,4 @@ def load_dataset(
             flags = df.agg(*[F.bool_or(F.col(f"`{c}`").isNull()).alias(c) for c in integers])
             widened = tuple(c for c, has_null in flags.first().asDict().items() if has_null)
     ds = prepare(df, spec, widened, positions)
-    return ds if min_partitions is None else replace(ds, df=spread(ds.df, min_partitions))
+    return ds if min_partitions is None else replace(ds, df=spread(ds.df, min_partitions, df))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,22 +10,23 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; only a local session without one (a test run) gets a
-    folder of its own."""
-    context = spark.sparkContext
+    """The shared folder the session names; where it names none, one in its warehouse, which driver
+    and executors share by definition."""
     folder = (
         spark.conf.get(CHECKPOINT_SETTING, None)
-        or context.getConf().get(CHECKPOINT_SETTING)
-        or context.getCheckpointDir()
+        or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between_jobs"
     )
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rowecho-"))
-        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a folder when it ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame once and go on from the written table.
 
@@ -37,5 +37,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     names = df.columns
     df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     written = df.sparkSession.read.parquet(path)
     return written.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

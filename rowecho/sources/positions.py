@@ -6,6 +6,7 @@ dataset therefore carries ``_pos``, dense from 0.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowecho.functions.draws import draw_key
@@ -20,27 +21,32 @@ _BUCKET_DIGITS = 4  # 65,536 hash buckets
 def with_positions(df: DataFrame, key: str | None = None) -> DataFrame:
     """Add ``_pos``: from a dense 0-based ``key`` column (free), else from file order.
 
-    File order needs no global sort: one narrow pass counts the rows of each scan task, the
-    counts become start offsets, and a row's position is its task's offset plus its place in
-    the task. The offset table has one row per scan task and is what gets broadcast. Use it
-    directly on a file scan, whose splits are the same in both passes.
+    File order is that of the files' paths, and inside a file that of its bytes, however Spark packs
+    splits into tasks. It needs no global sort: one narrow pass counts the rows of each split, the
+    counts become start offsets, and a row's position is its split's offset plus its place in
+    the split. The offset table has one row per split and is what gets broadcast. Use it directly
+    on a file scan, whose splits are the same in both passes; a frame that is none is numbered by
+    its partitions.
     """
     if key is not None:
         return df.withColumn(POS, F.col(key).cast("bigint"))
-    numbered = df.withColumn("_id", F.monotonically_increasing_id())
-    task = F.shiftright(F.col("_id"), _ROW_BITS)
-    counts = numbered.groupBy(task.alias("_task")).agg(F.count("*").alias("_rows"))
-    # one row per scan task: bounded by the number of input splits, not by their rows
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    try:
+        split = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+        numbered = df.select("*", *split, F.monotonically_increasing_id().alias("_id"))
+    except AnalysisException:  # not a scan of files
+        identity = F.monotonically_increasing_id()
+        numbered = df.select("*", F.lit("").alias("_path"), F.shiftright(identity, _ROW_BITS).alias("_start"),
+                             identity.alias("_id"))
+    counts = numbered.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    # one row per split: bounded by the number of input splits, not by their rows
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        "_path", "_start", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    place = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        numbered.withColumn("_task", task)
-        .join(F.broadcast(offsets), "_task")
-        .withColumn(POS, F.col("_offset") + place)
-        .drop("_task", "_offset", "_id")
+        numbered.join(F.broadcast(offsets), ["_path", "_start"])
+        .withColumn(POS, F.col("_offset") + F.col("_id") - F.col("_first"))
+        .drop("_path", "_start", "_first", "_offset", "_id")
     )
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_scorecard(card: DataFrame, path: str, partition_by: Sequence[str] = ("model",)) -> None:
-    """Long scorecard; one folder per model, or per model and serialization variant."""
-    card.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Long scorecard; one folder per model, or per model and serialization variant. Folders of
+    other models stay as they are."""
+    _replace_folders(card, path, partition_by)
+
+
+def _replace_folders(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def write_scorecard_csv(wide: DataFrame, path: str) -> None:
@@ -19,10 +24,8 @@ def write_scorecard_csv(wide: DataFrame, path: str) -> None:
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
     """Detail log: one row per probe and model, with the matches as a map. Rows stay in the
-    partitions that decided them; nothing is shuffled for the write."""
-    (
-        verdicts.withColumn(
-            "matches", F.when(F.col("matches").isNotNull(), F.map_from_entries(F.array_distinct("matches")))
-        )
-        .write.mode("overwrite").partitionBy("model", "test").parquet(path)
-    )
+    partitions that decided them; nothing is shuffled for the write. Logs of other models or tests
+    stay as they are."""
+    _replace_folders(verdicts.withColumn(
+        "matches", F.when(F.col("matches").isNotNull(), F.map_from_entries(F.array_distinct("matches")))
+    ), path, ("model", "test"))

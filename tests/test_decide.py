@@ -202,19 +202,19 @@ def test_long_lists_decide_like_arrays(spark):
     lists = {"f": [("alpha", "string", IN), ("beta gamma", "string", OUT), ("x_y", "string", OUT)],
              "g": [("alpha", "string", IN), ("true", "bool", IN), ("7", "other", IN)]}
     outputs = ["ALPHA true", "beta_gamma", "x y", "", "alpha"]
-    rows = [(f"{f}{i}", "m", f, o) for f in lists for i, o in enumerate(outputs)]
+    rows = [(f"{f}{i}", "m", f, o) for f in lists for i, o in enumerate(outputs)] + [("none", "m", "wordless", "alpha")]
     asked = spark.createDataFrame(rows, "probe_id string, model string, feature string, answer string")
     table = spark.createDataFrame(
         [("d", f, *w) for f, ws in lists.items() for w in ws],
         "dataset string, feature string, value string, kind string, in_lexicon boolean")
-    long = D.decide_words_long(asked.withColumn("dataset", F.lit("d")), table, slices=4)
+    long = D.decide_words_long(asked.withColumn("dataset", F.lit("d")), table)
     got = {r.probe_id: (r.passed, r.n_found) for r in long.collect()}
     want = {}
     for f, ws in lists.items():
         for i, o in enumerate(outputs):
             row = D.decide(joined(spark, o, D.WORDS, words(*ws))).first()
             want[f"{f}{i}"] = (row.passed, row.n_found)
-    assert got == want
+    assert got == want | {"none": (True, 0)}
 
 
 def test_prompt_hook(spark):
