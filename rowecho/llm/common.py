@@ -6,24 +6,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowecho.sources.lineage import checkpoint_folder, remove_at_end
+
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which
-    driver and executors share by definition."""
-    folder = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between_jobs"
-    )
-    return folder.rstrip("/")
+    return checkpoint_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    return path
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
