@@ -644,6 +644,23 @@ def oracle_sql() -> dict[str, str]:
     low_ctes = replace_ctes('x', 'part', low, 1, '0', 'select p_partkey from part', 12)
     q["perturb_until_new"] = f"with {low_ctes} select _pos, {pivot('x', 'part', low)}, true as altered from x_done group by _pos"
     q["perturbed_not_in_dataset"] = "select count(*) as n, cast(0 as bigint) as n_members from part"
+    skewed = replace_ctes('x', 'orders', ['o_orderkey', 'o_custkey', 'o_orderstatus'], 1, '7', 'select o_orderkey from orders', 3)
+    q["perturb_skewed"] = f"""with skewed as (select o_orderkey, o_custkey, case when o_orderkey % 10 = 0 then o_orderpriority else 'none' end
+        as o_orderstatus from orders), {skewed.replace('from orders', 'from skewed')}
+      select _pos, {pivot('x', 'orders', ['o_orderkey', 'o_custkey', 'o_orderstatus'])}, true as altered from x_done group by _pos"""
+    q["decide_values_long"] = f"""with names as (select c_custkey as p, c_name as n from customer),
+      different as (select distinct n from names), blocks as (select distinct p // 3 as trial from names),
+      asked as (select trial, unnest(range(0, trial % 4 + 1)) as i from blocks where trial % 4 <> 3),
+      picked as (select trial, case when i = 0 then trial * 3
+        else {draw_int("'name'", 'trial', 'i')} % (select count(*) from names) end as p from asked),
+      outputs as (select trial, lower(string_agg(n, ', ' order by n)) as o from picked join names using (p) group by trial),
+      known as (select distinct p // 3 as trial, n from names),
+      hits as (select trial, count(*) as n_found from outputs join different d on contains(o, lower(n))
+        where (trial, n) not in (select trial, n from known) group by trial),
+      sizes as (select trial, (select count(*) from different) - count(*) as n_expected from known group by trial)
+      select {probe_id('feature_values_inf', 'customer', "'c_name'", 'trial')} as probe_id, trial,
+        coalesce(n_found, 0) > 0 as passed, coalesce(n_found, 0) as n_found, n_expected
+      from sizes left join hits using (trial)"""
     q["row_membership"] = """with mixed as (select p_partkey as _pos, p_name, p_brand,
         case when p_partkey % 2 = 0 then coalesce(lead(p_type) over (order by p_partkey), p_type) else p_type end as p_type from part)
       select _pos, p_name, p_brand, p_type,

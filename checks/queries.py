@@ -66,6 +66,7 @@ def show_probes(probes: DataFrame) -> DataFrame:
 
 
 def decided(probes: DataFrame) -> DataFrame:
+    probes = cut_lineage(probes)  # read by the stand-in responses and by the join
     return decide.decide(decide.join_responses(probes, respond(probes), MODELS, ECHOING))
 
 
@@ -108,8 +109,9 @@ def usable_columns(spark, d):
     """Columns with more than one value."""
     parts = []
     for a in (*DATASETS, "lineitem"):
-        features = profile.dataset_features(dataset(spark, d, a))
-        parts.append(features.filter("n_distinct > 1").select("dataset", "feature"))
+        ds = dataset(spark, d, a)
+        usable, _, _ = profile.varying_columns(ds)
+        parts.append(profile.feature_list(ds).filter(F.col("feature").isin(usable)).select("dataset", "feature"))
     return union(parts)
 
 
@@ -140,7 +142,7 @@ def trailing_feature_values(spark, d):
 def skip_rules(spark, d):
     """Feature grid without id columns, models and trials spread by literals."""
     specs = [dataset(spark, d, a) for a in DATASETS]
-    features = union(profile.dataset_features(ds) for ds in specs).select("dataset", "feature", "n_rows")
+    features = union(profile.feature_list(ds) for ds in specs).select("dataset", "feature", "n_rows")
     rules = spark.createDataFrame(
         [(ds.name, f) for ds in specs for f in ds.spec.id_features], "dataset string, feature string")
     kept = rows.without_pairs(features, rules, ["dataset", "feature"])
@@ -212,7 +214,7 @@ def random_row_per_trial(spark, d):
 
 @query
 def random_columns(spark, d):
-    features = union(profile.dataset_features(dataset(spark, d, a)) for a in DATASETS)
+    features = union(profile.feature_list(dataset(spark, d, a)) for a in DATASETS)
     picked = rows.random_columns(features, 3, 5, 0)
     return picked.join(features.select("dataset", "feature", "n_rows"), ["dataset", "feature"])
 
@@ -369,7 +371,7 @@ def probe_description(spark, d):
 
 def _features(spark, d, alias):
     ds = dataset(spark, d, alias)
-    return ds, profile.dataset_features(ds)
+    return ds, profile.feature_list(ds)
 
 
 @query
@@ -508,7 +510,7 @@ def _lexicon_subjects(spark, d) -> DataFrame:
     parts = []
     for a in DATASETS:
         ds = dataset(spark, d, a)
-        names = profile.dataset_features(ds).select(
+        names = profile.feature_list(ds).select(
             "dataset", F.lit("(columns)").alias("feature"), F.col("feature").alias("value"),
             F.lit("string").alias("kind"))
         values = profile.feature_values(ds, ds.spec.value_features)
@@ -572,6 +574,40 @@ def _turns_with_parts(spark, d, turns) -> DataFrame:
                         F.lit(", "), F.col("p_brand")).alias("text"))
 
 
+def _names_with_answers(spark, d):
+    """Customer names asked for block by block, with answers that name some drawn customers and a known one."""
+    ds = only(dataset(spark, d, "customer"), "c_name")
+    words = tag_lexicon(profile.feature_values(ds, ["c_name"]), lexicon(spark, d))
+    probes = cut_lineage(P.values_from_examples(ds, cut_lineage(profile.value_lists(words, 100)), ["c_name"], 3, "all"))
+    drawn = probes.filter("trial % 4 <> 3").select("probe_id", "trial", F.explode(F.sequence(F.lit(0), F.col("trial") % 4)).alias("i"))
+    picked = drawn.withColumn(POS, F.when(F.col("i") == 0, F.col("trial") * 3).otherwise(
+        draw_position(sampling.row_count(ds.df), "name", F.col("trial"), F.col("i"))))
+    outputs = picked.join(ds.df, POS).groupBy("probe_id").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ", ").alias("output"))
+    return probes, outputs.withColumn("model", F.lit("m")), words
+
+
+@query
+def decide_values_long(spark, d):
+    """Values of a feature that has too many to travel with a probe, through the standard run."""
+    probes, outputs, words = _names_with_answers(spark, d)
+    verdicts, _ = runs.run(probes, outputs, ["m"], words=words)
+    return verdicts.select("probe_id", "trial", "passed", "n_found", "n_expected")
+
+
+@query
+def perturb_skewed(spark, d):
+    """Altered rows of a table whose column holds one value on nine rows of ten."""
+    ds = _skewed(spark, d)
+    return perturb.replace_values(ds, 1, 7)
+
+
+def _skewed(spark, d) -> Dataset:
+    orders = only(dataset(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rare = F.col("o_orderkey") % 10 == 0
+    df = orders.df.select(POS, "o_orderkey", "o_custkey", F.when(rare, F.col("o_orderpriority")).otherwise(F.lit("none")).alias("o_orderstatus"))
+    return replace(orders, df=df, columns=("o_orderkey", "o_custkey", "o_orderstatus"))
+
+
 @query
 def decide_completion(spark, d):
     return show_verdicts(decided(P.completion_full(dataset(spark, d, "part"), 4, "all")))

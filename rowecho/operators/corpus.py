@@ -189,7 +189,8 @@ def _entries(words: DataFrame, case_sensitive: bool) -> DataFrame:
         F.contains("_w", F.lit("_")), F.array("_w", F.replace("_w", F.lit("_"), F.lit(" ")))
     ).otherwise(F.array("_w"))
     entry = F.struct(
-        F.xxhash64("list_name").alias("list"), F.xxhash64("list_name", "value").alias("word"), outside.alias("outside"))
+        F.xxhash64("list_name").alias("list"), F.xxhash64(F.xxhash64("list_name"), F.col("value")).alias("word"),
+        outside.alias("outside"))
     return asked.select(stack.alias("stack"), F.explode(forms).alias("passage"), entry.alias("entry")).distinct()
 
 
@@ -213,10 +214,10 @@ def _span_entries(spans: DataFrame, entries: DataFrame) -> DataFrame:
         F.collect_set("entry").alias("entries"))
 
 
-def words_found(texts: DataFrame, words: DataFrame, key: str, text: str = "text",
-                case_sensitive: bool = False) -> DataFrame:
-    """(key, list, n_hit, n_outside_hit): how many words of each list occur in each text, for lists with
-    any; ``list`` is the hash of its name.
+def entry_sets(texts: DataFrame, words: DataFrame, key: str, text: str = "text",
+               case_sensitive: bool = False) -> DataFrame:
+    """(key, entries): the words that occur in each text that holds any, as (list, word, outside), where
+    ``list`` is the hash of the list's name.
 
     The texts are read and cut into runs of characters once. Words without white space go by the
     vocabulary of runs, the few others by the passage scan. What travels is a text's runs, and one
@@ -244,20 +245,22 @@ def words_found(texts: DataFrame, words: DataFrame, key: str, text: str = "text"
         met = scan_passages(searched, passages, key, "_text")
         hits.append(met.join(mine.select(F.md5("passage").alias("passage_id"), "entry"), "passage_id").select(key, "entry"))
     if not hits:
-        return texts.filter(F.lit(False)).select(
-            key, F.lit(0).cast("bigint").alias("list"), F.lit(0).cast("bigint").alias("n_hit"),
-            F.lit(0).cast("bigint").alias("n_outside_hit"))
-    # one set per text and task is shuffled; the counts need no further shuffle
-    sets = reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.collect_set("entry").alias("entries"))
-    return sets.select(key, F.inline("entries")).groupBy(key, "list").agg(
-        F.count("*").alias("n_hit"), F.count_if("outside").alias("n_outside_hit"))
+        hits.append(texts.filter(F.lit(False)).select(
+            key, F.lit(None).cast(entries.schema["entry"].dataType).alias("entry")))
+    # one set per text and task is shuffled
+    return reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.collect_set("entry").alias("entries"))
+
+
+def list_parts() -> dict[str, Column]:
+    """What a word counts as: expected, outside the lexicon, not a text."""
+    return {"expected": F.lit(True), "outside": (F.col("kind") == "string") & ~F.col("in_lexicon"),
+            "other": F.col("kind") == "other"}
 
 
 def list_sizes(words: DataFrame) -> DataFrame:
-    outside = (F.col("kind") == "string") & ~F.col("in_lexicon")
     return words.groupBy("list_name").agg(
-        F.count("*").alias("n_expected"), F.count_if(outside).alias("n_outside"),
-        F.count_if(F.col("kind") == "other").alias("n_other")).withColumn("list", F.xxhash64("list_name"))
+        *[F.count_if(c).alias(f"n_{n}") for n, c in list_parts().items()]
+    ).withColumn("list", F.xxhash64("list_name"))
 
 
 def word_rule() -> tuple[Column, Column]:
@@ -278,7 +281,10 @@ def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "t
     words = cut_lineage(words)  # read several times below
     sizes = cut_lineage(list_sizes(words))
     n_found, passed = word_rule()
-    return words_found(texts, words, key, text).join(sizes, "list").select(
+    # counted where the sets are: grouping by text and list needs no further shuffle
+    counted = entry_sets(texts, words, key, text).select(key, F.inline("entries")).groupBy(key, "list").agg(
+        F.count("*").alias("n_hit"), F.count_if("outside").alias("n_outside_hit"))
+    return counted.join(sizes, "list").select(
         key, "list_name", n_found.alias("n_found"), "n_expected", passed.alias("passed")).filter("n_found > 0")
 
 

@@ -22,6 +22,7 @@ EXPECTED_TYPE = (
 
 # rules a probe can carry
 WORDS, NAMES, ROW, MEMBER, NONE = "words", "names", "row", "member", "none"
+WORDS_LONG = "words_long"  # the expected words are rows elsewhere; the probe holds those that are known
 CLASSIFICATION_RULES = ("yes_no", "class_name", "class_digit")
 
 
@@ -64,7 +65,8 @@ def _answer(parity: bool) -> Column:
 def decide(joined: DataFrame, parity: bool = False) -> DataFrame:
     """Verdicts of joined probes and responses, all tests in one pass.
 
-    ``matches`` lists the checked words, names or features with their outcome.
+    ``matches`` lists the checked words, names or features with their outcome. Probes of the rule
+    WORDS_LONG need their word table (``decide_all``) and fail here.
     """
     rule = F.col("rule")
     is_words = rule.isin(WORDS, NAMES)
@@ -114,6 +116,7 @@ def decide(joined: DataFrame, parity: bool = False) -> DataFrame:
             rule.isin(*CLASSIFICATION_RULES),
             answers.classification_passed(F.col("answer"), F.col("label"), rule),
         )
+        .when(rule == WORDS_LONG, F.raise_error(F.lit("words_long is decided with the word table: decide_all")).cast("boolean"))
     )
     return counted.select(
         "probe_id", "model", "test", "dataset", "feature", "trial", "serialization", "rule",
@@ -125,6 +128,21 @@ def decide(joined: DataFrame, parity: bool = False) -> DataFrame:
     ).filter(F.col("rule") != NONE)
 
 
+def decide_all(joined: DataFrame, words: DataFrame | None = None, parity: bool = False) -> DataFrame:
+    """``decide`` for probes of every rule. ``words`` (dataset, feature, value, kind, in_lexicon; one row per
+    word) has the lists that are too long to travel with a probe; their verdicts list no matches."""
+    if words is None:
+        return decide(joined, parity)
+    joined = cut_lineage(joined)
+    long = joined.filter(F.col("rule") == WORDS_LONG).withColumn("answer", _answer(parity)).withColumn(
+        "known", F.transform("expected", lambda e: e["value"]))
+    found = decide_words_long(long, words)
+    long = long.join(found, ["probe_id", "model"]).withColumn("matches", F.lit(None))
+    short = decide(joined.filter(F.col("rule") != WORDS_LONG), parity)
+    kinds = {f.name: f.dataType for f in short.schema}
+    return short.unionByName(long.select(*[F.col(c).cast(kinds[c]).alias(c) for c in short.columns]))
+
+
 def matches_text(matches: Column) -> Column:
     """``a=true;b=false`` in name order, for results that must be plain text."""
     return F.array_join(
@@ -137,21 +155,37 @@ def matches_text(matches: Column) -> Column:
 def decide_words_long(responses: DataFrame, words: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """The word rule for lists of any length.
 
-    ``responses`` is (probe_id, model, answer, dataset, feature), ``words`` is (dataset, feature,
-    value, kind, in_lexicon), one row per word. Words are looked up in the vocabulary of the answers, so
-    no answer meets the words it does not hold. A feature without words expects nothing, and its
-    responses pass.
+    ``responses`` is (probe_id, model, answer, dataset, feature) and, where a probe gives words away,
+    known (an array of them); ``words`` is (dataset, feature, value, kind, in_lexicon), one row per word. Words
+    are looked up in the vocabulary of the answers, so no answer meets the words it does not hold.
+    A feature without words expects nothing, and its responses pass.
     """
     named = F.concat_ws("\n", "dataset", "feature").alias("list_name")
     words = cut_lineage(words.select(named, "value", "kind", "in_lexicon"))
+    known = F.col("known") if "known" in responses.columns else F.array().cast("array<string>")
     asked = cut_lineage(responses.select(
-        F.struct("probe_id", "model").alias("key"), "answer", F.xxhash64(F.concat_ws("\n", "dataset", "feature")).alias("list")))
-    found = corpus.words_found(asked.select("key", "answer"), words, "key", "answer", case_sensitive)
+        F.struct("probe_id", "model").alias("key"), "answer", known.alias("known"),
+        F.xxhash64(F.concat_ws("\n", "dataset", "feature")).alias("list")))
+    # few words are given away by a probe: their marks come from the table
+    given = asked.select("key", "list", F.explode("known").alias("value")).join(
+        words.withColumn("list", F.xxhash64("list_name")).drop("list_name"), ["list", "value"]).groupBy("key", "list").agg(
+        *[F.count_if(c).alias(f"given_{n}") for n, c in corpus.list_parts().items()])
+    entries = corpus.entry_sets(asked.select("key", "answer"), words, "key", "answer", case_sensitive)
+    without = F.transform("known", lambda v: F.struct("list", v.alias("value")))
+    hashes = F.transform(without, lambda w: F.xxhash64(w["list"], w["value"]))
+    entries = entries.join(asked.select("key", "list", hashes.alias("skipped")), "key").select(
+        "key", "list", F.filter("entries", lambda e: (e["list"] == F.col("list")) & ~F.array_contains("skipped", e["word"]))
+        .alias("entries"))
+    hits = entries.select(
+        "key", "list", F.size("entries").alias("n_hit"),
+        F.size(F.filter("entries", lambda e: e["outside"])).alias("n_outside_hit"))
+    sized = asked.select("key", "list").join(corpus.list_sizes(words), "list", "left").join(
+        given, ["key", "list"], "left").join(hits, ["key", "list"], "left")
+    for n in corpus.list_parts():
+        sized = sized.withColumn(f"n_{n}", F.coalesce(f"n_{n}", F.lit(0)) - F.coalesce(f"given_{n}", F.lit(0)))
     n_found, passed = corpus.word_rule()
-    return asked.select("key", "list").join(corpus.list_sizes(words), "list", "left").join(
-        found, ["key", "list"], "left").select(
-        "key.probe_id", "key.model", F.coalesce("n_expected", F.lit(0)).alias("n_expected"),
-        n_found.alias("n_found"), passed.alias("passed"))
+    return sized.select("key.probe_id", "key.model", "n_expected", n_found.cast("bigint").alias("n_found"),
+                        passed.alias("passed"))
 
 
 def score_prompts(probes: DataFrame, model: str, fn) -> DataFrame:

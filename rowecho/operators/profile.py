@@ -55,6 +55,17 @@ def dataset_features(ds: Dataset, exact: bool = True) -> DataFrame:
     return one_row.select(F.inline(rows))
 
 
+def feature_list(ds: Dataset) -> DataFrame:
+    """One row per column: position, type and the number of rows (a metadata count on parquet). For
+    whoever needs names and their order, and no values."""
+    rows = F.array(*[
+        F.struct(F.lit(ds.name).alias("dataset"), F.lit(name).alias("feature"), F.lit(i).cast("bigint").alias("feature_pos"),
+                 F.lit(ds.dtype(name).simpleString()).alias("dtype"), F.col("n_rows"))
+        for i, name in enumerate(ds.columns)
+    ])
+    return ds.df.agg(F.count("*").alias("n_rows")).select(F.inline(rows))
+
+
 def varying_columns(ds: Dataset) -> tuple[list[str], int, dict[str, tuple]]:
     """Columns with more than one value, the row count, and two observed values per column.
 
@@ -106,17 +117,19 @@ def feature_values(ds: Dataset, features: Sequence[str]) -> DataFrame:
 
 
 def value_lists(values: DataFrame, limit: int) -> DataFrame:
-    """Expected words of each feature in first-seen order, for features with at most ``limit``
-    values. Longer lists are left as rows and decided by join (``decide_words_long``)."""
+    """(dataset, feature, n_values, words): expected words of each feature in first-seen order. Lists of
+    more than ``limit`` values stay rows: their ``words`` are null, and probes that ask for them are
+    decided against the rows (``decide_words_long``) with the same verdicts."""
     sizes = values.groupBy("dataset", "feature").agg(F.count("*").alias("n_values"))
     inline = values.join(sizes.filter(F.col("n_values") <= limit), ["dataset", "feature"])
-    return inline.groupBy("dataset", "feature", "n_values").agg(
+    arrays = inline.groupBy("dataset", "feature").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("first_pos", "value", "kind", "in_lexicon"))),
             lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"),
                                v["in_lexicon"].alias("in_lexicon")),
         ).alias("words")
     )
+    return sizes.join(arrays, ["dataset", "feature"], "left")
 
 
 def median_threshold(df: DataFrame, name: str, limit: int = 1_000_000) -> float | None:

@@ -17,7 +17,7 @@ from rowecho.functions.text import (
     EXEMPLAR_DEFAULT, ROW_DEFAULT, Separators, answer_text, fill_template, integer_text,
     name_list, row_text, text_block, value_text,
 )
-from rowecho.operators.decide import EXPECTED_TYPE, MEMBER, NAMES, NONE, ROW, WORDS
+from rowecho.operators.decide import EXPECTED_TYPE, MEMBER, NAMES, NONE, ROW, WORDS, WORDS_LONG
 from rowecho.operators.perturb import replace_values
 from rowecho.operators.rows import (
     column, first_per_class, mirror_position, random_columns, trailing_columns, without_given,
@@ -37,7 +37,7 @@ PROBE_COLUMNS = (
 )
 
 
-def _finish(df: DataFrame, ds: Dataset, test: str, rule: str, prompt: Column, *,
+def _finish(df: DataFrame, ds: Dataset, test: str, rule: Column | str, prompt: Column, *,
             feature: Column | None = None, trial: Column | None = None,
             label: Column | None = None, expected: Column | None = None,
             case_sensitive: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def _finish(df: DataFrame, ds: Dataset, test: str, rule: str, prompt: Column, *,
     out = df.select(
         F.lit(test).alias("test"), F.lit(ds.name).alias("dataset"), feature.alias("feature"),
         trial.cast("bigint").alias("trial"), F.col("serialization").cast("bigint").alias("serialization"),
-        "features_sep", prompt.alias("prompt"), F.lit(rule).alias("rule"), label.alias("label"),
+        "features_sep", prompt.alias("prompt"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"), label.alias("label"),
         expected.cast(EXPECTED_TYPE).alias("expected"),
         F.lit(case_sensitive).alias("case_sensitive"),
         F.lit(templates.MAX_NEW_TOKENS[test]).alias("max_new_tokens"),
@@ -191,6 +191,11 @@ def _list_words() -> Column:
     return F.transform("words", lambda w: _word(w["value"], w["kind"], w["in_lexicon"]))
 
 
+def _list_rule() -> Column:
+    """A list too long to travel is looked up where its values are."""
+    return F.when(F.col("words").isNull(), F.lit(WORDS_LONG)).otherwise(F.lit(WORDS))
+
+
 def values_uninformed(ds: Dataset, lists: DataFrame, categorical: bool = True,
                       give_name: bool = True) -> DataFrame:
     """All values of a feature. ``lists`` is ``value_lists`` of the asked features."""
@@ -202,7 +207,7 @@ def values_uninformed(ds: Dataset, lists: DataFrame, categorical: bool = True,
     }[categorical, give_name]
     prompt = fill_template(template, dname=ds.name if give_name else None, fname=F.col("feature"))
     mine = lists.filter(F.col("dataset") == ds.name)
-    return _finish(mine, ds, "feature_values_uninf", WORDS, prompt, feature=F.col("feature"),
+    return _finish(mine, ds, "feature_values_uninf", _list_rule(), prompt, feature=F.col("feature"),
                    expected=_list_words())
 
 
@@ -213,7 +218,7 @@ def values_from_examples(
     """Remaining values of a feature after some rows are shown.
 
     At most (distinct values - 1) rows are shown. The expected list is what the shown rows do
-    not give away; with ``parity`` the number of rows carries over to later features and the
+    not give away (of a list too long to travel the probe holds what they do give away); with ``parity`` the number of rows carries over to later features and the
     known values are those of the head even where random rows are shown. ``lists`` is read for
     every feature, so it should be a written table.
     """
@@ -251,10 +256,13 @@ def values_from_examples(
             head = ds.df.filter(F.col(POS) < n).agg(F.collect_set(value)).scalar()
             shown = shown.withColumn("known", head)
         asked = shown.withColumn("words", mine.filter(F.col("feature") == f).select("words").scalar())
-        expected = F.filter(_list_words(), lambda w: ~F.array_contains("known", w["value"]))
+        nothing = F.lit(None).cast("string")
+        given = F.transform("known", lambda v: _word(v, nothing, F.lit(None).cast("boolean")))
+        expected = F.when(F.col("words").isNull(), given).otherwise(
+            F.filter(_list_words(), lambda w: ~F.array_contains("known", w["value"])))
         prompt = fill_template(templates.VALUES_FROM_EXAMPLES, dname=ds.name, fname=F.lit(f),
                                serialization=F.col("shown"))
-        parts.append(_finish(asked, ds, "feature_values_inf", WORDS, prompt, feature=F.lit(f),
+        parts.append(_finish(asked, ds, "feature_values_inf", _list_rule(), prompt, feature=F.lit(f),
                              trial=F.col("_block"), expected=expected))
     out = parts[0]
     for part in parts[1:]:

@@ -8,27 +8,33 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from rowecho.functions.text import SERIALIZATIONS
-from rowecho.operators.decide import decide, join_responses
-from rowecho.operators.profile import dataset_features, feature_values, value_lists
+from rowecho.operators.decide import decide_all, join_responses
+from rowecho.operators.profile import feature_list, feature_values, value_lists
 from rowecho.operators.score import scorecard
 from rowecho.plans import probes as P
 from rowecho.sources.catalog import Dataset
 from rowecho.sources.lexicon import tag_lexicon
 from rowecho.sources.lineage import cut_lineage
 
-MAX_INLINE_VALUES = 1000
+MAX_INLINE_VALUES = 1000  # values that travel with a probe; longer lists are decided by ``value_words``
 
 
-def _lists(ds: Dataset, lexicon: DataFrame) -> DataFrame:
+def value_words(ds: Dataset, lexicon: DataFrame) -> DataFrame:
+    """(dataset, feature, value, kind, in_lexicon, ...): the values the dataset's probes ask for, one row each.
+    Lists too long to travel with a probe are decided by them (``run``)."""
+    return cut_lineage(tag_lexicon(feature_values(ds, ds.spec.value_features), lexicon))
+
+
+def _lists(ds: Dataset, lexicon: DataFrame, limit: int) -> DataFrame:
     """Expected value lists, written once: every value probe of the dataset reads them."""
-    words = tag_lexicon(feature_values(ds, ds.spec.value_features), lexicon)
-    return cut_lineage(value_lists(words, MAX_INLINE_VALUES))
+    return cut_lineage(value_lists(value_words(ds, lexicon), limit))
 
 
-def dataset_probes(ds: Dataset, lexicon: DataFrame, n_membership: int | None = 100) -> DataFrame:
-    """All probes of one dataset, in the sizes of the standard run. ``lexicon`` and the profile
-    are read by several parts, so they are written once."""
-    features = cut_lineage(dataset_features(ds, exact=False))
+def dataset_probes(ds: Dataset, lexicon: DataFrame, n_membership: int | None = 100,
+                   max_inline_values: int = MAX_INLINE_VALUES) -> DataFrame:
+    """All probes of one dataset, in the sizes of the standard run. ``lexicon`` is read by several
+    parts, so it should be a table."""
+    features = feature_list(ds)
     parts = [
         P.features_uninformed(ds, features, lexicon),
         P.features_informed(ds, features, lexicon, n_given=5, n_repeat=3),
@@ -39,7 +45,7 @@ def dataset_probes(ds: Dataset, lexicon: DataFrame, n_membership: int | None = 1
         P.membership(ds, n_membership),
     ]
     if ds.spec.value_features and not P.skipped(ds, "feature_values_uninf"):
-        lists = _lists(ds, lexicon)
+        lists = _lists(ds, lexicon, max_inline_values)
         parts.append(P.values_uninformed(ds, lists))
         parts.append(P.values_from_examples(ds, lists, ds.spec.value_features, 3, "random"))
     if ds.spec.completion_feature and not P.skipped(ds, "feature_completion"):
@@ -65,7 +71,7 @@ def serialization_probes(ds: Dataset, lexicon: DataFrame) -> DataFrame:
     ]
     if ds.spec.value_features and not P.skipped(ds, "feature_values_inf"):
         parts.append(P.values_from_examples(
-            ds, _lists(ds, lexicon), ds.spec.value_features, 3, variants=variants))
+            ds, _lists(ds, lexicon, MAX_INLINE_VALUES), ds.spec.value_features, 3, variants=variants))
     if ds.spec.completion_feature and not P.skipped(ds, "feature_completion"):
         parts.append(P.completion_feature(ds, ds.spec.completion_feature, 5, variants=variants))
     return reduce(DataFrame.unionByName, parts)
@@ -76,7 +82,9 @@ def classification_probes(ds: Dataset, n_tests: int | None = 100) -> DataFrame:
 
 
 def run(probes: DataFrame, responses: DataFrame, models: Sequence[str],
-        echoing: Sequence[str] = (), by_serialization: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, scorecard)."""
-    verdicts = decide(join_responses(probes, responses, models, echoing))
+        echoing: Sequence[str] = (), by_serialization: bool = False,
+        words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, scorecard). ``words`` (``value_words`` of the datasets, together) is needed where a feature
+    has more values than travel with a probe."""
+    verdicts = decide_all(join_responses(probes, responses, models, echoing), words)
     return verdicts, scorecard(verdicts, ("serialization",) if by_serialization else ())
