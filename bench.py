@@ -19,7 +19,8 @@ HEADLINE = (
     "probe_recognition", "probe_membership", "probe_completion_feature", "probe_classification_shots",
     "decide_words", "decide_completion_feature", "decide_classification", "answer_histogram",
     "scorecard_long", "lexicon_coverage", "corpus_word_scan", "corpus_word_scan_long",
-    "corpus_passage_scan", "corpus_row_text_scan",
+    "corpus_passage_scan", "corpus_row_text_scan", "probe_full_run", "decide_membership", "ranking",
+    "corpus_passage_scan_pages", "perturb_skewed", "decide_values_long",
 )
 
 

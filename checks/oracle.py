@@ -775,6 +775,24 @@ def oracle_sql() -> dict[str, str]:
     q["contamination_rate"] = f"""with {done}, {CARD} select model, sum(value) as passes, count(*) as cells, sum(value) / count(*) as rate
       from card where dataset <> 'customer orders' group by model"""
 
+    q["multi_model_grid"] = f"with {done}, {RATES} select test, cast(ord as bigint) as ord, {side} from rates join {CATEGORY} using (test) group by all"
+    q["difference_grid"] = q["scorecard_diff"].replace("select test, dataset, case", "select test, " + ", ".join(
+        f"max(case when dataset = {lit(n)} then diff end) as {x}" for n, x in DISPLAY.items()) + " from (select test, dataset, case") + ") group by test"
+    q["select_tests"] = f"""with {done}, {RATES} select model, test, dataset, value, category, cast(ord as bigint) as ord, shown
+      from rates join {CATEGORY} using (test) where category = 'memorization'"""
+    asked = "(values ('incomplete_completion', 1), ('full_completion', 1), ('recognition_ex', 1), ('feature_values_inf', 2), ('feature_completion', 5)) t(test, n)"
+    q["serialization_run"] = f"""select test, 'customer accounts' as dataset, cast({len(SERIALIZATIONS)} as bigint) as variants,
+      cast(2 as bigint) as models, cast(n * 2 * {len(SERIALIZATIONS)} as bigint) as n_trials from {asked}"""
+    q["serialization_report"] = """select unnest(['incomplete_completion', 'full_completion', 'recognition_ex', 'feature_values_inf',
+      'feature_completion']) as test, true as same"""
+    q["csv_scan"] = "select * from customer"
+    q["csv_semicolon"] = "select * from part"
+    q["csv_positions_many_files"] = "select o_orderkey as _pos, o_orderkey, o_orderstatus from orders"
+    q["scorecard_sink_two_models"] = q["scorecard_long"]
+    q["scorecard_files_roundtrip"] = q["scorecard_unpivot"].replace("test_name, '", "test_name as test, '")
+    q["verdict_log"] = f"""with {done} select model, test, dataset, count(*) as n, count_if(passed) as n_passed,
+      cast(sum(n_found) as bigint) as n_found from verdicts group by all"""
+
     a = completed_block("a", name_verdicts(recognition("customer", variants)))
     b = completed_block("b", row_verdicts(completion_feature("customer", variants), {NAMES["customer"]: ["c_name"]}, FIRST_LINE))
     q["serialization_grid"] = f"""with {a}, {b}, verdicts as (select * from a_verdicts union all select * from b_verdicts)

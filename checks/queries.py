@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -17,11 +18,12 @@ from rowecho.functions.text import (
 )
 from rowecho.operators import corpus, decide, members, perturb, profile, reshape, rows, sampling, score
 from rowecho.plans import probes as P, reports, runs, templates
-from rowecho.sources.catalog import Dataset, decode_by_table, decode_index
+from rowecho.sources import sinks
+from rowecho.sources.catalog import Dataset, DatasetSpec, decode_by_table, decode_index, load_dataset
 from rowecho.sources.lexicon import tag_lexicon
-from rowecho.sources.lineage import cut_lineage
+from rowecho.sources.lineage import cut_lineage, remove_at_end
 from rowecho.sources.positions import POS, seeded_shuffle, with_positions
-from rowecho.sources.results import accuracy_cell
+from rowecho.sources.results import accuracy_cell, read_scorecards
 
 Query = Callable[[SparkSession, str], DataFrame]
 VARIANTS = tuple(enumerate(SERIALIZATIONS))
@@ -807,6 +809,122 @@ def ranking(spark, d):
         {c: c.replace("-", "_") for c in out.columns})
 
 
+@query
+def multi_model_grid(spark, d):
+    grid = reports.multi_model_grid(_rates(spark, d), MODELS, list(DISPLAY))
+    return grid.select("test", F.col("ord").cast("bigint").alias("ord"), *[
+        F.col(f"`{m}:{n}`").alias(f"{m}_{DISPLAY[n]}") for m in MODELS for n in DISPLAY])
+
+
+@query
+def difference_grid(spark, d):
+    passes = _rates(spark, d).withColumn("value", (F.col("value") >= 0.3).cast("double"))
+    return reports.difference_grid(passes, *MODELS, list(DISPLAY)).withColumnsRenamed(DISPLAY)
+
+
+@query
+def select_tests(spark, d):
+    """The memorization tests in report order."""
+    return reports.select_tests(_rates(spark, d), "memorization").withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def _variant_card(spark, d) -> DataFrame:
+    """Scorecard of all tests that show rows, in every serialization variant."""
+    ds = dataset(spark, d, "customer")
+    probes = runs.serialization_probes(ds, cut_lineage(lexicon(spark, d)))
+    return cut_lineage(score.scorecard(decided(probes), ("serialization",)))
+
+
+@query
+def serialization_run(spark, d):
+    """All five tests in all variants."""
+    card = _variant_card(spark, d)
+    return card.groupBy("test", "dataset").agg(
+        F.count_distinct("serialization").alias("variants"), F.count_distinct("model").alias("models"),
+        F.sum("n_trials").alias("n_trials"))
+
+
+@query
+def serialization_report(spark, d):
+    """One model and one variant of them, as the report prints it."""
+    card = _variant_card(spark, d)
+    own = reshape.one_serialization(card, 1).filter("model = 'alpha'")
+    grid = reports.serialization_grid(card, "alpha", 1, list(DISPLAY))
+    return grid.join(own.groupBy("test").agg(F.sum("value").alias("total")), "test").select(
+        "test", (F.coalesce("customer accounts", F.lit(0.0)) == F.col("total")).alias("same"))
+
+
+# ---------------------------------------------------------------- files
+
+def _folder(spark, name: str) -> str:
+    """A folder for files in the warehouse that goes when the driver ends."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    return path
+
+
+def _csv_dataset(spark, d, alias: str, options: dict) -> Dataset:
+    """The table through CSV files, with their columns in the opposite order."""
+    source = table(spark, d, alias)
+    root = _folder(spark, "csv")
+    source.select(*reversed(source.columns)).write.options(**options).csv(f"{root}/{alias}")
+    columns = tuple((f.name, f.dataType.simpleString()) for f in source.schema)
+    spec = DatasetSpec(f"{alias} in files", alias, alias, alias, columns, options=options)
+    return load_dataset(spark, alias, root, (spec,), widen_integers=True, positions=False)
+
+
+@query
+def csv_scan(spark, d):
+    ds = _csv_dataset(spark, d, "customer", {"header": "true"})
+    return ds.df.select(*ds.columns)
+
+
+@query
+def csv_semicolon(spark, d):
+    ds = _csv_dataset(spark, d, "part", {"header": "true", "sep": ";"})
+    return ds.df.select(*ds.columns)
+
+
+@query
+def csv_positions_many_files(spark, d):
+    """Row positions over three folders of very unequal size, in the order of their names."""
+    path = _folder(spark, "parts")
+    key = F.col("o_orderkey")
+    part = F.when(key < 10, 0).when(key < 40, 1).otherwise(2)
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus", part.alias("part")).repartition("part").sortWithinPartitions(
+        "part", "o_orderkey").write.partitionBy("part").option("header", True).csv(path)
+    read = spark.read.option("header", True).schema("o_orderkey bigint, o_orderstatus string, part int").csv(path)
+    return with_positions(read).select(POS, "o_orderkey", "o_orderstatus")
+
+
+@query
+def scorecard_sink_two_models(spark, d):
+    """One model's scorecard written after the other's to the same place."""
+    card, path = cut_lineage(score.scorecard(_completed(spark, d))), _folder(spark, "cards")
+    for model in MODELS:
+        sinks.write_scorecard(card.filter(F.col("model") == model), path)
+    return spark.read.parquet(path)
+
+
+@query
+def scorecard_files_roundtrip(spark, d):
+    """Wide scorecards as one CSV file for each model, read back by their own headers."""
+    wide = cut_lineage(score.scorecard_wide(score.scorecard(_completed(spark, d)), DISPLAY))
+    files = {}
+    for model in MODELS:
+        files[model] = _folder(spark, "wide")
+        sinks.write_scorecard_csv(wide.filter(F.col("model") == model).drop("model"), files[model])
+    return read_scorecards(spark, files)
+
+
+@query
+def verdict_log(spark, d):
+    path = _folder(spark, "verdicts")
+    sinks.write_verdicts(_completed(spark, d), path)
+    return spark.read.parquet(path).groupBy("model", "test", "dataset").agg(
+        F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.sum("n_found").alias("n_found"))
+
+
 # ---------------------------------------------------------------- corpus scans
 
 def frequent_words(spark, d, k: int = 8) -> DataFrame:
