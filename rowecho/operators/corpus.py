@@ -12,7 +12,8 @@ from rowecho.sources.lineage import cut_lineage
 
 GRAM = 4  # words per anchor
 LETTERS = 3  # characters per anchor of a short passage
-BROADCAST_ROWS = 1_000_000  # an anchor row is three longs: under 64 MB
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64  # of a row in a hash table beside its text
 
 
 def scan_words(texts: DataFrame, lists: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -60,46 +61,49 @@ def _inner_tokens(text: Column) -> Column:
     return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
 
 
-def _anchors(passages: DataFrame, n: int) -> DataFrame:
-    """(gram, passage_id): of a passage's grams, the one fewest passages share. Shared wording,
-    such as column names, is thereby never a join key where a passage has anything of its own."""
-    grams = _grams(
-        passages.select("passage_id", _inner_tokens(F.col("passage")).alias("t")), "passage_id", "t", n
-    ).distinct()
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    return (
-        grams.join(shared, "gram").groupBy("passage_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    )
-
-
-def _small(df: DataFrame, limit: int) -> bool:
-    """At most ``limit`` rows; counting stops there."""
-    return df.limit(limit + 1).count() <= limit
+def _small(df: DataFrame, name: str, limit: int) -> bool:
+    """At most ``limit`` bytes of the column and what a row of a hash table takes beside it; no more
+    rows are read than fit."""
+    size = F.sum(F.octet_length(F.col(name).cast("string")).cast("bigint") + ROW_BYTES)
+    return (df.limit(limit // ROW_BYTES + 1).agg(size).first()[0] or 0) <= limit
 
 
 def _candidates(texts: DataFrame, passages: DataFrame, key: str, text: str, n: int,
-                broadcast_rows: int) -> DataFrame:
-    """(key, passage_id): pairs that share the passage's anchor, for passages with n inner words."""
-    anchors = _anchors(passages, n)
+                broadcast_bytes: int) -> DataFrame:
+    """(key, passage_id): pairs that share the passage's anchor, for passages with n inner words.
+
+    The anchor is the gram of the passage that the fewest texts hold, so wording that many texts
+    share, such as column names, is a join key only where a passage has nothing else. A passage
+    with a gram that no text holds is done with.
+    """
+    of_passage = _grams(
+        passages.select("passage_id", _inner_tokens(F.col("passage")).alias("t")), "passage_id", "t", n).distinct()
+    wanted = of_passage.select("gram").distinct()
+    if _small(wanted, "gram", broadcast_bytes):
+        wanted = F.broadcast(wanted)
     grams = _grams(texts.select(key, _tokens(F.col(text)).alias("t")), key, "t", n)
-    if _small(passages, broadcast_rows):
-        # one anchor per passage: the size just checked bounds what is sent
-        anchors = F.broadcast(anchors)
-    return grams.join(anchors, "gram").select(key, "passage_id").distinct()
+    held = cut_lineage(grams.join(wanted, "gram", "left_semi").distinct())
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarity = F.coalesce("n", F.lit(0))
+    anchors = of_passage.join(counts, "gram", "left").groupBy("passage_id").agg(
+        F.min_by("gram", F.struct(rarity, "gram")).alias("gram"), F.min(rarity).alias("n")).filter("n > 0")
+    return held.join(anchors, "gram").select(key, "passage_id").distinct()
 
 
-def _verified(texts: DataFrame, met: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
-    """The pairs of ``met`` (key, passage_id, passage) whose text does contain the passage.
+def _verified(texts: DataFrame, met: DataFrame, passages: DataFrame, key: str, text: str,
+              broadcast_bytes: int) -> DataFrame:
+    """The pairs of ``met`` (key, passage_id) whose text does contain the passage.
 
-    The pairs are written first. Their size is then known, so Spark broadcasts them when they are
-    small; when they are not, only texts that have a pair are shuffled.
+    The pairs are written first, without the passages. Their size is then known, so Spark
+    broadcasts them when they are small; when they are not, only texts that have a pair are shuffled.
     """
     met = cut_lineage(met)
     searched = texts.select(key, text)
     keys = met.select(key).distinct()
-    if _small(keys, broadcast_rows):
+    if _small(keys, key, broadcast_bytes):
         searched = searched.join(F.broadcast(keys), key, "left_semi")
-    return searched.join(met, key).filter(F.contains(F.col(text), F.col("passage"))).select(key, "passage_id")
+    return searched.join(met, key).join(passages, "passage_id").filter(
+        F.contains(F.col(text), F.col("passage"))).select(key, "passage_id")
 
 
 def _spans(text: Column) -> Column:
@@ -113,7 +117,7 @@ def _letter_grams(df: DataFrame, word: str, n: int) -> DataFrame:
     return df.withColumn("gram", F.explode(F.array_distinct(runs)))
 
 
-def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
+def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broadcast_bytes: int) -> DataFrame:
     """(key, passage_id) for passages of one or two words, which may begin and end inside a word.
 
     Their longest word is looked for in the vocabulary, the distinct words of all texts, which
@@ -139,13 +143,13 @@ def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broa
     hits = spans.join(found.filter("whole"), "span").select(key, "passage_id").distinct()
     two_words = found.filter("NOT whole")
     if not two_words.isEmpty():
-        met = spans.join(two_words, "span").select(key, "passage_id", "passage").distinct()
-        hits = hits.unionByName(_verified(texts, met, key, text, broadcast_rows))
+        met = spans.join(two_words, "span").select(key, "passage_id").distinct()
+        hits = hits.unionByName(_verified(texts, met, passages, key, text, broadcast_bytes))
     return hits
 
 
 def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "text",
-                  gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, passage_id) for every passage that occurs verbatim in a text.
 
     Equal to joining on ``contains``, without its nested loop: texts and passages meet on the
@@ -153,7 +157,7 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
     Passages of few words use shorter anchors; those with no inner word go by the vocabulary.
     An empty passage occurs nowhere.
 
-    While the passages pass the size check their anchors are broadcast and texts are not
+    While the grams of the passages pass the size check they are broadcast and the texts are not
     shuffled for the meeting; beyond it the join is a shuffle join whose hot keys are split at
     run time. ``passages`` is (passage_id, passage), passages distinct; it is read several times,
     so it should be a table or a cheap projection of one.
@@ -163,14 +167,14 @@ def scan_passages(texts: DataFrame, passages: DataFrame, key: str, text: str = "
     lengths = [r["_n"] for r in sized.select("_n").distinct().collect()]  # at most gram + 1 numbers
     found = []
     pairs = [
-        _candidates(texts, sized.filter(F.col("_n") == n), key, text, n, broadcast_rows)
+        _candidates(texts, sized.filter(F.col("_n") == n), key, text, n, broadcast_bytes)
         for n in sorted(lengths) if n > 0
     ]
     if pairs:
-        met = reduce(DataFrame.unionByName, pairs).join(passages, "passage_id")
-        found.append(_verified(texts, met, key, text, broadcast_rows))
+        met = reduce(DataFrame.unionByName, pairs)
+        found.append(_verified(texts, met, passages, key, text, broadcast_bytes))
     if 0 in lengths:
-        found.append(_short_hits(texts, sized.filter("_n = 0").drop("_n"), key, text, broadcast_rows))
+        found.append(_short_hits(texts, sized.filter("_n = 0").drop("_n"), key, text, broadcast_bytes))
     if not found:
         none = F.lit(None).cast(passages.schema["passage_id"].dataType).alias("passage_id")
         return texts.filter(F.lit(False)).select(key, none)
@@ -289,14 +293,14 @@ def scan_words_long(texts: DataFrame, words: DataFrame, key: str, text: str = "t
 
 
 def scan_row_texts(texts: DataFrame, rows: DataFrame, key: str, text: str = "text",
-                   gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, row_text, n_rows): serialized rows that occur verbatim in a text.
 
     ``rows`` is (row_text). Equal rows are one passage, counted, so copies never multiply pairs.
     """
     distinct = rows.groupBy(F.col("row_text").alias("passage")).agg(F.count("*").alias("n_rows"))
     passages = cut_lineage(distinct.withColumn("passage_id", F.md5("passage")))
-    hits = scan_passages(texts, passages.select("passage_id", "passage"), key, text, gram, broadcast_rows)
+    hits = scan_passages(texts, passages.select("passage_id", "passage"), key, text, gram, broadcast_bytes)
     return hits.join(passages, "passage_id").select(key, F.col("passage").alias("row_text"), "n_rows")
 
 

@@ -34,7 +34,18 @@ def test_passages_equal_contains(spark):
 
 
 def test_passages_by_shuffle_join(spark):
-    assert scan(spark, TEXTS, PASSAGES, broadcast_rows=0) == brute(TEXTS, PASSAGES)
+    assert scan(spark, TEXTS, PASSAGES, broadcast_bytes=0) == brute(TEXTS, PASSAGES)
+
+
+def test_wording_of_every_text_is_no_join_key(spark):
+    texts = [(f"t{i}", f"x The segment is alike, The number is n{i} and so on") for i in range(300)]
+    passages = [(f"p{i}", f"The segment is alike, The number is n{i} and so") for i in range(0, 400, 4)]
+    t = spark.createDataFrame(texts, "id string, text string")
+    p = spark.createDataFrame(passages, "passage_id string, passage string")
+    for size in (0, corpus.BROADCAST_BYTES):
+        met = corpus._candidates(t, p, "id", "text", corpus.GRAM, size)
+        assert met.count() == 75  # one text for each passage that occurs, none for the others
+    assert scan(spark, texts, passages, broadcast_bytes=0) == brute(texts, passages)
 
 
 def test_random_passages_with_hot_copies(spark):
