@@ -312,7 +312,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
 
     often = cut(_anchors(texts, width).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                 .select("anchor"), "anchors")
-    strings = cut(_strings(texts, width).join(often, "anchor").distinct(), "strings")
+    # a text may come from several tasks; made distinct apart from the join, which would have to keep
+    # all strings of an anchor together for it
+    strings = cut(cut(_strings(texts, width).join(often, "anchor"), "met").distinct(), "strings")
     found = cut(strings.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "count", "lead")).alias("one")), "found")
     several = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "several")
