@@ -25,10 +25,11 @@ BUCKETS = 1 << 17  # hashed n-grams and words
 DIMENSIONS = 8
 ROUNDS = 6  # of training and choosing the toxic stretches anew
 STEPS = 10  # of gradient descent in a round
-RATE = 0.1
-DECAY = 0.2  # of the embeddings
-SLACK = 3e-5  # in the step, so that what few texts say moves little
+RATE = 0.5
+DECAY = 0.05  # of the embeddings
+SLACK = 1e-3  # in the step, so that what few texts say moves little
 CLEAN_WEIGHT = 5
+TYPICAL = 3.0  # log-odds
 CALIBRATION_SHARE = 5  # every fifth text sets the threshold
 CACHED_WORDS = 200_000
 WORD = re.compile(r"\S+")
@@ -203,15 +204,18 @@ def _weights(toxic: np.ndarray, clean: np.ndarray, hard: np.ndarray) -> np.ndarr
 
 
 def _likely(ids, word_text, begins, texts, label) -> np.ndarray:
-    """The stretch of each toxic text that holds the word with the highest log-odds of occurring in
-    toxic rather than clean texts."""
+    """The stretches of each toxic text that hold its word with the highest log-odds of occurring in
+    toxic rather than clean texts, or one nearly as typical; the first one where no word is typical."""
     pairs = np.unique(np.stack([ids, word_text]), axis=1)
     in_texts = [np.bincount(pairs[0][label[pairs[1]] == k], minlength=ids.max() + 1) for k in (0, 1)]
     odds = np.log((in_texts[1] + 0.5) / ((label == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((label == 0).sum() + 1))
     most = np.maximum.reduceat(odds[ids], begins)
     top = np.full(len(label), -np.inf)
     np.maximum.at(top, texts, most)
-    return (label[texts] == 1) & (most >= top[texts])
+    best = np.flatnonzero(most >= top[texts])
+    first = np.zeros(len(most), bool)
+    first[best[np.unique(texts[best], return_index=True)[1]]] = True
+    return (label[texts] == 1) & (first | (most >= np.maximum(top[texts] - 1, TYPICAL)))
 
 
 def _threshold(model: ToxicityModel, rows: list[tuple[int, list[str]]]) -> float:
