@@ -641,7 +641,7 @@ def oracle_sql() -> dict[str, str]:
     q["perturb_values"] = f"""with {replace_ctes('x', 'customer', COLUMNS['customer'], 2, '0', everyone, 2)}
       select _pos, {pivot('x', 'customer', COLUMNS['customer'])} from x_done group by _pos"""
     low = ["p_name", "p_brand", "p_type"]
-    low_ctes = replace_ctes('x', 'part', low, 1, '0', 'select p_partkey from part', 12)
+    low_ctes = replace_ctes('x', 'part', low, 1, '0', 'select p_partkey from part', 80)
     q["perturb_until_new"] = f"with {low_ctes} select _pos, {pivot('x', 'part', low)}, true as altered from x_done group by _pos"
     q["perturbed_not_in_dataset"] = "select count(*) as n, cast(0 as bigint) as n_members from part"
     skewed = replace_ctes('x', 'orders', ['o_orderkey', 'o_custkey', 'o_orderstatus'], 1, '7', 'select o_orderkey from orders', 3)

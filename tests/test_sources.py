@@ -1,3 +1,4 @@
+from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -58,11 +59,20 @@ def test_separator_dedup_and_shuffle(spark, tmp_path):
 
 
 def test_class_index_is_decoded(spark, tmp_path):
-    root = write(tmp_path, "iris.csv", "a,b,c,d,target\n5.1,3.5,1.4,0.2,0\n6.0,3.0,4.0,1.0,2\n6.0,3.0,4.0,1.0,7\n")
+    root = write(tmp_path, "iris.csv", "sepal length (cm),sepal width (cm),petal length (cm),petal width (cm),target\n5.1,3.5,1.4,0.2,0\n6.0,3.0,4.0,1.0,2\n6.0,3.0,4.0,1.0,7\n")
     ds = catalog.load_dataset(spark, "iris", root)
     assert sorted(values(ds, "target"), key=str) == [None, "setosa", "virginica"]
 
 
+def test_columns_are_found_by_the_header(spark, tmp_path):
+    root = write(tmp_path, "moved.csv", "b,a\nx,1\ny,2\n")
+    spec = catalog.DatasetSpec("moved", "moved", "Moved", "moved.csv", (("a", "int"), ("b", "string")))
+    ds = catalog.load_dataset(spark, "moved", root, (spec,))
+    assert sorted(tuple(r) for r in ds.df.select("a", "b").collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError, match="no column c"):
+        catalog.load_dataset(spark, "moved", root, (replace(spec, columns=(*spec.columns, ("c", "int"))),))
+
+
 def test_names(spark):
     assert catalog.find_spec("adult") is catalog.find_spec("adult income")
     assert len(catalog.PUBLIC_DATASETS) == 11
