@@ -1,4 +1,5 @@
 from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
