@@ -26,6 +26,7 @@ PARTIAL = 400  # folded pages aligned in one task before their wrappers are alig
 LONGEST_GROUP = 3  # siblings in a repeated group
 LEAST_PAGES = 3  # with the same text before it counts as template
 SHARE = 0.6  # of a node's text in one child before the search for the main text goes down
+SCRAP = 0.1  # of the text its own template has as main text: a page with less of the host's is of another template
 HELD_SKELETONS = 20_000
 
 # fixed values: names of HTML elements
@@ -272,8 +273,12 @@ def align(wrapper: Node, page: Node) -> Node:
     return wrapper
 
 
-def main_texts(wrapper: Node) -> set[int]:
-    """Ids (by ``id``) of the texts of a wrapper that belong to the main text."""
+def main_texts(wrapper: Node, met: set[int] | None = None) -> set[int]:
+    """Ids (by ``id``) of the texts of a wrapper that belong to the main text; with ``met``, of the nodes with
+    these ids alone, weighed by what a page that has them has in them and without what most pages of the host say."""
+    def below(node: Node) -> list[Node]:
+        return node.children if met is None else [c for c in node.children if id(c) in met]
+
     def candidates(node: Node, inside: bool) -> list[Node]:
         """The texts outside of what its name or marks set aside."""
         inside = inside or node.name in ARTICLE
@@ -281,17 +286,22 @@ def main_texts(wrapper: Node) -> set[int]:
         if aside or set(node.mark.split()) - {"header"} or (node.mark and not inside):
             return []
         own = [node] if node.name in ("#", "#a") and not node.children else []
-        return own + [t for c in node.children for t in candidates(c, inside)]
+        if met is not None and own and _everywhere(node, wrapper):
+            own = []
+        return own + [t for c in below(node) for t in candidates(c, inside)]
 
     def holders(node: Node, name: str) -> list[Node]:
         if node.name == name and candidates(node, True):
             return [node]
         if node.name in SKIPPED or node.mark:
             return []
-        return [h for c in node.children for h in holders(c, name)]
+        return [h for c in below(node) for h in holders(c, name)]
+
+    def size(text: Node) -> float:
+        return text.chars if met is None else text.chars / max(text.pages, 1)
 
-    def weight(texts: list[Node]) -> int:
-        return sum(t.chars for t in texts if t.name == "#")
+    def weight(texts: list[Node]) -> float:
+        return sum(size(t) for t in texts if t.name == "#")
 
     found = next((h for name in ARTICLE if (h := holders(wrapper, name))), [])
     if found:
@@ -300,24 +310,35 @@ def main_texts(wrapper: Node) -> set[int]:
         node = wrapper
         while True:
             total = weight(candidates(node, False))
-            heavy = [c for c in node.children if c.children and weight(candidates(c, False)) >= SHARE * max(total, 1)]
+            heavy = [c for c in below(node) if c.children and weight(candidates(c, False)) >= SHARE * max(total, 1)]
             if not heavy or heavy[0].repeated:
                 break
             node = heavy[0]
         kept = [t for t in candidates(node, False) if t.name == "#"] or candidates(node, False)
     varying = [t for t in kept if t.constant is None or t.pages < LEAST_PAGES]
-    if 2 * sum(t.chars for t in varying) >= sum(t.chars for t in kept):
+    if 2 * sum(size(t) for t in varying) >= sum(size(t) for t in kept):
         kept = varying  # what every page says is template, unless the pages are all alike
     return {id(t) for t in kept}
 
 
+def _everywhere(text: Node, wrapper: Node) -> bool:
+    """Whether most pages of the host, and not a few, have the same text here."""
+    return text.constant is not None and text.pages >= max(LEAST_PAGES, SHARE * wrapper.pages)
+
+
 def chosen_texts(wrapper: Node, page: Node, kept: set[int]) -> list[bool]:
-    """For each text of a folded page whether the wrapper's text it falls on is kept."""
-    out: list[bool] = []
+    """For each text of a folded page whether the wrapper's text it falls on is main text.
+
+    ``kept`` is the main text of the host as a whole. A page of another template has none of it, or
+    a mere scrap besides its own: what is main text is then told by the wrapper's nodes the page has."""
+    texts: list[Node | None] = []
+    met: set[int] = set()
 
     def walk(node: Node, by: Node | None):
+        if by is not None:
+            met.add(id(by))
         if node.name in ("#", "#a") and not node.children:
-            out.append(by is not None and id(by) in kept)
+            texts.append(by)
             return
         to: list[Node | None] = [None] * len(node.children)
         if by is not None:
@@ -333,7 +354,11 @@ def chosen_texts(wrapper: Node, page: Node, kept: set[int]) -> list[bool]:
             walk(child, match)
 
     walk(page, wrapper)
-    return out
+    here = {id(t): t.chars / max(t.pages, 1) for t in texts if t is not None}
+    own = main_texts(wrapper, met)
+    if sum(here[t] for t in kept & here.keys()) < SCRAP * sum(here[t] for t in own & here.keys()):
+        kept = kept | own
+    return [t is not None and id(t) in kept for t in texts]
 
 
 def _hash(text: str) -> str:

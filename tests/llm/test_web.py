@@ -47,6 +47,23 @@ def test_wrappers_do_not_depend_on_how_they_are_aligned(spark, monkeypatch):
     assert all(text.startswith(f"t{i} text {i}") and "Copyright" not in text for i, _, text, _ in whole)
 
 
+def test_every_template_of_a_host_has_main_text(spark):
+    bodies = {"article": "<article><p>{}</p></article>", "main": "<main><p>{}</p></main>", "div": "<div><p>{}</p></div>",
+              "table": "<table><tr><td>{}</td></tr></table>"}
+    rows, want = [], {}
+    for host, kinds in (("a.org", ["article"] * 30 + ["main", "div", "table"] * 2), ("b.org", ["div"] * 30 + ["table"] * 5),
+                        (None, ["article"] * 9 + ["table"] * 4 + ["div"] * 4)):
+        for i, kind in enumerate(kinds):
+            own = f"{kind} page {i} has this text of its own {'word ' * (20 + i)}".strip()
+            want[len(rows)] = own
+            rows.append((len(rows), host and f"http://{host}/{i}", f"<html><body>{MENU}{bodies[kind].format(own)}{END}", "", "", ""))
+    # no main text at all: what every page says does not become one
+    want[len(rows)] = ""
+    rows.append((len(rows), "http://a.org/empty", f"<html><body>{MENU}{END}", "", "", ""))
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, cases.PAGES)).collect()}
+    assert got == want
+
+
 def test_repeated_and_optional_parts():
     fold = wrappers.parse("<ul><li>a<li>b<li>c</ul><dl><dt>x<dd>y<dt>z<dd>w</dl>").key
     assert fold == "(ul(li(#)+),dl(*(dt(#),dd(#))+))"
