@@ -45,22 +45,24 @@ def text_or_empty(column: str = "text"):
 
 
 def sample_texts(docs: DataFrame, rows: int, chars: int, labels: DataFrame | None = None) -> list[tuple]:
-    """(label, text) of at most ``rows`` texts of each label, drawn by the hash of the text.
+    """(label, text) of at most ``rows`` different texts of each label, drawn by the hash of the text.
 
     ``docs`` has doc_id, text and, unless ``labels`` (doc_id, label) is given, label. Empty texts and
-    those of more than ``chars`` characters are not drawn. Only ids and hashes are joined and sorted;
-    the texts of the few drawn are fetched by them.
+    those of more than ``chars`` characters are not drawn, and copies of a text count once for a label.
+    Only ids and hashes are joined and sorted; the texts of the few drawn are fetched by them.
     """
     hashed = docs.filter((F.length("text") > 0) & (F.length("text") <= chars)).withColumn(
         "place", F.xxhash64("text"))
     narrow = hashed.select("doc_id", "place", *([] if labels is not None else ["label"]))
     narrow = cut(narrow if labels is None else narrow.join(labels.select("doc_id", "label"), "doc_id"), "places")
+    narrow = cut(narrow.groupBy("label", "place").agg(F.min("doc_id").alias("doc_id")), "different")
     few = [r for value in sorted(r["label"] for r in narrow.select("label").distinct().collect())
-           for r in narrow.filter(F.col("label") == value).orderBy("place", "doc_id").limit(rows).collect()]
+           for r in narrow.filter(F.col("label") == value).orderBy("place").limit(rows).collect()]
     if not few:
         return []
     kind = narrow.schema
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(few, kind).distinct())  # `rows` for each label at most
-    drawn = hashed.select("doc_id", "place", "text").join(wanted, ["doc_id", "place"]).select("place", "label", "text")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(few, kind))  # `rows` for each label at most
+    drawn = hashed.select("doc_id", "place", "text").join(wanted, ["doc_id", "place"]).select(
+        "place", "label", "text").distinct()  # a row may be there twice with its id
     return [(r["label"], r["text"]) for r in sorted(
         drawn.collect(), key=lambda r: (r["place"], str(r["label"]), r["text"]))]

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from rowecho.llm import decontam, langid, pieces, secrets, toxicity
+from rowecho.llm import common, decontam, langid, pieces, secrets, toxicity
 from tests.llm import cases
 
 
@@ -169,6 +169,18 @@ def test_probabilities_add_up(monkeypatch):
         assert np.allclose(total, 1), history
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_samples_are_of_different_texts(spark, apart):
+    texts = [f"text number {i}" for i in range(60)]
+    low = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) h").orderBy("h").first().text
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(100 + i, low, "ab"[i % 2]) for i in range(400)] + [(100, low, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    labels = docs.select("doc_id", "label").distinct() if apart else None
+    got = common.sample_texts(docs.drop("label") if apart else docs, 20, 1000, labels)
+    assert len(got) == len(set(got)) == 40 and {("a", low), ("b", low)} <= set(got)
+    assert all((t, lab) in {(t, lab) for _, t, lab in rows} for lab, t in got)
+
+
 def test_languages_of_documents(spark):
     def text(words, seed):
         r = random.Random(seed)
