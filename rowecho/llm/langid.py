@@ -23,7 +23,9 @@ ORDER = 5
 SAMPLE_ROWS = 300  # texts per language a model learns from
 SAMPLE_CHARS = 20_000  # longer texts are not among them
 CALIBRATION_SHARE = 4  # every fourth of them sets the limits of rejection
-LEAST_DEVIATIONS = 12.0  # of cross-entropy above the mean before a text can be rejected
+DEVIATIONS = 20.0  # of cross-entropy above the middle from which a text is rejected
+TYPICAL_SHARE = 0.8  # of a language's calibration texts, which tell a deviation; the others may be mislabelled
+NORMAL = 1.2816  # standard deviations from the middle that hold this share of a normal distribution
 CACHED_WORDS = 150_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,10 +76,10 @@ class CharModels:
     contexts: list[np.ndarray]  # per order: sorted hashes of what came before
     weights: list[np.ndarray]  # per order: log-weight left to the lower order in each language
     base: float  # log-probability of a symbol never seen
-    mean: np.ndarray | None = None
+    mean: np.ndarray | None = None  # middle of the cross-entropy
     spread: np.ndarray | None = None
     noise: np.ndarray | None = None
-    deviations: float = LEAST_DEVIATIONS
+    deviations: float = DEVIATIONS
 
     def word_costs(self, words: list[str]) -> np.ndarray:
         """Per word and language the sum of -log p of its symbols."""
@@ -188,8 +190,9 @@ def _text_costs(models: CharModels, texts: list[str]) -> tuple[np.ndarray, np.nd
 def learn(rows: list[tuple[str, str]]) -> CharModels | None:
     """Models from (language, text) rows; None if there are none with a letter.
 
-    A part of the rows sets the limits: mean, spread between texts and noise per symbol of each
-    language's cross-entropy, and so many deviations that none of these texts is rejected."""
+    A part of the rows sets the limits of each language for itself: middle, spread between texts and noise
+    per symbol of its cross-entropy, by median and quantile, so that a few mislabelled texts move little.
+    Such texts may be rejected themselves."""
     rows = [(lang, text) for lang, text in rows if WORD.search(text)]
     languages = sorted({lang for lang, _ in rows})
     if not rows:
@@ -203,17 +206,16 @@ def learn(rows: list[tuple[str, str]]) -> CharModels | None:
         else:
             fit[i].update(_counted(text))
     models = train(fit, languages)
-    mean, spread, noise, worst = (np.zeros(len(languages)) for _ in range(4))
+    mean, spread, noise = (np.zeros(len(languages)) for _ in range(3))
     for i, texts in enumerate(checks):
         costs, symbols = _text_costs(models, texts or [t for lang, t in rows if lang == languages[i]])
         entropy = costs[:, i] / symbols
-        mean[i] = np.average(entropy, weights=symbols)
         long = symbols >= np.median(symbols)
-        spread[i] = max(0.02, np.sqrt(np.average((entropy[long] - mean[i]) ** 2)))
-        noise[i] = max(1.0, np.sqrt(np.average((entropy - mean[i]) ** 2 * symbols)))
-        worst[i] = ((entropy - mean[i]) / np.sqrt(spread[i] ** 2 + noise[i] ** 2 / symbols)).max()
+        mean[i] = np.median(entropy[long])
+        off = np.abs(entropy - mean[i])
+        spread[i] = max(0.02, np.quantile(off[long], TYPICAL_SHARE) / NORMAL)
+        noise[i] = max(1.0, np.quantile(off * np.sqrt(symbols), TYPICAL_SHARE) / NORMAL)
     models.mean, models.spread, models.noise = mean, spread, noise
-    models.deviations = max(LEAST_DEVIATIONS, 1.5 * float(worst.max()))
     return models
 
 

@@ -204,6 +204,20 @@ def test_languages_of_documents(spark):
     assert langid.predict(cases.no_docs(spark), models).count() == 0
 
 
+def test_mislabelled_texts_do_not_widen_the_limits():
+    def text(letters, seed):
+        r = random.Random(seed)
+        words = ["".join(random.Random(f"{letters}{i}").choice(letters) for _ in range(2 + i % 6)) for i in range(150)]
+        return " ".join(r.choice(words) for _ in range(150))
+
+    rows = [("en", text("etaoinshrdl", i)) for i in range(100)]
+    for i in (8, 40):  # every fourth row is of the calibration share
+        rows[i] = ("en", text("ქწერტყუიოპასდ", i))
+    models = langid.learn(rows)
+    for letters, want in (("etaoinshrdl", False), ("αβγδεζηθικλ", True)):
+        assert (models.judge(*langid._text_costs(models, [text(letters, f"new{i}") for i in range(20)]))[2] == want).all()
+
+
 def test_toxicity_of_documents(spark):
     r = random.Random(2)
     bad = ["idiotic", "worthless", "disgusting"]
