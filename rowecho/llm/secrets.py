@@ -28,6 +28,10 @@ CONTEXT = re.compile(
     r"""(?:["']([^"'\r\n]+)["']|([^\s"']+))""")
 #: decimal digits of guesses from which a value counts as a secret
 LEAST_COST = 10.0
+#: ordinary words, also joined by signs: their letters are not drawn from an alphabet
+PLAIN = re.compile(r"[ _./'&,()-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[ _./'&,()-]*)*")
+#: characters to draw from and how many they are
+ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[^a-zA-Z0-9]"), 33))
 
 # fixed values: frequent passwords and words in them, the most used first
 COMMON = (
@@ -86,12 +90,12 @@ def _steps(a: str, b: str) -> tuple[tuple | None, int | None]:
 
 
 @lru_cache(50_000)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, digits: float = 1.0) -> float:
     """Decimal digits of the guesses the cheapest segmentation of ``value`` needs. Each further
-    segment costs one digit; a character by brute force costs one, too. The empty value costs 0."""
+    segment costs one digit; a character by brute force costs ``digits``. The empty value costs 0."""
     n = len(value)
     best = [0.0] + [math.inf] * n
-    brute = 0.0  # cheapest start of a brute-force span: its cost less its position
+    brute = 0.0  # cheapest start of a brute-force span: its cost less that of the characters before it
     starts_at: dict[int, float] = {}
     for match in DATE.finditer(value):
         years = 365 if len(match.group()) > 4 else 1
@@ -101,7 +105,7 @@ def guess_cost(value: str) -> float:
     period_run = [0] * 5  # how far value repeats itself with period p
     for end in range(1, n + 1):
         at = end - 1
-        cost = min(best[end], brute + end)
+        cost = min(best[end], brute + digits * end)
         near, order = _steps(value[at - 1], value[at]) if at else (None, None)
         if near is None:
             walk, turns = at, 0
@@ -127,10 +131,17 @@ def guess_cost(value: str) -> float:
             start, own = starts_at[end]
             cost = min(cost, best[start] + (start > 0) + own)
         best[end] = cost
-        brute = min(brute, cost + 1 - end)
+        brute = min(brute, cost + 1 - digits * end)
     return best[n]
 
 
+def drawn_cost(value: str) -> float:
+    """The guess cost with characters by brute force drawn from the alphabets that the value uses,
+    but at one digit each where it is made of ordinary words."""
+    size = sum(n for signs, n in ALPHABETS if signs.search(value))
+    return guess_cost(value, 1.0 if size <= 10 or PLAIN.fullmatch(value) else math.log10(size))
+
+
 def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost) in code points, by start and then kind. The cost is that of the
     value for assign and guess, that of the match otherwise."""
@@ -142,7 +153,7 @@ def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, i
         for m in CONTEXT.finditer(text):
             group = 1 if m.group(1) is not None else 2
             value = m.group(group).rstrip(".,;:)]}>") or m.group(group)
-            if (cost := guess_cost(value)) >= least_cost:
+            if (cost := drawn_cost(value)) >= least_cost:
                 found.append((3, m.start(group), m.start(group) + len(value), cost))
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), guess_cost(m.group())) for m in ACCESS.finditer(text)]

@@ -24,7 +24,8 @@ from rowecho.llm.common import bounded_batches, cut, table, text_or_empty
 BROADCAST_BYTES = 32 << 20  # of wrappers; more are joined
 PARTIAL = 400  # folded pages aligned in one task before their wrappers are aligned with each other
 LONGEST_GROUP = 3  # siblings in a repeated group
-LEAST_PAGES = 3  # with the same text before it counts as template
+LEAST_PAGES = 3  # different ones with the same text before it counts as template
+TEMPLATE_SHARE = 0.4  # of a host's different pages, too
 SHARE = 0.6  # of a node's text in one child before the search for the main text goes down
 SCRAP = 0.1  # of the text its own template has as main text: a page with less of the host's is of another template
 HELD_SKELETONS = 20_000
@@ -275,7 +276,7 @@ def align(wrapper: Node, page: Node) -> Node:
 
 def main_texts(wrapper: Node, met: set[int] | None = None) -> set[int]:
     """Ids (by ``id``) of the texts of a wrapper that belong to the main text; with ``met``, of the nodes with
-    these ids alone, weighed by what a page that has them has in them and without what most pages of the host say."""
+    these ids alone, weighed by what a page that has them has in them and without what many pages of the host say."""
     def below(node: Node) -> list[Node]:
         return node.children if met is None else [c for c in node.children if id(c) in met]
 
@@ -315,15 +316,15 @@ def main_texts(wrapper: Node, met: set[int] | None = None) -> set[int]:
                 break
             node = heavy[0]
         kept = [t for t in candidates(node, False) if t.name == "#"] or candidates(node, False)
-    varying = [t for t in kept if t.constant is None or t.pages < LEAST_PAGES]
+    varying = [t for t in kept if not _everywhere(t, wrapper)]
     if 2 * sum(size(t) for t in varying) >= sum(size(t) for t in kept):
         kept = varying  # what every page says is template, unless the pages are all alike
     return {id(t) for t in kept}
 
 
 def _everywhere(text: Node, wrapper: Node) -> bool:
-    """Whether most pages of the host, and not a few, have the same text here."""
-    return text.constant is not None and text.pages >= max(LEAST_PAGES, SHARE * wrapper.pages)
+    """Whether a sizeable share of the host's pages, and not a few, have the same text here."""
+    return text.constant is not None and text.pages >= max(LEAST_PAGES, TEMPLATE_SHARE * wrapper.pages)
 
 
 def chosen_texts(wrapper: Node, page: Node, kept: set[int]) -> list[bool]:
@@ -365,6 +366,19 @@ def _hash(text: str) -> str:
     return xxhash.xxh64_hexdigest(text.encode())
 
 
+def different(pages: DataFrame) -> DataFrame:
+    """(host, html): every page of a host once, however many copies it has. Only pages with copies are moved."""
+    pages = pages.select("host", "html", F.xxhash64("html").alias("digest"))
+    copied = cut(pages.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copied")
+    size = copied.agg(F.sum(F.octet_length("host") + 64)).head()[0] or 0
+    if size > BROADCAST_BYTES:
+        return pages.select("host", "html").dropDuplicates(["host", "html"])
+    copied = F.broadcast(copied)
+    single = pages.join(copied, ["host", "digest"], "left_anti").select("host", "html")
+    return single.unionByName(pages.join(copied, ["host", "digest"], "left_semi").select("host", "html").dropDuplicates(
+        ["host", "html"]))
+
+
 def skeletons(pages: DataFrame) -> DataFrame:
     """(host, skeleton, constants, chars, pages): folded pages of a task, equal ones together."""
     def run(batches):
@@ -411,8 +425,8 @@ def _aligned(rows: list[str]) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from all pages (host, html)."""
-    partial = cut(skeletons(pages), "skeletons")
+    """(host, wrapper) from all pages (host, html); copies of a page count once."""
+    partial = cut(skeletons(different(pages)), "skeletons")
     # equal structures of all tasks together, text by text: no group is gathered anywhere
     texts = partial.select("host", "skeleton", "pages", F.posexplode_outer(
         F.arrays_zip("constants", "chars")).alias("at", "text"))

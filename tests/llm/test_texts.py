@@ -273,3 +273,17 @@ def test_guess_costs():
     kinds = [s[0] for s in secrets.find_secrets('db_pwd: "x7$kQ2!pLm9z" and login: required')]
     assert kinds == ["guess"]
     assert secrets.redact("a token=ab12cd34ef56 b") == "a [secret] b"
+
+
+def test_short_random_passwords_are_found():
+    r = random.Random(4)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#$!%*"
+    found = 0
+    for n in (8, 9):
+        for _ in range(200):
+            value = "".join(r.choice(signs) for _ in range(n - 2)) + r.choice("0123456789") + r.choice("#$!%*")
+            found += any(s[0] == "guess" and s[1] == 5 for s in secrets.find_secrets(f"pwd: {value} and more"))
+    assert found >= 396
+    assert [s[0] for s in secrets.find_secrets('password="xK9#mQ2$"')] == ["guess"]
+    for value in ("required", "mandatory", "log-in", "Password1", "qwerty123", "12345678", "see_below", "2024-01-15", "aaaaaaaa"):
+        assert not [s for s in secrets.find_secrets(f"pwd: {value} x") if s[0] == "guess"], value

@@ -64,6 +64,20 @@ def test_every_template_of_a_host_has_main_text(spark):
     assert got == want
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    def page(body):
+        return f"<html><body>{MENU}<article>{body}<h4>Share this</h4></article>{END}"
+
+    own = page("<p>some text that only this page has</p><blockquote>and a quote of its own</blockquote>")
+    alike = [page(f"<p>text {i} of the near copies</p><pre>with the same code</pre>") for i in range(4)]
+    html = [page(f"<p>page {i} says something else {'word ' * i}</p>") for i in range(12)] + [own] * 30 + alike
+    rows = [(i, "http://c.org/x", h, "", "", "") for i, h in enumerate(html)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, cases.PAGES).repartition(5)).collect()}
+    assert all(got[i] == f"page {i} says something else {'word ' * i}".strip() for i in range(12))
+    assert all(got[i] == "some text that only this page has and a quote of its own" for i in range(12, 42))
+    assert all(got[42 + i] == f"text {i} of the near copies with the same code" for i in range(4))
+
+
 def test_repeated_and_optional_parts():
     fold = wrappers.parse("<ul><li>a<li>b<li>c</ul><dl><dt>x<dd>y<dt>z<dd>w</dl>").key
     assert fold == "(ul(li(#)+),dl(*(dt(#),dd(#))+))"
