@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,15 +22,20 @@ ASSIGN = re.compile(
 ASSIGN_VALUE, ACCESS, HEX = 6, re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: what stands before a value whose guess cost is asked
-CONTEXT = re.compile(
-    r"""(?ai:\b(?:[a-z0-9]+[_.-])*(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|"""
-    r"""(?:api|access|private|auth|signing)[_-]?key|auth|bearer|login))["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}"""
-    r"""(?:["']([^"'\r\n]+)["']|([^\s"']+))""")
+#: what stands before a value whose guess cost is asked; of bounded length, so every text is searched in linear time
+KEY = re.compile(
+    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|"""
+    r"""(?:api|access|private|auth|signing)[_-]?key|auth|bearer|login)["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}""")
+#: parts of a name before the key, back to where its run of letters, digits and ``_`` begins
+NAME = re.compile(r"(?ai:(?:[a-z0-9]+_)*)")
+NAME_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+VALUE = re.compile(r"""["']([^"'\r\n]+)["']|([^\s"']+)""")
 #: decimal digits of guesses from which a value counts as a secret
 LEAST_COST = 10.0
 #: ordinary words, also joined by signs: their letters are not drawn from an alphabet
-PLAIN = re.compile(r"[ _./'&,()-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[ _./'&,()-]*)*")
+PLAIN = re.compile(r"[A-Za-z _./'&,()-]*")
+#: values up to this length are kept with their cost; longer ones are computed each time
+CACHED_CHARS = 100
 #: characters to draw from and how many they are
 ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[^a-zA-Z0-9]"), 33))
 
@@ -89,10 +95,13 @@ def _steps(a: str, b: str) -> tuple[tuple | None, int | None]:
     return near, order
 
 
-@lru_cache(50_000)
 def guess_cost(value: str, digits: float = 1.0) -> float:
     """Decimal digits of the guesses the cheapest segmentation of ``value`` needs. Each further
     segment costs one digit; a character by brute force costs ``digits``. The empty value costs 0."""
+    return (_kept_cost if len(value) <= CACHED_CHARS else _cheapest)(value, digits)
+
+
+def _cheapest(value: str, digits: float) -> float:
     n = len(value)
     best = [0.0] + [math.inf] * n
     brute = 0.0  # cheapest start of a brute-force span: its cost less that of the characters before it
@@ -135,6 +144,9 @@ def guess_cost(value: str, digits: float = 1.0) -> float:
     return best[n]
 
 
+_kept_cost = lru_cache(50_000)(_cheapest)
+
+
 def drawn_cost(value: str) -> float:
     """The guess cost with characters by brute force drawn from the alphabets that the value uses,
     but at one digit each where it is made of ordinary words."""
@@ -142,6 +154,20 @@ def drawn_cost(value: str) -> float:
     return guess_cost(value, 1.0 if size <= 10 or PLAIN.fullmatch(value) else math.log10(size))
 
 
+def _values(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) in credential contexts, each after the end of the one before."""
+    at = 0
+    while key := KEY.search(text, at):
+        begin = key.start()
+        while begin and text[begin - 1] in NAME_SIGNS:
+            begin -= 1
+        value = NAME.fullmatch(text, begin, key.start()) and VALUE.match(text, key.end())
+        if value:
+            group = 1 if value.group(1) is not None else 2
+            yield value.start(group), value.group(group)
+        at = value.end() if value else key.start() + 1
+
+
 def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost) in code points, by start and then kind. The cost is that of the
     value for assign and guess, that of the match otherwise."""
@@ -150,11 +176,10 @@ def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, i
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= ASSIGN_VALUE:
                 found.append((0, m.start(), m.end(), guess_cost(m.group(2))))
-        for m in CONTEXT.finditer(text):
-            group = 1 if m.group(1) is not None else 2
-            value = m.group(group).rstrip(".,;:)]}>") or m.group(group)
+        for start, whole in _values(text):
+            value = whole.rstrip(".,;:)]}>") or whole
             if (cost := drawn_cost(value)) >= least_cost:
-                found.append((3, m.start(group), m.start(group) + len(value), cost))
+                found.append((3, start, start + len(value), cost))
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), guess_cost(m.group())) for m in ACCESS.finditer(text)]
     found += [(2, m.start(), m.end(), guess_cost(m.group())) for m in HEX.finditer(text)]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -264,6 +265,21 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(cases.no_docs(spark)).count() == 0
 
 
+def test_secrets_of_long_and_odd_texts_end_soon(spark):
+    letters = "".join(random.Random(3).choice("ghijklmnop") for _ in range(10_000))
+    long = [f"password: {letters}9", "pwd='" + "aB" * 5_000 + "1'", "a-" * 500_000, "a." * 500_000,
+            "a_" * 500_000 + "password=x7$kQ2!pLm9z", "password=" + "deadbeef" * 8 + "zz-top_9", "password=" + " " * 500_000,
+            "password='" + "token: x " * 20_000]
+    started = time.monotonic()
+    kinds = [{s[0] for s in secrets.find_secrets(t)} for t in long]
+    assert time.monotonic() - started < 30
+    assert kinds[0] == {"assign", "guess"} and kinds[2] == kinds[3] == kinds[6] == set() and "guess" in kinds[4]
+    assert secrets._kept_cost.cache_info().currsize <= 50_000
+    rows = [(1, long[5]), (1, long[5]), (None, "pwd: x7$kQ2!pLm9z"), (None, None), (2, "_pwd: x7$kQ2!pLm9z")]
+    got = Counter((r.doc_id, len(r.spans)) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 3): 2, (None, 1): 1, (None, 0): 1, (2, 0): 1})
+
+
 def test_guess_costs():
     easy = ("password", "Password1", "qwertyuiop", "a" * 30, "abcabcabcabc", "2024-01-15", "12345678", "zxcvbnm123", "")
     hard = ("x7$kQ2!pLm9z", "3aef074f60e834b34e", "correcthorsebattery")
