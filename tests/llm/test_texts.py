@@ -266,7 +266,7 @@ def test_secrets_equal_brute_force(spark):
 
 
 def test_secrets_of_long_and_odd_texts_end_soon(spark):
-    letters = "".join(random.Random(3).choice("ghijklmnop") for _ in range(10_000))
+    letters = "".join(random.Random(3).choices("ghijklmnop", k=10_000))
     long = [f"password: {letters}9", "pwd='" + "aB" * 5_000 + "1'", "a-" * 500_000, "a." * 500_000,
             "a_" * 500_000 + "password=x7$kQ2!pLm9z", "password=" + "deadbeef" * 8 + "zz-top_9", "password=" + " " * 500_000,
             "password='" + "token: x " * 20_000]
