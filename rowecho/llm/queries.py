@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowecho.llm import (
-    decontam, exact_dedup, langid, pieces, secrets, simhash, suffix_dedup, toxicity, warc, wrappers,
+    debruijn, decontam, exact_dedup, hard_negatives, langid, pieces, secrets, simhash, suffix_dedup, toxicity,
+    vector_codes, warc, wrappers,
 )
 
 _QUERIES = (
     langid.op1_language_id, toxicity.op2_toxicity, exact_dedup.op3_exact_dedup, pieces.op4_sentencepiece,
     suffix_dedup.op5_suffix_dedup, secrets.op6_secret_scan, decontam.op7_decontamination,
     wrappers.op8_main_text, warc.op9_warc,
-    simhash.op10_simhash_near_dedup,
+    simhash.op10_simhash_near_dedup, vector_codes.op11_vector_codes, hard_negatives.op12_hard_negatives,
+    debruijn.op13_substring_dedup,
 )
 
 
@@ -24,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": exact_dedup.SQL, "op7_decontamination": decontam.SQL,
-            "op9_warc": warc.SQL}
+            "op9_warc": warc.SQL, "op11_vector_codes": vector_codes.SQL, "op12_hard_negatives": hard_negatives.SQL,
+            "op13_substring_dedup": debruijn.SQL}
