@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowecho.llm.common import bounded_batches, table, text_or_empty
@@ -21,7 +22,8 @@ from rowecho.llm.common import bounded_batches, table, text_or_empty
 SPACE = "▁"  # stands for a blank in pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 NO_RANK = np.iinfo(np.int32).max
-CACHED_WORDS = 200_000
+CACHED_CHARS = 1 << 21  # of the words whose ids a task keeps
+SLICE_CHARS = 1 << 20  # of texts, or of words, encoded together
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -49,6 +51,37 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class _Table:
+    """Look-up of many int64 keys at once, by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << 64 - int(self.shift)
+        self.keys, self.values, self.last = np.full(size, -1, np.int64), np.full(size, missing, np.int32), size - 1
+        at, left = self._at(keys), np.arange(len(keys))
+        while len(left):  # of keys that want one place the first takes it, the others go on
+            _, first = np.unique(at[left], return_index=True)
+            first = left[first]
+            first = first[self.keys[at[first]] < 0]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.last
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        there = self.keys[at]
+        out = self.values[at]
+        wrong = np.flatnonzero((there != keys) & (there >= 0))  # an empty place has the value of a missing key
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & self.last
+            there[wrong], out[wrong] = self.keys[at[wrong]], self.values[at[wrong]]
+            wrong = wrong[(there[wrong] != keys[wrong]) & (there[wrong] >= 0)]
+        return out
+
+
 class Pieces:
     """Vocabulary, merge table and normaliser flags of a BPE model with byte fallback."""
 
@@ -98,32 +131,31 @@ class Pieces:
             for k in range(1, len(p)):
                 if p[:k] in symbols and p[k:] in symbols:
                     pairs[symbols[p[:k]] << 32 | symbols[p[k:]]] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int32)
-        self.bigrams = np.array(sorted(bigrams), np.int64)
+        self.pairs = _Table(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32), n)
+        self.bigrams = _Table(np.array(list(bigrams), np.int64), np.ones(len(bigrams), np.int32), 0)
         self.n = n
         self.piece_bytes = [
             bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL
             else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, k in zip(self.pieces, self.kinds)]
+        self.piece_bytes.append(b"\xff")  # beyond the vocabulary: the end of a word
+        self.id_texts = [str(i) for i in range(n)]
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of the piece each pair makes; ``self.n`` where it makes none."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ids[at], self.n)
+        known = (left >= 0) & (right >= 0)
+        return np.where(known, self.pairs[np.where(known, left.astype(np.int64) << 32 | right, 0)], self.n)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a word starts with its blanks."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, where the ids of each end); a word starts with its blanks."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         owner = np.repeat(np.arange(len(words)), lengths)
         if not len(points):
-            return [np.empty(0, np.int32) for _ in words]
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         # no piece spans a pair of characters that is in no piece: a segment ends there
         bigram = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(self.bigrams, bigram), len(self.bigrams) - 1)
-        opens = np.r_[True, (self.bigrams[at] != bigram) | (owner[1:] != owner[:-1])]
+        opens = np.r_[True, (self.bigrams[bigram] == 0) | (owner[1:] != owner[:-1])]
         segment = np.cumsum(opens) - 1
         symbol = self.symbol_of[points]
         place = np.arange(len(points))  # where a symbol starts: names it to the end
@@ -154,7 +186,10 @@ class Pieces:
             keep[chosen + 1] = False
             symbol, segment, place, merged = (x[keep] for x in (symbol, segment, place, merged))
             new = chosen - np.arange(len(chosen))  # one symbol fewer for each merge to the left
-            changed = np.unique(np.r_[new, new[new > 0] - 1])
+            touched = np.zeros(len(symbol), bool)
+            touched[new] = True
+            touched[new[new > 0] - 1] = True
+            changed = np.flatnonzero(touched)
             last = changed == len(symbol) - 1
             merged[changed[last]] = self.n
             changed = changed[~last]
@@ -188,7 +223,7 @@ class Pieces:
         head = np.flatnonzero(~several)
         return chosen[count == count[head][np.cumsum(~several) - 1]]
 
-    def _collect(self, made, points, owner, n_words) -> list[np.ndarray]:
+    def _collect(self, made, points, owner, n_words) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols in order, those without a piece as their bytes."""
         at = np.flatnonzero(made != -2)
         ids, owner = made[at], owner[at]
@@ -201,7 +236,7 @@ class Pieces:
             ids, owner = np.repeat(ids, repeats), np.repeat(owner, repeats)
             for k, d in zip(foreign, data):
                 ids[ends[k] - len(d):ends[k]] = d
-        return np.split(ids, np.searchsorted(owner, np.arange(1, n_words)))
+        return ids, np.searchsorted(owner, np.arange(1, n_words + 1))
 
     def words(self, text: str) -> list[str]:
         """The words of a normalised text, each with the blanks before it."""
@@ -229,33 +264,84 @@ class Pieces:
         return "".join(out)
 
 
-class _Words:
-    """Encoded words of a task, kept while they fit: word -> whatever ``keep`` makes of its ids."""
+_LOADED: dict[bytes, Pieces] = {}  # of a worker process: one model, however many tasks
 
-    def __init__(self, pieces: Pieces, keep):
-        self.pieces, self.keep, self.known = pieces, keep, {}
 
-    def __call__(self, texts: list[str]) -> Iterator[list]:
-        split = [self.pieces.words(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
-            self.known.update(zip(part, map(self.keep, self.pieces.encode_words(part))))
-        for words in split:
-            yield [self.known[w] for w in words]
+def loaded(model: bytes) -> Pieces:
+    key = hashlib.sha256(model).digest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Pieces(model)
+    return _LOADED[key]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+class _Words:
+    """Words of a task with their ids: decimal, joined by commas, and decoded where that is another text
+    than the word. Words are kept up to ``CACHED_CHARS`` characters and one slice."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.listed: list[str] = []
+        self.odd: dict[str, bytes] = {}
+        self.ids, self.ends, self.chars = [], [np.zeros(1, np.int64)], 0
+
+    def learn(self, split: list[list[str]]) -> None:
+        """Have the ids of all words of ``split``."""
+        if self.chars > CACHED_CHARS:
+            self.clear()
+        new, block, size = set().union(*split) - self.place.keys(), [], 0
+        for word in new:
+            block.append(word)
+            size += len(word)
+            if size >= SLICE_CHARS:
+                self._add(block)
+                block, size = [], 0
+        if block:
+            self._add(block)
+
+    def _add(self, words: list[str]) -> None:
+        ids, ends = self.pieces.encode_words(words)
+        self.place.update(zip(words, range(len(self.listed), len(self.listed) + len(words))))
+        texts = list(map(self.pieces.id_texts.__getitem__, ids.tolist()))
+        begins = [0, *ends[:-1].tolist()]
+        self.listed += [",".join(texts[a:b]) for a, b in zip(begins, ends.tolist())]
+        # nearly all words decode to themselves: all at once, then one by one where they do not
+        plain = b"\xff".join(map(str.encode, words)).replace(SPACE.encode(), b" ") + b"\xff"
+        with_ends = np.insert(ids, ends, self.pieces.n).tolist()
+        if plain != b"".join(map(self.pieces.piece_bytes.__getitem__, with_ends)):
+            for word, a, b in zip(words, begins, ends.tolist()):
+                back = b"".join([self.pieces.piece_bytes[i] for i in ids[a:b].tolist()])
+                if back != word.replace(SPACE, " ").encode():
+                    self.odd[word] = back
+        self.ids.append(ids)
+        self.ends.append(self.ends[-1][-1] + ends)
+        self.chars += sum(map(len, words))
+
+    def ids_of(self, split: list[list[str]]) -> np.ndarray:
+        """The ids of all texts one after another."""
+        at = np.fromiter((self.place[w] for words in split for w in words), np.int64)
+        flat, ends = np.concatenate([np.zeros(0, np.int32), *self.ids]), np.concatenate(self.ends)
+        self.ids, self.ends = [flat], [ends]
+        # the ends of blocks follow each other, the first 0 stands before them
+        begins, counts = ends[at], ends[at + 1] - ends[at]
+        steps = np.cumsum(counts)
+        return flat[np.repeat(begins - steps + counts, counts) + np.arange(steps[-1] if len(steps) else 0)]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``most`` characters of text (or one longer text)."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        sizes = pc.utf8_length(batch.column(1)).to_pylist()
         start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= most or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+        for i, own in enumerate(sizes):
+            size += own
+            if size >= most or i == len(sizes) - 1:
+                part = batch.slice(start, i + 1 - start)
+                yield part, part.column(1).to_pylist()
                 start, size = i + 1, 0
 
 
@@ -266,7 +352,7 @@ def decode(tokens: DataFrame, model: bytes, ids_column: str = "ids", id_column:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        pieces = Pieces(shared.value)
+        pieces = loaded(shared.value)
         for batch in batches:
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -275,40 +361,45 @@ def decode(tokens: DataFrame, model: bytes, ids_column: str = "ids", id_column:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (array of int), ids_sha256 (decimal ids joined by commas) and decoded_sha256
-    (the text the ids decode to) of every whole text.
+def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text",
+           with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int, unless ``with_ids`` is false), ids_sha256 (decimal ids joined by commas) and
+    decoded_sha256 (the text the ids decode to) of every whole text.
 
     Null counts as empty, an empty text has no ids. Rows repeated with their id give a row each;
-    other columns are not read. Columns not selected cost little."""
+    other columns are not read."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
+    names = ["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        pieces = Pieces(shared.value)
-        # a word's bytes are whole characters, so texts decode word by word
-        words = _Words(pieces, lambda ids: (
-            ids, ",".join(map(str, ids.tolist())), b"".join(pieces.piece_bytes[i] for i in ids.tolist())))
+        pieces = loaded(shared.value)
+        known = _Words(pieces)
         for batch, texts in _texts(batches):
-            flat, sizes, listed, decoded = [], [], [], []
-            for found in words(texts):
-                flat += [f[0] for f in found]
-                sizes.append(sum(len(f[0]) for f in found))
-                listed.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                text = b"".join([f[2] for f in found])
+            split = [pieces.words(t) for t in texts]
+            known.learn(split)
+            sizes, listed, decoded = [], [], []
+            place, line, odd = known.place, known.listed, known.odd
+            for words in split:
+                ids = ",".join([line[place[w]] for w in words])
+                sizes.append(ids.count(",") + 1 if ids else 0)
+                listed.append(hashlib.sha256(ids.encode()).hexdigest())
+                # a word's bytes are whole characters, so texts decode word by word
+                if odd and not odd.keys().isdisjoint(words):
+                    text = b"".join([odd[w] if w in odd else w.replace(SPACE, " ").encode() for w in words])
+                else:
+                    text = "".join(words).replace(SPACE, " ").encode()
                 decoded.append(hashlib.sha256(text[1:] if pieces.prefix and text[:1] == b" " else text).hexdigest())
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)),
-                pa.array(np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)))
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            all_ids = [pa.ListArray.from_arrays(ends, pa.array(known.ids_of(split)))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(listed), pa.array(decoded)],
-                ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                [batch.column(0), pa.array(sizes, pa.int64()), *all_ids, pa.array(listed), pa.array(decoded)], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, "
+                                "decoded_sha256 string")
 
 
 def read_model(path: str) -> bytes:
@@ -323,4 +414,4 @@ def default_model() -> bytes:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), default_model()).drop("ids")
+    return encode(table(spark, sf_dir, "documents"), default_model(), with_ids=False)

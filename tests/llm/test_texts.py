@@ -30,13 +30,25 @@ def odd_texts():
 def test_pieces_equal_the_library(library):
     model = pieces.Pieces(pieces.default_model())
     texts = odd_texts() + [t or "" for t in cases.texts()]
-    words = pieces._Words(model, lambda ids: ids)
-    for text, found in zip(texts, words(texts)):
-        ids = np.concatenate(found).tolist() if found else []
+    words = pieces._Words(model)
+    for text in texts:
+        split = model.words(text)
+        words.learn([split])
+        ids = words.ids_of([split]).tolist()
         assert ids == library.encode(text), text
+        assert ",".join(words.listed[words.place[w]] for w in split) == ",".join(map(str, ids))
         assert model.decode(ids) == library.decode(ids), text
 
 
+def test_words_are_forgotten_beyond_their_room(monkeypatch, library):
+    monkeypatch.setattr(pieces, "CACHED_CHARS", 50)
+    words = pieces._Words(pieces.loaded(pieces.default_model()))
+    for some in range(0, 300, 20):
+        split = [words.pieces.words(t) for t in odd_texts()[some:some + 20]]
+        words.learn(split)
+        assert words.ids_of(split).tolist() == [i for t in odd_texts()[some:some + 20] for i in library.encode(t)]
+
+
 def test_decoding_ids_of_any_order(library):
     model = pieces.Pieces(pieces.default_model())
     r = random.Random(1)
@@ -55,6 +67,9 @@ def test_encoding_documents(spark, library):
              hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
     out = pieces.encode(docs, pieces.default_model())
     assert Counter(tuple(r) for r in out.drop("ids").collect()) == want
+    assert Counter(tuple(r) for r in pieces.encode(docs, pieces.default_model(), with_ids=False).collect()) == want
+    assert all(r.ids == library.encode(r.text or "") for r in out.join(docs.select("doc_id", "text"), "doc_id").filter(
+        "doc_id > 40").collect())
     back = pieces.decode(out, pieces.default_model()).filter("doc_id = 10").collect()
     assert [r.text for r in back] == [cases.texts()[10]]
 
