@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rowecho.llm import exact_dedup, simhash, suffix_dedup
+from rowecho.llm import debruijn, exact_dedup, simhash, suffix_dedup
 from rowecho.llm.common import shared_folder
 from tests.llm import cases
 
@@ -154,3 +154,74 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.drop_near_duplicates(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def slow_passages(texts, width):
+    """(n_words, n_removed, sha of the kept words) of each text by definition."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i:i + width]) for w in split for i in range(len(w) - width + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i:i + width])] > 1:
+                gone.update(range(i, i + width))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def passage_texts():
+    """Texts that share stretches, fork and join, repeat inside themselves and go round in circles."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    parts = [[r.choice(words) for _ in range(r.randint(3, 40))] for _ in range(25)]
+    texts = [" ".join(sum((r.choice(parts) for _ in range(r.randint(1, 12))), [])) for _ in range(150)]
+    texts += ["a b " * 60, "a " * 100, "a b " * 59 + "c", "x a b " + "a b c " * 40, " ".join(parts[0]) * 2, "é\u00a0è " * 50]
+    texts += [texts[0]] * 40 + [texts[1].replace(" ", "\n\t"), " " + texts[2] + "\x0b", texts[3].upper(), None, "", " \n"]
+    return texts
+
+
+@pytest.mark.parametrize("width, node", [(35, 16), (6, 3), (9, 8), (2, 1), (12, 5)])
+def test_passages_equal_brute_force(spark, monkeypatch, width, node):
+    if width != 35:  # many blocks of places, pieces of paths, and batches
+        monkeypatch.setattr(debruijn, "PLACES", 64)
+    texts = passage_texts() + cases.texts()
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, "s") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, sha string, row long, base long, string string").repartition(5)
+    got = {r.doc_id: r for r in debruijn.remove_passages(docs, width, node).collect()}
+    want = slow_passages(texts, width)
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == w, (i, texts[i])
+        spans = got[i].spans or []
+        assert sum(b - a for a, b in zip(spans[::2], spans[1::2])) == w[1]
+
+
+def test_passages_of_repeated_rows_and_nulls(spark):
+    docs = cases.docs(spark)
+    rows = docs.select("doc_id", "text").collect()
+    want = Counter((r.doc_id, *w) for r, w in zip(rows, slow_passages([r.text for r in rows], 35)))
+    got = Counter(tuple(r) for r in debruijn.remove_passages(docs).drop("spans").collect())
+    assert got == want
+    assert debruijn.remove_passages(cases.no_docs(spark)).count() == 0
+
+
+def test_paths_join_across_documents(spark):
+    """A path is one whatever documents hold its parts, and a circle is cut."""
+    from rowecho.llm.common import cut
+
+    rows, place = [], 0
+    for some in ([1, 2, 3, 4], [3, 4, 5, 6], [5, 6, 7, 8], [7, 8, 1, 2], [20, 21, 20, 21], [30, 31], [30, 32], [31, 32]):
+        for edge in some:  # edge e leads from node e to e + 1, but 21 back to 20
+            rows.append((place, edge, edge, edge if edge < 30 else 30, 20 if edge == 21 else edge + 1, 1))
+            place += 1
+        place += 1
+    edges = cut(spark.createDataFrame(rows, "place long, a long, b long, left long, right long, n long"))
+    got = {r.a: (r.path, r.at) for r in debruijn.paths(edges).collect()}
+    first = got[1][0]
+    assert [got[e] for e in range(1, 9)] == [(first, e - 1) for e in range(1, 9)]
+    assert got[20][0] == got[21][0] and {got[20][1], got[21][1]} == {0, 1}
+    assert len({got[e][0] for e in (30, 31, 32)}) == 3  # two edges leave a node
