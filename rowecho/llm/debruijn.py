@@ -2,16 +2,15 @@
 
 The nodes of a De Bruijn graph are runs of ``NODE`` words, its edges runs of one word more. Of the nodes in
 a window the one with the lowest hash marks it, so only windows whose mark occurs twice can be repeated,
-and only their words become edges. Edges that occur once are dropped.
+and only their words become nodes and edges, once for all copies of a text.
 
-Where one edge enters a node and one leaves it, they belong to one path. Edges that follow each other at
-their first place in the corpus join by a window over places, and the pieces so made join across
-documents by doubling their pointers, a Spark join for each doubling. Every edge then has a path and
-a place on it.
+A node with different edges before or after it in different places is a branching. A join of all nodes with the
+branchings parts every text into paths without one. Where a text enters or leaves the graph it also
+meets a branching, unless all texts do so there, so texts hold paths as a whole, and a path is known by its words.
 
-Going back to the sources, a document is a list of stretches of paths, and a window is known by the paths it
-touches and its place on the first. How many stretches cover a place is summed along the path;
-windows covered twice are repeated, and their words go.
+Back in the sources, a window is known by the paths it touches and its place on the first. Windows that follow
+each other and touch the same paths go together: they are repeated where two places in the corpus,
+copies of a text counted, touch these paths one after another, and their words go.
 """
 
 from __future__ import annotations
@@ -28,13 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rowecho.llm.common import bounded_batches, cut, table, text_or_empty
 
 WIDTH, NODE = 35, 16
-PLACES = 1 << 16  # places in one window over places
-PIECE = 1 << 10  # edges of a path that are counted together
 HELD_WORDS = 1 << 18  # different words whose hash a task keeps
-HELD_ROWS = 1 << 18  # edges put into stretches at once
+HELD_ROWS = 1 << 18  # rows of a batch that a task hands on
 TASK_SHIFT = 40  # a task numbers its places above its own number
 SEEN_TEXTS = 500_000
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -54,6 +50,9 @@ class _Hashes(dict):
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def _runs_hashed(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Hash of the ``length`` words from each place, put together from runs of powers of two."""
@@ -84,39 +83,39 @@ def _keys(text) -> list:
 
 
 def _read(docs: DataFrame, width: int, node: int, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, k1, k2, n_words, sha, marks): a row per document; the marks of a text come with its first row in a task,
-    or a few, and are null in the others."""
+    """(doc_id, k1, k2, row, n_words, sha, marks): a row per document with its number; the marks of a text come with
+    its first row in a task, or a few, and are null in the others."""
     text = text_or_empty(text_column)
     rows = docs.select(F.col(id_column).alias("doc_id"), *_keys(text), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Hashes = _Hashes()
         seen: dict[tuple[int, int], tuple[int, str]] = {}
+        row = TaskContext.get().partitionId() << TASK_SHIFT
         for batch in batches:
             sizes, shas, marks = [], [], []
-            for k1, k2, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                known = seen.get((k1, k2))
+            for key, data in zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()), batch.column(3).to_pylist()):
+                known, own = seen.get(key), None
                 if known is None:
                     words = data.split()
-                    known = len(words), hashlib.sha256(b" ".join(words)).hexdigest()
                     if len(seen) > SEEN_TEXTS:
                         seen.clear()
-                    seen[k1, k2] = known
-                    own = None
+                    seen[key] = known = len(words), hashlib.sha256(b" ".join(words)).hexdigest()
                     if len(words) >= width:
-                        nodes = _runs_hashed(np.array([held[w] for w in words], np.uint64), node, _A)
+                        nodes = _runs_hashed(held.of(words), node, _A)
                         at = _marks(nodes, width - node + 1)
-                        own = nodes[at[np.r_[True, at[1:] != at[:-1]]]].view(np.int64)
-                    marks.append(own)
-                else:
-                    marks.append(None)
+                        own, times = np.unique(nodes[at[np.r_[True, at[1:] != at[:-1]]]].view(np.int64), return_counts=True)
+                        own = np.r_[own, own[times > 1]]  # twice is often enough
+                marks.append(own)
                 sizes.append(known[0])
                 shas.append(known[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(shas),
-                 pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n_words", "sha", "marks"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.arange(row, row + len(sizes))),
+                 pa.array(sizes, pa.int64()), pa.array(shas), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "k1", "k2", "row", "n_words", "sha", "marks"])
+            row += len(sizes)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, "
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, row bigint, "
                                 "n_words bigint, sha string, marks array<bigint>")
 
 
@@ -149,151 +148,118 @@ def _words(size: int, packed: bytes) -> list[bytes]:
     return pa.Codec("zstd").decompress(packed, size, asbytes=True).split() if size else []
 
 
-def _edges(texts: DataFrame, width: int, node: int) -> DataFrame:
-    """(k1, k2, place, pos, a, b, left, right): the edges of windows with a repeated mark. ``place`` numbers the words of
-    all texts, with a gap between texts; ``a`` and ``b`` are the edge, ``left`` and ``right`` its nodes."""
-    inside = width - node  # edges of a window
-
+def _hash_of_runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Hash of the words from each begin to its end."""
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.r_[one, np.full(len(words), base, np.uint64)], dtype=np.uint64)
+    back = np.cumprod(np.r_[one, np.full(len(words), inverse, np.uint64)], dtype=np.uint64)
+    sums = np.cumsum(np.r_[one, words * power[:-1]], dtype=np.uint64)
+    return _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _B)
+
+
+def nodes_of(words: np.ndarray, marks, copies: int, width: int, node: int) -> tuple[np.ndarray, ...]:
+    """(windows, marked, place, nodes): which windows may be repeated and whether their mark is one of ``marks``, and the nodes
+    of these windows, in the order of places. In a text with copies all windows are repeated."""
+    nodes = _runs_hashed(words, node, _A)
+    size = width - node + 1  # nodes of a window
+    at = _marks(nodes, size)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    marked = np.isin(nodes[at[starts]], np.array(marks or [], np.int64).view(np.uint64))
+    marked = np.repeat(marked, np.diff(np.r_[starts, len(at)]))
+    windows = np.arange(len(at)) if copies > 1 else np.flatnonzero(marked)
+    marked = marked[windows]
+    change = np.zeros(len(nodes) + 1, np.int64)
+    np.add.at(change, windows, 1)
+    np.add.at(change, windows + size, -1)
+    place = np.flatnonzero(np.cumsum(change) > 0)
+    return windows, marked, place, nodes[place]
+
+
+def _graph(texts: DataFrame, width: int, node: int, names: str, of) -> DataFrame:
+    """Rows that ``of(words, place, nodes)`` makes of each text, behind its number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Hashes = _Hashes()
-        base = TaskContext.get().partitionId() << TASK_SHIFT
-        names = ["k1", "k2", "place", "pos", "a", "b", "left", "right"]
+        columns = ["number", *names.split()]
         for batch in batches:
             out, count = [], 0
-            for k1, k2, size, packed, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                words = np.array([held[w] for w in _words(size, packed)], np.uint64)
-                nodes = _runs_hashed(words, node, _A)
-                marked = np.isin(nodes[_marks(nodes, inside + 1)], np.array(marks, np.int64).view(np.uint64))
-                change = np.zeros(len(words) + 1, np.int64)
-                starts = np.flatnonzero(marked)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + inside, -1)
-                at = np.flatnonzero(np.cumsum(change) > 0)
-                a = _mixed(nodes[at] * _B + words[at + node])
-                b = _runs_hashed(words, node + 1, _C)[at]
-                out.append((np.full(len(at), k1), np.full(len(at), k2), base + at, at, a.view(np.int64), b.view(np.int64),
-                            nodes[at].view(np.int64), nodes[at + 1].view(np.int64)))
-                base += len(words) + 1
-                count += len(at)
+            for number, size, packed, marks, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                words = held.of(_words(size, packed))
+                found = of(words, *nodes_of(words, marks, copies, width, node)[2:])
+                out.append((np.full(len(found[0]), number), *found))
+                count += len(found[0])
                 if count >= HELD_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], columns)
                     out, count = [], 0
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
-
-    return texts.mapInArrow(run, "k1 bigint, k2 bigint, place bigint, pos bigint, a bigint, b bigint, left bigint, right bigint")
-
-
-def paths(edges: DataFrame) -> DataFrame:
-    """(a, b, path, at): the path of each edge that occurs twice, named by the place of its first edge, and
-    the edge's place on it. ``edges`` is a written table of places in the corpus (place, a, b, left, right)."""
-    repeated = cut(edges.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.min("left").alias("left"),
-        F.min("right").alias("right")).filter("n > 1").drop("n"), "repeated")
-    leaving = repeated.groupBy("left").agg(F.count(F.lit(1)).alias("out"), F.min("place").alias("place"))
-    coming = repeated.groupBy("right").agg(F.count(F.lit(1)).alias("in"), F.min("place").alias("before"))
-    # links go up the places, so no path is a circle
-    links = leaving.join(coming, F.col("left") == F.col("right")).filter(
-        (F.col("out") == 1) & (F.col("in") == 1) & (F.col("before") < F.col("place"))).select("place", "before")
-    # edges in a row at their first places; what lies in two blocks of places joins with the others below
-    block = F.floor(F.col("place") / PLACES)
-    linked = repeated.select("a", "b", "place").join(links, "place", "left").withColumn("block", block)
-    starts = (F.col("before").isNull() | (F.col("before") != F.col("place") - 1)
-              | (F.floor(F.col("before") / PLACES) != F.col("block")))
-    in_order = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = cut(linked.withColumn("piece", F.last(F.when(starts, F.col("place")), True).over(in_order)).drop("block"),
-                 "pieces")
-    ends = pieces.select(F.col("place").alias("before"), F.col("piece").alias("to"))
-    hops = cut(pieces.filter((F.col("piece") == F.col("place")) & F.col("before").isNotNull()).join(ends, "before").select(
-        "piece", "to", (F.col("before") - F.col("to") + 1).alias("steps")), "hops")
-    while True:  # a pass doubles how far every pointer reaches
-        on = hops.select(F.col("piece").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
-        if hops.join(on, "to", "left_semi").isEmpty():
-            break
-        hops = cut(hops.join(on, "to", "left").select(
-            "piece", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "hops")
-    return pieces.join(hops, "piece", "left").select(
-        "a", "b", F.coalesce("to", "piece").alias("path"),
-        (F.col("place") - F.col("piece") + F.coalesce("steps", F.lit(0))).alias("at"))
-
-
-def windows_of(k1, k2, pos, path, at, inside: int) -> tuple[np.ndarray, ...]:
-    """(row, key1, key2, low, high) of each set of windows in a row that touch the same paths: the row they start at, what
-    they touch, and their places on the first path. Rows are edges in the order of texts and places."""
-    piece, at = at // PIECE, at % PIECE
-    next_ = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (pos[1:] == pos[:-1] + 1)
-    run = np.cumsum(np.r_[False, ~next_])
-    onward = next_ & (path[1:] == path[:-1]) & (piece[1:] == piece[:-1]) & (at[1:] == at[:-1] + 1)
-    stretch = np.cumsum(np.r_[False, ~onward])
-    begins = np.flatnonzero(np.r_[True, ~onward, True])
-    start = np.flatnonzero(run[:len(run) - inside + 1] == run[inside - 1:]) if len(run) >= inside else np.zeros(0, np.int64)
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    first, last = stretch[start], stretch[start + inside - 1]
-    new = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(last) != 0) | (np.diff(start) != 1)])
-    end = np.r_[new[1:], len(start)] - 1
-    first, last, row = first[new], last[new], start[new]
-    numbers = [x.astype(np.int64).view(np.uint64) for x in (path, piece, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], columns)
+
+    return texts.select("number", "size", "packed", "marks", "copies").mapInArrow(
+        run, ", ".join(f"{n} bigint" for n in ["number", *names.split()]))
+
+
+def edges_at(words: np.ndarray, place: np.ndarray, nodes: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, edges): every node with a number for the two edges it has here; none where the graph is entered or left."""
+    before, after = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    goes_on = np.flatnonzero(np.diff(place) == 1)
+    after[goes_on] = _mixed(words[place[goes_on] + node] + _A)
+    before[goes_on + 1] = _mixed(words[place[goes_on]] + _A)
+    return nodes.view(np.int64), _mixed(before * _B + after).view(np.int64)
+
+
+def paths_of(words: np.ndarray, windows: np.ndarray, marked: np.ndarray, place: np.ndarray, branches: np.ndarray, width: int,
+             node: int) -> tuple[np.ndarray, ...]:
+    """(window, count, key1, key2): the windows of a text in groups that touch the same paths, the first of them and how many
+    they are. ``branches`` are the places of branchings. Marked windows, which every text asks for, and others
+    are apart, so the groups of all texts are the same."""
+    edges = place[:-1][np.diff(place) == 1]  # an edge is known by its first node
+    starts = np.flatnonzero(np.r_[True, np.diff(edges) != 1] | np.isin(edges, branches))  # of paths
+    path = np.cumsum(np.isin(np.arange(len(edges)), starts)) - 1
+    ends = np.r_[starts[1:], len(edges)] - 1
+    begin, end = edges[starts], edges[ends] + node + 1
+    names = [_hash_of_runs(words, begin, end, base) for base in (_A, _C)]
+    inside = width - node  # edges of a window
+    at = np.searchsorted(edges, windows)
+    first, last = path[at], path[at + inside - 1]
+    new = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(last) != 0) | (np.diff(windows) != 1)
+                               | (marked[1:] != marked[:-1])])
+    count = np.diff(np.r_[new, len(windows)])
+    first, last = first[new], last[new]
     keys = []
-    for base in (_A, _C):
-        name = _mixed(numbers[0] * base + numbers[1])
-        key = _mixed(name[begins[first]] + base)
+    for name in names:
+        key = name[first]
         for step in range(1, inside):
             more = np.flatnonzero(first + step <= last)
             if not len(more):
                 break
-            here = begins[first[more] + step]
-            if step == 1:
-                key[more] = _mixed(key[more] * _B + numbers[2][here - 1])
-            length = np.where(first[more] + step < last[more], begins[first[more] + step + 1] - here, 0).astype(np.uint64)
-            key[more] = _mixed(_mixed(key[more] * _B + name[here]) + numbers[2][here] * base + length)
+            key[more] = _mixed(key[more] * _B + name[first[more] + step])
         keys.append(key.view(np.int64))
-    return row, keys[0], keys[1], at[row], at[start[end]]
-
+    # several groups may touch the same paths: their places on the first path tell them apart
+    offset = (windows[new] - begin[first]).astype(np.uint64)
+    keys[1] = _mixed(keys[1].view(np.uint64) + (offset << np.uint64(32) | count.astype(np.uint64)) * _C).view(np.int64)
+    return windows[new], count, *keys
 
-def _stretches(edges: DataFrame, inside: int) -> DataFrame:
-    """(k1, k2, pos, key1, key2, low, high): the windows of every text by what they touch."""
-    rows = edges.select("k1", "k2", "pos", "path", "at").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "pos")
 
+def _stretches(texts: DataFrame, branches: DataFrame, width: int, node: int) -> DataFrame:
+    """(number, copies, window, count, key1, key2): the windows of every text by the paths they touch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            row, *others = windows_of(*columns, inside)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c[row]) for c in columns[:3]] + [pa.array(c) for c in others],
-                ["k1", "k2", "pos", "key1", "key2", "low", "high"])
-
-        held: list[list[np.ndarray]] = []
-        count = 0
+        held: _Hashes = _Hashes()
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            count += batch.num_rows
-            if count < HELD_ROWS:
-                continue
-            columns = [np.concatenate(c) for c in zip(*held)]
-            ends = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
-            if len(ends):  # the last text may go on
-                whole = ends[-1] + 1
-                yield found([c[:whole] for c in columns])
-                columns = [c[whole:] for c in columns]
-            held, count = [columns], len(columns[0])
-        if count:
-            yield found([np.concatenate(c) for c in zip(*held)])
-
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, pos bigint, key1 bigint, key2 bigint, low bigint, high bigint")
-
-
-def _covered(stretches: DataFrame) -> DataFrame:
-    """(key1, key2, ranges): places that two stretches cover, begin and end (exclusive) of each range. A key has ``PIECE`` places at
-    most, however many stretches meet there, and these are summed before they travel."""
-    one = F.lit(1).cast("bigint")
-    changes = stretches.select("key1", "key2", F.inline(F.array(
-        F.struct(F.col("low").alias("at"), one.alias("n")), F.struct((F.col("high") + 1).alias("at"), (-one).alias("n")))))
-    summed = changes.groupBy("key1", "key2", "at").agg(F.sum("n").alias("n"))
-    along = Window.partitionBy("key1", "key2").orderBy("at")
-    ranges = summed.select("key1", "key2", "at", F.sum("n").over(along).alias("n"), F.lead("at").over(along).alias("end"))
-    return ranges.filter("n > 1").groupBy("key1", "key2").agg(
-        F.collect_list(F.struct(F.col("at").alias("begin"), "end")).alias("ranges"))
+            out = []
+            for number, size, packed, marks, copies, places in zip(*(c.to_pylist() for c in batch.columns)):
+                words = held.of(_words(size, packed))
+                windows, marked, place, _ = nodes_of(words, marks, copies, width, node)
+                if len(windows):
+                    found = paths_of(words, windows, marked, place, np.array(places or [], np.int64), width, node)
+                    out.append((np.full(len(found[0]), number), np.full(len(found[0]), copies), *found))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
+                                                 ["number", "copies", "window", "count", "key1", "key2"])
+
+    places = branches.groupBy("number").agg(F.collect_list("place").alias("places"))
+    return texts.select("number", "size", "packed", "marks", "copies").join(places, "number", "left").select(
+        "number", "size", "packed", "marks", "copies", "places").mapInArrow(
+        run, "number bigint, copies bigint, window bigint, count bigint, key1 bigint, key2 bigint")
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
@@ -321,7 +287,7 @@ def _removed(texts: DataFrame, width: int) -> DataFrame:
 def remove_passages(docs: DataFrame, width: int = WIDTH, node: int = NODE, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) and spans (begin and end of the removed runs of
-    words, one after another; null if all or nothing is removed), a row per document.
+    words, one after another; null if nothing is removed), a row per document.
 
     Words are what ASCII white space separates. A null or empty text has none, and a text of fewer than ``width`` words loses
     nothing. Equal texts, rows repeated with their id among them, repeat each other. An empty table gives an empty result;
@@ -330,31 +296,34 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, node: int = NODE, id_co
     if not 1 <= node < width:
         raise ValueError("a node is shorter than a window")
     bounded_batches(docs.sparkSession)
-    inside = width - node
+    long_enough = F.col("n_words") >= width
     base = cut(_read(docs, width, node, id_column, text_column), "base")
-    texts = cut(base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("marks", True).alias("marks")), "texts")
-    marks = texts.select("k1", "k2", F.explode("marks").alias("mark"))
+    copies = base.filter(long_enough).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    marks = base.select("row", F.explode("marks").alias("mark"))
     twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    asked = marks.join(twice, "mark").groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
+    asked = marks.join(twice, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    # texts with copies may be marked in one task only, and every window of theirs is repeated
+    asked = base.select("row", "k1", "k2").join(asked, "row").select("k1", "k2", "marks").join(
+        copies, ["k1", "k2"], "full").select("k1", "k2", "marks", F.coalesce("copies", F.lit(1)).alias("copies"))
     packed = cut(_packed(docs, text_column).join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(
-        *(F.first(c).alias(c) for c in ("size", "packed", "marks"))), "packed")
-    edges = cut(_edges(packed, width, node), "edges")
-    placed = edges.select("k1", "k2", "pos", "a", "b").join(paths(edges), ["a", "b"])
-    stretches = cut(_stretches(placed, inside), "stretches")
-    # where each window of a covered place starts in its text
-    starts = F.filter(F.transform("ranges", lambda r: F.struct(
-        (F.col("pos") + F.greatest(r["begin"], F.col("low")) - F.col("low")).alias("begin"),
-        (F.col("pos") + F.least(r["end"], F.col("high") + 1) - F.col("low")).alias("end"))), lambda r: r["begin"] < r["end"])
-    copies = texts.filter("copies > 1").select("k1", "k2", "copies")
-    hit = stretches.join(_covered(stretches), ["key1", "key2"]).select("k1", "k2", F.inline(starts)).join(
-        copies, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(
-        F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    partly = _removed(packed.select("k1", "k2", "size", "packed").join(hit, ["k1", "k2"]), width)
-    gone = F.col("copies").isNotNull() & (F.col("n_words") >= width)  # copies repeat each other as a whole
+        *(F.first(c).alias(c) for c in ("size", "packed", "marks", "copies"))).withColumn(
+        "number", F.monotonically_increasing_id()), "packed")
+    nodes = _graph(packed, width, node, "node edges", lambda *own: edges_at(*own, node))
+    branching = cut(nodes.groupBy("node").agg(F.min("edges").alias("one"), F.max("edges").alias("other")).filter(
+        "one <> other").select("node"), "branching")
+    # few of all nodes; as a written table of known size they are only broadcast where they fit
+    branches = _graph(packed, width, node, "place node", lambda words, place, nodes: (
+        place, nodes.view(np.int64))).join(branching, "node", "left_semi")
+    stretches = cut(_stretches(packed, branches, width, node), "stretches")
+    often = stretches.groupBy("key1", "key2").agg(F.sum("copies").alias("n")).filter("n > 1").select("key1", "key2")
+    hit = stretches.join(often, ["key1", "key2"], "left_semi").groupBy("number").agg(
+        F.collect_list("window").alias("begins"), F.collect_list(F.col("window") + F.col("count")).alias("ends"))
+    partly = _removed(packed.select("number", "k1", "k2", "size", "packed").join(hit, "number").select(
+        "k1", "k2", "size", "packed", "begins", "ends"), width)
     zero = F.lit(0).cast("bigint")
-    return base.drop("marks").join(copies, ["k1", "k2"], "left").join(partly, ["k1", "k2"], "left").select(
-        "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), "spans")
+    return base.join(cut(partly, "partly"), ["k1", "k2"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans")
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

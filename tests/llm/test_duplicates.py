@@ -185,9 +185,7 @@ def passage_texts():
 
 
 @pytest.mark.parametrize("width, node", [(35, 16), (6, 3), (9, 8), (2, 1), (12, 5)])
-def test_passages_equal_brute_force(spark, monkeypatch, width, node):
-    if width != 35:  # many blocks of places, pieces of paths, and batches
-        monkeypatch.setattr(debruijn, "PLACES", 64)
+def test_passages_equal_brute_force(spark, width, node):
     texts = passage_texts() + cases.texts()
     docs = spark.createDataFrame([(i, t, "x", 1, 2, "s") for i, t in enumerate(texts)],
                                  "doc_id long, text string, sha string, row long, base long, string string").repartition(5)
@@ -209,19 +207,23 @@ def test_passages_of_repeated_rows_and_nulls(spark):
     assert debruijn.remove_passages(cases.no_docs(spark)).count() == 0
 
 
-def test_paths_join_across_documents(spark):
-    """A path is one whatever documents hold its parts, and a circle is cut."""
-    from rowecho.llm.common import cut
-
-    rows, place = [], 0
-    for some in ([1, 2, 3, 4], [3, 4, 5, 6], [5, 6, 7, 8], [7, 8, 1, 2], [20, 21, 20, 21], [30, 31], [30, 32], [31, 32]):
-        for edge in some:  # edge e leads from node e to e + 1, but 21 back to 20
-            rows.append((place, edge, edge, edge if edge < 30 else 30, 20 if edge == 21 else edge + 1, 1))
-            place += 1
-        place += 1
-    edges = cut(spark.createDataFrame(rows, "place long, a long, b long, left long, right long, n long"))
-    got = {r.a: (r.path, r.at) for r in debruijn.paths(edges).collect()}
-    first = got[1][0]
-    assert [got[e] for e in range(1, 9)] == [(first, e - 1) for e in range(1, 9)]
-    assert got[20][0] == got[21][0] and {got[20][1], got[21][1]} == {0, 1}
-    assert len({got[e][0] for e in (30, 31, 32)}) == 3  # two edges leave a node
+def test_windows_of_equal_words_have_equal_keys():
+    """Wherever texts branch, equal windows are in groups of one key, and different ones are not."""
+    rng = np.random.default_rng(3)
+    width, node = 7, 3
+    texts = [rng.integers(1, 4, rng.integers(7, 60)).astype(np.uint64) for _ in range(200)]
+    nodes, seen = [], defaultdict(set)
+    for words in texts:
+        _, _, place, own = debruijn.nodes_of(words, None, 2, width, node)
+        nodes.append((place, own))
+        for n, e in zip(*debruijn.edges_at(words, place, own, node)):
+            seen[n].add(e)
+    keys = defaultdict(set)
+    for words, (place, own) in zip(texts, nodes):
+        branches = place[[len(seen[n]) > 1 for n in own.view(np.int64)]]
+        windows = np.arange(len(words) - width + 1)
+        for first, count, k1, k2 in zip(*debruijn.paths_of(
+                words, windows, np.zeros(len(windows), bool), place, branches, width, node)):
+            for i in range(count):
+                keys[tuple(words[first + i:first + i + width])].add((k1, k2, i))
+    assert all(len(k) == 1 for k in keys.values()) and len(set.union(*keys.values())) == len(keys)
