@@ -832,14 +832,20 @@ def oracle_sql() -> dict[str, str]:
       select doc_id, list_name, n_expected, case when n_out > 0 then n_out_hit else n_hit end as n_found,
         case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted
       where case when n_out > 0 then n_out_hit else n_hit end > 0"""
+    q["corpus_word_scan_ids"] = q["corpus_word_scan_long"]
     q["corpus_passage_scan"] = """select doc_id, item_id as passage_id from documents d join benchmark b on contains(d.text, b.text)"""
     q["corpus_passage_scan_pages"] = """with pieces as (select distinct passage from (
         select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark) where passage <> '')
       select page_id, md5(passage) as passage_id from pages join pieces on contains(html, passage)"""
+    q["corpus_passage_index"] = """with pieces as (select distinct passage from (
+        select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark
+        union all select text from benchmark) where passage <> '')
+      select doc_id, md5(passage) as passage_id from documents join pieces on contains(text, passage)"""
     q["corpus_row_text_scan"] = f"""with rows_ as (select c_custkey, {row('customer')} as row_text from customer),
       turns as (select {TURN} as key, text from conversations),
       planted as (select key, text || chr(10) || row_text || '. End' as text from turns join rows_
         on c_custkey = {draw_int("'plant'", 'key')} % (select count(*) from customer)),
       counted as (select row_text, count(*) as n_rows from rows_ group by row_text)
       select key, row_text, n_rows from planted join counted on contains(text, row_text)"""
+    q["corpus_row_text_index"] = q["corpus_row_text_scan"]
     return q

@@ -9,19 +9,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from checks.datasets import MEDIAN_BALANCE, dataset, lexicon, table
+from checks.datasets import MEDIAN_BALANCE, cores, dataset, lexicon, table
 from checks.responder import ECHOING, MODELS, respond
 from rowecho.functions import answers
 from rowecho.functions.draws import draw_int, draw_position
 from rowecho.functions.text import (
     EXEMPLAR_DEFAULT, ROW_DEFAULT, SERIALIZATIONS, fill_template, row_text, text_block, value_text,
 )
-from rowecho.operators import corpus, decide, members, perturb, profile, reshape, rows, sampling, score
+from rowecho.operators import corpus, decide, dictionary, members, perturb, profile, reshape, rows, sampling, score
 from rowecho.plans import probes as P, reports, runs, templates
 from rowecho.sources import sinks
 from rowecho.sources.catalog import Dataset, DatasetSpec, decode_by_table, decode_index, load_dataset
 from rowecho.sources.lexicon import tag_lexicon
 from rowecho.sources.lineage import cut_lineage, remove_at_end
+from rowecho.sources.passage_index import PassageIndex
 from rowecho.sources.positions import POS, seeded_shuffle, with_positions
 from rowecho.sources.results import accuracy_cell, read_scorecards
 
@@ -963,13 +964,23 @@ def corpus_word_scan(spark, d):
 def corpus_word_scan_long(spark, d):
     """Every word of the benchmark, and every part name, type and brand, in every document; lists with a
     hit."""
+    return corpus.scan_words_long(table(spark, d, "documents"), _long_lists(spark, d), "doc_id")
+
+
+def _long_lists(spark, d) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value"))
     words = words.filter("value <> ''").distinct().select(
         F.lit("benchmark").alias("list_name"), "value", F.lit("string").alias("kind"))
     parts = profile.feature_values(dataset(spark, d, "part"), ["p_name", "p_type", "p_brand"])
     parts = parts.select(F.col("feature").alias("list_name"), "value", "kind")
-    tagged = tag_lexicon(words.unionByName(parts), lexicon(spark, d))
-    return corpus.scan_words_long(table(spark, d, "documents"), tagged, "doc_id")
+    return tag_lexicon(words.unionByName(parts), lexicon(spark, d))
+
+
+@query
+def corpus_word_scan_ids(spark, d):
+    """The same on texts coded by their vocabulary."""
+    coded = dictionary.build_dictionary(table(spark, d, "documents"), "doc_id")
+    return dictionary.scan_words(coded, _long_lists(spark, d))
 
 
 @query
@@ -992,16 +1003,51 @@ def _sentences(spark, d) -> DataFrame:
     return pieces.select(F.md5("passage").alias("passage_id"), "passage")
 
 
+def _passage_index(spark, d, batches: int = 2) -> PassageIndex:
+    """The documents in an index, added in several batches."""
+    index = PassageIndex(spark, _folder(spark, "passages"), ("doc_id", "bigint"), buckets=cores(spark))
+    docs = table(spark, d, "documents")
+    for i in range(batches):
+        index.append(docs.filter(F.col("doc_id") % batches == i), f"part-{i}")
+    return index
+
+
+@query
+def corpus_passage_index(spark, d):
+    """Items of the benchmark and their sentences, long and short, in an index of documents added in two batches."""
+    items = table(spark, d, "benchmark").select(F.col("text").alias("passage"))
+    passages = items.unionByName(_sentences(spark, d).select("passage")).distinct()
+    return _passage_index(spark, d).find(
+        passages.select(F.md5("passage").alias("passage_id"), "passage"), corpus.scan_passages)
+
+
+@query
+def corpus_row_text_index(spark, d):
+    """Customer rows planted into the conversation turns, looked for in an index of the turns."""
+    planted, row_texts = _planted_rows(spark, d)
+    index = PassageIndex(spark, _folder(spark, "turns"), ("key", "string"), window=4, buckets=cores(spark))
+    index.append(planted, "turns")
+    rows_ = row_texts.groupBy("row_text").agg(F.count("*").alias("n_rows")).withColumn("passage_id", F.md5("row_text"))
+    hits = index.find(rows_.select("passage_id", F.col("row_text").alias("passage")), corpus.scan_passages)
+    return hits.join(rows_, "passage_id").select("key", "row_text", "n_rows")
+
+
 @query
 def corpus_row_text_scan(spark, d):
     """Customer rows planted into the conversation turns, looked for among all customer rows."""
+    planted, row_texts = _planted_rows(spark, d)
+    return corpus.scan_row_texts(planted, row_texts, "key")
+
+
+def _planted_rows(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(key, text) of turns with the text of a drawn customer row at the end, and (row_text) of all customers."""
     ds = dataset(spark, d, "customer")
     text = row_text(ds.df, ds.columns, ROW_DEFAULT)
     turns = table(spark, d, "conversations").select(_turn_key().alias("key"), "text")
     drawn = turns.withColumn(POS, draw_position(sampling.row_count(ds.df), "plant", F.col("key")))
     planted = drawn.join(ds.df.select(POS, text.alias("row_text")), POS).select(
         "key", F.concat("text", F.lit("\n"), "row_text", F.lit(". End")).alias("text"))
-    return corpus.scan_row_texts(planted, ds.df.select(text.alias("row_text")), "key")
+    return planted, ds.df.select(text.alias("row_text"))
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,9 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
 
-from rowecho.operators import corpus
+from rowecho.operators import corpus, dictionary
 from rowecho.operators.decide import matches_text
 
 
@@ -104,3 +105,43 @@ def test_lexicon_coverage(spark):
         "dataset string, feature string, value string, kind string")
     lexicon = spark.createDataFrame([("little",), ("rich",), ("moderate",), ("quite",)], "word string")
     assert [r.value for r in corpus.lexicon_coverage(words, lexicon).collect()] == ["quite rich"]
+
+
+@pytest.fixture(scope="module")
+def coded_words(spark):
+    import random
+
+    r = random.Random(3)
+    signs = ["a", "b", "ab", "_", ".", " ", "é", "(", ")", "A", "\n", "aab", "b_a", "x.y"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(150)] + [None, "", " ", "a" * 3000]
+    values = {"".join(r.choice(signs) for _ in range(r.randint(1, 5))) for _ in range(120)} | {"", " ", "a b", "zzz", "(", "aab (cm)"}
+    words = [(f"l{r.randrange(6)}", v, r.choice(["string", "string", "other", "digits"]), r.random() < 0.5) for v in sorted(values)]
+    return (spark.createDataFrame(list(enumerate(texts)), "k int, text string"),
+            spark.createDataFrame(words, "list_name string, value string, kind string, in_lexicon boolean"))
+
+
+def test_scans_by_vocabulary_equal_scans_of_texts(spark, coded_words):
+    texts, words = coded_words
+    coded = dictionary.build_dictionary(texts, "k")
+    got = sorted(tuple(r) for r in dictionary.scan_words(coded, words).collect())
+    want = sorted(tuple(r) for r in corpus.scan_words_long(texts.filter("text is not null"), words, "k").collect())
+    assert got == want and len(got) > 100
+
+
+def test_numbers_of_words_are_dense_and_sorted(spark, coded_words):
+    texts, _ = coded_words
+    coded = dictionary.build_dictionary(texts, "k")
+    runs = {r.number: r.run for r in coded.runs.collect()}
+    assert sorted(runs) == list(range(len(runs))) and len(set(runs.values())) == len(runs)
+    whole = {r.k: (r.text or "").lower().split() for r in texts.collect()}
+    got = {r.k: r.numbers for r in coded.coded.collect()}
+    assert all(n == sorted(n) for n in got.values())
+    assert {k: {runs[n] for n in ns} for k, ns in got.items()} == {k: set(w) for k, w in whole.items() if w}
+
+
+def test_words_meet_runs_on_their_rarest_letters(spark):
+    runs = spark.createDataFrame([(i, "abc" + x) for i, x in enumerate(["", "d", "xyz", "xy"])] + [(9, "é")], "number long, run string")
+    words = spark.createDataFrame([("abc",), ("abcx",), ("y",), ("é",), ("nope",)], "word string")
+    got = {(r.number, r.word) for r in dictionary.match_runs(runs, words).collect()}
+    assert got == {(0, "abc"), (1, "abc"), (2, "abc"), (3, "abc"), (2, "abcx"), (3, "abcx"), (2, "y"), (3, "y"), (9, "é")}
+    assert dictionary.match_runs(runs, words.limit(0)).count() == 0
