@@ -134,8 +134,8 @@ def values(t: str, cols=None) -> str:
 
 # ---------------------------------------------------------------- altered rows
 
-def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str, tries: int) -> str:
-    """CTEs ending in {p}_done(_pos, f, v): altered cells in long form, the first try whose row
+def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str, tries: int, first: int = 0) -> str:
+    """CTEs ending in {p}_done(_pos, f, v): altered cells in long form, the first try from ``first`` on whose row
     is not in the table."""
     cells = union(f"select {key(t)} as _pos, '{c}' as f, {txt(c)} as v from {t}" for c in cols)
     order = "case f " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(cols)) + " end"
@@ -146,7 +146,7 @@ def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str,
     {p}_rows as materialized (select {as_row} as r from {p}_cells group by _pos),
     {p}_asked as materialized (
       select c.*, t.t, row_number() over (partition by _pos, t.t order by {draw_key(seed, '_pos', 'f')}) <= {k} as chosen
-      from {p}_cells c cross join (select unnest(range({tries})) as t) t where _pos in ({rows})),
+      from {p}_cells c cross join (select unnest(range({first}, {tries})) as t) t where _pos in ({rows})),
     {p}_donor as materialized (
       select c._pos, c.t, c.f, c.v, d.v as first, o.n as n_own, o.off as off_own,
         {draw_int(seed, 'c._pos', 'c.f', 'c.t', "'other'")} % (n.n - o.n) as u
@@ -164,7 +164,7 @@ def replace_ctes(p: str, t: str, cols: list[str], k: int, seed: str, rows: str,
       select c._pos, c.t, c.f, case when c.chosen then d.v else c.v end as v
       from {p}_asked c left join {p}_drawn d on c._pos = d._pos and c.t = d.t and c.f = d.f),
     {p}_first as materialized (select _pos, min(t) as t from (
-      select _pos, t from {p}_new group by _pos, t having {as_row} not in (select r from {p}_rows)) group by _pos),
+      select _pos, t from (select _pos, t, {as_row} as r from {p}_new group by _pos, t) anti join {p}_rows using (r)) group by _pos),
     {p}_done as materialized (select _pos, f, v from {p}_new join {p}_first using (_pos, t))"""
 
 
@@ -641,8 +641,12 @@ def oracle_sql() -> dict[str, str]:
     q["perturb_values"] = f"""with {replace_ctes('x', 'customer', COLUMNS['customer'], 2, '0', everyone, 2)}
       select _pos, {pivot('x', 'customer', COLUMNS['customer'])} from x_done group by _pos"""
     low = ["p_name", "p_brand", "p_type"]
-    low_ctes = replace_ctes('x', 'part', low, 1, '0', 'select p_partkey from part', 80)
-    q["perturb_until_new"] = f"with {low_ctes} select _pos, {pivot('x', 'part', low)}, true as altered from x_done group by _pos"
+    # one try for every row, the others for the rows that are left
+    once = replace_ctes('x', 'part', low, 1, '0', 'select p_partkey from part', 1)
+    left = "select p_partkey from part where p_partkey not in (select _pos from x_first)"
+    again = replace_ctes('y', 'part', low, 1, '0', left, 80, 1)
+    q["perturb_until_new"] = f"""with {once}, {again} select _pos, {pivot('', 'part', low)}, true as altered
+      from (select * from x_done union all select * from y_done) group by _pos"""
     q["perturbed_not_in_dataset"] = "select count(*) as n, cast(0 as bigint) as n_members from part"
     skewed = replace_ctes('x', 'orders', ['o_orderkey', 'o_custkey', 'o_orderstatus'], 1, '7', 'select o_orderkey from orders', 3)
     q["perturb_skewed"] = f"""with skewed as (select o_orderkey, o_custkey, case when o_orderkey % 10 = 0 then o_orderpriority else 'none' end
@@ -725,12 +729,20 @@ def oracle_sql() -> dict[str, str]:
       planted as (select key, text || chr(10) || replace(p_name, ' ', '_') || ', ' || p_brand as text from turns join part
         on p_partkey = {draw_int("'plant'", 'key')} % (select count(*) from part)
         union all select cast(doc_id as varchar), text from documents),
-      looked as (select key, feature, outside, {word_check('lower(value)', 'lower(text)')} as hit from planted cross join words),
-      counted as (select key, feature, count(*) as n_expected, count_if(outside) as n_out, count_if(hit) as n_hit,
-        count_if(hit and outside) as n_out_hit from looked group by all)
+      forms as materialized (select key, lower(text) as t0, replace(lower(text), '_', '.') as t1, replace(lower(text), '_', ' ') as t2
+        from planted),
+      asked as materialized (select feature, outside, lower(value) as w, replace(lower(value), '_', ' ') as spaced,
+        case when contains(value, '.') then 1 when contains(value, ' ') then 2 else 0 end as form from words),
+      hits as (select key, feature, outside from forms join asked on form = 2 and contains(t2, w)
+        union all select key, feature, outside from forms join asked on form = 1 and (contains(t1, w) or contains(t1, spaced))
+        union all select key, feature, outside from forms join asked on form = 0 and (contains(t0, w) or contains(t0, spaced))),
+      counted as (select key, feature, count(*) as n_hit, count_if(outside) as n_out_hit from hits group by all),
+      sizes as (select feature, count(*) as n_expected, count_if(outside) as n_out from asked group by feature),
+      each as (select key, feature, n_expected, n_out, coalesce(n_hit, 0) as n_hit, coalesce(n_out_hit, 0) as n_out_hit
+        from (select key, sizes.* from planted cross join sizes) left join counted using (key, feature))
       select key || '|' || feature as probe_id, 'text' as model, n_expected,
         case when n_out > 0 then n_out_hit else n_hit end as n_found,
-        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from counted
+        case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from each
       union all select key || '|no such', 'text', 0, 0, true from planted"""
     q["decide_completion"] = f"""with {row_verdicts(completion_full('part'), {NAMES['part']: COLUMNS['part']}, FULL_LINE)}
       select {VERDICT} from verdicts"""
