@@ -10,6 +10,11 @@ every string, sorts the strings by it in front of their order so far (the symbol
 round's block of the collection's Burrows-Wheeler transform), and updates the common prefixes of
 neighbours. A window is repeated where its common prefix with a neighbour reaches ``width``. A round
 only reads the block before it, one after another, so it is all that a task keeps of the index.
+
+An anchor with more strings than a task compares has them dealt by the place of the anchor in a window. Windows
+with it in one range of places share the bytes around it that all of the range have, so only parts of
+strings with equal such bytes can share a window. Groups that stay too large are dealt by narrower
+ranges, in the end by single places.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from rowecho.llm.common import bounded_batches, cut, table, text_or_empty
 WIDTH, GRAM = 200, 32
 BLOCK = 1 << 17  # bytes of text hashed at once
 PLACE_BITS = 20
-VARIANTS = 2_048  # strings of one anchor in one task
+VARIANTS = 2_048  # strings compared with each other in one task
+RANGES = (4, 16)  # of places of the anchor, for more; then single places
 TASK_STRINGS = 16_384  # strings, of however many anchors, in one task
 SEEN_TEXTS = 500_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -98,16 +104,16 @@ def strings_of(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]
 
 
 def repeated_windows(group: np.ndarray, lead: np.ndarray, count: np.ndarray, strings: list[bytes],
-                     width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each string and window of it: whether a string of its group has the same window at the same
-    place before the anchor, and whether it is the first of such equal ones. Groups are sorted."""
+                     width: int = WIDTH) -> np.ndarray:
+    """For each string and window of it: whether another string of its group has the same window at the same
+    place before the anchor. Groups are sorted."""
     most = width - GRAM + 1
     begin = most - 1 - lead  # column of the first symbol
     end = begin + count + width - 1
     data = np.frombuffer(b"".join(strings), np.uint8)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     base = np.cumsum(lengths) - lengths - begin  # data[base + column]
-    repeated, first = np.zeros((len(strings), most), bool), np.zeros((len(strings), most), bool)
+    repeated = np.zeros((len(strings), most), bool)
     order, common = np.zeros(0, np.int64), np.zeros(0, np.int64)
     by_end, by_begin = np.argsort(end, kind="stable"), np.argsort(begin, kind="stable")
     ends, begins = end[by_end], begin[by_begin]
@@ -146,9 +152,7 @@ def repeated_windows(group: np.ndarray, lead: np.ndarray, count: np.ndarray, str
         after = np.r_[before[1:], False]
         hit = (before | after) & (window < count[order])
         repeated[order[hit], window[hit]] = True
-        hit = after & ~before & (window < count[order])
-        first[order[hit], window[hit]] = True
-    return repeated, first
+    return repeated
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -224,72 +228,106 @@ def _unpacked(packed: bytes, size: int) -> bytes:
     return pa.Codec("zstd").decompress(packed, size, asbytes=True) if size else b""
 
 
+_ITEM = "g1 bigint, g2 bigint, content bigint, n bigint, count int, lead int, bytes binary"
+_ITEM_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_ITEM_NAMES = ["g1", "g2", "content", "n", "count", "lead", "bytes"]
+
+
 def _bytes_of(strings: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The strings (one occurrence of each) with their bytes."""
+    """The strings (one occurrence of each) with their bytes. Those of one anchor are a group (g1, g2)."""
     per_text = strings.groupBy("k1", "k2").agg(F.collect_list(F.struct(
-        "first", "count", "lead", "anchor", "content", "n", "variants")).alias("parts"))
+        "first", "count", "lead", "anchor", "content", "n")).alias("parts"))
 
     def run(batches):
         for batch in batches:
             for size, packed, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = _unpacked(packed, size)
-                rows = [(p["anchor"], p["content"], p["n"], p["variants"], p["count"], p["lead"],
+                rows = [(p["anchor"], 0, p["content"], p["n"], p["count"], p["lead"],
                          text[p["first"]:p["first"] + p["count"] + width - 1]) for p in parts]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                    ["anchor", "content", "n", "variants", "count", "lead", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ITEM_KINDS)], _ITEM_NAMES)
 
     return _packed(texts).join(per_text, ["k1", "k2"]).select("size", "packed", "parts").mapInArrow(
-        run, "anchor bigint, content bigint, n bigint, variants bigint, count int, lead int, bytes binary"
-    ).dropDuplicates(["anchor", "content"])  # copies of a text in several tasks
+        run, _ITEM).dropDuplicates(["g1", "content"])  # copies of a text in several tasks
 
 
-def _compared(strings: DataFrame, width: int, variants: int, task_strings: int) -> DataFrame:
-    """(anchor, content, runs, open): begins and ends of the repeated windows of strings that occur once. Where the
-    strings of an anchor are too many for one task they are compared in parts, and ``open`` has the
-    windows to be compared across parts: place, two hashes, and whether the string asks."""
-    parts = F.ceil(F.col("variants") / F.lit(variants))
-    part = F.pmod(F.col("content"), parts)
-    tasks = max(1, -(-strings.count() // task_strings))
-    dealt = strings.withColumn("part", part).withColumn("task", F.pmod(F.xxhash64("anchor", "part"), F.lit(tasks)))
-    place = pa.struct([("window", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("asks", pa.bool_())])
+def _compared(items: DataFrame, width: int, task_strings: int) -> DataFrame:
+    """(g1, g2, content, runs): begins and ends of the windows of an item that another one of its group has, or
+    all of them where it occurs ``n`` > 1 times. Groups are small enough for a task."""
+    tasks = max(1, -(-items.count() // task_strings))
+    dealt = items.withColumn("task", F.pmod(F.xxhash64("g1", "g2"), F.lit(tasks)))
 
     def compare(rows: pa.Table) -> pa.Table:
-        anchor, part_ = rows["anchor"].to_numpy(), rows["part"].to_numpy()
-        at = np.lexsort((part_, anchor))
+        g1, g2 = rows["g1"].to_numpy(), rows["g2"].to_numpy()
+        at = np.lexsort((g2, g1))
         rows = rows.take(pa.array(at))
-        anchor, part_ = anchor[at], part_[at]
-        group = np.cumsum(np.r_[False, (anchor[1:] != anchor[:-1]) | (part_[1:] != part_[:-1])])
-        count, n, split = rows["count"].to_numpy(), rows["n"].to_numpy(), rows["variants"].to_numpy() > variants
-        data = rows["bytes"].to_pylist()
-        repeated, first = repeated_windows(group, rows["lead"].to_numpy().astype(np.int64),
-                                           count.astype(np.int64), data, width)
-        runs, open_ = [], []
-        for i in range(len(data)):
-            runs.append(_runs(repeated[i, :count[i]]) if n[i] == 1 else [0, int(count[i])])
-            found = []
-            if split[i]:
-                for w in np.flatnonzero(~repeated[i, :count[i]] | first[i, :count[i]]).tolist():
-                    h = xxhash.xxh128_intdigest(data[i][w:w + width])
-                    found.append({"window": w, "h1": (h >> 64) - (1 << 63), "h2": (h & (1 << 64) - 1) - (1 << 63),
-                                  "asks": bool(n[i] == 1 and not repeated[i, w])})
-            open_.append(found)
-        return pa.table({"anchor": pa.array(anchor), "content": rows["content"],
-                         "runs": pa.array(runs, pa.list_(pa.int32())), "open": pa.array(open_, pa.list_(place))})
+        g1, g2 = g1[at], g2[at]
+        group = np.cumsum(np.r_[False, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
+        count, n = rows["count"].to_numpy(), rows["n"].to_numpy()
+        repeated = repeated_windows(group, rows["lead"].to_numpy().astype(np.int64), count.astype(np.int64),
+                                    rows["bytes"].to_pylist(), width)
+        runs = [_runs(repeated[i, :count[i]]) if n[i] == 1 else [0, int(count[i])] for i in range(len(count))]
+        return pa.table({"g1": pa.array(g1), "g2": pa.array(g2), "content": rows["content"],
+                         "runs": pa.array(runs, pa.list_(pa.int32()))})
 
     return dealt.groupBy("task").applyInArrow(
-        lambda rows: compare(rows.combine_chunks()), "anchor bigint, content bigint, runs array<int>, "
-        "open array<struct<window:int,h1:bigint,h2:bigint,asks:boolean>>")
+        lambda rows: compare(rows.combine_chunks()), "g1 bigint, g2 bigint, content bigint, runs array<int>")
+
+
+def _parts(items: DataFrame, width: int, places: int) -> DataFrame:
+    """Parts of the items (anchor, whole, first, and an item): the windows that have their anchor in one range of ``places``
+    places. Parts whose windows all share the same bytes are a group. ``whole`` and ``first`` tell of which string of
+    the anchor it is a part, and with which window it begins."""
+    most = width - GRAM + 1
 
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for anchor, whole, first, n, count, lead, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for least in range((lead - count + 1) // places * places, lead + 1, places):
+                    last = min(least + places, most) - 1
+                    begin, end = max(0, lead - last), min(count, lead - least + 1)
+                    shared = data[lead - least:lead + GRAM + most - 1 - last]
+                    group = xxhash.xxh128_intdigest(shared + anchor.to_bytes(8, "little", signed=True), least)
+                    own = data[begin:end + width - 1]
+                    rows.append((anchor, whole, first + begin, (group >> 64) - (1 << 63), (group & (1 << 64) - 1) - (1 << 63),
+                                 xxhash.xxh64_intdigest(own, lead - begin) - (1 << 63), n, end - begin, lead - begin, own))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), *_ITEM_KINDS])],
+                    ["anchor", "whole", "first", *_ITEM_NAMES])
+
+    return items.select("anchor", "whole", "first", "n", "count", "lead", "bytes").mapInArrow(
+        run, "anchor bigint, whole bigint, first int, " + _ITEM)
 
-def _across(compared: DataFrame) -> DataFrame:
-    """(anchor, content, runs) of the windows that are repeated in another part of their anchor."""
-    windows = cut(compared.select("anchor", "content", F.inline("open")), "windows")
-    met = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    hit = windows.filter("asks").join(met, ["h1", "h2"])
-    return hit.groupBy("anchor", "content").agg(F.flatten(F.collect_list(
-        F.array(F.col("window"), F.col("window") + 1))).alias("runs"))
+
+def _large(items: DataFrame, width: int, variants: int, task_strings: int) -> DataFrame:
+    """(anchor, content, runs) of strings whose group is too large to be compared at once."""
+    most = width - GRAM + 1
+    left = items.select(F.col("g1").alias("anchor"), F.col("content").alias("whole"), F.lit(0).alias("first"),
+                        "n", "count", "lead", "bytes")
+    found = []
+    for places in [*(-(-most // k) for k in RANGES), 1]:
+        parts = cut(_parts(left, width, places), "parts")
+        # parts of different strings may be equal: one of them stands for all
+        different = parts.groupBy("g1", "g2", "content").agg(
+            F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("count", "lead", "bytes")))
+        different = cut(different, "different")
+        sizes = different.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("size"))
+        small = different if places == 1 else different.join(sizes.filter(F.col("size") <= variants), ["g1", "g2"], "left_semi")
+        runs = cut(_compared(small, width, task_strings), "part_runs").filter(F.size("runs") > 0)
+        found.append(parts.join(runs, ["g1", "g2", "content"]).select(
+            "anchor", F.col("whole").alias("content"), F.transform("runs", lambda x: x + F.col("first")).alias("runs")))
+        if places == 1:
+            break
+        too_large = cut(sizes.filter(F.col("size") > variants), "too_large")
+        if too_large.isEmpty():
+            break
+        left = parts.join(too_large, ["g1", "g2"], "left_semi").select(
+            "anchor", "whole", "first", "n", "count", "lead", "bytes")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text",
@@ -318,15 +356,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
     found = cut(strings.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "count", "lead")).alias("one")), "found")
     several = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "several")
-    to_compare = found.join(several, "anchor").select("anchor", "content", "n", "variants", "one.*")
-    compared = cut(_compared(cut(_bytes_of(to_compare, texts, width), "bytes"), width, variants, task_strings),
-                   "compared")
+    to_compare = found.join(several, "anchor").select("anchor", "content", "n", "one.*")
+    items = cut(_bytes_of(to_compare, texts, width), "bytes")
+    crowded = cut(several.filter(F.col("variants") > variants).select(F.col("anchor").alias("g1")), "crowded")
+    compared = cut(_compared(items.join(crowded, "g1", "left_anti"), width, task_strings), "compared").select(
+        F.col("g1").alias("anchor"), "content", "runs")
+    if not crowded.isEmpty():
+        compared = compared.unionByName(_large(items.join(crowded, "g1", "left_semi"), width, variants, task_strings))
     whole = found.filter("n > 1").select("anchor", "content", F.array(F.lit(0), F.col("one.count")).alias("runs"))
     runs = whole.unionByName(compared.filter(F.size("runs") > 0).join(
         found.filter("n > 1").select("anchor", "content"), ["anchor", "content"], "left_anti")
         .select("anchor", "content", "runs"))
-    if not compared.filter(F.size("open") > 0).limit(1).isEmpty():
-        runs = runs.unionByName(_across(compared))
     runs = cut(runs, "runs")
 
     # texts with copies go as a whole and need no look at their strings
