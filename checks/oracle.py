@@ -811,6 +811,10 @@ def oracle_sql() -> dict[str, str]:
       select model, test, dataset, serialization, count(*) as n_trials, count_if(passed) as n_passed,
         cast(cast(count_if(passed) > 0 as int) as double) as value from verdicts group by model, test, dataset, serialization"""
 
+    by_feature = completed_block("b", row_verdicts(completion_feature("customer"), {NAMES["customer"]: [COMPLETION["customer"]]}, FIRST_LINE))
+    by_name = completed_block("c", name_verdicts(recognition("customer")))
+    q["scorecard_stream"] = f"""with {by_feature}, {by_name}, verdicts as (select * from b_verdicts union all select * from c_verdicts),
+      {CARD} select * from card"""
     q["accuracy_table"] = f"""with {accuracy_long()}, shown as (select *, case when score in (0.0, 0.5, 1.0)
         then printf('%.2f', score) else cast(score as varchar) end as cell from acc)
       select model, category, max(case when dataset = 'customer accounts' then cell end) as Customer,

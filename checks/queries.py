@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from checks.datasets import MEDIAN_BALANCE, cores, dataset, lexicon, table
 from checks.responder import ECHOING, MODELS, respond
+from rowecho import streaming
 from rowecho.functions import answers
 from rowecho.functions.draws import draw_int, draw_position
 from rowecho.functions.text import (
@@ -926,6 +927,27 @@ def verdict_log(spark, d):
         F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.sum("n_found").alias("n_found"))
 
 
+# ---------------------------------------------------------------- streams
+
+@query
+def scorecard_stream(spark, d):
+    """Responses that arrive in several files, some of them again and some after a later one in text order: the running
+    scorecard of all of them."""
+    ds = dataset(spark, d, "customer")
+    probes = cut_lineage(P.completion_feature(ds, "c_name", None).unionByName(P.recognition(ds, 5, "all")))
+    path, arrived = _folder(spark, "running"), _folder(spark, "arrived")
+    first = respond(probes)
+    turn = F.pmod(draw_int("turn", F.col("probe_id"), F.col("model")), F.lit(3))
+    early = first.filter(turn == 0).withColumn("output", F.concat("output", F.lit("~ and more")))  # after it in text order
+    for i, part in enumerate((first.filter(turn > 0).unionByName(early), first, early.unionByName(first.filter(turn == 1)))):
+        part.repartition(2, "probe_id").write.mode("append").parquet(f"{arrived}/{i}")
+    stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).option(
+        "maxFilesPerTrigger", 3).parquet(arrived)
+    running = streaming.score_stream(stream, probes, path, _folder(spark, "progress"), ECHOING)
+    running.awaitTermination()
+    return streaming.running_scorecard(spark, path)
+
+
 # ---------------------------------------------------------------- corpus scans
 
 def frequent_words(spark, d, k: int = 8) -> DataFrame:

@@ -1,12 +1,18 @@
-"""Deciding responses as they arrive."""
+"""Deciding responses as they arrive, and the running scorecard of a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowecho.operators.decide import decide
+from rowecho.operators.score import CELL, test_score
+
+COUNTS = ("n_trials", "n_passed")
 
 
 def decide_stream(responses: DataFrame, probes: DataFrame, echoing: Sequence[str] = (),
@@ -15,7 +21,98 @@ def decide_stream(responses: DataFrame, probes: DataFrame, echoing: Sequence[str
     probes. A stream-static join on the probe id followed by the batch decider: no state is
     kept, so the stream survives any loss by replaying its source. Responses without a probe
     are left out; missing responses are the batch decider's to find."""
-    joined = responses.join(probes, "probe_id").withColumn(
+    return decide(_joined(responses, probes, echoing), parity)
+
+
+def _joined(responses: DataFrame, probes: DataFrame, echoing: Sequence[str]) -> DataFrame:
+    return responses.join(probes, "probe_id").withColumn(
         "output", F.coalesce("output", F.lit(""))
     ).withColumn("echoes", F.col("model").isin(*echoing) if echoing else F.lit(False))
-    return decide(joined, parity)
+
+
+def score_changes(verdicts: DataFrame) -> DataFrame:
+    """(model, test, dataset, n_trials, n_passed): what each response changes in the counts.
+
+    ``verdicts`` has the ``output`` they were decided on. State is kept by (probe_id, model): the response that counts,
+    the first in text order as in the batch, and its verdict. A response that arrives again, or
+    comes after the one that counts, changes nothing; one before it takes its place.
+    """
+    def change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        best = held
+        for frame in frames:
+            first = frame.loc[frame["output"].map(str.encode).idxmin()]  # UTF-8 has the order of code points
+            if best is None or first["output"].encode() < best[0].encode():
+                best = (first["output"], bool(first["passed"]), first["test"], first["dataset"])
+        if best is held:
+            return
+        state.update(best)
+        passed = int(best[1]) - (int(held[1]) if held else 0)
+        if held is None or passed:
+            yield pd.DataFrame({"model": [key[1]], "test": [best[2]], "dataset": [best[3]],
+                                "n_trials": [int(held is None)], "n_passed": [passed]})
+
+    narrow = verdicts.select("probe_id", "model", "test", "dataset", "passed", "output")
+    return narrow.groupBy("probe_id", "model").applyInPandasWithState(
+        change, "model string, test string, dataset string, n_trials bigint, n_passed bigint",
+        "output string, passed boolean, test string, dataset string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose counts are complete."""
+    files, folder = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    done = [n for n in names if n.startswith("batch=") and files.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
+def merge_counts(changes: DataFrame, batch_id: int, path: str) -> None:
+    """Write the counts up to this batch: those of the batch before it and the changes.
+
+    A batch that is run again starts from the same counts before it and replaces its own, so it counts
+    once however often it runs. The counts of the batch before stay until the next one is complete.
+    """
+    spark = changes.sparkSession
+    before = [b for b in _batches(spark, path) if b < batch_id]
+    counts = changes.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    if before:
+        counts = spark.read.parquet(f"{path}/batch={before[-1]}").unionByName(counts).groupBy(*CELL).agg(
+            *[F.sum(c).alias(c) for c in COUNTS])
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")  # one row per cell of the scorecard
+    for old in before[:-1]:
+        files, folder = _folder(spark, f"{path}/batch={old}")
+        files.delete(folder, True)
+
+
+def score_stream(responses: DataFrame, probes: DataFrame, path: str, checkpoint: str, echoing: Sequence[str] = (),
+                 parity: bool = False, **trigger) -> StreamingQuery:
+    """Start a query that keeps the counts of the scorecard under ``path`` as ``responses`` arrive.
+
+    ``trigger`` is that of ``writeStream``; by default what is there is taken in batches and the query ends. Started
+    again with its checkpoint, it goes on after the last batch.
+    """
+    joined = _joined(responses, probes, echoing)
+    # the decider hands on the columns it knows, so the output goes with the model
+    decided = decide(joined.withColumn("model", F.struct("model", "output")).withColumn(
+        "echoes", F.col("model.model").isin(*echoing) if echoing else F.lit(False)), parity)
+    verdicts = decided.withColumn("output", F.col("model.output")).withColumn("model", F.col("model.model"))
+    return score_changes(verdicts).writeStream.foreachBatch(
+        lambda changes, batch_id: merge_counts(changes, batch_id, path)
+    ).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def running_scorecard(spark: SparkSession, path: str) -> DataFrame:
+    """The scorecard as of the last complete batch under ``path``; empty before the first."""
+    done = _batches(spark, path)
+    if done:
+        counts = spark.read.parquet(f"{path}/batch={done[-1]}")
+    else:
+        counts = spark.createDataFrame([], "model string, test string, dataset string, n_trials bigint, n_passed bigint")
+    return counts.select(*CELL, *COUNTS, test_score(F.col("test"), F.col("n_passed"), F.col("n_trials")).alias("value"))
