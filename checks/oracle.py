@@ -583,6 +583,8 @@ def oracle_sql() -> dict[str, str]:
     q["file_positions"] = "select p_partkey, p_partkey as _pos from part"
     q["seeded_shuffle_rows"] = f"select c_custkey, row_number() over (order by {draw_key('0', 'c_custkey')}, c_custkey) - 1 as _pos from customer"
     q["seeded_sample_rows"] = f"select c_custkey, c_name from customer order by {draw_key('42', 'c_custkey')}, c_custkey limit 100"
+    q["seeded_sample_half"] = f"""select o_orderkey, o_custkey from orders order by {draw_key('42', 'o_orderkey')}, o_orderkey
+      limit (select count(*) // 2 from orders)"""
     q["random_row_per_trial"] = f"""select o_orderkey as trial, c_custkey, c_name from orders join customer
       on c_custkey = {draw_int('7', 'o_orderkey')} % (select count(*) from customer)"""
     q["random_columns"] = f"""with features as ({union(features(t) for t in DATASETS)}), {picked(5)}
@@ -671,6 +673,11 @@ def oracle_sql() -> dict[str, str]:
         exists (select 1 from part q where q.p_name = m.p_name and q.p_brand = m.p_brand and q.p_type = m.p_type) as is_member
       from mixed m"""
 
+    bit = "cast('0x' || left(md5(concat_ws(chr(31), p_name, p_brand, p_type)), 15) as bigint) % (select n from size)"
+    q["row_membership_filtered"] = f"""with size as (select greatest(32768, cast(pow(2, ceil(log2(4 * count(*)))) as bigint)) as n from part),
+      bits as (select distinct {bit} as b from part), tagged as ({q["row_membership"]})
+      select *, {bit} in (select b from bits) as is_candidate from tagged"""
+
     q["probe_description"] = description()
     q["probe_features_uninformed"] = features_uninformed()
     q["probe_features_informed"] = features_informed()
@@ -813,6 +820,11 @@ def oracle_sql() -> dict[str, str]:
 
     by_feature = completed_block("b", row_verdicts(completion_feature("customer"), {NAMES["customer"]: [COMPLETION["customer"]]}, FIRST_LINE))
     by_name = completed_block("c", name_verdicts(recognition("customer")))
+    q["scorecard_rollup"] = f"""with {completed()}, cells as (
+        select model, dataset, test, count(*) as t, count_if(passed) as p from verdicts group by all)
+      select model, dataset, test, 3 - bit_count(grouping_id(model, dataset, test)) as level, count(*) as n_cells,
+        cast(sum(t) as bigint) as n_trials, cast(sum(p) as bigint) as n_passed, round(sum(p) / sum(t), 9) as rate
+      from cells group by rollup (model, dataset, test)"""
     q["scorecard_stream"] = f"""with {by_feature}, {by_name}, verdicts as (select * from b_verdicts union all select * from c_verdicts),
       {CARD} select * from card"""
     q["accuracy_table"] = f"""with {accuracy_long()}, shown as (select *, case when score in (0.0, 0.5, 1.0)

@@ -209,6 +209,13 @@ def seeded_sample_rows(spark, d):
     return sampling.seeded_sample(ds.df, 100, 42).select("c_custkey", "c_name")
 
 
+@query
+def seeded_sample_half(spark, d):
+    """Half of a table, by the threshold of its draws."""
+    ds = dataset(spark, d, "orders")
+    return sampling.threshold_sample(ds.df, ds.df.count() // 2, 42, top_rows=100).select("o_orderkey", "o_custkey")
+
+
 @query
 def random_row_per_trial(spark, d):
     ds = dataset(spark, d, "customer")
@@ -359,11 +366,24 @@ def perturbed_not_in_dataset(spark, d):
 @query
 def row_membership(spark, d):
     """Genuine rows for odd positions; even ones take the type of the next position."""
+    ds, mixed = _mixed_rows(spark, d)
+    return members.tag_members(mixed, ds.df, ds.columns)
+
+
+def _mixed_rows(spark, d) -> tuple[Dataset, DataFrame]:
     ds = _small_part(spark, d)
     nxt = ds.df.select((F.col(POS) - 1).alias(POS), F.col("p_type").alias("next_type"))
     mixed = ds.df.join(nxt, POS, "left").withColumn(
         "p_type", F.when(F.col(POS) % 2 == 0, F.coalesce("next_type", "p_type")).otherwise(F.col("p_type")))
-    return members.tag_members(mixed.drop("next_type"), ds.df, ds.columns)
+    return ds, mixed.drop("next_type")
+
+
+@query
+def row_membership_filtered(spark, d):
+    """The same through a filter of bits, and which rows it left for the join on equality."""
+    ds, mixed = _mixed_rows(spark, d)
+    known = members.write_filter(ds.df, ds.columns, _folder(spark, "bits"), per_row=4)
+    return members.tag_members_filtered(mixed, ds.df, known)
 
 
 # ---------------------------------------------------------------- probes
@@ -690,6 +710,13 @@ def scorecard_long(spark, d):
     return score.scorecard(_completed(spark, d))
 
 
+@query
+def scorecard_rollup(spark, d):
+    """Counts and rates by model, dataset and test, with all subtotals."""
+    out = score.scorecard_rollup(_completed(spark, d), ("model", "dataset", "test"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
 @query
 def scorecard_wide(spark, d):
     wide = score.scorecard_wide(score.scorecard(_completed(spark, d)), DISPLAY)

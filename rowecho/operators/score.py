@@ -37,6 +37,21 @@ def scorecard(verdicts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def scorecard_rollup(verdicts: DataFrame, levels: Sequence[str] = CELL) -> DataFrame:
+    """Counts and rates on every level of ``levels``, from the whole to single cells: (levels, level, n_cells, n_trials,
+    n_passed, rate).
+
+    ``level`` is how many of the levels a row is of; the others are null there. A subtotal's rate is that of its trials,
+    never a mean of rates: counts of cells are made once and added up on each level.
+    """
+    keys = list(levels)
+    cells = verdicts.groupBy(*keys).agg(F.count("*").alias("n_trials"), F.count_if("passed").alias("n_passed"))
+    rolled = cells.rollup(*keys).agg(
+        (F.lit(len(keys)) - F.bit_count(F.grouping_id())).cast("bigint").alias("level"), F.count("*").alias("n_cells"),
+        F.sum("n_trials").alias("n_trials"), F.sum("n_passed").alias("n_passed"))
+    return rolled.withColumn("rate", F.col("n_passed") / F.col("n_trials"))
+
+
 def any_pass(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy(*CELL).agg(F.bool_or("passed").alias("passed"))
 
