@@ -254,6 +254,18 @@ def values_examples(t: str, cols, mode: str, n_given: int = 3, with_expected_lis
     return union(parts)
 
 
+DISTRIBUTIONS = [(t, c) for t in DATASETS for c in VALUE_FEATURES[t]]
+
+
+def distributions() -> str:
+    """Distribution probes; a feature of more than 40 values is not asked."""
+    return union(f"""select * from ({probe(test, t, fill(template, dname=lit(NAMES[t]), fname=lit(c),
+        values=f"(select string_agg(v, ', ' order by p) from (select {txt(c)} as v, min({key(t)}) as p from {t} group by 1))"),
+        source="(select 1)", feature=lit(c))}) where (select count(distinct {c}) from {t}) <= 40"""
+        for t, c in DISTRIBUTIONS
+        for test, template in (("distribution_list", templates.DISTRIBUTION_LIST), ("distribution_shares", templates.DISTRIBUTION_SHARES)))
+
+
 def recognition(t: str, variants=((0, SERIALIZATIONS[0]),)) -> str:
     return union(probe(
         "recognition_ex", t, fill(templates.RECOGNITION, serialization="shown"),
@@ -751,6 +763,23 @@ def oracle_sql() -> dict[str, str]:
         case when n_out > 0 then n_out_hit else n_hit end as n_found,
         case when n_out > 0 then n_out_hit > 0 else n_hit = n_expected end as passed from each
       union all select key || '|no such', 'text', 0, 0, true from planted"""
+    q["probe_distribution"] = distributions()
+    measured = union(f"select dataset, feature, value, first_pos, n, n * 100.0 / sum(n) over () as pct from ({values(t, [c])})"
+                     for t, c in DISTRIBUTIONS)
+    q["decide_distribution"] = f"""with measured as materialized ({measured}), probes as materialized ({distributions()}),
+      asked as (select probe_id, model, test, dataset, feature, {draw_int("'shares'", 'probe_id', 'model')} % 4 as kind
+        from probes cross join (values ('alpha'), ('beta')) m(model)),
+      each as (select a.*, m.value, try_cast(m.value as double) as number, m.pct / 100 as truth, case kind when 0 then round(pct) when 1 then 4
+        when 2 then case when first_pos = min(first_pos) over (partition by probe_id, model) then 100 else 0 end else 0 end as per
+        from asked a join measured m using (dataset, feature)),
+      shared as (select *, sum(per) over (partition by probe_id, model) as total from each),
+      differed as (select *, case when total > 0 then per / total else 0 end - truth as more from shared),
+      summed as (select *, sum(more) over (partition by probe_id, model order by number) as up_to from differed),
+      scored as (select probe_id, model, test, dataset, feature, max(total) as total, sum(abs(more)) / 2 as half,
+        max(abs(up_to)) as up_to, bool_and(number is not null) as numeric from summed group by all),
+      done as (select probe_id, model, test, dataset, feature, round(case when total > 0 then half else 1 end, 9) as distance,
+        round(case when numeric then case when total > 0 then up_to else 1 end end, 9) as gap from scored)
+      select *, coalesce(gap, distance) <= 0.1 as passed from done"""
     q["decide_completion"] = f"""with {row_verdicts(completion_full('part'), {NAMES['part']: COLUMNS['part']}, FULL_LINE)}
       select {VERDICT} from verdicts"""
     q["decide_completion_feature"] = f"""with {row_verdicts(completion_feature('orders'), {NAMES['orders']: ['o_totalprice']}, FIRST_LINE)}

@@ -17,7 +17,7 @@ from rowecho.functions.draws import draw_int, draw_position
 from rowecho.functions.text import (
     EXEMPLAR_DEFAULT, ROW_DEFAULT, SERIALIZATIONS, fill_template, row_text, text_block, value_text,
 )
-from rowecho.operators import corpus, decide, dictionary, members, perturb, profile, reshape, rows, sampling, score
+from rowecho.operators import corpus, decide, dictionary, distribution, members, perturb, profile, reshape, rows, sampling, score
 from rowecho.plans import probes as P, reports, runs, templates
 from rowecho.sources import sinks
 from rowecho.sources.catalog import Dataset, DatasetSpec, decode_by_table, decode_index, load_dataset
@@ -659,6 +659,43 @@ def decide_recognition(spark, d):
         P.recognition(dataset(spark, d, a), 5, "all") for a in ("customer", "supplier"))))
 
 
+def _distributions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Distribution probes, and the values they are decided against."""
+    values, parts = [], []
+    for a in DATASETS:
+        ds = dataset(spark, d, a)
+        own = cut_lineage(profile.feature_values(ds, ds.spec.value_features))
+        parts.append(P.distribution(ds, own, 40))
+        values.append(own)
+    return cut_lineage(union(parts)), union(values)
+
+
+@query
+def probe_distribution(spark, d):
+    return show_probes(_distributions(spark, d)[0])
+
+
+@query
+def decide_distribution(spark, d):
+    """Distributions as stand-in models give them: right in whole percents, all alike, one value only, or none."""
+    probes, values = _distributions(spark, d)
+    kind = F.pmod(draw_int("shares", F.col("probe_id"), F.col("model")), F.lit(4))
+    asked = probes.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS]))).withColumn("said", kind)
+    per = F.when(F.col("said") == 0, F.round("pct")).when(F.col("said") == 1, 4).otherwise(
+        F.when((F.col("said") == 2) & (F.col("first_pos") == F.col("least")), 100).otherwise(0)).cast("int")
+    least = values.groupBy("dataset", "feature").agg(F.min("first_pos").alias("least"))
+    each = asked.join(values.join(least, ["dataset", "feature"]), ["dataset", "feature"]).withColumn("per", per)
+    as_list = F.concat(F.lit("["), F.array_join(F.flatten(F.collect_list(F.array_repeat("value", F.col("per")))), ", "), F.lit("]"))
+    as_shares = F.array_join(F.collect_list(F.when(F.col("per") > 0, F.concat(F.upper("value"), F.lit(": "), F.col("per"), F.lit("%")))), ", ")
+    said = each.groupBy("probe_id", "model", "test", "prompt").agg(as_list.alias("listed"), as_shares.alias("shares"))
+    answer = F.when(F.col("test") == "distribution_list", F.col("listed")).otherwise(F.col("shares"))
+    outputs = said.select("probe_id", "model", F.when(
+        F.col("model").isin(*ECHOING), F.concat("prompt", answer)).otherwise(answer).alias("output"))
+    joined = decide.join_responses(probes, cut_lineage(outputs), MODELS, ECHOING)
+    out = distribution.decide_distribution(joined, values)
+    return out.withColumn("distance", F.round("distance", 9)).withColumn("gap", F.round("gap", 9))
+
+
 # ---------------------------------------------------------------- scores
 
 def _classified(spark, d) -> DataFrame:

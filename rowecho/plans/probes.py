@@ -8,6 +8,7 @@ of rows is a probe of its own, so the whole table is covered in one shuffle).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -211,6 +212,20 @@ def values_uninformed(ds: Dataset, lists: DataFrame, categorical: bool = True,
                    expected=_list_words())
 
 
+def distribution(ds: Dataset, values: DataFrame, limit: int = 1000) -> DataFrame:
+    """How often a feature takes each of its values: asked for a list of 100 values, and for shares. ``values`` is
+    ``feature_values`` of the asked features; one with more than ``limit`` values cannot be listed and is not asked. The
+    answers are decided against the same table (``operators.distribution``)."""
+    listed = values.filter(F.col("dataset") == ds.name).groupBy("feature").agg(
+        F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("first_pos", "value"))).alias("_values")).filter(F.col("_n") <= limit)
+    shown = F.array_join(F.transform("_values", lambda v: v["value"]), ", ")
+    return reduce(DataFrame.unionByName, [
+        _finish(listed, ds, test, NONE, fill_template(template, dname=ds.name, fname=F.col("feature"), values=shown),
+                feature=F.col("feature"))
+        for test, template in (("distribution_list", templates.DISTRIBUTION_LIST),
+                               ("distribution_shares", templates.DISTRIBUTION_SHARES))])
+
+
 def values_from_examples(
     ds: Dataset, lists: DataFrame, features: Sequence[str], n_given: int = 3, mode: str = "head",
     seed: int | str = 0, variants: Variants = DEFAULT_VARIANT, parity: bool = False,
