@@ -731,6 +731,10 @@ def oracle_sql() -> dict[str, str]:
       cast(length(prompt) as varchar) || ':' || left(string_split(prompt, chr(10))[6], 64) as output
       from ({completion_feature('customer')})"""
 
+    q["score_prompts_resumed"] = f"""select probe_id, 'stand-in' as model,
+      cast(length(prompt) as varchar) || ':' || left(string_split(prompt, chr(10))[6], 64) as output,
+      cast(length(prompt) % 2 = 0 as bigint) as n_failed from ({completion_feature('customer')})"""
+
     q["lexicon_words"] = f"with {LEXICON} select word from lexicon"
     subjects = union(
         [f"select dataset, '(columns)' as feature, feature as value, 'string' as kind from ({features(t)})" for t in DATASETS]

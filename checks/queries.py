@@ -523,6 +523,26 @@ def score_prompts_hook(spark, d):
     return decide.score_prompts(probes, "stand-in", model)
 
 
+@query
+def score_prompts_resumed(spark, d):
+    """The same in two runs: in the first the model fails on every prompt of even length."""
+    probes, path = P.completion_feature(dataset(spark, d, "customer"), "c_name", None), _folder(spark, "scored")
+
+    def model(prompts, budgets, temperatures):
+        return [str(len(p)) + ":" + p.split("\n")[5][:int(b)] for p, b in zip(prompts, budgets)]
+
+    def weak(prompts, budgets, temperatures):
+        if any(len(p) % 2 == 0 for p in prompts):
+            raise RuntimeError("even")
+        return model(prompts, budgets, temperatures)
+
+    decide.score_prompts_resumable(probes, "stand-in", weak, path)
+    failed = cut_lineage(decide.failed_prompts(probes, path))
+    decide.score_prompts_resumable(probes, "stand-in", model, path)
+    return decide.scored_responses(probes, path).join(
+        failed.select("probe_id", "n_failed"), "probe_id", "left").fillna(0, ["n_failed"])
+
+
 # ---------------------------------------------------------------- lexicon
 
 @query

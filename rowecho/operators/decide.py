@@ -201,3 +201,70 @@ def score_prompts(probes: DataFrame, model: str, fn) -> DataFrame:
     return probes.select("probe_id", "prompt", "max_new_tokens", "temperature").mapInPandas(
         run, "probe_id string, model string, output string"
     )
+
+
+def _written(probes: DataFrame, path: str) -> DataFrame:
+    """What earlier runs have written under ``path``; nothing before the first."""
+    spark = probes.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], SCORED)
+    return spark.read.schema(SCORED).parquet(path)
+
+
+SCORED = "probe_id string, model string, output string, error string"
+
+
+def score_prompts_resumable(probes: DataFrame, model: str, fn, path: str, partitions: int | None = None,
+                            batch: int = 64, again: bool = True) -> None:
+    """``score_prompts`` that keeps what it has: outputs go to ``path`` and a run leaves out probes that have one.
+
+    Each task commits its own file when it is done, so a run that breaks off loses the tasks it was in
+    and no others. Inside a task prompts with few new tokens come first, in batches of up to ``batch``. A batch whose call fails is tried
+    prompt by prompt, and a prompt that fails alone is kept with its error; ``again=False`` leaves such prompts out
+    of further runs. A probe that is there several times is asked once.
+    """
+    before = _written(probes, path).filter(F.col("model") == model)
+    done = before.filter("output IS NOT NULL" if again else "true").select("probe_id").distinct()
+    todo = probes.select("probe_id", "prompt", "max_new_tokens", "temperature").dropDuplicates(["probe_id"]).join(
+        done, "probe_id", "left_anti")
+    todo = (todo.repartition(partitions, "probe_id") if partitions else todo.repartition("probe_id")).sortWithinPartitions(
+        "max_new_tokens", "probe_id")
+
+    def one_by_one(rows):
+        for i in range(len(rows)):
+            row = rows.iloc[i:i + 1]
+            try:
+                yield list(fn(row["prompt"], row["max_new_tokens"], row["temperature"]))[0], None
+            except Exception as error:  # the prompt's own fault is kept beside it
+                yield None, f"{type(error).__name__}: {error}"
+
+    def run(batches):
+        for rows in batches:
+            for start in range(0, len(rows), batch):
+                part = rows.iloc[start:start + batch]
+                try:
+                    outputs = [(o, None) for o in fn(part["prompt"], part["max_new_tokens"], part["temperature"])]
+                    if len(outputs) != len(part):
+                        raise ValueError(f"{len(outputs)} outputs for {len(part)} prompts")
+                except Exception:
+                    outputs = list(one_by_one(part))
+                yield part[["probe_id"]].assign(
+                    model=model, output=[o for o, _ in outputs], error=[e for _, e in outputs])
+
+    # version 2: a task's file is in its place as soon as the task commits
+    todo.mapInPandas(run, SCORED).write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+
+
+def scored_responses(probes: DataFrame, path: str) -> DataFrame:
+    """(probe_id, model, output) of all that runs have written under ``path``, each probe of a model once."""
+    return _written(probes, path).filter("output IS NOT NULL").groupBy("probe_id", "model").agg(F.min("output").alias("output"))
+
+
+def failed_prompts(probes: DataFrame, path: str) -> DataFrame:
+    """(probe_id, model, errors, n_failed): probes that runs asked in vain and that still have no output."""
+    rows = _written(probes, path)
+    failed = rows.groupBy("probe_id", "model").agg(
+        F.count("output").alias("_n"), F.array_sort(F.collect_set("error")).alias("errors"), F.count("error").alias("n_failed"))
+    return failed.filter("_n = 0").drop("_n")
