@@ -838,6 +838,27 @@ def oracle_sql() -> dict[str, str]:
     q["serialization_report"] = """select unnest(['incomplete_completion', 'full_completion', 'recognition_ex', 'feature_values_inf',
       'feature_completion']) as test, true as same"""
     q["csv_scan"] = "select * from customer"
+    mixed = """mixed as (select o_orderkey % 97 = 3 as odd, o_orderkey % 10 = 0 as na, o_orderkey % 5 = 0 as gap, * from orders)"""
+    kinds = [("o_orderkey", 0, "bigint", "integer", None), ("o_custkey", 1, "string", "integer", "odd"), ("o_totalprice", 2, "double", "number", "na"),
+             ("gaps", 3, "double", "integer", "gap"), ("even", 4, "boolean", "truth", None), ("day", 5, "timestamp", "date", None),
+             ("nothing", 6, "double", "missing", None), ("o_orderstatus", 7, "string", "text", None)]
+
+    def cells_of(name, place, type_, kind_, flag):
+        other = f"count_if({flag})" if flag else "0"
+        own = {k: "0" for k in ("missing", "integer", "number", "truth", "date", "text")}
+        own[kind_] = f"count(*) - {other}"
+        if flag:
+            own["text" if flag == "odd" else "missing"] = other
+        return f"select '{name}' as \"column\", cast({place} as bigint) as place, " + ", ".join(
+            f"cast({v} as bigint) as n_{k}" for k, v in own.items()) + f", '{type_}' as type from mixed"
+
+    q["csv_inferred"] = f"with {mixed} " + union(cells_of(*k) for k in kinds)
+    q["csv_misfits"] = f"""with {mixed}
+      select 'o_custkey' as "column", 'bigint' as type, cast(o_custkey as varchar) || 'x' as cell, count(*) as n from mixed where odd group by o_custkey
+      union all select 'o_orderstatus', 'boolean', o_orderstatus, count(*) from mixed group by o_orderstatus
+      union all select 'o_orderkey', 'bigint', null, count(*) from mixed union all select 'o_custkey', 'bigint', null, count(*) from mixed where not odd
+      union all select 'o_totalprice', 'double', null, count(*) from mixed where not na union all select 'day', 'timestamp', null, count(*) from mixed
+      union all select 'o_orderstatus', 'boolean', null, 0"""
     q["csv_semicolon"] = "select * from part"
     q["csv_positions_many_files"] = "select o_orderkey as _pos, o_orderkey, o_orderstatus from orders"
     q["scorecard_sink_two_models"] = q["scorecard_long"]

@@ -19,7 +19,7 @@ from rowecho.functions.text import (
 )
 from rowecho.operators import corpus, decide, dictionary, distribution, members, perturb, profile, reshape, rows, sampling, score
 from rowecho.plans import probes as P, reports, runs, templates
-from rowecho.sources import sinks
+from rowecho.sources import inference, sinks
 from rowecho.sources.catalog import Dataset, DatasetSpec, decode_by_table, decode_index, load_dataset
 from rowecho.sources.lexicon import tag_lexicon
 from rowecho.sources.lineage import cut_lineage, remove_at_end
@@ -965,6 +965,41 @@ def csv_scan(spark, d):
     return ds.df.select(*ds.columns)
 
 
+def _mixed_cells(spark, d) -> DataFrame:
+    """Orders through CSV files in two folders, as cells: missing tokens, numbers among texts and texts among numbers."""
+    key = F.col("o_orderkey")
+    cells = table(spark, d, "orders").select(
+        "o_orderkey", F.when(key % 97 == 3, F.concat("o_custkey", F.lit("x"))).otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(key % 10 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.when(key % 5 == 0, "").otherwise((key % 7).cast("string")).alias("gaps"),
+        F.when(key % 2 == 0, "True").otherwise("False").alias("even"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("n/a").alias("nothing"), "o_orderstatus",
+        (key % 3).alias("part"))
+    root = _folder(spark, "mixed")
+    cells.write.partitionBy("part").option("header", True).csv(root)
+    return inference.read_cells(spark, root, basePath=root).drop("part")
+
+
+@query
+def csv_inferred(spark, d):
+    """Types of columns from the profiles of single files, merged."""
+    cells = _mixed_cells(spark, d)
+    by_file = cut_lineage(inference.profile_cells(cells, by_file=True))
+    return inference.with_types(inference.merge_profiles(by_file), dates=True)
+
+
+@query
+def csv_misfits(spark, d):
+    """Cells that do not fit the types that most cells have, and what is left of the columns."""
+    cells = _mixed_cells(spark, d)
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "day": "timestamp", "o_orderstatus": "boolean"}
+    odd = inference.misfits(cells, types)
+    kept = inference.typed(cells, types).agg(*[F.count(c).alias(c) for c in types]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.lit(None).cast("string").alias("cell"), F.col(c).alias("n"))
+        for c, t in types.items()])))
+    return odd.unionByName(kept)
+
+
 @query
 def csv_semicolon(spark, d):
     ds = _csv_dataset(spark, d, "part", {"header": "true", "sep": ";"})
