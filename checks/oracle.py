@@ -835,8 +835,12 @@ def oracle_sql() -> dict[str, str]:
     asked = "(values ('incomplete_completion', 1), ('full_completion', 1), ('recognition_ex', 1), ('feature_values_inf', 2), ('feature_completion', 5)) t(test, n)"
     q["serialization_run"] = f"""select test, 'customer accounts' as dataset, cast({len(SERIALIZATIONS)} as bigint) as variants,
       cast(2 as bigint) as models, cast(n * 2 * {len(SERIALIZATIONS)} as bigint) as n_trials from {asked}"""
-    q["serialization_report"] = """select unnest(['incomplete_completion', 'full_completion', 'recognition_ex', 'feature_values_inf',
-      'feature_completion']) as test, true as same"""
+    few = completed_block("b", row_verdicts(first(completion_feature("customer", variants), 5), {NAMES["customer"]: [COMPLETION["customer"]]}, FIRST_LINE))
+    named = completed_block("c", name_verdicts(first(recognition("customer", variants), 1)))
+    q["serialization_report"] = f"""with {few}, {named}, verdicts as (select * from b_verdicts union all select * from c_verdicts)
+      select test, count(*) as n_trials, count_if(passed) as n_passed, cast(cast(count_if(passed) > 0 as int) as double) as value,
+        cast(cast(count_if(passed) > 0 as int) as double) as shown
+      from verdicts where model = 'alpha' and serialization = 1 group by test"""
     q["csv_scan"] = "select * from customer"
     mixed = """mixed as (select o_orderkey % 97 = 3 as odd, o_orderkey % 10 = 0 as na, o_orderkey % 5 = 0 as gap, * from orders)"""
     kinds = [("o_orderkey", 0, "bigint", "integer", None), ("o_custkey", 1, "string", "integer", "odd"), ("o_totalprice", 2, "double", "number", "na"),
@@ -919,6 +923,8 @@ def oracle_sql() -> dict[str, str]:
     q["corpus_passage_scan_pages"] = """with pieces as (select distinct passage from (
         select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark) where passage <> '')
       select page_id, md5(passage) as passage_id from pages join pieces on contains(html, passage)"""
+    q["scorecard_sink_variants"] = q["serialization_grid"]
+    q["labelled_files"] = q["scorecard_wide"]
     q["corpus_passage_index"] = """with pieces as (select distinct passage from (
         select unnest(regexp_split_to_array(text, '[.,]\\s*')) as passage from benchmark
         union all select text from benchmark) where passage <> '')

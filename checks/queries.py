@@ -25,7 +25,7 @@ from rowecho.sources.lexicon import tag_lexicon
 from rowecho.sources.lineage import cut_lineage, remove_at_end
 from rowecho.sources.passage_index import PassageIndex
 from rowecho.sources.positions import POS, seeded_shuffle, with_positions
-from rowecho.sources.results import accuracy_cell, read_scorecards
+from rowecho.sources.results import accuracy_cell, read_labelled, read_scorecards
 
 Query = Callable[[SparkSession, str], DataFrame]
 VARIANTS = tuple(enumerate(SERIALIZATIONS))
@@ -932,12 +932,35 @@ def serialization_run(spark, d):
 
 @query
 def serialization_report(spark, d):
-    """One model and one variant of them, as the report prints it."""
+    """The figures of one model and one variant, as the report prints them, for the tests that find or complete single values."""
     card = _variant_card(spark, d)
     own = reshape.one_serialization(card, 1).filter("model = 'alpha'")
     grid = reports.serialization_grid(card, "alpha", 1, list(DISPLAY))
-    return grid.join(own.groupBy("test").agg(F.sum("value").alias("total")), "test").select(
-        "test", (F.coalesce("customer accounts", F.lit(0.0)) == F.col("total")).alias("same"))
+    shown = grid.select("test", F.col("`customer accounts`").alias("shown"))
+    return own.filter(F.col("test").isin("recognition_ex", "feature_completion")).join(shown, "test").select(
+        "test", "n_trials", "n_passed", "value", "shown")
+
+
+@query
+def scorecard_sink_variants(spark, d):
+    """Scorecards written one variant after the other to the same place, a folder for each model and variant."""
+    card, path = cut_lineage(serialization_grid(spark, d)), _folder(spark, "variants")
+    for i in range(len(SERIALIZATIONS)):
+        for _ in range(2 if i == 1 else 1):  # a variant that is written again replaces its own folders
+            sinks.write_scorecard(card.filter(F.col("serialization") == i), path, ("model", "serialization"))
+    return spark.read.parquet(path).withColumn("serialization", F.col("serialization").cast("bigint"))
+
+
+@query
+def labelled_files(spark, d):
+    """Scorecards as files whose first column has no name, read by their labels."""
+    wide = cut_lineage(score.scorecard_wide(score.scorecard(_completed(spark, d)), DISPLAY))
+    parts = []
+    for model in MODELS:
+        path = _folder(spark, "labelled")
+        sinks.write_scorecard_csv(wide.filter(F.col("model") == model).drop("model").withColumnRenamed("test_name", ""), path)
+        parts.append(read_labelled(spark, path, "test_name").withColumn("model", F.lit(model)))
+    return union(parts).select("model", "test_name", *[F.col(c).cast("double").alias(c) for c in DISPLAY.values()])
 
 
 # ---------------------------------------------------------------- files
