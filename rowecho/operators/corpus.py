@@ -117,6 +117,15 @@ def _letter_grams(df: DataFrame, word: str, n: int) -> DataFrame:
     return df.withColumn("gram", F.explode(F.array_distinct(runs)))
 
 
+def _rarest(grams: DataFrame, inside: DataFrame, apart: list[str], keys: list[str]) -> DataFrame:
+    """(keys, gram): of the letters of each word those that fewest runs hold (``inside``); a word with letters that no run holds
+    has no row."""
+    held = inside.groupBy(*apart, "gram").agg(F.count("*").alias("_held"))
+    rarity = F.coalesce("_held", F.lit(0))
+    return grams.join(held, [*apart, "gram"], "left").groupBy(*keys).agg(
+        F.min_by("gram", F.struct(rarity, "gram")).alias("gram"), F.min(rarity).alias("_held")).filter("_held > 0").drop("_held")
+
+
 def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broadcast_bytes: int) -> DataFrame:
     """(key, passage_id) for passages of one or two words, which may begin and end inside a word.
 
@@ -129,13 +138,11 @@ def _short_hits(texts: DataFrame, passages: DataFrame, key: str, text: str, broa
     short = passages.withColumn("piece", F.when(longest != "", longest).otherwise(F.col("passage")))
     short = short.withColumn("n", F.least(F.length("piece"), F.lit(LETTERS)))
     spans = texts.select(key, F.explode(_spans(F.col(text))).alias("span"))
-    vocabulary = spans.select("span").distinct()
+    vocabulary = cut_lineage(spans.select("span").distinct())
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most LETTERS numbers
     grams = reduce(DataFrame.unionByName, [_letter_grams(short.filter(F.col("n") == n), "piece", n) for n in lengths])
-    shared = grams.groupBy("gram").agg(F.count("*").alias("shared"))
-    anchors = grams.join(shared, "gram").groupBy("passage_id", "passage", "piece").agg(
-        F.min_by("gram", F.struct("shared", "gram")).alias("gram"))
     vocabulary_grams = reduce(DataFrame.unionByName, [_letter_grams(vocabulary, "span", n) for n in lengths])
+    anchors = _rarest(grams, vocabulary_grams, [], ["passage_id", "passage", "piece"])
     found = cut_lineage(
         vocabulary_grams.join(anchors, "gram").filter(F.contains("span", "piece"))
         .select("span", "passage_id", "passage", (F.col("piece") == F.col("passage")).alias("whole"))
@@ -201,18 +208,16 @@ def _entries(words: DataFrame, case_sensitive: bool) -> DataFrame:
 def _span_entries(spans: DataFrame, entries: DataFrame) -> DataFrame:
     """(stack, span, entries): the words inside each different run of characters of the texts.
 
-    Words and runs meet on the run of a word's letters that fewest words share, and are verified. A
+    Words and runs meet on the letters of a word that fewest runs hold, and are verified. A
     run has as many entries as words fit into it, however many texts it is in.
     """
-    vocabulary = spans.select("stack", F.explode("spans").alias("span")).distinct()
+    vocabulary = cut_lineage(spans.select("stack", F.explode("spans").alias("span")).distinct())
     short = entries.withColumn("n", F.least(F.length("passage"), F.lit(LETTERS)))
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most LETTERS numbers
     passages = short.select("stack", "passage", "n").distinct()
     grams = reduce(DataFrame.unionByName, [_letter_grams(passages.filter(F.col("n") == n), "passage", n) for n in lengths])
-    shared = grams.groupBy("stack", "gram").agg(F.count("*").alias("shared"))
-    anchors = grams.join(shared, ["stack", "gram"]).groupBy("stack", "passage").agg(
-        F.min_by("gram", F.struct("shared", "gram")).alias("gram"))
     inside = reduce(DataFrame.unionByName, [_letter_grams(vocabulary, "span", n) for n in lengths])
+    anchors = _rarest(grams, inside, ["stack"], ["stack", "passage"])
     met = inside.join(anchors, ["stack", "gram"]).filter(F.contains("span", "passage"))
     return met.select("stack", "span", "passage").join(entries, ["stack", "passage"]).groupBy("stack", "span").agg(
         F.collect_set("entry").alias("entries"))

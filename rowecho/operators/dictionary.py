@@ -16,8 +16,6 @@ from rowecho.operators import corpus
 from rowecho.sources.lineage import cut_lineage
 from rowecho.sources.positions import POS, with_positions
 
-LETTERS = 3  # characters on which words and runs meet
-
 
 @dataclass(frozen=True)
 class Dictionary:
@@ -39,30 +37,21 @@ def build_dictionary(texts: DataFrame, key: str, text: str = "text") -> Dictiona
     return Dictionary(texts.select(F.col(key), F.col(text).alias("text")), runs, coded, key)
 
 
-def _letters(df: DataFrame, word: str, n: int) -> DataFrame:
-    runs = F.regexp_extract_all(F.col(word), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return df.withColumn("gram", F.explode(F.array_distinct(runs)))
-
-
 def match_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     """(number, word): every word (``word``, distinct, not empty) inside every run (number, run).
 
     They meet on the letters of the word that fewest runs hold: what many runs have in common is a
     key only for words that have nothing else. Pairs that meet are verified.
     """
-    short = words.withColumn("n", F.least(F.length("word"), F.lit(LETTERS)))
+    short = words.withColumn("n", F.least(F.length("word"), F.lit(corpus.LETTERS)))
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most LETTERS numbers
     if not lengths:
         return runs.select("number", F.lit("").alias("word")).limit(0)
-    of_word = cut_lineage(reduce(DataFrame.unionByName, [
-        _letters(short.filter(F.col("n") == n).select("word"), "word", n) for n in lengths]))
-    wanted = of_word.select("gram").distinct()
-    of_run = reduce(DataFrame.unionByName, [_letters(runs, "run", n) for n in lengths])
-    counts = of_run.groupBy("gram").agg(F.count("*").alias("n")).join(wanted, "gram", "left_semi")
-    rarity = F.coalesce("n", F.lit(0))
-    anchors = of_word.join(counts, "gram", "left").groupBy("word").agg(
-        F.min_by("gram", F.struct(rarity, "gram")).alias("gram"), F.min(rarity).alias("n")).filter("n > 0")
-    return of_run.join(anchors.select("word", "gram"), "gram").filter(F.contains("run", F.col("word"))).select("number", "word")
+    of_word = reduce(DataFrame.unionByName, [
+        corpus._letter_grams(short.filter(F.col("n") == n).select("word"), "word", n) for n in lengths])
+    of_run = reduce(DataFrame.unionByName, [corpus._letter_grams(runs, "run", n) for n in lengths])
+    anchors = corpus._rarest(of_word, of_run, [], ["word"])
+    return of_run.join(anchors, "gram").filter(F.contains("run", F.col("word"))).select("number", "word")
 
 
 def _matched(dictionary: Dictionary, entries: DataFrame) -> DataFrame:
