@@ -618,6 +618,16 @@ def oracle_sql() -> dict[str, str]:
     q["template_fill"] = "select p_partkey as _pos, " + fill(
         templates.COMPLETION_INCOMPLETE, dname="p_brand", fname="p_type", serialization="p_name",
         example="cast(p_size as varchar)") + " as prompt from part"
+    slots = {"dname": "p_brand", "fname": "p_type", "serialization": "p_name", "example": "cast(p_size as varchar)",
+             "answers": "chr(123) || 'dname' || chr(125) || p_brand", "question": "p_type", "values": "p_name"}
+    texts = {n.lower(): t for n, t in vars(templates).items() if n.isupper() and isinstance(t, str) and "{" in t}
+    # slots are cut out one after another, so that a value with a marker stays as it is
+
+    def cut(text: str) -> str:
+        parts = re.split(r"\{([a-z_]+)\}", text)
+        return " || ".join(lit(x) if i % 2 == 0 else f"({slots[x]})" for i, x in enumerate(parts))
+
+    q["template_fill_by_table"] = union(f"select p_partkey as _pos, '{n}' as name, md5({cut(t)}) as prompt from part" for n, t in texts.items())
     lines = "string_split(text, chr(10))"
     q["answer_strings"] = f"""select conv_id, turn, {lines}[1] as first_line,
       coalesce(case when len(string_split({lines}[1], ' ')) < 5 then {lines}[2] else {lines}[1] end, '') as line,

@@ -18,7 +18,7 @@ from rowecho.functions.text import (
     EXEMPLAR_DEFAULT, ROW_DEFAULT, SERIALIZATIONS, fill_template, row_text, text_block, value_text,
 )
 from rowecho.operators import corpus, decide, dictionary, distribution, members, perturb, profile, reshape, rows, sampling, score
-from rowecho.plans import probes as P, reports, runs, templates
+from rowecho.plans import probes as P, reports, runs, templates, wording
 from rowecho.sources import inference, sinks
 from rowecho.sources.catalog import Dataset, DatasetSpec, decode_by_table, decode_index, load_dataset
 from rowecho.sources.lexicon import tag_lexicon
@@ -298,6 +298,18 @@ def template_fill(spark, d):
     return ds.df.select(POS, prompt.alias("prompt"))
 
 
+@query
+def template_fill_by_table(spark, d):
+    """Every template of the table filled for every part."""
+    table_ = wording.own_templates(spark)
+    names = [r["name"] for r in table_.select("name").collect()]  # the templates of the library
+    asked = dataset(spark, d, "part").df.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
+    size = F.col("p_size").cast("string")
+    slots = {"dname": F.col("p_brand"), "fname": F.col("p_type"), "serialization": F.col("p_name"), "example": size,
+             "answers": F.concat(F.lit("{dname}"), "p_brand"), "question": F.col("p_type"), "values": F.col("p_name")}
+    return wording.fill_by_name(asked, table_, "name", slots).select(POS, "name", F.md5("prompt").alias("prompt"))
+
+
 @query
 def answer_strings(spark, d):
     """Cropping and cutting of response texts."""
