@@ -10,6 +10,8 @@ from rowecho.sources.lineage import checkpoint_folder, remove_at_end
 
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2_000
+#: for tasks that split every text of a batch into words at once
+WORD_BATCH_ROWS, WORD_BATCH_BYTES = 500, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,10 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds: by bytes for long texts, by rows for short ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def text_or_empty(column: str = "text"):

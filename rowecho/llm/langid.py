@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from rowecho.llm.common import bounded_batches, sample_texts, table, text_or_empty
+from rowecho.llm.common import WORD_BATCH_BYTES, WORD_BATCH_ROWS, bounded_batches, sample_texts, table, text_or_empty
 
 ORDER = 5
 SAMPLE_ROWS = 300  # texts per language a model learns from
@@ -27,6 +27,7 @@ DEVIATIONS = 20.0  # of cross-entropy above the middle from which a text is reje
 TYPICAL_SHARE = 0.8  # of a language's calibration texts, which tell a deviation; the others may be mislabelled
 NORMAL = 1.2816  # standard deviations from the middle that hold this share of a normal distribution
 CACHED_WORDS = 150_000
+BLOCK_WORDS = 10_000  # scored at once
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 START, END = 1, 2  # code points that stand for the ends of a word
@@ -222,7 +223,7 @@ def learn(rows: list[tuple[str, str]]) -> CharModels | None:
 def _judged(rows: DataFrame, models: CharModels | None) -> DataFrame:
     """``rows``, whose first column is the text, with lang_pred, score and rejected in place of it."""
     spark = rows.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, WORD_BATCH_ROWS, WORD_BATCH_BYTES)
     shared = spark.sparkContext.broadcast(models)
     others = rows.columns[1:]
 
@@ -240,8 +241,8 @@ def _judged(rows: DataFrame, models: CharModels | None) -> DataFrame:
                     known, costs, sizes = {}, costs[:0], sizes[:0]
                 new = list({w for words in split for w in words if w not in known})
                 known.update(zip(new, range(len(known), len(known) + len(new))))
-                costs = np.concatenate([costs, *(models.word_costs(new[i:i + 50_000])
-                                                 for i in range(0, len(new), 50_000))])
+                costs = np.concatenate([costs, *(models.word_costs(new[i:i + BLOCK_WORDS])
+                                                 for i in range(0, len(new), BLOCK_WORDS))])
                 sizes = np.r_[sizes, [len(w) + 1 for w in new]]
                 ids = np.fromiter((known[w] for words in split for w in words), np.int64)
                 ends = np.cumsum([len(w) for w in split if w])

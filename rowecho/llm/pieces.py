@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowecho.llm.common import bounded_batches, table, text_or_empty
+from rowecho.llm.common import WORD_BATCH_BYTES, WORD_BATCH_ROWS, bounded_batches, table, text_or_empty
 
 SPACE = "▁"  # stands for a blank in pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 NO_RANK = np.iinfo(np.int32).max
-CACHED_CHARS = 1 << 21  # of the words whose ids a task keeps
-SLICE_CHARS = 1 << 20  # of texts, or of words, encoded together
+CACHED_CHARS = 1 << 20  # of the words whose ids a task keeps
+SLICE_CHARS = 1 << 18  # of texts, or of words, encoded together
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -369,7 +369,7 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column
     Null counts as empty, an empty text has no ids. Rows repeated with their id give a row each;
     other columns are not read."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, WORD_BATCH_ROWS, WORD_BATCH_BYTES)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     names = ["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
