@@ -234,6 +234,8 @@ def _judged(rows: DataFrame, models: CharModels | None) -> DataFrame:
         sizes = np.zeros(0)
         for batch in batches:
             split = [WORD.findall(t.lower()) for t in batch.column(0).to_pylist()]
+            # number signs are no letters; the first word nearly always has one
+            split = [words if any(any(map(str.isalpha, w)) for w in words) else [] for words in split]
             lettered = np.array([bool(w) for w in split], bool)
             lang, score, rejected = [UNKNOWN] * len(split), np.zeros(len(split)), ~lettered
             if models is not None and lettered.any():

@@ -205,7 +205,7 @@ def test_languages_of_documents(spark):
     english, german = "the cat sat on that mat with another hat".split(), "der hund und die katze schlafen nicht immer".split()
     rows = [("en", text(english, i)) for i in range(40)] + [("de", text(german, i)) for i in range(40)]
     models = langid.learn(rows)
-    asked = [(1, text(english, "x"), "de", 0.1), (2, text(german, "y"), None, 0.1), (3, None, "en", 0.1), (4, "12 !?", "en", 0.1),
+    asked = [(1, text(english, "x"), "de", 0.1), (2, text(german, "y"), None, 0.1), (3, None, "en", 0.1), (4, "12 ½ ² Ⅷ!?", "en", 0.1),
              (5, "", None, 0.1), (6, "привет как дела " * 20, "en", 0.1), (6, "the", "en", 0.1), (None, "der hund", "en", 0.1),
              (7, text(english, "z") * 500, "de", 0.1)]
     docs = spark.createDataFrame(asked, "doc_id long, text string, lang_pred string, score double")
