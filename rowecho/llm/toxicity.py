@@ -29,7 +29,6 @@ RATE = 0.5
 DECAY = 0.05  # of the embeddings
 SLACK = 1e-3  # in the step, so that what few texts say moves little
 CLEAN_WEIGHT = 5
-TYPICAL = 3.0  # log-odds
 CALIBRATION_SHARE = 5  # every fifth text sets the threshold
 CACHED_WORDS = 200_000
 WORD = re.compile(r"\S+")
@@ -203,127 +202,6 @@ def _weights(toxic: np.ndarray, clean: np.ndarray, hard: np.ndarray) -> np.ndarr
     return sum(np.where(part, share / max(part.sum(), 1), 0) for part, share in parts).astype(np.float32)
 
 
-def _likely(ids, word_text, begins, texts, label) -> np.ndarray:
-    """The stretches of each toxic text that hold its word with the highest log-odds of occurring in
-    toxic rather than clean texts, or one nearly as typical; the first one where no word is typical."""
-    pairs = np.unique(np.stack([ids, word_text]), axis=1)
-    in_texts = [np.bincount(pairs[0][label[pairs[1]] == k], minlength=ids.max() + 1) for k in (0, 1)]
-    odds = np.log((in_texts[1] + 0.5) / ((label == 1).sum() + 1)) - np.log((in_texts[0] + 0.5) / ((label == 0).sum() + 1))
-    most = np.maximum.reduceat(odds[ids], begins)
-    top = np.full(len(label), -np.inf)
-    np.maximum.at(top, texts, most)
-    best = np.flatnonzero(most >= top[texts])
-    first = np.zeros(len(most), bool)
-    first[best[np.unique(texts[best], return_index=True)[1]]] = True
-    return (label[texts] == 1) & (first | (most >= np.maximum(top[texts] - 1, TYPICAL)))
-
-
-def _threshold(model: ToxicityModel, rows: list[tuple[int, list[str]]]) -> float:
-    """Between the two neighbouring logits that part the classes best, where the share of clean texts
-    taken for toxic weighs CLEAN_WEIGHT times that of toxic texts missed."""
-    top = _logits(model, [words for _, words in rows])
-    label = np.array([lab for lab, _ in rows])
-    order = np.argsort(top, kind="stable")
-    top, label = top[order], label[order]
-    right = CLEAN_WEIGHT * np.cumsum(label == 0) / (label == 0).sum() - np.cumsum(label == 1) / (label == 1).sum()
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    k = best[0]
-    return float((top[k] + top[min(best[-1] + 1, len(top) - 1)]) / 2)
-
-
-def _logits(model: ToxicityModel, texts: list[list[str]]) -> np.ndarray:
-    words = [w for t in texts for w in t]
-    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    each = model.word_logits(list(known)) if known else np.zeros(0)
-    return model.text_logits(each, np.array([known[w] for w in words], np.int64), np.array([len(t) for t in texts]))
-
-
-def score(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(self.threshold - logits, -60, 60)))
-
-
-def stretches(sizes: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begin of each stretch in the words of all texts, and the text it belongs to."""
-    counts = -(-sizes // stretch)
-    texts = np.repeat(np.arange(len(sizes)), counts)
-    place = np.arange(len(texts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return (np.cumsum(sizes) - sizes)[texts] + place * stretch, texts
-
-
-def repeats(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Where a word is the one before it again, within a stretch: it fills no slot twice."""
-    again = np.r_[False, ids[1:] == ids[:-1]]
-    again[begins] = False
-    return again
-
-
-def learn(rows: list[tuple[int, str]], seed: int = 7) -> ToxicityModel | None:
-    """A model from (label, text) rows; None unless both labels have words.
-
-    Of a toxic text only the stretch with the word most typical of toxic texts starts as toxic;
-    after each round it is the one the model finds most toxic, and all those it finds toxic at
-    all. The other stretches of toxic texts are left out, those of clean texts are all clean."""
-    rows = [(int(label), words_of(text)) for label, text in rows]
-    rows = [(label, words) for label, words in rows if words]
-    if len({label for label, _ in rows}) < 2:
-        return None
-    fit = [r for i, r in enumerate(rows) if i % CALIBRATION_SHARE] or rows
-    if len({label for label, _ in fit}) < 2:
-        fit = rows
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, words in fit for w in words])
-    sizes = np.array([len(words) for _, words in fit])
-    label = np.array([lab for lab, _ in fit])
-    begins, texts = stretches(sizes, STRETCH)
-    fresh = ~repeats(ids, begins)
-    counts = np.add.reduceat(fresh, begins, dtype=np.int64)
-    units, unit_counts = units_of(list(vocabulary))
-    by_unit = _Sums(units, unit_counts, BUCKETS)
-    by_word = _Sums(ids[fresh], counts, len(vocabulary), STRETCH)
-    clean = label[texts] == 0
-    toxic = _likely(ids, np.repeat(np.arange(len(sizes)), sizes), begins, texts, label)
-    rng = np.random.default_rng(seed)
-    vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)  # an n-gram never seen says nothing
-    softmax = rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32)
-    offset = np.zeros(2, np.float32)
-    weight = _weights(toxic, clean, clean)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, offset)]
-    step = 0
-    for _ in range(ROUNDS):
-        for _ in range(STEPS):
-            step += 1
-            words = by_unit.mean(vectors)
-            hidden = by_word.mean(words)
-            logits = hidden @ softmax + offset
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), toxic.astype(int)] -= 1
-            g = p * weight[:, None]
-            grads = (by_unit.back(by_word.back(g @ softmax.T)), hidden.T @ g, g.sum(axis=0))
-            vectors *= 1 - RATE * DECAY
-            for value, grad, (first, second) in zip((vectors, softmax, offset), grads, moments):
-                first += 0.1 * (grad - first)
-                second += 0.01 * (grad * grad - second)
-                value -= RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + SLACK)
-        margin = (by_word.mean(by_unit.mean(vectors)) @ softmax + offset) @ np.array([-1, 1], np.float32)
-        top = np.full(len(sizes), -np.inf)
-        np.maximum.at(top, texts, margin)
-        toxic = (label[texts] == 1) & ((margin >= top[texts]) | (margin > 0))
-        weight = _weights(toxic, clean, clean & ((margin >= top[texts]) | (margin > 0)))
-    model = ToxicityModel((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64),
-                          float(offset[1] - offset[0]), 0.0, STRETCH)
-    held = [r for i, r in enumerate(rows) if i % CALIBRATION_SHARE == 0]
-    model.threshold = _threshold(model, held if len({lab for lab, _ in held}) == 2 else fit)
-    return model
-
-
-def _weights(toxic: np.ndarray, clean: np.ndarray, hard: np.ndarray) -> np.ndarray:
-    """Half of the weight for the toxic stretches; a quarter for all clean ones and another for
-    those of them that are hardest to tell."""
-    parts = ((toxic, 0.5), (clean, 0.25), (hard, 0.25))
-    return sum(np.where(part, share / max(part.sum(), 1), 0) for part, share in parts).astype(np.float32)
-
-
 def _likely(ids, word_text, begins, texts, label) -> np.ndarray:
     """The stretch of each toxic text that holds the word with the highest log-odds of occurring in
     toxic rather than clean texts."""
@@ -356,15 +234,6 @@ def _logits(model: ToxicityModel, texts: list[list[str]]) -> np.ndarray:
     return model.text_logits(each, np.array([known[w] for w in words], np.int64), np.array([len(t) for t in texts]))
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[int, str]]:
-    """(label, text) of at most ``rows`` texts of each label, drawn by the hash of their text."""
-    fitting = labelled.filter((F.length("text") > 0) & (F.length("text") <= chars)).withColumn(
-        "place", F.xxhash64("text"))
-    drawn = [r for value in (0, 1) for r in fitting.filter(F.col("label") == value)
-             .orderBy("place", "doc_id").limit(rows).select("place", "label", "text").collect()]
-    return [(r["label"], r["text"]) for r in sorted(drawn, key=lambda r: (r["place"], r["label"], r["text"]))]
-
-
 def score(docs: DataFrame, model: ToxicityModel | None, id_column: str = "doc_id",
           text_column: str = "text") -> DataFrame:
     """doc_id, score and predicted of every whole text. Null and wordless texts score 0, as does all
