@@ -37,6 +37,14 @@ def build_dictionary(texts: DataFrame, key: str, text: str = "text") -> Dictiona
     return Dictionary(texts.select(F.col(key), F.col(text).alias("text")), runs, coded, key)
 
 
+def _rarest(of_word: DataFrame, of_run: DataFrame) -> DataFrame:
+    """(word, gram): of the letters of each word those that fewest runs hold; a word with letters that no run holds has no row."""
+    held = of_run.groupBy("gram").agg(F.count("*").alias("_held"))
+    rarity = F.coalesce("_held", F.lit(0))
+    return of_word.join(held, "gram", "left").groupBy("word").agg(
+        F.min_by("gram", F.struct(rarity, "gram")).alias("gram"), F.min(rarity).alias("_held")).filter("_held > 0").drop("_held")
+
+
 def match_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     """(number, word): every word (``word``, distinct, not empty) inside every run (number, run).
 
@@ -50,7 +58,7 @@ def match_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     of_word = reduce(DataFrame.unionByName, [
         corpus._letter_grams(short.filter(F.col("n") == n).select("word"), "word", n) for n in lengths])
     of_run = reduce(DataFrame.unionByName, [corpus._letter_grams(runs, "run", n) for n in lengths])
-    anchors = corpus._rarest(of_word, of_run, [], ["word"])
+    anchors = _rarest(of_word, of_run)
     return of_run.join(anchors, "gram").filter(F.contains("run", F.col("word"))).select("number", "word")
 
 
