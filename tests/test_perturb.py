@@ -42,6 +42,15 @@ def test_a_full_table_cannot_be_altered(spark):
         perturb.replace_values(full, 1, 0).collect()
 
 
+def test_a_row_without_a_new_combination_takes_further_columns(spark):
+    # both neighbours of (0, 0) along one column are rows: only two columns together have something new
+    ds = dataset_of(spark, [(0, 0, None), (0, 1, None), (0, 2, None), (1, 0, None), (0, 0, None)], "a int, b int, c string")
+    for seed in range(3):
+        out = perturb.replace_values(ds, 1, seed).cache()
+        assert sorted(r[POS] for r in out.filter("altered").collect()) == [0, 1, 2, 3, 4]
+        assert {(r.a, r.b) for r in out.collect()} <= {(1, 1), (1, 2)}
+
+
 def test_a_nearly_full_table_is_altered_completely(spark):
     cells = [(a, b, c) for a in range(6) for b in range(6) for c in range(6)]
     ds = dataset_of(spark, cells[1:], "a int, b int, c int")
