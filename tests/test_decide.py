@@ -198,6 +198,19 @@ def test_missing_response_fails(spark):
     assert sorted((r.model, r.passed) for r in out) == [("a", False), ("b", False)]
 
 
+def test_every_probe_meets_its_responses_once(spark):
+    probes = spark.createDataFrame([("p", "ask p"), ("q", "ask q"), (None, "ask none")], "probe_id string, prompt string")
+    said = spark.createDataFrame(
+        [("p", "a", "two"), ("p", "a", "one"), ("p", "b", None), ("q", "c", "x"), ("r", "a", "x"), (None, "a", "x")],
+        "probe_id string, model string, output string")
+    want = [(p, m, f"ask {p or 'none'}", {("p", "a"): "one"}.get((p, m), ""), m == "b") for p in (None, "p", "q") for m in "ab"]
+    for partitions in (None, 3):
+        joined_ = D.join_responses(probes, said, ["a", "b"], ["b"], partitions)
+        assert sorted((tuple(r) for r in joined_.collect()), key=str) == sorted(want, key=str)
+        plan = joined_._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Join")  # models come apart after the join
+
+
 def test_long_lists_decide_like_arrays(spark):
     lists = {"f": [("alpha", "string", IN), ("beta gamma", "string", OUT), ("x_y", "string", OUT)],
              "g": [("alpha", "string", IN), ("true", "bool", IN), ("7", "other", IN)]}
