@@ -33,7 +33,7 @@ def build_dictionary(texts: DataFrame, key: str, text: str = "text") -> Dictiona
     split = F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))
     each = cut_lineage(texts.select(key, F.explode(F.filter(split, lambda r: r != "")).alias("run")))
     runs = cut_lineage(with_positions(cut_lineage(each.select("run").distinct())).select(F.col(POS).alias("number"), "run"))
-    coded = cut_lineage(each.join(runs, "run").groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("numbers")))
+    coded = cut_lineage(each.join(corpus.side(runs, F.octet_length("run")), "run").groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("numbers")))
     return Dictionary(texts.select(F.col(key), F.col(text).alias("text")), runs, coded, key)
 
 
@@ -120,7 +120,8 @@ def scan_words(dictionary: Dictionary, words: DataFrame) -> DataFrame:
     if single is not None:
         # one row per number with all its words, so a text's numbers meet each once
         by_number = cut_lineage(single.groupBy("number").agg(F.collect_set("entry").alias("entries")))
-        flat = dictionary.coded.select(key, F.explode("numbers").alias("number")).join(by_number, "number")
+        flat = dictionary.coded.select(key, F.explode("numbers").alias("number")).join(
+            corpus.side(by_number, F.size("entries") * corpus.ENTRY_BYTES), "number")
         hits.append(flat.select(key, F.explode("entries").alias("entry")))
     phrases = _phrases(dictionary, entries.filter(spaced))
     if phrases is not None:

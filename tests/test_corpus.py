@@ -145,3 +145,22 @@ def test_words_meet_runs_on_their_rarest_letters(spark):
     got = {(r.number, r.word) for r in dictionary.match_runs(runs, words).collect()}
     assert got == {(0, "abc"), (1, "abc"), (2, "abc"), (3, "abc"), (2, "abcx"), (3, "abcx"), (2, "y"), (3, "y"), (9, "é")}
     assert dictionary.match_runs(runs, words.limit(0)).count() == 0
+
+
+def test_what_is_sent_to_all_tasks_is_counted_first(spark):
+    """Files of numbered words are small, their rows are not."""
+    table = spark.range(2000).select(F.format_string("name#%09d", "id").alias("span"), F.array(F.lit(1)).alias("entries"))
+    rows = 2000 * (14 + corpus.ROW_BYTES + corpus.ENTRY_BYTES)
+    for limit, sent in ((rows, True), (rows - 1, False)):
+        met = spark.range(10).select(F.format_string("name#%09d", "id").alias("span")).join(
+            corpus.side(table, corpus.entries_size("span"), limit), "span")
+        assert met.count() == 10
+        assert ("BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()) is sent
+
+
+def test_words_that_are_numbered_alike(spark):
+    names = spark.range(300).select(F.format_string("name#%09d", "id").alias("value"))
+    words = names.select(F.lit("l").alias("list_name"), "value", F.lit("string").alias("kind"), F.lit(False).alias("in_lexicon"))
+    texts = names.select(F.col("value").alias("k"), F.concat(F.upper("value"), F.lit(",")).alias("text"))
+    found = corpus.entry_sets(texts, words, "k").select("k", F.size("entries").alias("n"))
+    assert {r.n for r in found.collect()} == {1} and found.count() == 300
