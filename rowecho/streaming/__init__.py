@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowecho.operators.decide import decide
 from rowecho.operators.score import CELL, test_score
 
 COUNTS = ("n_trials", "n_passed")
+HELD = "probe_id string, model string, output string, passed boolean, test string, dataset string"
+BATCHES_PER_WHOLE = 16  # batches that are read to know what is held, at most
 
 
 def decide_stream(responses: DataFrame, probes: DataFrame, echoing: Sequence[str] = (),
@@ -30,34 +30,6 @@ def _joined(responses: DataFrame, probes: DataFrame, echoing: Sequence[str]) ->
     ).withColumn("echoes", F.col("model").isin(*echoing) if echoing else F.lit(False))
 
 
-def score_changes(verdicts: DataFrame) -> DataFrame:
-    """(model, test, dataset, n_trials, n_passed): what each response changes in the counts.
-
-    ``verdicts`` has the ``output`` they were decided on. State is kept by (probe_id, model): the response that counts,
-    the first in text order as in the batch, and its verdict. A response that arrives again, or
-    comes after the one that counts, changes nothing; one before it takes its place.
-    """
-    def change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        best = held
-        for frame in frames:
-            first = frame.loc[frame["output"].map(str.encode).idxmin()]  # UTF-8 has the order of code points
-            if best is None or first["output"].encode() < best[0].encode():
-                best = (first["output"], bool(first["passed"]), first["test"], first["dataset"])
-        if best is held:
-            return
-        state.update(best)
-        passed = int(best[1]) - (int(held[1]) if held else 0)
-        if held is None or passed:
-            yield pd.DataFrame({"model": [key[1]], "test": [best[2]], "dataset": [best[3]],
-                                "n_trials": [int(held is None)], "n_passed": [passed]})
-
-    narrow = verdicts.select("probe_id", "model", "test", "dataset", "passed", "output")
-    return narrow.groupBy("probe_id", "model").applyInPandasWithState(
-        change, "model string, test string, dataset string, n_trials bigint, n_passed bigint",
-        "output string, passed boolean, test string, dataset string", "append", GroupStateTimeout.NoTimeout)
-
-
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
@@ -73,6 +45,57 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in done)
 
 
+def _held(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame, int | None]:
+    """The responses that count before this batch, each with its verdict, and the batch that last wrote all of them. A response
+    that was replaced since is there too, after the one that replaced it in text order."""
+    done = [b for b in _batches(spark, f"{path}/held") if b < batch_id]
+    whole = max((b for b in done if _writes_all(b)), default=None)
+    folders = [f"{path}/held/batch={b}" for b in done if whole is None or b >= whole]
+    return (spark.read.schema(HELD).parquet(*folders) if folders else spark.createDataFrame([], HELD)), whole
+
+
+def _writes_all(batch_id: int) -> bool:
+    return batch_id % BATCHES_PER_WHOLE == BATCHES_PER_WHOLE - 1
+
+
+def score_changes(verdicts: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """(model, test, dataset, n_trials, n_passed): what the responses of a batch change in the counts.
+
+    ``verdicts`` has the ``output`` they were decided on. By (probe_id, model) the response that counts, the first in text
+    order as in the batch, is held with its verdict under ``path``: a response that arrives again, or comes after the one
+    that counts, changes nothing; one before it takes its place. A batch writes what it changes, every ``BATCHES_PER_WHOLE``th all that is held, and one
+    that is run again starts from what was held before it.
+    """
+    spark, keys = verdicts.sparkSession, ["probe_id", "model"]
+    rest = [F.col(c) for c in ("passed", "test", "dataset")]
+    arrived = verdicts.groupBy(*keys).agg(F.min(F.struct("output", F.lit(True).alias("new"), *rest)).alias("r")).persist()
+    arrived.count()  # its size is known from here on: a small batch is sent to what is held
+    held, whole = _held(spark, path, batch_id)
+    asked = arrived.select(F.col("probe_id").alias("_p"), F.col("model").alias("_m"))
+    met = held.join(asked, (F.col("probe_id") == F.col("_p")) & F.col("model").eqNullSafe(F.col("_m")), "left_semi").select(
+        *keys, F.struct("output", F.lit(False).alias("new"), *rest).alias("r"))
+    first = met.unionByName(arrived).groupBy(*keys).agg(
+        F.min("r").alias("r"), F.min(F.when(~F.col("r.new"), F.col("r"))).alias("was")).filter("r.new")
+    changed = first.select(*keys, "r.output", "r.passed", "r.test", "r.dataset", F.col("was.passed").alias("was"))
+    folder = f"{path}/held/batch={batch_id}"
+    if _writes_all(batch_id):
+        before = held.withColumn("was", F.lit(None).cast("boolean")).withColumn("changed", F.lit(False))
+        row = F.struct("output", "passed", "test", "dataset", "was", "changed")
+        written = before.unionByName(changed.withColumn("changed", F.lit(True))).groupBy(*keys).agg(
+            F.min(row).alias("r")).select(*keys, "r.*")
+    else:
+        written = changed.withColumn("changed", F.lit(True))
+    written.write.mode("overwrite").parquet(folder)
+    arrived.unpersist()
+    for old in _batches(spark, f"{path}/held"):
+        if whole is not None and old < whole:
+            files, gone = _folder(spark, f"{path}/held/batch={old}")
+            files.delete(gone, True)
+    passed = F.col("passed").cast("bigint") - F.coalesce(F.col("was").cast("bigint"), F.lit(0))
+    return spark.read.schema(f"{HELD}, was boolean, changed boolean").parquet(folder).filter("changed").select(
+        *CELL, F.col("was").isNull().cast("bigint").alias("n_trials"), passed.alias("n_passed"))
+
+
 def merge_counts(changes: DataFrame, batch_id: int, path: str) -> None:
     """Write the counts up to this batch: those of the batch before it and the changes.
 
@@ -103,8 +126,8 @@ def score_stream(responses: DataFrame, probes: DataFrame, path: str, checkpoint:
     decided = decide(joined.withColumn("model", F.struct("model", "output")).withColumn(
         "echoes", F.col("model.model").isin(*echoing) if echoing else F.lit(False)), parity)
     verdicts = decided.withColumn("output", F.col("model.output")).withColumn("model", F.col("model.model"))
-    return score_changes(verdicts).writeStream.foreachBatch(
-        lambda changes, batch_id: merge_counts(changes, batch_id, path)
+    return verdicts.select(*CELL, "probe_id", "passed", "output").writeStream.foreachBatch(
+        lambda batch, batch_id: merge_counts(score_changes(batch, batch_id, path), batch_id, path)
     ).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

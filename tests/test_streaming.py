@@ -83,3 +83,23 @@ def test_decided_streams_keep_no_state(spark, probes):
     arrive(spark, path, [(x.probe_id, x.model, x.output) for x in respond(probes).limit(50).collect()])
     out = streaming.decide_stream(read(spark, path), probes, ECHOING)
     assert out.isStreaming and {"passed", "matches"} <= set(out.columns)
+
+
+def test_changes_are_counted_without_python_for_each_response(spark, monkeypatch):
+    """The response that counts is held over batches, whole ones among them, and a batch that is run again."""
+    monkeypatch.setattr(streaming, "BATCHES_PER_WHOLE", 2)
+    path, r = place(spark, "held"), random.Random(3)
+    kind = "probe_id string, model string, test string, dataset string, passed boolean, output string"
+    verdict = lambda p, o: (p, "a", "recognition_ex", "d", o in "bdf\U0001f600", o)
+    best = {}
+    for batch in range(6):
+        rows = [verdict(r.choice("pqrs") + str(r.randrange(4)), r.choice("abcdefg\uffee\U0001f600")) for _ in range(7)]
+        for _ in range(2 if batch % 3 == 2 else 1):
+            changes = streaming.score_changes(spark.createDataFrame(rows, kind), batch, path)
+            assert "Python" not in changes._jdf.queryExecution().toString()
+            streaming.merge_counts(changes, batch, path)
+        for row in rows:
+            best[row[0]] = min(best.get(row[0], row), row, key=lambda x: x[5].encode())
+        got = streaming.running_scorecard(spark, path).first()
+        assert (got.n_trials, got.n_passed) == (len(best), sum(x[4] for x in best.values()))
+    assert len(streaming._batches(spark, f"{path}/held")) <= 3
