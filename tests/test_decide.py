@@ -235,3 +235,28 @@ def test_prompt_hook(spark):
                                    "probe_id string, prompt string, max_new_tokens int, temperature double")
     out = D.score_prompts(probes, "m", lambda prompts, budgets, temps: [p[:b] for p, b in zip(prompts, budgets)])
     assert out.collect() == [("p", "m", "hello")]
+
+
+def test_dealt_probes_meet_their_responses_without_a_shuffle(spark, sf_dir):
+    """Probes whose rows are dealt out by their ids give the verdicts of others, in buckets or not."""
+    from dataclasses import replace
+    from checks import queries as Q
+    from checks.datasets import dataset
+    from rowecho.plans import probes as P
+    ds = dataset(spark, sf_dir, "customer")
+    ds = replace(ds, df=ds.df.unionByName(ds.df.filter("_pos < 3").withColumn("c_acctbal", F.lit(1.0))))  # positions that come twice
+
+    def probes(of):
+        every = of.df.select(F.col("_pos").alias("trial"))
+        return Q.union([P.completion_incomplete(of, every), P.completion_feature(of, "c_name", None), P.recognition(of, 5, "all"),
+                        P.recognition(of, 5, "all", variants=Q.VARIANTS).filter("serialization > 0"), P.classification(of, None)])
+
+    verdicts = lambda df: sorted(map(str, Q.show_verdicts(df).collect()))
+    out = Q.decided(probes(replace(ds, probe_partitions=3)), 3)
+    assert verdicts(out) == verdicts(Q.decided(probes(ds)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.decided(probes(replace(ds, probe_partitions=3)), 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "Bucketed: true" in plan
