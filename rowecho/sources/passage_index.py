@@ -13,6 +13,8 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowecho.sources.lineage import cut_lineage
@@ -20,44 +22,76 @@ from rowecho.sources.lineage import cut_lineage
 GRAM, WINDOW = 4, 8
 BUCKETS = 64
 PLACE_BITS = 26  # of a word's place, beside the leading bits of its hash, while the lowest are found
+WORDS_AT_ONCE = 1 << 20  # whose hashes are worked on together
 
 
-def _shifted(array: Column, by: int) -> Column:
-    return F.slice(array, F.lit(by + 1), F.greatest(F.size(array) - by, F.lit(0)))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _grams(words: Column, gram: int) -> Column:
-    """Hash of the ``gram`` words from each place on: hashes of words, put together."""
-    length = F.greatest(F.size(words) - (gram - 1), F.lit(0))
-    each = F.transform(words, lambda w: F.xxhash64(w))
-    out = F.slice(each, F.lit(1), length)
-    for i in range(1, gram):
-        out = F.zip_with(out, F.slice(each, F.lit(i + 1), length), lambda a, b: F.xxhash64(a, b))
-    return out
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _xxhash64(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's ``xxhash64`` of 64-bit numbers."""
+    out = (seed + _P5 + np.uint64(8)) ^ (_rotated(x * _P2, 31) * _P1)
+    out = _rotated(out, 27) * _P1 + _P4
+    out = (out ^ (out >> np.uint64(33))) * _P2
+    out = (out ^ (out >> np.uint64(29))) * _P3
+    return out ^ (out >> np.uint64(32))
+
 
+def _anchors_of(hashes: np.ndarray, starts: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, place, anchors in each text) from the hashes of all words of some texts and where each text starts, the end last.
 
-def _lowest(marked: Column, window: int) -> Column:
-    """Lowest of the ``window`` numbers from each place on, by doubling."""
-    out, length = marked, 1
+    Grams and windows are taken over all words at once; those that reach into the next text are left out.
+    """
+    sizes, below = np.diff(starts), np.int64((1 << PLACE_BITS) - 1)
+    place = np.arange(len(hashes), dtype=np.int64) - np.repeat(starts[:-1], sizes)
+    left = np.repeat(sizes, sizes) - place  # words from here on
+    grams = hashes.view(np.uint64)
+    for i in range(1, gram):
+        grams = _xxhash64(hashes.view(np.uint64)[i:], _xxhash64(grams[:max(len(hashes) - i, 0)], np.uint64(42)))
+    grams = grams.view(np.int64)
+    lowest, length = (grams & ~below) | place[:len(grams)], 1
     while length < window:
         step = min(length, window - length)
-        short = F.slice(out, F.lit(1), F.greatest(F.size(out) - step, F.lit(0)))
-        out = F.zip_with(short, _shifted(out, step), lambda a, b: F.least(a, b))
+        lowest = np.minimum(lowest[:max(len(lowest) - step, 0)], lowest[step:])
         length += step
-    return out
+    whole = np.flatnonzero(left[:len(lowest)] >= gram + window - 1)
+    found, text = lowest[whole], np.repeat(np.arange(len(sizes)), sizes)[whole]
+    # the windows that share a lowest gram follow one another
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    found, text = found[first], text[first]
+    places = found & below
+    return grams[starts[:-1][text] + places], places, np.bincount(text, minlength=len(sizes))
+
+
+def _anchors(words: pa.Array, gram: int, window: int) -> pa.Array:
+    """The anchors of a batch of texts, a part of limited size after the other."""
+    starts = words.offsets.to_numpy().astype(np.int64)
+    hashes = words.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    parts, at, n = [], 0, len(words)
+    while at < n:
+        end = max(int(np.searchsorted(starts, starts[at] + WORDS_AT_ONCE, "right")) - 1, at + 1)
+        parts.append(_anchors_of(hashes[starts[at]:starts[end]], starts[at:end + 1] - starts[at], gram, window))
+        at = end
+    grams, places, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    rows = pa.StructArray.from_arrays([pa.array(grams), pa.array(places.astype(np.int32))], ["gram", "place"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
 
 
 def with_anchors(df: DataFrame, words: Column, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Add ``anchors``: (gram, place) of the lowest hashes, in the order of places. Runs of fewer than ``gram`` +
-    ``window`` - 1 words have none."""
-    below = (1 << PLACE_BITS) - 1
-    hashed = df.withColumn("_h", _grams(words, gram))
-    marked = F.transform("_h", lambda x, i: F.bitwise_not(F.lit(below)).bitwiseAND(x).bitwiseOR(i.cast("bigint")))
-    lowest = hashed.withColumn("_m", F.array_distinct(_lowest(marked, window)))
-    place = lambda m: m.bitwiseAND(F.lit(below))
-    anchors = F.transform("_m", lambda m: F.struct(
-        F.get(F.col("_h"), place(m).cast("int")).alias("gram"), place(m).cast("int").alias("place")))
-    return lowest.withColumn("anchors", anchors).drop("_h", "_m")
+    ``window`` - 1 words have none. The hash of a gram is that of its words' hashes, put together."""
+    @F.arrow_udf("array<struct<gram:bigint,place:int>>")
+    def anchors(hashes: pa.Array) -> pa.Array:
+        return _anchors(hashes, gram, window)
+
+    none = F.array().cast("array<bigint>")
+    return df.withColumn("anchors", anchors(F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), none)))
 
 
 def whole_words(text: Column) -> Column:

@@ -101,3 +101,39 @@ def test_new_passages_meet_the_anchors_without_a_shuffle_of_these(spark, materia
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scan = plan[plan.index("SortMergeJoin"):]
     assert scan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in scan
+
+
+def test_anchors_of_all_texts_at_once_are_those_of_each(spark, monkeypatch):
+    """Anchors as single texts have them, from Spark's own hashes, also where a batch is worked on in parts."""
+    import numpy as np
+    from rowecho.sources import passage_index as index
+    texts = [prose(n) for n in (0, 1, 10, 11, 12, 200)] + ["w1 " * 50, None, prose(40)]
+    words = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("w", F.split("t", r"\s+"))
+    hashes = F.transform("w", lambda w: F.xxhash64(w))
+    pairs = F.transform("w", lambda w, j: F.xxhash64(F.xxhash64(w), F.xxhash64(F.get("w", j + 1))))
+    rows = words.select("i", hashes.alias("h"), pairs.alias("p")).orderBy("i").collect()
+    hold = (1 << index.PLACE_BITS) - 1
+    for gram, name in ((1, "h"), (2, "p")):
+        expected = []
+        for r in rows:
+            grams = (r[name] or [])[:max(len(r["h"] or []) - gram + 1, 0)]
+            marked = [(g & ~hold) | j for j, g in enumerate(grams)]
+            lowest = dict.fromkeys(min(marked[j:j + 4]) for j in range(len(marked) - 3))
+            expected.append([(grams[m & hold], m & hold) for m in lowest])
+        got = {r.i: [tuple(a) for a in r.anchors] for r in with_anchors(words, F.col("w"), gram, 4).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+        import pyarrow as pa
+        monkeypatch.setattr(index, "WORDS_AT_ONCE", 30)
+        parts = index._anchors(pa.array([r["h"] or [] for r in rows], pa.list_(pa.int64())).slice(2), gram, 4).to_pylist()
+        assert [[(a["gram"], a["place"]) for a in p] for p in parts] == expected[2:]
+        assert index._anchors(pa.array([], pa.list_(pa.int64())), gram, 4).to_pylist() == []
+    assert np.int64(0) == index._anchors_of(np.zeros(0, np.int64), np.zeros(1, np.int64), 4, 8)[0].sum()
+
+
+def test_texts_are_read_once_for_anchors_of_all_lengths(spark, material, monkeypatch):
+    texts, passages = material
+    read, grams = [], corpus._grams
+    monkeypatch.setattr(corpus, "_grams", lambda df, key, tokens, lengths: read.append((key, lengths)) or grams(df, key, tokens, lengths))
+    found = {tuple(r) for r in corpus.scan_passages(frame(spark, texts), asked(spark, passages), "key").collect()}
+    assert found == slow(texts, passages)
+    assert [n for key, n in read if key == "key"] == [[1, 2, 3, 4]]
