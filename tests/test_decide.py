@@ -254,9 +254,5 @@ def test_dealt_probes_meet_their_responses_without_a_shuffle(spark, sf_dir):
     verdicts = lambda df: sorted(map(str, Q.show_verdicts(df).collect()))
     out = Q.decided(probes(replace(ds, probe_partitions=3)), 3)
     assert verdicts(out) == verdicts(Q.decided(probes(ds)))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = Q.decided(probes(replace(ds, probe_partitions=3)), 3)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Exchange" not in plan and "Bucketed: true" in plan
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "SortMergeJoin" in plan
