@@ -21,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowecho.llm.common import bounded_batches, cut, table, text_or_empty
+from rowecho.operators.members import BITMAP_BITS, filter_bits
 
 WIDTH, NODE = 35, 16
 HELD_WORDS = 1 << 18  # different words whose hash a task keeps
 HELD_ROWS = 1 << 18  # rows of a batch that a task hands on
 TASK_SHIFT = 40  # a task numbers its places above its own number
 SEEN_TEXTS = 500_000
+FILTER_BITS = 1 << 27  # of a filter that is sent to all tasks, at most
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -119,17 +121,36 @@ def _read(docs: DataFrame, width: int, node: int, id_column: str, text_column: s
                                 "n_words bigint, sha string, marks array<bigint>")
 
 
-def _packed(docs: DataFrame, text_column: str) -> DataFrame:
+def _bit_filter(numbers: DataFrame, column: str) -> Broadcast:
+    """Bits of the numbers of a written table, by their low digits: a number whose bit is not set is not in the table. The more
+    numbers, the more others pass too; what passes still has to be joined."""
+    n_bits = min(FILTER_BITS, filter_bits(numbers.count()))
+    maps = numbers.select(F.pmod(column, F.lit(n_bits)).alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.pmod("bit", F.lit(BITMAP_BITS))).alias("bits"))
+    bits = np.zeros((n_bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for bucket, own in maps.collect():  # FILTER_BITS at most, however many numbers
+        bits[bucket] = np.frombuffer(own, np.uint8)
+    return numbers.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _may_hold(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers have their bit set."""
+    at = numbers.view(np.int64) & (len(bits) * 8 - 1)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def _packed(docs: DataFrame, text_column: str, wanted: Broadcast) -> DataFrame:
     """(k1, k2, size, packed): different texts compressed for the way to other tasks, one of several tasks
-    possibly in each."""
+    possibly in each. Texts whose k1 is not in the filter ``wanted`` stay where they are."""
     text = text_or_empty(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = pa.Codec("zstd", compression_level=1), set()
         for batch in batches:
             new = []
+            asked = _may_hold(wanted.value, batch.column(0).to_numpy()).tolist()
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key not in seen:
+                if asked[i] and key not in seen:
                     if len(seen) > SEEN_TEXTS:
                         seen.clear()
                     seen.add(key)
@@ -207,6 +228,15 @@ def edges_at(words: np.ndarray, place: np.ndarray, nodes: np.ndarray, node: int)
     return nodes.view(np.int64), _mixed(before * _B + after).view(np.int64)
 
 
+def _nodes_in(known: Broadcast):
+    """(place, node): the nodes that the filter ``known`` may hold."""
+    def of(words: np.ndarray, place: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        may = _may_hold(known.value, nodes)
+        return place[may], nodes[may].view(np.int64)
+
+    return of
+
+
 def paths_of(words: np.ndarray, windows: np.ndarray, marked: np.ndarray, place: np.ndarray, branches: np.ndarray, width: int,
              node: int) -> tuple[np.ndarray, ...]:
     """(window, count, key1, key2): the windows of a text in groups that touch the same paths, the first of them and how many
@@ -303,17 +333,17 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, node: int = NODE, id_co
     twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
     asked = marks.join(twice, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
     # texts with copies may be marked in one task only, and every window of theirs is repeated
-    asked = base.select("row", "k1", "k2").join(asked, "row").select("k1", "k2", "marks").join(
-        copies, ["k1", "k2"], "full").select("k1", "k2", "marks", F.coalesce("copies", F.lit(1)).alias("copies"))
-    packed = cut(_packed(docs, text_column).join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(
+    asked = cut(base.select("row", "k1", "k2").join(asked, "row").select("k1", "k2", "marks").join(
+        copies, ["k1", "k2"], "full").select("k1", "k2", "marks", F.coalesce("copies", F.lit(1)).alias("copies")), "asked")
+    packed = cut(_packed(docs, text_column, _bit_filter(asked, "k1")).join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(
         *(F.first(c).alias(c) for c in ("size", "packed", "marks", "copies"))).withColumn(
         "number", F.monotonically_increasing_id()), "packed")
     nodes = _graph(packed, width, node, "node edges", lambda *own: edges_at(*own, node))
     branching = cut(nodes.groupBy("node").agg(F.min("edges").alias("one"), F.max("edges").alias("other")).filter(
         "one <> other").select("node"), "branching")
-    # few of all nodes; as a written table of known size they are only broadcast where they fit
-    branches = _graph(packed, width, node, "place node", lambda words, place, nodes: (
-        place, nodes.view(np.int64))).join(branching, "node", "left_semi")
+    # few of all nodes: the others are told by a filter and do not travel
+    branches = _graph(packed, width, node, "place node", _nodes_in(_bit_filter(branching, "node"))).join(
+        branching, "node", "left_semi")
     stretches = cut(_stretches(packed, branches, width, node), "stretches")
     often = stretches.groupBy("key1", "key2").agg(F.sum("copies").alias("n")).filter("n > 1").select("key1", "key2")
     hit = stretches.join(often, ["key1", "key2"], "left_semi").groupBy("number").agg(

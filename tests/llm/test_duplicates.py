@@ -207,6 +207,21 @@ def test_passages_of_repeated_rows_and_nulls(spark):
     assert debruijn.remove_passages(cases.no_docs(spark)).count() == 0
 
 
+def test_only_asked_texts_and_branching_nodes_travel(spark):
+    texts = [f"t{i} " * 40 for i in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = debruijn.cut(docs.select(*debruijn._keys(debruijn.text_or_empty("text"))), "keys")
+    wanted = debruijn._bit_filter(debruijn.cut(keys.limit(20), "few"), "k1")
+    assert 20 <= debruijn._packed(docs, "text", wanted).count() < 60
+    every = debruijn._bit_filter(keys, "k1")
+    assert debruijn._packed(docs, "text", every).count() == 300
+    nodes = np.array([r.k1 for r in keys.collect()], np.int64).view(np.uint64)
+    place, own = debruijn._nodes_in(every)(nodes, np.arange(300), nodes)
+    assert place.tolist() == list(range(300)) and (own.view(np.uint64) == nodes).all()
+    none = debruijn._bit_filter(debruijn.cut(keys.filter("false"), "none"), "k1")
+    assert debruijn._packed(docs, "text", none).count() == 0 and len(debruijn._nodes_in(none)(nodes, np.arange(300), nodes)[0]) == 0
+
+
 def test_windows_of_equal_words_have_equal_keys():
     """Wherever texts branch, equal windows are in groups of one key, and different ones are not."""
     rng = np.random.default_rng(3)
