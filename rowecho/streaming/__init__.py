@@ -51,7 +51,8 @@ def _held(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame, int
     done = [b for b in _batches(spark, f"{path}/held") if b < batch_id]
     whole = max((b for b in done if _writes_all(b)), default=None)
     folders = [f"{path}/held/batch={b}" for b in done if whole is None or b >= whole]
-    return (spark.read.schema(HELD).parquet(*folders) if folders else spark.createDataFrame([], HELD)), whole
+    nothing = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in HELD.split(", "))])  # not by Python tasks
+    return (spark.read.schema(HELD).parquet(*folders) if folders else nothing), whole
 
 
 def _writes_all(batch_id: int) -> bool:

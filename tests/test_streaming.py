@@ -4,6 +4,7 @@ import uuid
 import pytest
 
 from checks.datasets import dataset
+from checks.queries import queries
 from checks.responder import ECHOING, MODELS, respond
 from rowecho import streaming
 from rowecho.operators import decide, score
@@ -103,3 +104,20 @@ def test_changes_are_counted_without_python_for_each_response(spark, monkeypatch
         got = streaming.running_scorecard(spark, path).first()
         assert (got.n_trials, got.n_passed) == (len(best), sum(x[4] for x in best.values()))
     assert len(streaming._batches(spark, f"{path}/held")) <= 3
+
+
+def test_probes_of_a_stream_lie_in_buckets(spark, sf_dir, monkeypatch):
+    """Two batches join them: neither shuffles them."""
+    given = []
+    start = streaming.score_stream
+    monkeypatch.setattr(streaming, "score_stream", lambda responses, probes, *rest: given.append(probes) or start(responses, probes, *rest))
+    assert queries()["scorecard_stream"](spark, sf_dir).count() == 4
+    sides = given[0].hint("merge").join(given[0].groupBy("probe_id").count(), "probe_id")
+    assert "Exchange" not in sides._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_held_asks_no_python_task(spark):
+    held, whole = streaming._held(spark, place(spark, "none"), 0)
+    assert whole is None and held.count() == 0
+    assert [f"{c} {t}" for c, t in held.dtypes] == streaming.HELD.split(", ")
+    assert "ExistingRDD" not in held._jdf.queryExecution().executedPlan().toString()
