@@ -256,3 +256,19 @@ def test_dealt_probes_meet_their_responses_without_a_shuffle(spark, sf_dir):
     assert verdicts(out) == verdicts(Q.decided(probes(ds)))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan and "SortMergeJoin" in plan
+
+
+def test_an_echo_is_skipped_by_its_bytes(spark):
+    """Also one that was cut inside a character, which took the answer's first characters along."""
+    prompts = ["ab", "ab ", "é\U0001f600 ", "", "ab\\xF0\\x9F"]
+    rows = []
+    for prompt in prompts:
+        told = prompt.encode("utf-8").replace(b"\\xF0\\x9F", b"\xf0\x9f")
+        rows += [(told, told + b"Yes 1"), (told, told.rstrip(b" ") + b"No"), (told, b"other"), (told, told), (told, b"")]
+    frame = spark.createDataFrame(rows, "p binary, o binary").select(F.col("p").cast("string"), F.col("o").cast("string"), "p", "o").toDF(
+        "prompt", "output", "p", "o")
+    cut = frame.select("p", "o", answers.crop_echo(F.col("output"), F.col("prompt"), F.lit(True)).cast("binary").alias("cut")).collect()
+    for r in cut:
+        p, o = bytes(r.p), bytes(r.o)
+        left = o[len(p):] if o.startswith(p) else o[len(p.rstrip(b" ")):] if o.startswith(p.rstrip(b" ")) else o
+        assert bytes(r.cut) == left, (p, o)
