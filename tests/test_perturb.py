@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from rowecho.operators import members, perturb
 from rowecho.sources.positions import POS
 from tests.helpers import dataset_of
@@ -42,6 +43,22 @@ def test_a_full_table_cannot_be_altered(spark):
         perturb.replace_values(full, 1, 0).collect()
 
 
+def test_rows_of_a_full_table_come_back_unaltered_where_that_is_asked_for(spark, tmp_path):
+    cells = [(a, b) for a in "xy" for b in (1, 2, None)] * 2
+    full = dataset_of(spark, cells, "a string, b int")
+    out = perturb.replace_values(full, 1, 0, keep_stuck=True)
+    assert rows(out, "a", "b", "altered") == [(i, *c, False) for i, c in enumerate(cells)]
+    # one combination is missing: every row becomes that one
+    nearly = dataset_of(spark, cells[1:6], "a string, b int")
+    assert rows(perturb.replace_values(nearly, 1, 0, keep_stuck=True), "a", "b", "altered") == [(i, "x", 1, True) for i in range(5)]
+
+    part = [(i, f"n{i % 3}", f"b{i // 3 % 2}", f"t{i // 6 % 2}", 1, 1.0) for i in range(24)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(
+        f"{tmp_path}/part.parquet")
+    found = queries.perturb_until_new(spark, str(tmp_path))
+    assert rows(found, "p_name", "p_brand", "p_type", "altered") == [(*r[:4], False) for r in part]
+
+
 def test_a_row_without_a_new_combination_takes_further_columns(spark):
     # both neighbours of (0, 0) along one column are rows: only two columns together have something new
     ds = dataset_of(spark, [(0, 0, None), (0, 1, None), (0, 2, None), (1, 0, None), (0, 0, None)], "a int, b int, c string")
