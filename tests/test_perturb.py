@@ -57,6 +57,7 @@ def test_rows_of_a_full_table_come_back_unaltered_where_that_is_asked_for(spark,
         f"{tmp_path}/part.parquet")
     found = queries.perturb_until_new(spark, str(tmp_path))
     assert rows(found, "p_name", "p_brand", "p_type", "altered") == [(*r[:4], False) for r in part]
+    assert [tuple(r) for r in queries.perturbed_not_in_dataset(spark, str(tmp_path)).collect()] == [(24, 0)]
 
 
 def test_a_row_without_a_new_combination_takes_further_columns(spark):
