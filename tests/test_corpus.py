@@ -158,6 +158,33 @@ def test_what_is_sent_to_all_tasks_is_counted_first(spark):
         assert ("BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()) is sent
 
 
+def test_texts_are_cut_once_and_words_travel_as_numbers(spark, coded_words, monkeypatch):
+    """One row for each text, whatever forms its words are looked for in; a list's words outside the lexicon decide, if it has any."""
+    texts, words = coded_words
+    written, sets, cut, made = [], [], corpus.cut_lineage, corpus._sets
+    monkeypatch.setattr(corpus, "cut_lineage", lambda df, *a, **b: written.append(cut(df, *a, **b)) or written[-1])
+    monkeypatch.setattr(corpus, "_sets", lambda *a: sets.append((a[1], made(*a))) or sets[-1][1])
+    corpus.scan_words_long(texts, words, "k").count()
+    assert [t.count() for t in written if t.columns == ["k", "spans"]] == [texts.count()]
+    (entries, of_text), = sets
+    assert entries.schema["entry"].dataType.typeName() == "long" and of_text.schema["entries"].dataType.elementType.typeName() == "long"
+    outside = words.filter("kind = 'string' AND NOT in_lexicon")
+    deciding = words.join(outside.select("list_name").distinct(), "list_name", "left_anti").unionByName(outside).filter("kind <> 'other'")
+    assert entries.select("entry").distinct().count() == deciding.select("list_name", "value").distinct().count()
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_lists_that_share_words(spark, known):
+    texts = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}_x, W{i % 3}.y") for i in range(40)], "k int, text string")
+    words = spark.createDataFrame(
+        [(f"l{i % 4}", f"w{i % 6}" + ("", "_x", ".y")[i % 3], "string", known or i % 2 == 0) for i in range(60)],
+        "list_name string, value string, kind string, in_lexicon boolean").distinct()
+    lists = words.groupBy("list_name").agg(F.collect_list(F.struct("value", "kind", "in_lexicon")).alias("words"))
+    columns = ["k", "list_name", "n_found", "n_expected", "passed"]
+    want = sorted(tuple(r) for r in corpus.scan_words(texts, lists, "k").filter("n_found > 0").select(*columns).collect())
+    assert sorted(tuple(r) for r in corpus.scan_words_long(texts, words, "k").select(*columns).collect()) == want and want
+
+
 def test_words_that_are_numbered_alike(spark):
     names = spark.range(300).select(F.format_string("name#%09d", "id").alias("value"))
     words = names.select(F.lit("l").alias("list_name"), "value", F.lit("string").alias("kind"), F.lit(False).alias("in_lexicon"))
