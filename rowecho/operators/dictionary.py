@@ -31,9 +31,9 @@ class Dictionary:
 def build_dictionary(texts: DataFrame, key: str, text: str = "text") -> Dictionary:
     """Read the texts once and code them. Numbers are dense from 0; a null text has no runs."""
     split = F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))
-    each = cut_lineage(texts.select(key, F.explode(F.filter(split, lambda r: r != "")).alias("run")))
+    each = cut_lineage(texts.select(key, F.explode(F.filter(split, lambda r: r != "")).alias("run")), compression="zstd")
     runs = cut_lineage(with_positions(cut_lineage(each.select("run").distinct())).select(F.col(POS).alias("number"), "run"))
-    coded = cut_lineage(each.join(corpus.side(runs, F.octet_length("run")), "run").groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("numbers")))
+    coded = cut_lineage(each.join(corpus.side(runs, F.octet_length("run")), "run").groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("numbers")), compression="zstd")
     return Dictionary(texts.select(F.col(key), F.col(text).alias("text")), runs, coded, key)
 
 
@@ -58,7 +58,9 @@ def match_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     of_word = reduce(DataFrame.unionByName, [
         corpus._letter_grams(short.filter(F.col("n") == n).select("word"), "word", n) for n in lengths])
     of_run = reduce(DataFrame.unionByName, [corpus._letter_grams(runs, "run", n) for n in lengths])
-    anchors = _rarest(of_word, of_run)
+    # Spark takes the letters of runs for as few as runs, and would deal out all of them to meet a few words
+    anchors = cut_lineage(_rarest(of_word, of_run))
+    anchors = corpus.side(anchors, F.octet_length("word") + F.octet_length("gram"))
     return of_run.join(anchors, "gram").filter(F.contains("run", F.col("word"))).select("number", "word")
 
 
@@ -112,8 +114,8 @@ def scan_words(dictionary: Dictionary, words: DataFrame) -> DataFrame:
     """``corpus.scan_words_long`` on coded texts: (key, list_name, n_found, n_expected, passed), for lists of which
     a text holds any word. ``words`` is (list_name, value, kind, in_lexicon), one row per word."""
     words = cut_lineage(words)
-    sizes = cut_lineage(corpus.list_sizes(words))
-    entries = cut_lineage(corpus._entries(words, False).filter("passage <> ''"))
+    lists = corpus.numbered_lists(words)
+    entries = corpus.coded_entries(corpus.considered(words, lists), lists).filter("passage <> ''")
     spaced = F.col("passage").rlike(r"\s")
     key, hits = dictionary.key, []
     single = _matched(dictionary, entries.filter(~spaced))
@@ -121,16 +123,12 @@ def scan_words(dictionary: Dictionary, words: DataFrame) -> DataFrame:
         # one row per number with all its words, so a text's numbers meet each once
         by_number = cut_lineage(single.groupBy("number").agg(F.collect_set("entry").alias("entries")))
         flat = dictionary.coded.select(key, F.explode("numbers").alias("number")).join(
-            corpus.side(by_number, F.size("entries") * corpus.ENTRY_BYTES), "number")
+            corpus.side(by_number, F.size("entries") * corpus.CODE_BYTES), "number")
         hits.append(flat.select(key, F.explode("entries").alias("entry")))
     phrases = _phrases(dictionary, entries.filter(spaced))
     if phrases is not None:
         hits.append(phrases)
     if not hits:
         hits.append(dictionary.texts.limit(0).select(key, F.lit(None).cast(entries.schema["entry"].dataType).alias("entry")))
-    n_found, passed = corpus.word_rule()
     sets = reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.collect_set("entry").alias("entries"))
-    counted = sets.select(key, F.inline("entries")).groupBy(key, "list").agg(
-        F.count("*").alias("n_hit"), F.count_if("outside").alias("n_outside_hit"))
-    return counted.join(sizes, "list").select(
-        key, "list_name", n_found.alias("n_found"), "n_expected", passed.alias("passed")).filter("n_found > 0")
+    return corpus.list_verdicts(sets, lists, key)

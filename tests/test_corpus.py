@@ -183,6 +183,21 @@ def test_lists_that_share_words(spark, known):
     columns = ["k", "list_name", "n_found", "n_expected", "passed"]
     want = sorted(tuple(r) for r in corpus.scan_words(texts, lists, "k").filter("n_found > 0").select(*columns).collect())
     assert sorted(tuple(r) for r in corpus.scan_words_long(texts, words, "k").select(*columns).collect()) == want and want
+    coded = dictionary.build_dictionary(texts, "k")
+    assert sorted(tuple(r) for r in dictionary.scan_words(coded, words).select(*columns).collect()) == want
+
+
+def test_few_words_are_sent_to_the_letters_of_runs(spark):
+    runs = spark.range(500).select(F.col("id").alias("number"), F.format_string("run%05d", "id").alias("run"))
+    words = spark.createDataFrame([("un00",), ("499",), ("run",)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        met = dictionary.match_runs(runs, words)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert met.count() == 500 + 1 + 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_words_that_are_numbered_alike(spark):
